@@ -12,13 +12,14 @@ smaller's. So:
   v = -1: not looked at).
 * Allocation by cost. In small bands (hi < 32) segments are few and long, all
   with v = 1: their keys are the segment and its one-deletion neighbourhood. In
-  larger bands there are a tenth more segments than needed, all with v = 0; that
+  larger bands there are ``SLACK`` more segments than needed, all with v = 0; that
   slack lets each set leave out its dearest segments: empty ones, and those
-  whose key many sets have. All sets rank keys alike (by the number of sets that
+  whose key most other sets have. All sets rank keys alike (by the number of sets that
   have it, then by key), so the cheapest key two similar sets share is kept by
   both.
-* Keys that at most ``hot`` sets have give all their pairs. Of larger groups
-  that are left after the allocation, all members are compared with one pivot;
+* Only keys that several sets have reach the allocation. Keys that at most
+  ``hot`` sets still have after it give all their pairs. Of larger groups, all
+  members are compared with one pivot;
   where that does not join a group into one component, the members outside its
   largest component are compared with all others. So a group of near copies
   costs its size, and no link between components is lost.
@@ -53,6 +54,8 @@ from .shingles import mix, shingle_sets, slices
 ship(__name__)
 
 SKETCH_BITS = 2048
+#: Segments beyond those needed, as a share of them.
+SLACK = 0.6
 _U = np.uint64
 
 
@@ -92,7 +95,7 @@ def plan(n: int, band: int) -> tuple[int, int, bool]:
         return 0, 0, False
     if hi < 32:
         return (most + 2) // 2, 0, True
-    m = most + 1 + math.ceil(0.1 * (most + 1))
+    m = most + 1 + math.ceil(SLACK * (most + 1))
     own = n // 4 if lo <= n <= hi else (n + hi) // 9
     return m, m - own - 1, False
 
@@ -143,7 +146,7 @@ def _classes(k: int):
 
 
 def _keys(k: int, buckets: int, flush_rows: int = 1_500_000):
-    """Packed (key, class, flags) rows of each bucket. A row: 40 bits of key and 24 of the class; 64 of the class; 6 bits to leave out and 2 of the step."""
+    """Packed (key, class, flags) rows of each bucket. A row: 40 bits of key and 24 of the class; 64 of the class; 14 bits of what it may leave out and 2 of the step."""
     schema = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("data", pa.binary())])
 
     def run(batches):
@@ -155,7 +158,7 @@ def _keys(k: int, buckets: int, flush_rows: int = 1_500_000):
             reps = np.array([len(x[0]) for x in held])
             hi = np.repeat(np.array([x[1] for x in held], _U), reps)
             lo = np.repeat(np.array([x[2] for x in held], _U), reps)
-            flag = np.repeat(np.array([x[3] for x in held], np.uint8), reps)
+            flag = np.repeat(np.array([x[3] for x in held], np.uint16), reps)
             bucket = (key >> _U(40)) % _U(buckets)
             order = np.argsort(bucket.astype(np.int32), kind="stable")
             a = (((key & _U((1 << 40) - 1)) << _U(24)) | hi)[order]
@@ -178,7 +181,7 @@ def _keys(k: int, buckets: int, flush_rows: int = 1_500_000):
                     for step, band in enumerate(range(top, band_of(-(-4 * n // 5)) - 1, -1)):
                         keys, spare = keys_of(h, band, step)
                         if len(keys):
-                            held.append((keys, hi, lo, min(spare, 63) << 2 | min(step, 3)))
+                            held.append((keys, hi, lo, min(spare, 16383) << 2 | min(step, 3)))
                             count += len(keys)
                 if count >= flush_rows:
                     yield flush()
@@ -189,66 +192,47 @@ def _keys(k: int, buckets: int, flush_rows: int = 1_500_000):
     return run
 
 
-FOUND = "a binary, b binary, key long, cnt long, step int, spare int"
-
-
-def _meet(hot: int):
-    """Of a bucket: the pairs of keys that few classes have, and one row for each class of the others (b is null)."""
-
-    def run(key, table):
-        bucket = key[0].as_py()
-        a, lo, flag = [], [], []
-        for n, data in zip(table.column("n").to_pylist(), table.column("data").to_pylist()):
-            a.append(np.frombuffer(data, _U, n))
-            lo.append(np.frombuffer(data, _U, n, 8 * n))
-            flag.append(np.frombuffer(data, np.uint8, n, 16 * n))
-        a, lo, flag = np.concatenate(a), np.concatenate(lo), np.concatenate(flag)
-        # only keys that occur again matter
-        k = a >> _U(24)
-        order = np.argsort(k, kind="stable")
-        k = k[order]
-        same = k[1:] == k[:-1]
-        again = np.r_[same, False] | np.r_[False, same]
-        order = order[again]
-        a, lo, flag = a[order], lo[order], flag[order]
-        order = np.lexsort((lo, a))
-        a, lo, flag = a[order], lo[order], flag[order]
-        new = np.r_[True, (a[1:] != a[:-1]) | (lo[1:] != lo[:-1])][: len(a)]
-        a, lo, flag = a[new], lo[new], flag[new]
-        k = a >> _U(24)
-        start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]][: len(k)])
-        count = np.diff(np.r_[start, len(k)])
-        size = np.repeat(count, count)
-        step = (flag & 3).astype(np.int32)
-        ids = np.empty((len(a), 11), np.uint8)
-        ids[:, :8] = lo.astype(">u8").view(np.uint8).reshape(-1, 8)
-        ids[:, 8:] = (a & _U(0xFFFFFF)).astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:]
-        left, right = [], []
-        cold = size <= hot
-        for d in range(1, hot):
-            i = np.flatnonzero((k[:-d] == k[d:]) & cold[:-d] & ((step[:-d] == 0) | (step[d:] == 0))) if len(k) > d else np.zeros(0, np.int64)
-            left.append(i)
-            right.append(i + d)
-        left, right = np.concatenate(left), np.concatenate(right)
-        pairs = np.concatenate([ids[left], ids[right]], 1)
-        swap = [x[11:].tobytes() + x[:11].tobytes() if x[:11].tobytes() > x[11:].tobytes() else x.tobytes() for x in (np.unique(pairs, axis=0) if len(pairs) else pairs)]
-        swap = sorted(set(swap))
-        many = np.flatnonzero(~cold)
-        whole = (_U(bucket) << _U(40)) | k[many]
-        n = len(swap)
-        none = [None] * n
-        return pa.table(
-            {
-                "a": pa.array([x[:11] for x in swap] + [x.tobytes() for x in ids[many]], pa.binary()),
-                "b": pa.array([x[11:] for x in swap] + [None] * len(many), pa.binary()),
-                "key": pa.array(none + whole.astype(np.int64).tolist(), pa.int64()),
-                "cnt": pa.array(none + size[many].tolist(), pa.int64()),
-                "step": pa.array(none + step[many].tolist(), pa.int32()),
-                "spare": pa.array(none + (flag[many] >> 2).astype(int).tolist(), pa.int32()),
-            }
-        )
-
-    return run
+FOUND = "key long, cls binary, cnt long, step int, spare int"
+
+
+def _meet(key, table):
+    """Of a bucket: a row for each class of every key that several classes have."""
+    bucket = key[0].as_py()
+    a, lo, flag = [], [], []
+    for n, data in zip(table.column("n").to_pylist(), table.column("data").to_pylist()):
+        a.append(np.frombuffer(data, _U, n))
+        lo.append(np.frombuffer(data, _U, n, 8 * n))
+        flag.append(np.frombuffer(data, np.uint16, n, 16 * n))
+    a, lo, flag = np.concatenate(a), np.concatenate(lo), np.concatenate(flag)
+    k = a >> _U(24)
+    order = np.argsort(k, kind="stable")
+    k = k[order]
+    same = k[1:] == k[:-1]
+    order = order[np.r_[same, False] | np.r_[False, same]]
+    a, lo, flag = a[order], lo[order], flag[order]
+    order = np.lexsort((lo, a))
+    a, lo, flag = a[order], lo[order], flag[order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (lo[1:] != lo[:-1])][: len(a)]
+    a, lo, flag = a[new], lo[new], flag[new]
+    k = a >> _U(24)
+    start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]][: len(k)])
+    count = np.diff(np.r_[start, len(k)])
+    size = np.repeat(count, count)
+    some = size > 1
+    a, lo, flag, k, size = a[some], lo[some], flag[some], k[some], size[some]
+    ids = np.empty((len(a), 11), np.uint8)
+    ids[:, :8] = lo.astype(">u8").view(np.uint8).reshape(-1, 8)
+    ids[:, 8:] = (a & _U(0xFFFFFF)).astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:]
+    whole = (_U(bucket) << _U(40)) | k
+    return pa.table(
+        {
+            "key": pa.array(whole.astype(np.int64)),
+            "cls": pa.array([x.tobytes() for x in ids], pa.binary()),
+            "cnt": pa.array(size.astype(np.int64)),
+            "step": pa.array((flag & 3).astype(np.int32)),
+            "spare": pa.array((flag >> 2).astype(np.int32)),
+        }
+    )
 
 
 def _sets(k: int):
@@ -299,8 +283,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = rows.filter("cls is not null").groupBy("cls").agg(F.min(F.struct("ord", "th")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     words = rows.agg(F.sum("n")).first()[0] or 0
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(width, math.ceil(0.55 * words * 17 / bucket_bytes))
-    found = materialise(base.select("ord", "text").mapInArrow(_keys(k, buckets), "bucket int, n int, data binary").groupBy("bucket").applyInArrow(_meet(hot), FOUND), "found")
+    buckets = max(width, math.ceil(0.65 * words * 18 / bucket_bytes))
+    found = materialise(base.select("ord", "text").mapInArrow(_keys(k, buckets), "bucket int, n int, data binary").groupBy("bucket").applyInArrow(_meet, FOUND), "found")
 
     def near(pairs: DataFrame) -> DataFrame:
         facts = classes.select("cls", "n", "sketch")
@@ -318,13 +302,15 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return materialise(x.mapInArrow(_verify, "u binary, v binary"), "links")
 
     ordered = lambda d, x, y: d.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).filter("a <> b")
-    cold = found.filter("b is not null").select("a", "b")
-    dear = Window.partitionBy("a", "step").orderBy(F.desc("cnt"), F.desc("key"))
-    groups = materialise(
-        found.filter("b is null").withColumn("rank", F.row_number().over(dear)).filter("rank > spare").select("key", F.col("a").alias("cls"), "step"), "groups"
-    )
-    pivots = groups.groupBy("key").agg(F.min(F.struct("step", "cls")).alias("p")).select("key", F.col("p.cls").alias("pivot"))
-    star = ordered(groups.join(pivots, "key"), "cls", "pivot")
+    dear = Window.partitionBy("cls", "step").orderBy(F.desc("cnt"), F.desc("key"))
+    left = materialise(found.withColumn("rank", F.row_number().over(dear)).filter("rank > spare").select("key", "cls", "step"), "left")
+    sizes = left.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("step", "cls")).alias("p")).filter("c > 1 and p.step = 0")
+    groups = materialise(left.join(sizes, "key").select("key", "cls", "step", "c", F.col("p.cls").alias("pivot")), "groups")
+    # at most ``hot`` members a key
+    few = groups.filter(F.col("c") <= hot).groupBy("key").agg(F.collect_list(F.struct("step", "cls")).alias("g"))
+    cold = ordered(few.select(F.explode("g").alias("x"), "g").select("x", F.explode("g").alias("y")).filter("x.cls < y.cls and (x.step = 0 or y.step = 0)").select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")), "a", "b")
+    groups = groups.filter(F.col("c") > hot)
+    star = ordered(groups, "cls", "pivot")
     links = verified(near(cold.unionByName(star).distinct()))
     # members outside the largest component of a group meet all that are not in theirs
     roots = components(links)
