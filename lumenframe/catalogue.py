@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from lumenframe.plans import measure, scoring, skyjoin  # noqa: F401  they register their queries
+from lumenframe.plans.registry import OPERATORS, QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def operators() -> dict[str, str]:
+    """The survey's identifiers that each query exercises."""
+    return dict(OPERATORS)
