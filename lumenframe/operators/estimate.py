@@ -151,7 +151,7 @@ def choose_components(df: DataFrame, starts: dict[int, Mixture], fold: Column, f
 def fit_groups(df: DataFrame, by: list[str], components: int, least: int, d: int, seed: int = 1) -> DataFrame:
     """One small mixture for each group with at least ``least`` rows: (by, k, weight, mean, cov row-major).
 
-    Each group is fitted in one task from its first ``cap`` rows by hash; use ``fit_mixture`` for groups that
+    Each group is fitted in one task , so it must fit there; use ``fit_mixture`` for groups that
     are large. ``by`` are the group's columns, ``x`` and ``var`` its arrays.
     """
     names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name in by)
@@ -161,7 +161,7 @@ def fit_groups(df: DataFrame, by: list[str], components: int, least: int, d: int
 
         cols = [*by, "k", "weight", "mean", "cov"]
         if len(pdf) < max(least, components):
-            return pd.DataFrame({c: [] for c in cols})
+            return pd.DataFrame([[*(pdf[b].iloc[0] for b in by), 0, 0.0, [0.0], [0.0]]], columns=cols).iloc[:0]
         x = np.array(pdf["x"].tolist(), float)
         v = np.array(pdf["var"].tolist(), float)
         rng = np.random.default_rng(seed)
