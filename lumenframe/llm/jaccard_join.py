@@ -56,6 +56,8 @@ ship(__name__)
 SKETCH_BITS = 2048
 #: Segments beyond those needed, as a share of them.
 SLACK = 0.6
+#: Members of a large group that are compared at once.
+BLOCK = 256
 _U = np.uint64
 
 
@@ -260,6 +262,27 @@ def _near_sketch(batches):
         yield pa.RecordBatch.from_arrays([a.filter(good), b.filter(good)], names=["a", "b"])
 
 
+def _meet_blocks(batches):
+    """Pairs of two blocks' members that are in different components and that their sketches do not rule out."""
+
+    def unpack(g):
+        sketch = np.frombuffer(b"".join(x["sketch"] for x in g), _U).reshape(len(g), -1)
+        return [x["cls"] for x in g], np.array([x["root"] for x in g], object), np.array([x["step"] for x in g]), np.array([x["n"] for x in g]), sketch
+
+    for batch in batches:
+        a, b = [], []
+        for i in range(batch.num_rows):
+            ca, ra, ta, na, sa = unpack(batch.column(0)[i].as_py())
+            cb, rb, tb, nb, sb = unpack(batch.column(1)[i].as_py())
+            for j in range(len(ca)):
+                good = (np.bitwise_count(sb ^ sa[j]).sum(1) * 9 <= na[j] + nb) & (5 * np.minimum(na[j], nb) >= 4 * np.maximum(na[j], nb)) & ((tb == 0) | (ta[j] == 0))
+                for k in np.flatnonzero(good):
+                    if rb[k] != ra[j]:
+                        a.append(min(ca[j], cb[k])), b.append(max(ca[j], cb[k]))
+        pairs = sorted(set(zip(a, b)))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.binary()), pa.array([x for _, x in pairs], pa.binary())], names=["a", "b"])
+
+
 def _verify(batches):
     for batch in batches:
         u, v = [], []
@@ -304,24 +327,35 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ordered = lambda d, x, y: d.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).filter("a <> b")
     dear = Window.partitionBy("cls", "step").orderBy(F.desc("cnt"), F.desc("key"))
     left = materialise(found.withColumn("rank", F.row_number().over(dear)).filter("rank > spare").select("key", "cls", "step"), "left")
-    sizes = left.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("step", "cls")).alias("p")).filter("c > 1 and p.step = 0")
-    groups = materialise(left.join(sizes, "key").select("key", "cls", "step", "c", F.col("p.cls").alias("pivot")), "groups")
+    sizes = left.groupBy("key").agg(F.count("*").alias("c"), F.min("step").alias("s")).filter("c > 1 and s = 0")
+    groups = materialise(left.join(sizes, "key").select("key", "cls", "step", "c"), "groups")
     # at most ``hot`` members a key
     few = groups.filter(F.col("c") <= hot).groupBy("key").agg(F.collect_list(F.struct("step", "cls")).alias("g"))
     cold = ordered(few.select(F.explode("g").alias("x"), "g").select("x", F.explode("g").alias("y")).filter("x.cls < y.cls and (x.step = 0 or y.step = 0)").select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")), "a", "b")
     groups = groups.filter(F.col("c") > hot)
-    star = ordered(groups, "cls", "pivot")
+    # pivots: of each of four parts of a group, the member that is in most groups
+    degree = groups.groupBy("cls").agg(F.count("*").alias("d"))
+    part = F.pmod(F.xxhash64("cls"), F.lit(4))
+    pivots = groups.join(degree, "cls").groupBy("key", part.alias("part")).agg(F.max(F.struct("d", "cls")).alias("p")).select("key", F.col("p.cls").alias("pivot"))
+    star = ordered(groups.join(pivots, "key"), "cls", "pivot")
     links = verified(near(cold.unionByName(star).distinct()))
-    # members outside the largest component of a group meet all that are not in theirs
+    if not groups.take(1):
+        return rows, links
+    # groups that are still several components: all members meet in blocks, by their sketches
     roots = components(links)
-    member = materialise(groups.join(roots, groups["cls"] == roots["node"], "left").select("key", "cls", "step", F.coalesce("root", "cls").alias("root")), "members")
-    parts = member.groupBy("key", "root").agg(F.count("*").alias("c"))
-    largest = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("c", "root")).alias("top")).filter("parts > 1").select("key", F.col("top.root").alias("top"))
-    outside = member.join(largest, "key").filter("root <> top").select("key", F.col("cls").alias("x"), F.col("root").alias("rx"), F.col("step").alias("sx"))
-    rest = ordered(outside.join(member, "key").filter("root <> rx and (step = 0 or sx = 0)"), "x", "cls").distinct()
-    more = near(rest)
-    if more.limit(1).count():
-        links = links.unionByName(verified(more.join(links.toDF("a", "b"), ["a", "b"], "left_anti")))
+    member = materialise(groups.join(roots, groups["cls"] == roots["node"], "left").select("key", "c", "cls", "step", F.coalesce("root", "cls").alias("root")), "members")
+    apart = member.groupBy("key").agg((F.min("root") != F.max("root")).alias("apart")).filter("apart").select("key")
+    packed = (
+        member.join(apart, "key")
+        .join(classes.select("cls", "n", "sketch"), "cls")
+        .groupBy("key", F.pmod(F.xxhash64("cls"), F.ceil(F.col("c") / BLOCK)).alias("block"))
+        .agg(F.collect_list(F.struct("cls", "root", "step", "n", "sketch")).alias("g"))
+    )
+    packed = materialise(packed, "blocks")
+    met = packed.toDF("key", "x", "gx").join(packed.toDF("key", "y", "gy"), "key").filter("x <= y").select("gx", "gy")
+    more = materialise(met.mapInArrow(_meet_blocks, "a binary, b binary").distinct(), "rest")
+    if more.take(1):
+        links = links.unionByName(verified(more))
     return rows, links
 
 
