@@ -73,7 +73,7 @@ def runs(text: str, found: list[tuple[int, int, int]], min_units: int = 3, min_w
 
 
 def _emit(max_words: int, min_units: int, min_words: int):
-    schema = pa.schema([("ord", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("len", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64())])
+    schema = pa.schema([("ord", pa.int64()), ("th", pa.int32()), ("pos", pa.int32()), ("len", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64())])
 
     def emit(batches):
         for batch in batches:
@@ -135,12 +135,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``docs`` with ``text_col`` cleaned, and ``n_sentences``, ``n_removed``, ``removed_words`` added."""
     new = ("n_sentences", "n_removed", "removed_words")
     kept = [c for c in docs.columns if c not in new]
-    base = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], order_key(F.col(f"`{id_col}`")).alias(P + "ord"), F.xxhash64(F.col(f"`{text_col}`")).alias(P + "th"))
+    base = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], order_key(F.col(f"`{id_col}`")).alias(P + "ord"), F.hash(F.col(f"`{text_col}`")).alias(P + "th"))
     text = f"c{kept.index(text_col)}"
-    found = base.select(P + "ord", P + "th", text).mapInArrow(_emit(max_words, min_units, min_words), "ord long, th long, pos int, len int, k1 long, k2 long")
+    found = base.select(P + "ord", P + "th", text).mapInArrow(_emit(max_words, min_units, min_words), "ord long, th int, pos int, len int, k1 long, k2 long")
     found = materialise(found, "sentence-runs")
     here = F.struct("ord", "th", "pos")
-    first = found.groupBy("k1", "k2").agg(F.min(here).alias("first"), F.max(here).alias("last")).filter("first != last").select("k1", "k2", "first")
+    first = found.groupBy("k1", "k2").agg(F.min(here).alias("first"), F.count("*").alias("c")).filter("c > 1").select("k1", "k2", "first")
     spans = (
         found.join(first, ["k1", "k2"])
         .filter(here != F.col("first"))
