@@ -171,24 +171,24 @@ def _search(book: Codebooks, top: int, shortlist: int):
     return run
 
 
-def _pack_block(table: pa.Table) -> pa.Table:
-    """One row of packed arrays, ordered by id, of a block."""
+def _pack_block(key, table):
+    """One row of packed arrays, ordered by id, of a block, with its number."""
     order = np.argsort(table.column("id").to_numpy(), kind="stable")
     ids = table.column("id").to_numpy()[order]
     data = _matrix(table.column("v")).astype(np.float64)[order]
-    return pa.table({"n": [len(ids)], "ids": pa.array([ids.astype(np.int64).tobytes()], pa.binary()), "data": pa.array([data.tobytes()], pa.binary())})
+    return pa.table({"block": [key[0].as_py()], "n": [len(ids)], "ids": pa.array([ids.astype(np.int64).tobytes()], pa.binary()), "data": pa.array([data.tobytes()], pa.binary())})
 
 
 def _encode_blocks(book: Codebooks, beam: int):
     def run(batches):
         for batch in batches:
             codes, norms = [], []
-            for n, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+            for n, data in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
                 x = np.frombuffer(data, np.float64).reshape(n, -1)
                 code = book.encode(x, beam)
                 codes.append(code.tobytes())
                 norms.append(np.sqrt((book.decode(code) ** 2).sum(1)).astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(codes, pa.binary()), pa.array(norms, pa.binary())], names=["cid", "cdata", "codes", "norms"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(codes, pa.binary()), pa.array(norms, pa.binary())], names=["one", "cid", "cdata", "codes", "norms"])
 
     return run
 
@@ -204,15 +204,14 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
     sample = v.orderBy(F.xxhash64("id"), "id").limit(train_rows).toArrow()
     book = train(_matrix(sample.column("v")), books, words)
     blocks = max(1, math.ceil(n / block))
-    by = lambda d, size: d.groupBy(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(size)).alias("block")).applyInArrow(_pack_block, "n long, ids binary, data binary")
-    coded = materialise(by(v, blocks).mapInArrow(_encode_blocks(book, beam), "cid binary, cdata binary, codes binary, norms binary"), "codes")
+    by = lambda d, size: d.groupBy(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(size)).alias("block")).applyInArrow(_pack_block, "block long, n long, ids binary, data binary")
+    coded = materialise(by(v, blocks).mapInArrow(_encode_blocks(book, beam), "one long, cid binary, cdata binary, codes binary, norms binary"), "codes")
     queries = v.filter(is_query)
     asked = max(1, math.ceil(queries.count() / query_block))
     asked_blocks = materialise(by(queries, asked).select(F.col("ids").alias("qid"), F.col("data").alias("qdata")), "queries")
     # every block of queries meets every block of rows: a fixed number of row blocks for each query
-    pairs = asked_blocks.withColumn("one", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(asked * blocks, "one", "qid")
-    numbered = coded.withColumn("one", F.row_number().over(Window.orderBy(F.xxhash64("cid"))) - 1)
-    met = pairs.join(numbered, "one").select("qid", "qdata", "cid", "cdata", "codes", "norms")
+    pairs = asked_blocks.withColumn("one", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).repartition(asked * blocks, "one", "qid")
+    met = pairs.join(coded, "one").select("qid", "qdata", "cid", "cdata", "codes", "norms")
     found = met.mapInArrow(_search(book, top, shortlist), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
