@@ -126,10 +126,11 @@ def spline_basis(x: Column, knots, degree: int = 3) -> list[Column]:
 
 def gate_log_weights(features: list[Column], a, beta) -> Column:
     """Log proportions of K components, ``softmax(a + features . beta)``, as an array."""
-    logits = [sum((f * F.lit(float(b)) for f, b in zip(features, col)), F.lit(float(s))) for s, col in zip(a, np.asarray(beta, float).T)]
-    top = F.greatest(*logits)
-    norm = top + F.log(sum((F.exp(x - top) for x in logits), F.lit(0.0)))
-    return F.array(*[x - norm for x in logits])
+    logits = F.array(*[sum((f * F.lit(float(b)) for f, b in zip(features, col)), F.lit(float(s))) for s, col in zip(a, np.asarray(beta, float).T)])
+    # an array of one binds the logits, then their norm, so that neither is written out once per component
+    norm = lambda l: F.array_max(l) + F.log(F.aggregate(l, F.lit(0.0), lambda s, v: s + F.exp(v - F.array_max(l))))  # noqa: E731, E741
+    bound = F.transform(F.array(logits), lambda l: F.struct(l.alias("l"), norm(l).alias("n")))  # noqa: E741
+    return F.get(F.transform(bound, lambda s: F.transform(s["l"], lambda v: v - s["n"])), F.lit(0))
 
 
 def weighted_log_density(lp: Column, log_weights: Column) -> Column:
