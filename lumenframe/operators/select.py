@@ -88,3 +88,45 @@ def compare_versions(old: DataFrame, new: DataFrame, key: str, columns: list[str
         F.count_if(here & ~reduce(lambda a, b: a | b, differ.values())).alias("same"), *[F.count_if(here & d).alias(f"changed_{c}") for c, d in differ.items()],
         F.count_if(F.col("in_new").isNull()).alias("only_old"), F.count_if(F.col("in_old").isNull()).alias("only_new"),
     )
+
+
+def photometry(value: Column, error: Column, kind: str, good: Column | None = None, scale: float = 1.0) -> tuple[Column, Column]:
+    """(flux, variance) in native units of one band, null where unusable; negative fluxes stay.
+
+    ``kind``: ``ivar`` (error is an inverse variance), ``sigma``, ``dn`` (counts, times ``scale``) or ``mag``, whose
+    sentinels (outside -50 to 90, errors of 90 or more) are missing values and not limits. ``good`` is the survey's rule; null is not good.
+    """
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
+    value, error = value.cast("double"), error.cast("double")
+    ok = finite(value) & finite(error) & (error > 0)
+    if kind == "mag":
+        ok = ok & (value > -50) & (value < 90) & (error < 90)
+        flux = F.pow(F.lit(10.0), (F.lit(22.5) - value) / F.lit(2.5))
+        variance = F.pow(F.lit(0.9210340371976184) * flux * error, F.lit(2.0))
+    elif kind in ("ivar", "sigma", "dn"):
+        flux = value * F.lit(scale)
+        variance = (F.lit(1.0) / error if kind == "ivar" else error * error) * F.lit(scale * scale)
+    else:
+        raise ValueError(f"unknown kind {kind}")
+    if good is not None:
+        ok = ok & F.coalesce(good, F.lit(False))
+    return F.when(ok, flux), F.when(ok, variance)
+
+
+def balanced_holdout(counts: dict, share: float, least: int, seed: int, draws: int = 10_000) -> list:
+    """Fields to hold out, drawn until both sides have ``least`` measurements of every band.
+
+    ``counts`` is {field: counts by band}, already summed over the rows; raises where no draw does.
+    """
+    import numpy as np
+
+    names = sorted(counts)
+    table = np.array([counts[n] for n in names])
+    total, size = table.sum(0), max(1, round(len(names) * share))
+    rng = np.random.default_rng(seed)
+    for _ in range(draws):
+        pick = np.sort(rng.permutation(len(names))[:size])
+        held = table[pick].sum(0)
+        if min(held.min(), (total - held).min()) >= least:
+            return [names[i] for i in pick]
+    raise ValueError("no draw leaves every band on both sides")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions.scalar import log_thinning
 from lumenframe.functions.scalar import quantise as q
-from lumenframe.operators import blend, calibrate, mixture, shapes
+from lumenframe.operators import blend, calibrate, latent, mixture, select, shapes
 
 from .inputs import A, MEAS, SCORED, VEC, WIDE, B, Q, _frac, frac, scored, wide
 from .registry import query, table
@@ -200,3 +200,27 @@ def envelope_scale(spark, sf):
     covs = np.array([shapes.floored(c, 1e-6) for c in covs])
     env = shapes.envelope(np.eye(3), covs)
     return spark.createDataFrame([(i, float(env[i, i]), shapes.dominant_scale(env, covs)) for i in range(3)], "i int, variance double, scale double")
+
+
+_PHOT = "CASE WHEN {v} > -50e0 AND {v} < 90e0 AND {e} > 0e0 AND {e} < 90e0 AND l_returnflag <> 'R' THEN {x} END"
+_LINES = "SELECT l_orderkey AS id, l_linenumber AS line, CASE WHEN l_quantity >= 48 THEN 99.99e0 ELSE 15e0+l_quantity/5e0 END AS v, 0.01e0+l_tax AS e, l_returnflag FROM lineitem"
+_FLUX = "pow(10e0,(22.5e0-v)/2.5e0)"
+
+
+@query("P14", f"WITH t AS ({_LINES}) SELECT id, line, " + _PHOT.format(v="v", e="e", x=Q(_FLUX)) + " AS flux, " + _PHOT.format(v="v", e="e", x=Q(f"pow(0.9210340371976184e0*{_FLUX}*e,2e0)")) + " AS variance FROM t")
+def magnitude_photometry(spark, sf):
+    """Magnitudes with sentinels and a quality rule to fluxes and variances."""
+    t = table(spark, sf, "lineitem")
+    v = F.when(F.col("l_quantity") >= 48, F.lit(99.99)).otherwise(F.lit(15.0) + F.col("l_quantity") / F.lit(5.0))
+    flux, var = select.photometry(v, F.lit(0.01) + F.col("l_tax"), "mag", F.col("l_returnflag") != "R")
+    return t.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), q(flux).alias("flux"), q(var).alias("variance"))
+
+
+@query("E03, M20, M21")
+def latent_fit(spark, sf):
+    """Two latent coordinates seen directly by one half of the orders, and as a rotated pair by the other half."""
+    rows = wide(spark, sf).filter("f1 is not null or f2 is not null").select((F.col("id") % 2).alias("system"), F.array("f1", "f2").alias("y"), F.array("v1", "v2").alias("var"))
+    systems = {0: (np.eye(2), np.zeros(2), np.zeros((2, 2))), 1: (np.array([[0.8, 0.6], [-0.6, 0.8]]), np.array([0.1, 0.0]), 0.01 * np.eye(2))}
+    start = mixture.Mixture([0.5, 0.5], [[4.0, 4.0], [8.0, 8.0]], np.tile(16.0 * np.eye(2), (2, 1, 1)))
+    m, history, _ = latent.fit_latent(rows, start, systems, iterations=6)
+    return spark.createDataFrame([(k, float(m.weights[k]), m.means[k].tolist(), history[-1]) for k in range(2)], "k int, weight double, mean array<double>, objective double")

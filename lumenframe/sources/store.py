@@ -118,3 +118,20 @@ def plan_uses(df: DataFrame, *nodes: str) -> bool:
     """Whether the physical plan has one of these operators; a guard against accidental products and full sorts."""
     plan = df._jdf.queryExecution().executedPlan().toString()
     return any(n in plan for n in nodes)
+
+
+def read_filter_curve(spark: SparkSession, path: str) -> DataFrame:
+    """(wavelength, transmission) of a VOTable's rows, by the built-in XML reader; negative transmissions are 0."""
+    rows = spark.read.format("xml").option("rowTag", "TR").schema("TD array<double>").load(path)
+    return rows.select(F.get("TD", F.lit(0)).alias("wavelength"), F.greatest(F.get("TD", F.lit(1)), F.lit(0.0)).alias("transmission")).filter("wavelength is not null").orderBy("wavelength")
+
+
+def same_configuration(a: dict, b: dict, relocatable: dict[str, str]) -> bool:
+    """Equal but for the places of input files: ``relocatable`` gives the key that holds the content hash for each key that holds a path.
+
+    A path may differ where both sides carry the same hash.
+    """
+    if set(a) != set(b):
+        return False
+    moved = [k for k in a if a[k] != b[k]]
+    return all(k in relocatable and a.get(relocatable[k]) is not None and a.get(relocatable[k]) == b.get(relocatable[k]) for k in moved)
