@@ -90,3 +90,21 @@ def test_filter_curve_and_configurations(spark, tmp_path):
     assert store.same_configuration(a, {**a, "file": "/b/x"}, {"file": "file_hash"})
     assert not store.same_configuration(a, {**a, "file": "/b/x", "file_hash": "k"}, {"file": "file_hash"})
     assert not store.same_configuration(a, {**a, "seed": 2}, {"file": "file_hash"})
+
+
+@pytest.mark.parametrize("kappa", [10.0, np.inf])
+def test_extension_finds_the_regression_and_keeps_the_old_block(spark, kappa):
+    rng = np.random.default_rng(4)
+    base = Mixture([0.5, 0.5], [[-2.0, 0.0], [2.0, 1.0]], np.tile(np.diag([0.8, 0.5]), (2, 1, 1)))
+    x = base.sample(1500, seed=2)
+    new = x[:, 0] + 0.7 + 0.5 * x[:, 1] + 0.2 * rng.standard_normal(len(x))
+    rows = [(0, [float(a), float(b), float(c) if i % 5 else None], [1e-4] * 3) for i, (a, b, c) in enumerate(zip(*x.T, new))]
+    df = spark.createDataFrame(rows, "system int, y array<double>, var array<double>")
+    systems = {0: (np.eye(3), np.zeros(3), np.zeros((3, 3)))}
+    m, history = latent.fit_extension(df, base, systems, np.array([[0.0, 1.0]]), 0, 1, [[0, 1]], kappa=kappa, iterations=8)
+    assert (m.covs[:, :2, :2] == base.covs).all() and (m.means[:, :2] == base.means).all() and history[-1] > history[0]
+    assert np.allclose(m.means[:, 2], base.means[:, 0] + 0.7 + 0.5 * base.means[:, 1], atol=0.06)
+    assert np.allclose(m.covs[:, 2, 1] - m.covs[:, 0, 1], 0.25, atol=0.03)
+    assert np.allclose(m.covs[:, 2, 2], 0.8 + 0.25 * 0.5 + 0.04, atol=0.05)
+    with pytest.raises(ValueError):
+        latent.fit_extension(df, base, systems, np.array([[0.0, 1.0]]), 0, 1, [[0]])
