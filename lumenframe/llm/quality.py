@@ -36,6 +36,12 @@ ship(__name__)
 MARKS = b"*$&%#!|?.,;:-_/\\@()[]{}<>=+~^`\"'"
 
 
+def packed_size(text: bytes, step: int = 1 << 16) -> int:
+    """Bytes of the whole text under zlib, fed in pieces whose output is only counted."""
+    z, view = zlib.compressobj(1), memoryview(text)
+    return sum(len(z.compress(view[i : i + step])) for i in range(0, len(text), step)) + len(z.flush())
+
+
 def features(text: bytes) -> np.ndarray:
     """Features of a whole text, each within a small range."""
     n = len(text)
@@ -48,7 +54,7 @@ def features(text: bytes) -> np.ndarray:
     high = count[128:].sum()
     letters = max(1, upper + lower + high)
     distinct = len(set(words))
-    packed = len(zlib.compress(text[:65536], 1)) / max(1, min(n, 65536))
+    packed = packed_size(text) / size
     longest = sum(map(len, words)) / w
     ends = sum(1 for x in words if x[-1:] in b".,")
     odd = sum(1 for x in words if not x[-1:].isalpha() and x[-1:] not in b".,;:!?\"')" and x[-1] < 128)

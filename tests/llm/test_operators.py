@@ -215,6 +215,18 @@ def test_quality_learns_and_scores_odd_texts(spark):
     quality.score(d, quality.learn(d, labels.limit(0))).collect()
 
 
+def test_quality_packs_the_whole_text():
+    rng = random.Random(9)
+    head = prose(rng, 20_000).encode()[:70_000]
+    junk = bytes(rng.randrange(33, 127) for _ in range(70_000))
+    plain, mixed, repeated = (quality.features(head + tail)[7] for tail in (head, head[:35_000] + junk[:35_000], b"spam " * 100_000))
+    assert mixed > 1.1 * plain and repeated < 0.25 * plain
+    for n in (0, 1, 65_536, 65_537, 140_000):
+        t = (head + junk)[:n]
+        assert abs(quality.packed_size(t) - len(zlib.compress(t, 1))) <= 64
+    assert quality.features(head + b"spam " * 100_000)[-3] == 1.0 and quality.features(head)[-3] == 0.0
+
+
 def test_language_backs_off(spark):
     rng = random.Random(3)
     parts = {"aa": ["ba", "ko", "mi", "tu"], "bb": ["zen", "dor", "lix", "gra"], "cc": ["éla", "ûno", "çor", "èvi"]}
