@@ -2,18 +2,25 @@
 
 A text is cut into sentences (after ``.``, ``!``, ``?`` and white space, and at
 line ends); a sentence of more than ``max_words`` words counts as several of at
-most that many, so that one endless sentence cannot hide a repeated passage.
+most half as many, cut where the content says: after each word whose hash with
+the word before is the smallest of any ``max_words // 2`` in a row. A cut rests
+on the words around it only, so pieces fall alike in every copy of a passage,
+wherever it starts, and one endless sentence cannot hide a repeated passage.
 From every sentence starts one run: the shortest with at least ``min_units``
 sentences and ``min_words`` words. Runs are hashed (128 bits over their words)
 and joined globally; a run that occurs earlier, in document order and then
 position, is not the first, and the sentences that it covers go.
 
-Any passage of over ``3 * max_words`` words that starts at a sentence holds at
-least one whole run, wherever it stands.
+At the defaults, any passage of over ``3 * max_words`` words that starts at a
+sentence, or that has no sentence end within and stands inside sentences of more
+than ``max_words`` words, holds at least one whole run. One that starts within a
+sentence and has sentence ends may lose up to ``max_words`` words at either side:
+over ``5 * max_words`` suffice.
 
 Python parses the text (Arrow batches, one document at a time, so memory is
-bounded by the longest text); the global work is a map-side-combined minimum
-and one skew-splittable join of (hash, document, position) rows. Sentences are
+bounded by the longest text); the global work is a minimum and a join of (hash,
+document, position) rows over one exchange, so all rows of one hash meet in one
+task, in a stream. Sentences are
 addressed by offsets, so the text meets its own ranges in one join.
 
 Defined cases: null text stays null, an empty one empty; rows that share id and
@@ -25,6 +32,9 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+import zlib
+from array import array
+from collections import deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,24 +47,49 @@ P = "__lf_"
 WORD = re.compile(r"\S+")
 
 
+def _marked(words: list[str], width: int):
+    """Positions whose hash of the last two words is the smallest (the last of equal ones) of any ``width`` in a row."""
+    low, chosen, before = deque(), -1, 0
+    for i, w in enumerate(words):
+        now = zlib.crc32(w.encode("utf-8", "replace"))
+        h = (now * 0x9E3779B1 ^ before * 0x85EBCA6B) * 0xC2B2AE35 >> 7 & 0xFFFFFFFF
+        before = now
+        while low and low[-1][0] >= h:
+            low.pop()
+        low.append((h, i))
+        if low[0][1] <= i - width:
+            low.popleft()
+        if i >= width - 1 and low[0][1] != chosen:
+            chosen = low[0][1]
+            yield chosen
+
+
 def units(text: str, max_words: int = 16) -> list[tuple[int, int, int]]:
     """(start, end, words) of each sentence piece, in order; pieces without words are left out."""
-    out, words, start, end = [], 0, 0, 0
+    out, starts, ends = [], array("q"), array("q")
     gap_line = -1
+
+    def close():
+        at = 0
+        if len(starts) > max_words:
+            for i in _marked([text[a:b] for a, b in zip(starts, ends)], max(1, max_words // 2)):
+                out.append((starts[at], ends[i], i + 1 - at))
+                at = i + 1
+        if at < len(starts):
+            out.append((starts[at], ends[-1], len(starts) - at))
+        del starts[:], ends[:]
+
     for m in WORD.finditer(text):
-        if words and (words >= max_words or gap_line < m.start()):
-            out.append((start, end, words))
-            words = 0
-        if not words:
-            start = m.start()
+        if starts and gap_line < m.start():
+            close()
+        if not starts:
             gap_line = text.find("\n", m.start())
             gap_line = len(text) if gap_line < 0 else gap_line
-        words, end = words + 1, m.end()
-        if text[end - 1] in ".!?":
-            out.append((start, end, words))
-            words = 0
-    if words:
-        out.append((start, end, words))
+        starts.append(m.start()), ends.append(m.end())
+        if text[m.end() - 1] in ".!?":
+            close()
+    if starts:
+        close()
     return out
 
 
@@ -138,11 +173,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     base = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], order_key(F.col(f"`{id_col}`")).alias(P + "ord"), F.hash(F.col(f"`{text_col}`")).alias(P + "th"))
     text = f"c{kept.index(text_col)}"
     found = base.select(P + "ord", P + "th", text).mapInArrow(_emit(max_words, min_units, min_words), "ord long, th int, pos int, len int, k1 long, k2 long")
-    found = materialise(found, "sentence-runs")
-    here = F.struct("ord", "th", "pos")
+    # dealt out once: the aggregate and the join read the same exchange, so both must filter and read alike (no column is ever null)
+    found = materialise(found, "sentence-runs").filter("k1 is not null and k2 is not null and ord is not null and th is not null").repartition("k1", "k2")
+    here = F.struct("ord", "th", "pos", "len")
     first = found.groupBy("k1", "k2").agg(F.min(here).alias("first"), F.count("*").alias("c")).filter("c > 1").select("k1", "k2", "first")
     spans = (
-        found.join(first, ["k1", "k2"])
+        found.join(first.hint("merge"), ["k1", "k2"])
         .filter(here != F.col("first"))
         .groupBy(F.col("ord").alias(P + "ord"), F.col("th").alias(P + "th"))
         .agg(F.collect_set(F.struct("pos", "len")).alias(P + "spans"))

@@ -78,6 +78,28 @@ def test_substring_dedup_brute_force(spark, texts):
     assert got[0]["text"] is None and got[1]["text"] == ""
 
 
+def test_substring_dedup_finds_passages_within_sentences(spark):
+    rng = random.Random(17)
+    fresh = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    passages = [fresh(n) for n in (49, 56, 60, 100, 300)] + [["same"] * 60, ["la", "le", "lu"] * 20]
+    for n in (51, 55, 60):
+        passages.append(fresh(n))
+        passages[-1][n // 2] += "."
+    # over five times max_words, with sentence ends anywhere
+    passages.append([w + rng.choice(["", "", "", "", "", "", "", "."]) for w in fresh(81)])
+    texts = []
+    for k, p in enumerate(passages):
+        for at in (17 + k, 24 + 3 * k):
+            texts.append(" ".join(fresh(at) + p + fresh(30)))
+    got = {r["doc_id"]: r for r in substring_dedup.dedup_substrings(docs(spark, texts)).collect()}
+    for k, p in enumerate(passages):
+        second = got[2 * k + 1]
+        assert second["removed_words"] >= 12, (k, len(p))
+        gone = set(texts[2 * k + 1].split()) - set(second["text"].split())
+        assert gone <= set(p)
+    assert all(max(u[2] for u in substring_dedup.units(t)) <= 16 for t in texts)
+
+
 @pytest.mark.parametrize("cut", [1, 7])
 def test_jaccard_components_brute_force(spark, texts, cut):
     rng = random.Random(cut)
