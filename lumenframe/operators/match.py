@@ -74,38 +74,44 @@ def one_claim(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("rank", rank).filter("rank = 1").drop("rank")
 
 
-def mutual_matches(pairs: DataFrame, rounds: int = 50) -> DataFrame:
+def mutual_matches(pairs: DataFrame) -> DataFrame:
     """Greedy one-to-one matching by increasing distance.
 
     Pairs that are nearest for both their ends are exactly those a greedy pass would take next; they are
-    taken, their ends leave, and so on until no pair is left. Each round is a checkpoint.
+    taken, their ends leave, and so on until no pair is left. Each round is a checkpoint, and takes at least
+    the nearest pair of all that are left.
     """
     order = F.struct("sep", "l_id", "r_id")
-    left, taken = pairs.checkpoint(), None
-    for _ in range(rounds):
+    left, taken = pairs.filter("l_id is not null and r_id is not null and sep is not null").checkpoint(), None
+    while True:
         first = left.withColumn("bl", F.min(order).over(Window.partitionBy("l_id"))).withColumn("br", F.min(order).over(Window.partitionBy("r_id")))
         now = first.filter((F.col("bl") == order) & (F.col("br") == order)).select("l_id", "r_id", "sep").checkpoint()
         taken = now if taken is None else taken.unionByName(now)
         left = left.join(now.select("l_id"), "l_id", "left_anti").join(now.select("r_id"), "r_id", "left_anti").select("l_id", "r_id", "sep").checkpoint()
         if not left.take(1):
+            return taken
+
+
+def connected_objects(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, component): the smallest id reachable by pairs of nodes.
+
+    Large-star and small-star steps until every edge leads from a node to the root of its star; rounds grow
+    with the logarithm of the longest chain, and each is a checkpoint.
+    """
+    edges = pairs.filter("l_id <> r_id").select(F.greatest("l_id", "r_id").alias("u"), F.least("l_id", "r_id").alias("v")).distinct()
+    for end in ("u", "v"):
+        edges = edges.join(nodes.select(F.col("id").alias(end)), end, "left_semi")
+    edges = edges.select("u", "v").checkpoint()
+    while True:
+        roots = edges.join(edges.select(F.col("u").alias("v")), "v", "left_anti")
+        if not edges.groupBy("u").count().filter("count > 1").take(1) and roots.count() == edges.count():
             break
-    return taken
-
-
-def connected_objects(nodes: DataFrame, pairs: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, component): the smallest id reachable by pairs. Min-label hooking with pointer jumping."""
-    both = pairs.select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
-    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    labels = nodes.select("id", F.col("id").alias("c")).checkpoint()
-    for _ in range(rounds):
-        seen = both.join(labels.select(F.col("id").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m"))
-        hooked = labels.join(seen, F.col("id") == F.col("a"), "left").select("id", "c", F.least("c", "m").alias("n"))
-        jump = labels.select(F.col("id").alias("n"), F.col("c").alias("cc"))
-        new = hooked.join(jump, "n", "left").select("id", F.col("c").alias("old"), F.least("n", "cc").alias("c")).checkpoint()
-        if not new.filter("c <> old").take(1):
-            break
-        labels = new.select("id", "c")
-    return labels.select("id", F.col("c").alias("component"))
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        edges = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+    return nodes.select("id").join(edges, F.col("id") == F.col("u"), "left").select("id", F.coalesce("v", "id").alias("component"))
 
 
 def sky_blocks(df: DataFrame, parent: Column, order: Column, rows: int) -> DataFrame:

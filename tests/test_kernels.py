@@ -90,6 +90,21 @@ def test_components_of_a_chain(spark):
     assert all(got[i] == 0 for i in range(20)) and got[27] == 25 and got[29] == 29
 
 
+def test_greedy_matching_of_a_long_chain(spark):
+    # each pair waits for the one before the last: 52 rounds
+    rows = [((i + 1) // 2, i // 2, float(i)) for i in range(103)]
+    got = match.mutual_matches(spark.createDataFrame(rows, "l_id long, r_id long, sep double"))
+    assert sorted(r["sep"] for r in got.collect()) == [float(i) for i in range(0, 103, 2)]
+
+
+def test_components_cross_a_long_basin(spark):
+    # 0 is next to the far rim of a basin whose own smallest id is 1
+    ids = [0, *range(99, 0, -1)]
+    pairs = spark.createDataFrame(list(zip(ids, ids[1:])) + [(200, 201), (201, 500), (7, 7)], "l_id long, r_id long")
+    got = {r["id"]: r["component"] for r in match.connected_objects(spark.range(202), pairs).collect()}
+    assert got == {i: 0 if i < 100 else 200 if i == 201 else i for i in range(202)}
+
+
 def test_auc_with_ties(spark):
     rows = [(float(i % 5), int(i % 3 == 0)) for i in range(60)]
     got = metrics.auc(spark.createDataFrame(rows, "score double, label int")).first()["auc"]
