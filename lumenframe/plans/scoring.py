@@ -216,12 +216,15 @@ def grouped_fits(spark, sf):
 
 @query("M16, M17, X08, X09")
 def outlier_tail(spark, sf):
-    """Student-t outlier density's companion: each object's distance and its tail probability among calibration rows."""
+    """Student-t outlier density's companion: each object's distance and its tail probability among all objects."""
+    from .skyjoin import _checkpoints
+
     m = mixture.Mixture([1.0], [[5.0, 5.0]], [[[9.0, 1.0], [1.0, 9.0]]])
     w = wide(spark, sf).filter("f1 is not null and f2 is not null").select("id", F.array("f1", "f2").alias("x"), F.array("v1", "v2").alias("var"))
-    d = mixture.mixture_columns(w, {"sigma": m}, "nearest")
-    calibration = d.filter("id % 50 = 0").select("sigma").orderBy("sigma")
-    return d.select("id", q(F.col("sigma")).alias("sigma"), q(score.tail_p_value(F.col("sigma"), calibration, 256)).alias("p"))
+    _checkpoints(spark)
+    # written once: ranks are joined back on the distance, which must be the same double
+    d = mixture.mixture_columns(w, {"sigma": m}, "nearest").select("id", "sigma").checkpoint()
+    return score.tail_p_value(d, "sigma", d).select("id", q(F.col("sigma")).alias("sigma"), q(F.col("p")).alias("p"))
 
 
 @query("F18, S18", "SELECT CAST(floor(epoch(ts)/3600) AS BIGINT) AS hour, event_type, count(*) AS n, " + Q("avg(value)") + " AS mean FROM events GROUP BY ALL")

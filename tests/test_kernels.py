@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenframe.functions import sky
-from lumenframe.operators import estimate, match, metrics, mixture
+from lumenframe.operators import estimate, match, metrics, mixture, score
 from lumenframe.sources import store
 from lumenframe.streaming import score as streaming
 
@@ -105,6 +105,25 @@ def test_components_cross_a_long_basin(spark):
     assert got == {i: 0 if i < 100 else 200 if i == 201 else i for i in range(202)}
 
 
+def test_tail_p_value_counts_all_calibration_rows(spark):
+    rng = np.random.default_rng(4)
+    drawn = np.round(rng.exponential(size=3000), 2)
+    asked = [*np.round(rng.exponential(size=200), 2).tolist(), -1.0, 99.0, None, float("nan")]
+    cal = spark.createDataFrame([(float(x),) for x in drawn], "d double")
+    got = {r["id"]: r["p"] for r in score.tail_p_value(spark.createDataFrame(list(enumerate(asked)), "id long, d double"), "d", cal).collect()}
+    assert got == {i: None if x is None or x != x else pytest.approx((1 + (drawn >= x).sum()) / 3001) for i, x in enumerate(asked)}
+
+
+def test_outlier_tail_ranks_all_objects(spark):
+    from lumenframe import catalogue
+
+    rows = catalogue.queries()["outlier_tail"](spark, "/root/testdata/sf0.001").collect()
+    s = np.array([r["sigma"] for r in rows])
+    # distances are quantised on the way out, so neighbours may tie
+    for r in rows:
+        assert (1 + (s > r["sigma"]).sum()) / (len(s) + 1) - 1e-6 <= r["p"] <= (1 + (s >= r["sigma"]).sum()) / (len(s) + 1) + 1e-6
+
+
 def test_auc_with_ties(spark):
     rows = [(float(i % 5), int(i % 3 == 0)) for i in range(60)]
     got = metrics.auc(spark.createDataFrame(rows, "score double, label int")).first()["auc"]
