@@ -186,7 +186,7 @@ def _em_sql(iterations: int) -> str:
     return ", ".join(steps) + f" SELECT grp, g, {Q('w')} AS w FROM w{iterations}"
 
 
-@query("A21, E09, E10, E08", _em_sql(3))
+@query("A21, E09", _em_sql(3))
 def weight_em(spark, sf):
     lp = class_log_probs(spark, sf).join(table(spark, sf, "embeddings").select("vec_id", (F.col("label") % 3).alias("grp")), "vec_id")
     w = estimate.component_weights(lp.select("grp", F.col("vec_id").alias("row"), F.col("g").alias("k"), "lp"), ["grp"], 3)
@@ -214,7 +214,7 @@ def grouped_fits(spark, sf):
     return estimate.fit_groups(w, ["cell"], 2, 50, 2)
 
 
-@query("M16, M17, X08, X09")
+@query("X08, X09")
 def outlier_tail(spark, sf):
     """Student-t outlier density's companion: each object's distance and its tail probability among all objects."""
     from .skyjoin import _checkpoints

@@ -130,7 +130,7 @@ def id_then_position(spark, sf):
     return x.select("id", F.coalesce("by_id", "r_id").alias("c_id"), F.when(F.col("by_id").isNotNull(), "id").when(F.col("r_id").isNotNull(), "position").otherwise("none").alias("how"))
 
 
-@query("J24, X18, J25, W04, A14", f"WITH RECURSIVE {SKY_C}, {pairs_sql('c', 'c', 1.5)}, t(a, b) AS (SELECT id, id FROM c UNION SELECT t.a, p.r_id FROM t JOIN p ON t.b = p.l_id) SELECT a AS id, min(b) AS component FROM t GROUP BY a")
+@query("J24, J25", f"WITH RECURSIVE {SKY_C}, {pairs_sql('c', 'c', 1.5)}, t(a, b) AS (SELECT id, id FROM c UNION SELECT t.a, p.r_id FROM t JOIN p ON t.b = p.l_id) SELECT a AS id, min(b) AS component FROM t GROUP BY a")
 def connected_objects(spark, sf):
     c = sky_c(spark, sf)
     _checkpoints(spark)
