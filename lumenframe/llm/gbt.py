@@ -40,6 +40,10 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 50, depth: int = 4, rate: fl
     margin = np.full(n, base)
     inner, leaves = (1 << depth) - 1, 1 << depth
     features, limits, values = [], [], []
+    # features of one edge (yes or no) are summed for all at once, by a product
+    two = np.array([j for j in range(d) if len(edges[j]) == 1], int)
+    more = [j for j in range(d) if len(edges[j]) > 1]
+    below = (code[:, two] == 0).astype(float).T
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-margin))
         g, h = p - y, p * (1 - p) + 1e-9
@@ -51,13 +55,26 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 50, depth: int = 4, rate: fl
             best = np.full(k, 1e-9)
             pick = [(0, bins)] * k
             total_g, total_h = np.bincount(node, g, k), np.bincount(node, h, k)
-            for j in range(d):
+
+            def gains(left_g, left_h, total_g=total_g, total_h=total_h):
+                right_g, right_h = total_g - left_g, total_h - left_h
+                gain = left_g**2 / (left_h + l2) + right_g**2 / (right_h + l2) - total_g**2 / (total_h + l2)
+                gain[(left_h < 1e-3) | (right_h < 1e-3)] = 0
+                return gain
+
+            if len(two):
+                member = np.zeros((n, 2 * k))
+                member[np.arange(n), node], member[np.arange(n), k + node] = g, h
+                sums = below @ member
+                gain = gains(sums[:, :k], sums[:, k:])
+                c = gain.argmax(0)
+                for i in np.flatnonzero(gain[c, np.arange(k)] > best):
+                    best[i], pick[i] = gain[c[i], i], (int(two[c[i]]), 0)
+            for j in more:
                 flat = node * bins + code[:, j]
                 left_g = np.bincount(flat, g, k * bins).reshape(k, bins).cumsum(1)[:, :-1]
                 left_h = np.bincount(flat, h, k * bins).reshape(k, bins).cumsum(1)[:, :-1]
-                right_g, right_h = total_g[:, None] - left_g, total_h[:, None] - left_h
-                gain = left_g**2 / (left_h + l2) + right_g**2 / (right_h + l2) - (total_g**2 / (total_h + l2))[:, None]
-                gain[(left_h < 1e-3) | (right_h < 1e-3)] = 0
+                gain = gains(left_g, left_h, total_g[:, None], total_h[:, None])
                 c = gain.argmax(1)
                 for i in np.flatnonzero(gain[np.arange(k), c] > best):
                     best[i] = gain[i, c[i]]

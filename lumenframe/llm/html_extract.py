@@ -22,13 +22,16 @@ space, blocks are joined in page order by one space. Scripts, styles, comments
 and the head never count as text.
 
 Defined cases: null and empty html give an empty text; unclosed and misnested
-tags close as their parents do; text outside any element belongs to the body;
-repeated rows are treated one by one; extra columns are ignored.
+tags close as their parents do; a quote within an unquoted attribute value is
+part of it; text outside any element belongs to the body; pages of any length
+and depth are read whole, in time linear in their length; repeated rows are
+treated one by one; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import cache
 from html import unescape
 
@@ -52,11 +55,13 @@ CLOSES_P = set("address article aside blockquote center details dialog dir div d
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "thead": {"tr", "td", "th"}, "tfoot": {"tr", "td", "th", "tbody"}}
 FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "thead": {"table"}, "tfoot": {"table"}}
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: A quote opens a value only after ``=``; one that is never closed is an ordinary character.
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|=|[^>=]++)*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 TAGS = "article main section div p h1 h2 h3 ul li table td blockquote pre nav header footer aside form figure dl".split()
+TAG_PLACE = {t: i for i, t in enumerate(TAGS)}
 GROUPS = {
     "main": "article content post entry main body story text prose page blog markdown maincontent articlebody",
     "menu": "nav menu navbar navigation breadcrumb breadcrumbs toc tabs pagination pager skip links",
@@ -93,26 +98,33 @@ def _groups(attributes: str) -> tuple[int, ...]:
 
 
 def parse(html: str) -> Node:
-    """The tree of block elements; a node's texts are raw, still with character references."""
+    """The tree of block elements; a node's texts are raw, still with character references. One pass, linear in the page."""
     root = Node("body", None)
     stack = [root]  # open block elements
-    inline: list[str] = []
+    opened: dict[str, int] = {}  # how many of each tag are in the stack
+    inline: dict[str, int] = {}  # open inline elements of the block
     at = 0
     lower = None
 
     def text(raw: str) -> None:
         if raw:
             node = stack[-1]
-            if "a" in inline and not raw.isspace():
+            if inline.get("a") and not raw.isspace():
                 node.links += len(raw.strip())
             node.items.append(raw)
 
+    def cut(i: int) -> None:
+        for x in stack[i:]:
+            opened[x.tag] -= 1
+        del stack[i:]
+        inline.clear()
+
     def shut(tags, fence) -> None:
+        if not any(opened.get(t) for t in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
-                del stack[i:]
-                inline.clear()
-                return
+                return cut(i)
             if stack[i].tag in fence:
                 return
 
@@ -131,16 +143,10 @@ def parse(html: str) -> Node:
         tag = m[2].lower()
         if m[1]:
             if tag in INLINE:
-                if tag in inline:
-                    inline.remove(tag)
-            elif tag == "p" and not any(x.tag == "p" for x in stack):
-                continue
-            elif tag not in ("body", "html"):
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        inline.clear()
-                        break
+                if inline.get(tag):
+                    inline[tag] -= 1
+            elif opened.get(tag):
+                cut(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             continue
         if tag in RAW and not m[3].endswith("/"):
             lower = html.lower() if lower is None else lower
@@ -159,7 +165,7 @@ def parse(html: str) -> Node:
             if tag in VOID:
                 text(" ")
             elif not m[3].endswith("/"):
-                inline.append(tag)
+                inline[tag] = inline.get(tag, 0) + 1
             continue
         if tag in CLOSES_P:
             shut({"p"}, {"article", "section", "div", "td", "th", "li", "blockquote", "main", "aside", "table"})
@@ -169,6 +175,7 @@ def parse(html: str) -> Node:
         stack[-1].items.append(node)
         if tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
+            opened[tag] = opened.get(tag, 0) + 1
     return root
 
 
@@ -204,7 +211,7 @@ class Page:
         before = np.cumsum(own[:, 0]) - own[:, 0]
         total = max(1.0, below[0, 0])
         depth = np.zeros(n)
-        tag = np.array([TAGS.index(x.tag) if x.tag in TAGS else len(TAGS) for x in nodes])
+        tag = np.array([TAG_PLACE.get(x.tag, len(TAGS)) for x in nodes])
         above_tag = np.zeros((n, len(TAGS) + 1), bool)
         group = np.zeros((n, N_GROUPS), bool)
         above_group = np.zeros((n, N_GROUPS), bool)
@@ -220,9 +227,10 @@ class Page:
                 children.setdefault(p, []).append(i)
         place, count, alike = np.zeros(n), np.ones(n), np.ones(n)
         for own_children in children.values():
-            tags = [nodes[c].tag for c in own_children]
+            each = Counter(nodes[c].tag for c in own_children)
+            size = len(own_children)
             for j, c in enumerate(own_children):
-                place[c], count[c], alike[c] = j / len(tags), len(tags), tags.count(tags[j]) / len(tags)
+                place[c], count[c], alike[c] = j / size, size, each[nodes[c].tag] / size
         one = np.zeros((n, len(TAGS) + 1), bool)
         one[np.arange(n), tag] = True
         chars = np.maximum(1.0, below[:, 0])
