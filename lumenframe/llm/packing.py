@@ -5,11 +5,13 @@ are cut off first and fill a sequence each; what is left of a document is one
 tail shorter than the window. Tails are packed in groups of about
 ``group_tokens`` tokens:
 
-1. enumerate shallow combinations of tail lengths that fill the window exactly
-   (pairs and triples over the lengths present);
+1. enumerate the shallow combinations of tail lengths that fill the window
+   exactly: all pairs and triples of lengths present;
 2. solve ``min |A x - h|`` for repeat counts ``x >= 0`` against the group's
-   length histogram ``h`` by projected gradient steps with momentum;
-3. round down, and lower counts again wherever a length would run out;
+   length histogram ``h`` by projected gradient steps with momentum; beyond 2,000
+   combinations, over a set of them that grows by those of positive multiplier
+   and sheds those without a count (column generation);
+3. round to the nearest whole counts, and stop where a length runs out;
 4. pack the tails that are left greedily, longest first into the fullest open
    sequence that holds them; gaps that remain are filled by cutting the
    shortest tails, so only a group's last sequence is not full; that one is cut
@@ -24,7 +26,9 @@ without a special token's string go through that, which is faster and gives the
 same ids.
 
 Defined cases: null text is empty; an empty document is its end id alone;
-repeated rows are packed one by one; an empty table gives no rows.
+repeated rows are packed one by one; null ids are ids; a sequence belongs to one
+task, so ids of sequences repeat only with the partitioning; an empty table
+gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -74,24 +78,17 @@ class Encoder:
         return self.bytes_of(self.ranks.encode_ordinary(text))
 
 
-def combinations(lengths: np.ndarray, window: int, most: int = 4000) -> np.ndarray:
-    """Rows of three lengths (0: none) that fill the window, of lengths present: all pairs, then triples spread over the lengths."""
+def combinations(lengths: np.ndarray, window: int) -> np.ndarray:
+    """Rows of three lengths (0: none), not falling, that fill the window: every pair and triple of lengths present."""
+    lengths = np.unique(lengths)
     there = np.zeros(window + 1, bool)
     there[lengths] = True
-    a = lengths[lengths <= window // 2]
-    a = a[there[window - a]]
-    pairs = np.stack([np.zeros_like(a), a, window - a], 1)
-    triples = []
-    for x in lengths[lengths <= window // 3]:
+    rows = []
+    for x in [0, *lengths[lengths <= window // 3].tolist()]:
         y = lengths[(lengths >= x) & (2 * lengths <= window - x)]
         y = y[there[window - x - y]]
-        if len(y):
-            y = y[:: max(1, len(y) // 12)][:12]
-            triples.append(np.stack([np.full_like(y, x), y, window - x - y], 1))
-    rows = np.concatenate([pairs, *triples]) if triples else pairs
-    if len(rows) > most:
-        rows = np.concatenate([pairs[:most], rows[len(pairs) :][:: max(1, (len(rows) - len(pairs)) // max(1, most - len(pairs)))]])[:most]
-    return rows
+        rows.append(np.stack([np.full_like(y, x), y, window - x - y], 1))
+    return np.concatenate(rows)
 
 
 def nnls_counts(rows: np.ndarray, histogram: np.ndarray, steps: int = 300) -> np.ndarray:
@@ -125,11 +122,34 @@ def nnls_counts(rows: np.ndarray, histogram: np.ndarray, steps: int = 300) -> np
     return x
 
 
+def generated_counts(rows: np.ndarray, histogram: np.ndarray, width: int = 2000, rounds: int = 8) -> np.ndarray:
+    """``nnls_counts`` of all rows by column generation: the rows whose multiplier says that they would help come in, those without a count go."""
+    if len(rows) <= width:
+        return nnls_counts(rows, histogram)
+    h = histogram.astype(float)
+    h[0] = 0.0
+    active = np.unique(np.linspace(0, len(rows) - 1, width).astype(int))
+    for _ in range(rounds):
+        x = nnls_counts(rows[active], histogram, 120)
+        left = h - np.bincount(rows[active].ravel(), np.repeat(x, 3), len(h))
+        left[0] = 0.0
+        gain = left[rows].sum(1)
+        gain[active] = -np.inf
+        best = np.argpartition(-gain, width // 2)[: width // 2]
+        best = best[gain[best] > 0.5]
+        if not len(best):
+            break
+        active = np.concatenate([active[x > 1e-3], best])
+    out = np.zeros(len(rows))
+    out[active] = nnls_counts(rows[active], histogram)
+    return out
+
+
 def plan_tails(lengths: np.ndarray, window: int) -> tuple[list[list[int]], list[int]]:
     """Sequences (lists of tail numbers) by the solved counts, and the tails left over."""
     histogram = np.bincount(lengths, minlength=window + 1)
     rows = combinations(np.flatnonzero(histogram), window)
-    counts = np.floor(nnls_counts(rows, histogram) + 1e-6).astype(int)
+    counts = np.rint(generated_counts(rows, histogram)).astype(int)
     stock: dict[int, list[int]] = defaultdict(list)
     for i in range(len(lengths) - 1, -1, -1):
         stock[int(lengths[i])].append(i)
