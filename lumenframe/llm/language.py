@@ -8,14 +8,19 @@ and so on down to single letters. A text's score for a language is the sum over
 its words; the answer is the largest, its score a softmax of the sums per word,
 sharpened by the square root of the number of words.
 
-Training uses at most ``sample`` documents (those with the smallest hash of
-their id) and keeps at most ``max_words`` words and ``max_grams`` n-grams, the
-most frequent; all are parameters. Prediction reads every whole text; within an
-Arrow batch each distinct word is scored once.
+Training uses at most ``sample`` documents and of them at most ``max_chars``
+characters; languages take turns (each in the order of hashed ids), so that a
+rare one is learned too. Of the words and n-grams seen at least ``least`` times
+(n-grams of one and two letters always) the ``max_words`` and ``max_grams`` most
+frequent are kept. All are parameters. Prediction reads every whole text; within
+an Arrow batch each distinct word is scored once.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0;
 null languages are not learned; with nothing to learn from every answer is
-``und``; ties go to the language that sorts first; extra columns are ignored.
+``und``; documents that would exceed ``max_chars`` are passed over, and if all
+would, the shortest is learned whole; rows that share id, language and text are
+learned once; ties go to the language that sorts first; an empty table gives no
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod, ship
@@ -94,7 +99,7 @@ class Model:
         return lang, score
 
 
-def train(texts: list[str], langs: list[str], max_words: int = 60_000, max_grams: int = 120_000) -> Model:
+def train(texts: list[str], langs: list[str], max_words: int = 60_000, max_grams: int = 120_000, least: int = 3) -> Model:
     names = sorted(set(langs))
     per = {name: Counter() for name in names}
     for t, name in zip(texts, langs):
@@ -109,7 +114,7 @@ def train(texts: list[str], langs: list[str], max_words: int = 60_000, max_grams
         size = np.array([max(1, sum(counts[name].values())) for name in names], float)
         return np.log((sums + floor) / (size + floor * max(1, len(keys))))
 
-    known = [w for w, c in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:max_words] if c >= 3]
+    known = [w for w, c in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:max_words] if c >= least]
     grams = {name: Counter() for name in names}
     for name in names:
         for w, c in per[name].items():
@@ -120,25 +125,31 @@ def train(texts: list[str], langs: list[str], max_words: int = 60_000, max_grams
     every = Counter()
     for c in grams.values():
         every.update(c)
-    kept = [g for g, c in sorted(every.items(), key=lambda x: (-x[1], x[0]))[:max_grams] if c >= 3 or len(g) <= 2]
+    kept = [g for g, c in sorted(every.items(), key=lambda x: (-x[1], x[0]))[:max_grams] if c >= least or len(g) <= 2]
     return Model(names, {w: i for i, w in enumerate(known)}, logs(known, per, 0.5), {g: i for i, g in enumerate(kept)}, logs(kept, grams, 0.5))
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 3000, max_chars: int = 6_000_000, **kwargs) -> Model:
-    """Fit on documents whose crc32(id) mod 5 is not 0: at most ``sample`` documents, and of them at most ``max_chars`` characters."""
-    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
-    able = base.filter("lang is not null and text is not null").filter(crc_mod(F.col("id"), 5) != 0)
-    chosen = able.select("id", F.length("text").alias("n")).orderBy(F.xxhash64("id", F.lit(13)), "id").limit(sample).collect()
-    held, ids = 0, []
+    """Fit on documents whose crc32(id) mod 5 is not 0, by the bounds in the module's docstring."""
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text"))
+    able = base.filter("lang is not null and text is not null").filter(crc_mod(F.col("id"), 5) != 0).withColumn("th", F.xxhash64("text")).withColumn("key", F.xxhash64("id", F.lit(13)))
+    # at most ``sample`` rows of a language leave a task
+    turn = F.dense_rank().over(Window.partitionBy("lang").orderBy("key", F.col("id").asc_nulls_last(), "th"))
+    first = able.select("lang", "key", "id", "th", F.length("text").alias("n")).withColumn("turn", turn).filter(F.col("turn") <= sample).dropDuplicates(["lang", "turn"])
+    chosen = first.orderBy("turn", "lang").limit(sample).collect()
+    held, picked = 0, []
     for r in chosen:
-        if held and held + r["n"] > max_chars:
-            continue
-        held += r["n"]
-        ids.append((r["id"],))
-    if not ids:
+        if held + r["n"] <= max_chars:
+            held += r["n"]
+            picked.append((r["lang"], r["key"], r["th"]))
+    if chosen and not picked:
+        r = min(chosen, key=lambda r: r["n"])
+        picked = [(r["lang"], r["key"], r["th"])]
+    if not picked:
         return Model([], {}, np.zeros((0, 0)), {}, np.zeros((0, 0)))
-    picked = docs.sparkSession.createDataFrame(ids, "id long").distinct()
-    rows = able.join(F.broadcast(picked), "id").orderBy("id", "lang", "text").select("lang", "text").limit(2 * sample).toArrow()
+    # at most ``sample`` keys, and one text for each
+    keys = docs.sparkSession.createDataFrame(picked, "lang string, key long, th long")
+    rows = able.join(F.broadcast(keys), ["lang", "key", "th"]).groupBy("lang", "key", "th").agg(F.min("text").alias("text")).orderBy("key", "lang", "th").select("lang", "text").toArrow()
     return train(rows.column("text").to_pylist(), rows.column("lang").to_pylist(), **kwargs)
 
 

@@ -16,8 +16,11 @@ their id) and ``pairs`` preference pairs; both are parameters. Scoring reads
 every whole text once, in Arrow batches.
 
 Defined cases: null and empty texts have the features of an empty text and get
-its score; null labels are not used; several labels of an id are all used; with
-labels of one kind only, all scores are 1 or 0 alike; extra columns are ignored.
+its score; null labels and null ids are not used to fit, though every row is
+scored; several labels of an id, and several texts, are all used, within
+``sample``; with labels of one kind only, all scores are 1 or 0 alike, and
+without labels 1; ties are scored alike; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -118,12 +121,14 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         labels.select(F.col(id_col).alias("id"), F.col("quality").cast("int").alias("y"))
         .filter("id is not null and y in (0, 1)")
         .filter(crc_mod(F.col("id"), 4) != 2)
+        .distinct()
         .orderBy(F.xxhash64("id", F.lit(11)), "id", "y")
         .limit(sample)
     )
     # at most ``sample`` rows of 12 bytes
     got = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), "id").select("id", "y", "text")
-    rows = got.mapInArrow(_features, "id long, y int, x array<double>").toArrow()
+    # repeated ids bring more than one text each: still at most ``sample`` rows
+    rows = got.mapInArrow(_features, "id long, y int, x array<double>").orderBy(F.xxhash64("id", F.lit(11)), "id", "y", "x").limit(sample).toArrow()
     order = np.lexsort((rows.column("y").to_numpy(), rows.column("id").to_numpy()))
     x = np.array(rows.column("x").to_pylist()) if rows.num_rows else np.zeros((0, len(features(b""))))
     if not rows.num_rows:
