@@ -2,10 +2,13 @@
 
 A rolling hash of the last seven bytes ends a chunk wherever it is the block
 size's remainder; each chunk becomes one of 64 characters of its own hash. The
-block size is a power of two times three, the largest at which a text gives at
-least ``LEAST`` chunks; a fingerprint is the size and the chunks at that size, at
-twice and at four times it, parted by colons.
-Chunks past the limit join the last one, as in the known scheme.
+block size is a power of two times three: the largest of which ``LEAST`` go into
+the text's bytes, or a smaller one at which the text has at least half as many
+boundaries. A fingerprint is the size and the chunks at that size, at twice and at
+four times it, parted by colons. Chunks past ``MOST`` join the last one, as in the
+known scheme (which stops at 64); only periodic texts have so many.
+A text and an edit that leaves its length stand at one size, but where one of
+them is periodic and has no boundaries there; such pairs have likeness 0.
 
 Fingerprints are compared at the block sizes that both have (so up to a factor
 of four apart; the best counts), by edit distance in which a change costs a deletion and an insertion:
@@ -27,6 +30,7 @@ single row follows itself; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +43,7 @@ from .shingles import mix, powers
 ship(__name__)
 
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
-LEAST_BLOCK, MOST, LEAST = 3, 64, 32
+LEAST_BLOCK, MOST, LEAST = 3, 1024, 32
 _M = np.uint32(0x01000193)
 _TABLE = (mix(np.arange(1000, 1256, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
@@ -82,16 +86,15 @@ def fingerprint(text: str) -> str:
     at = np.flatnonzero(third == LEAST_BLOCK - 1)
     rank = h[at] // np.uint32(LEAST_BLOCK)
     # trailing ones of the quotient: how often the size doubles with the boundary kept
-    size, found = LEAST_BLOCK, [at]
-    while True:
+    levels = max(0, (n // (LEAST * LEAST_BLOCK)).bit_length() - 1)
+    found = [at]
+    for _ in range(levels + 2):
         more = (rank & np.uint32(1)) == 1
         at, rank = at[more], rank[more] >> np.uint32(1)
         found.append(at)
-        if len(at) < LEAST or size > 1 << 28:
-            break
-        size *= 2
-    found = [*found[-2:], at[(rank & np.uint32(1)) == 1]]
-    return ":".join([str(size), *(_chars(total, down, x + 1, n) for x in found)])
+    while levels and len(found[levels]) < LEAST // 2:
+        levels -= 1
+    return ":".join([str(LEAST_BLOCK << levels), *(_chars(total, down, x + 1, n) for x in found[levels : levels + 3])])
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -183,12 +186,13 @@ def _meet(batches):
         yield _batch([_row(*x) for x in zip(*(batch.column(i).to_pylist() for i in range(5)))], FIELDS)
 
 
-def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 128 << 20) -> DataFrame:
     """See the contract's columns in ``NAMES``."""
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     key = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / part_bytes))
     ordered = rows.repartitionByRange(parts, *key).sortWithinPartitions(*key)
     done = materialise(ordered.mapInArrow(_stream, SCHEMA + ", part int, kind int, text string"), "fingerprints")
     # one number for each partition that has rows
