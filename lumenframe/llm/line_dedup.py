@@ -6,9 +6,9 @@ occurrence: all its lines go. Covered positions are merged into ranges, and the
 text is rebuilt from what lies between them.
 
 All DataFrame functions: windows are exploded as (hash, document, position),
-never with their text; the first occurrence of a hash is a map-side-combined
-minimum; a window's text is neither shuffled nor collected. The text itself is
-shuffled once, to meet its own document's ranges.
+never with their text, and written; the rows of one hash meet in one task, but
+for hashes that many rows have, whose first occurrence is found before any
+shuffle. The text itself is shuffled once, to meet its own document's ranges.
 
 Defined cases: null text has no lines and stays null; an empty text is one
 empty line; documents of fewer than ``width`` lines are left alone; windows of
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import order_key
+from .common import later_occurrences, materialise, order_key
 
 P = "__lf_"
 
@@ -66,10 +66,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.xxhash64(F.col(f"`{text_col}`")).alias(P + "th"),
         _lines(F.col(f"`{text_col}`")).alias(P + "lines"),
     )
-    windows = _windows(base, width)
-    here = F.struct("ord", "th", "pos")
-    first = windows.groupBy("k1", "k2").agg(F.min(here).alias("first"), F.max(here).alias("last")).filter("first != last").select("k1", "k2", "first")
-    later = windows.join(first, ["k1", "k2"]).filter(here != F.col("first"))
+    windows = materialise(_windows(base, width), "line-windows")
+    later = later_occurrences(windows, ("k1", "k2"), ["ord", "th", "pos"])
     p = F.col("p")
     ranges = (
         later.groupBy("ord", "th")
