@@ -19,16 +19,22 @@ smaller's. So:
   both.
 * Only keys that several sets have reach the allocation. Keys that at most
   ``hot`` sets still have after it give all their pairs. Of larger groups, all
-  members are compared with one pivot;
-  where that does not join a group into one component, the members outside its
-  largest component are compared with all others. So a group of near copies
-  costs its size, and no link between components is lost.
+  members are compared with four pivots; where that does not join a group into
+  one component, the members outside its largest component are compared with
+  all others, in blocks that are dealt out by key and both blocks. So a group of
+  near copies costs its size, one with few outsiders their number times its size,
+  and no link between components is lost. A group whose members are all apart
+  (pages of one template that stay just under the threshold) costs the square of
+  its size in comparisons of sketches.
 * Candidates are pruned by parity sketches, whose distance never exceeds the
   sets' difference, and verified by the sets themselves.
 
 Equal sets are one class, represented by 88 bits of a commutative hash.
-Keys travel packed in byte blocks, one block for each bucket and task, so the
-shuffle has no row overhead; a bucket holds about ``bucket_bytes``.
+A task makes keys of a class once. Keys travel packed in byte blocks, one block
+for each bucket and task, so the shuffle has no row overhead; a bucket holds about
+``bucket_bytes``. Keys that more than a bucket's share of classes have, as a
+64th of the classes shows, are dealt out by class as well; their counts, at most
+256 of them, are added up afterwards.
 
 Defined cases: null and empty texts have no words, n_shingles 0 and a component
 of their own; null ids sort last, and component_id is null where all ids are
@@ -47,7 +53,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import LAST_ID, materialise, order_key, ship
+from .common import LAST_ID, hot_hashes, hot_keys, join_unique, materialise, order_key, ship
 from .components import components
 from .shingles import mix, shingle_sets, slices
 
@@ -127,33 +133,47 @@ def keys_of(h: np.ndarray, band: int, step: int) -> tuple[np.ndarray, int]:
     return keys, spare - empty
 
 
+def _all_keys(h: np.ndarray):
+    """(keys, flags) of a set in each of its bands, its own first."""
+    n = len(h)
+    for step, band in enumerate(range(band_of(n), band_of(-(-4 * n // 5)) - 1, -1)):
+        keys, spare = keys_of(h, band, step)
+        yield keys, min(spare, 16383) << 2 | min(step, 3)
+
+
 def _texts(batch) -> list[bytes]:
     return [(t or "").encode("utf-8", "replace") for t in batch.column(batch.num_columns - 1).to_pylist()]
 
 
 def _classes(k: int):
-    schema = pa.schema([("id", pa.int64()), ("ord", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("sketch", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("ord", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("sketch", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
-            texts, n, cls, sketch = _texts(batch), [], [], []
+            texts, n, cls, sketch, keys = _texts(batch), [], [], [], []
             for a, b in slices(texts):
                 for h in shingle_sets(texts[a:b], k):
                     n.append(len(h))
                     cls.append(class_of(h) if len(h) else None)
                     sketch.append(sketch_of(h) if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sketch, pa.binary())], schema=schema)
+                    # keys of a 64th of the classes, whatever their number: they show which are common
+                    keys.append(np.concatenate([x for x, _ in _all_keys(h)]).view(np.int64) if len(h) >= 4 and cls[-1][3] & 63 == 0 else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sketch, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
 
-def _keys(k: int, buckets: int, flush_rows: int = 1_500_000):
-    """Packed (key, class, flags) rows of each bucket. A row: 40 bits of key and 24 of the class; 64 of the class; 14 bits of what it may leave out and 2 of the step."""
+def _keys(k: int, buckets: int, hot: list[int], flush_rows: int = 1_500_000):
+    """Packed (key, class, flags) rows of each bucket. A row: 40 bits of key and 24 of the class; 64 of the class; 14 bits of what it may leave out and 2 of the step.
+
+    Buckets from ``buckets`` on hold the keys in ``hot``, by their place there, dealt out by class.
+    """
     schema = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("data", pa.binary())])
+    common = np.sort(np.array(hot, np.int64).view(_U))
 
     def run(batches):
         held: list[tuple] = []
-        count = 0
+        count, done = 0, set()
 
         def flush():
             key = np.concatenate([x[0] for x in held])
@@ -161,11 +181,16 @@ def _keys(k: int, buckets: int, flush_rows: int = 1_500_000):
             hi = np.repeat(np.array([x[1] for x in held], _U), reps)
             lo = np.repeat(np.array([x[2] for x in held], _U), reps)
             flag = np.repeat(np.array([x[3] for x in held], np.uint16), reps)
-            bucket = (key >> _U(40)) % _U(buckets)
+            bucket, k40 = (key >> _U(40)) % _U(buckets), key & _U((1 << 40) - 1)
+            if len(common):
+                at = np.minimum(np.searchsorted(common, key), len(common) - 1)
+                is_hot = common[at] == key
+                k40 = np.where(is_hot, at.astype(_U), k40)
+                bucket = np.where(is_hot, _U(buckets) + mix(lo ^ at.astype(_U)) % _U(buckets), bucket)
             order = np.argsort(bucket.astype(np.int32), kind="stable")
-            a = (((key & _U((1 << 40) - 1)) << _U(24)) | hi)[order]
+            a = ((k40 << _U(24)) | hi)[order]
             lo, flag = lo[order], flag[order]
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            cuts = np.searchsorted(bucket[order], np.arange(2 * buckets + 1))
             rows = [(i, int(t - s), a[s:t].tobytes() + lo[s:t].tobytes() + flag[s:t].tobytes()) for i, (s, t) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if t > s]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
@@ -174,16 +199,16 @@ def _keys(k: int, buckets: int, flush_rows: int = 1_500_000):
             texts = _texts(batch)
             for a, b in slices(texts):
                 for h in shingle_sets(texts[a:b], k):
-                    n = len(h)
-                    if n < 4:
+                    if len(h) < 4:
                         continue
                     c = class_of(h)
+                    if c in done:
+                        continue
+                    done.add(c)
                     lo, hi = int.from_bytes(c[:8], "big"), int.from_bytes(c[8:], "big")
-                    top = band_of(n)
-                    for step, band in enumerate(range(top, band_of(-(-4 * n // 5)) - 1, -1)):
-                        keys, spare = keys_of(h, band, step)
+                    for keys, flags in _all_keys(h):
                         if len(keys):
-                            held.append((keys, hi, lo, min(spare, 16383) << 2 | min(step, 3)))
+                            held.append((keys, hi, lo, flags))
                             count += len(keys)
                 if count >= flush_rows:
                     yield flush()
@@ -197,9 +222,12 @@ def _keys(k: int, buckets: int, flush_rows: int = 1_500_000):
 FOUND = "key long, cls binary, cnt long, step int, spare int"
 
 
-def _meet(key, table):
-    """Of a bucket: a row for each class of every key that several classes have."""
-    bucket = key[0].as_py()
+def _meet(buckets: int):
+    """Of a bucket: a row for each class of every key that several classes have, or of every hot key (``cnt`` is then of this bucket alone)."""
+    return lambda key, table: _meet_bucket(key[0].as_py(), buckets, table)
+
+
+def _meet_bucket(bucket: int, buckets: int, table):
     a, lo, flag = [], [], []
     for n, data in zip(table.column("n").to_pylist(), table.column("data").to_pylist()):
         a.append(np.frombuffer(data, _U, n))
@@ -210,7 +238,8 @@ def _meet(key, table):
     order = np.argsort(k, kind="stable")
     k = k[order]
     same = k[1:] == k[:-1]
-    order = order[np.r_[same, False] | np.r_[False, same]]
+    if bucket < buckets:
+        order = order[np.r_[same, False] | np.r_[False, same]]
     a, lo, flag = a[order], lo[order], flag[order]
     order = np.lexsort((lo, a))
     a, lo, flag = a[order], lo[order], flag[order]
@@ -220,12 +249,12 @@ def _meet(key, table):
     start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]][: len(k)])
     count = np.diff(np.r_[start, len(k)])
     size = np.repeat(count, count)
-    some = size > 1
+    some = (size > 1) | (bucket >= buckets)
     a, lo, flag, k, size = a[some], lo[some], flag[some], k[some], size[some]
     ids = np.empty((len(a), 11), np.uint8)
     ids[:, :8] = lo.astype(">u8").view(np.uint8).reshape(-1, 8)
     ids[:, 8:] = (a & _U(0xFFFFFF)).astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:]
-    whole = (_U(bucket) << _U(40)) | k
+    whole = (_U(min(bucket, buckets)) << _U(40)) | k
     return pa.table(
         {
             "key": pa.array(whole.astype(np.int64)),
@@ -302,12 +331,18 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     text = F.col(f"`{text_col}`")
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), order_key(F.col(f"`{id_col}`")).alias("ord"), F.xxhash64(text).alias("th"), text.alias("text"))
-    rows = materialise(base.mapInArrow(_classes(k), "id long, ord long, th long, n long, cls binary, sketch binary"), "classes")
+    rows = materialise(base.mapInArrow(_classes(k), "id long, ord long, th long, n long, cls binary, sketch binary, keys array<long>"), "classes")
     classes = rows.filter("cls is not null").groupBy("cls").agg(F.min(F.struct("ord", "th")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     words = rows.agg(F.sum("n")).first()[0] or 0
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(width, math.ceil(0.65 * words * 18 / bucket_bytes))
-    found = materialise(base.select("ord", "text").mapInArrow(_keys(k, buckets), "bucket int, n int, data binary").groupBy("bucket").applyInArrow(_meet, FOUND), "found")
+    hot_at = hot_keys(rows.filter("keys is not null").dropDuplicates(["cls"]).select(F.explode("keys").alias("key")), "key", buckets)
+    found = materialise(base.select("ord", "text").mapInArrow(_keys(k, buckets, hot_at), "bucket int, n int, data binary").groupBy("bucket").applyInArrow(_meet(buckets), FOUND), "found")
+    if hot_at:
+        # one row for each hot key, at most 256
+        is_hot = F.col("key") >= F.lit(buckets << 40)
+        total = found.filter(is_hot).groupBy("key").agg(F.count("*").alias("cnt")).filter("cnt > 1")
+        found = found.filter(~is_hot).unionByName(found.filter(is_hot).drop("cnt").join(F.broadcast(total), "key"))
 
     def near(pairs: DataFrame) -> DataFrame:
         facts = classes.select("cls", "n", "sketch")
@@ -328,7 +363,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dear = Window.partitionBy("cls", "step").orderBy(F.desc("cnt"), F.desc("key"))
     left = materialise(found.withColumn("rank", F.row_number().over(dear)).filter("rank > spare").select("key", "cls", "step"), "left")
     sizes = left.groupBy("key").agg(F.count("*").alias("c"), F.min("step").alias("s")).filter("c > 1 and s = 0")
-    groups = materialise(left.join(sizes, "key").select("key", "cls", "step", "c"), "groups")
+    hot_left = hot_hashes(left, "key")
+    groups = materialise(join_unique(left, sizes, "key", "inner", hot_left).select("key", "cls", "step", "c"), "groups")
     # at most ``hot`` members a key
     few = groups.filter(F.col("c") <= hot).groupBy("key").agg(F.collect_list(F.struct("step", "cls")).alias("g"))
     cold = ordered(few.select(F.explode("g").alias("x"), "g").select("x", F.explode("g").alias("y")).filter("x.cls < y.cls and (x.step = 0 or y.step = 0)").select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")), "a", "b")
@@ -336,23 +372,28 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # pivots: of each of four parts of a group, the member that is in most groups
     degree = groups.groupBy("cls").agg(F.count("*").alias("d"))
     part = F.pmod(F.xxhash64("cls"), F.lit(4))
-    pivots = groups.join(degree, "cls").groupBy("key", part.alias("part")).agg(F.max(F.struct("d", "cls")).alias("p")).select("key", F.col("p.cls").alias("pivot"))
-    star = ordered(groups.join(pivots, "key"), "cls", "pivot")
+    pivots = groups.join(degree, "cls").groupBy("key", part.alias("part")).agg(F.max(F.struct("d", "cls")).alias("p")).groupBy("key").agg(F.collect_list("p.cls").alias("pivots"))
+    star = ordered(join_unique(groups, pivots, "key", "inner", hot_left).withColumn("pivot", F.explode("pivots")), "cls", "pivot")
     links = verified(near(cold.unionByName(star).distinct()))
     if not groups.take(1):
         return rows, links
-    # groups that are still several components: all members meet in blocks, by their sketches
+    # of groups that are still several components, members outside the largest meet all others, in blocks, by their sketches
     roots = components(links)
-    member = materialise(groups.join(roots, groups["cls"] == roots["node"], "left").select("key", "c", "cls", "step", F.coalesce("root", "cls").alias("root")), "members")
-    apart = member.groupBy("key").agg((F.min("root") != F.max("root")).alias("apart")).filter("apart").select("key")
+    member = materialise(join_unique(groups, roots.toDF("cls", "root"), "cls", "left").select("key", "cls", "step", F.coalesce("root", "cls").alias("root")), "members")
+    largest = member.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("big"), F.sum("m").alias("c"), F.count("*").alias("parts")).filter("parts > 1")
+    apart = join_unique(member, largest.select("key", "c", F.col("big.root").alias("big"), (F.col("c") - F.col("big.m")).alias("out")), "key", "inner", hot_left)
+    side = (F.col("root") == F.col("big")).cast("int")
+    held = F.when(side == 1, F.col("c") - F.col("out")).otherwise(F.col("out"))
     packed = (
-        member.join(apart, "key")
-        .join(classes.select("cls", "n", "sketch"), "cls")
-        .groupBy("key", F.pmod(F.xxhash64("cls"), F.ceil(F.col("c") / BLOCK)).alias("block"))
+        apart.join(classes.select("cls", "n", "sketch"), "cls")
+        .groupBy("key", side.alias("side"), F.pmod(F.xxhash64("cls"), F.ceil(held / BLOCK)).alias("block"))
         .agg(F.collect_list(F.struct("cls", "root", "step", "n", "sketch")).alias("g"))
     )
     packed = materialise(packed, "blocks")
-    met = packed.toDF("key", "x", "gx").join(packed.toDF("key", "y", "gy"), "key").filter("x <= y").select("gx", "gy")
+    names = packed.select("key", "side", "block")
+    pairs = names.filter("side = 0").toDF("key", "s", "x").join(names.toDF("key", "t", "y"), "key").filter("t = 1 or x <= y")
+    # blocks join by key and block, so no key's pairs lie in one task
+    met = pairs.join(packed.toDF("key", "s", "x", "gx"), ["key", "s", "x"]).join(packed.toDF("key", "t", "y", "gy"), ["key", "t", "y"]).select("gx", "gy")
     more = materialise(met.mapInArrow(_meet_blocks, "a binary, b binary").distinct(), "rest")
     if more.take(1):
         links = links.unionByName(verified(more))
@@ -362,9 +403,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
     """(id, n_shingles, component_id) of every row: the smallest id that links reach from it."""
     rows, links = jaccard_classes(docs, id_col, text_col, **kwargs)
-    roots = components(links)
-    own = rows.join(roots.toDF("cls", "root"), "cls", "left").select("id", "ord", "n", "cls", F.coalesce("root", "cls").alias("root"))
-    least = own.filter("root is not null").groupBy("root").agg(F.min("ord").alias("least"))
-    out = own.join(least, "root", "left")
-    lowest = F.coalesce("least", "ord")
+    roots = materialise(components(links).toDF("cls", "root"), "roots")
+    size = rows.filter("cls is not null").groupBy("cls").agg(F.min("ord").alias("own"), F.count("*").alias("copies"))
+    linked = materialise(size.join(roots, "cls", "left").filter("copies > 1 or root is not null").select("cls", "root", "own"), "linked")
+    least = linked.filter("root is not null").groupBy("root").agg(F.min("own").alias("least"))
+    known = join_unique(linked, least, "root", "left").select("cls", F.coalesce("least", "own").alias("lowest"))
+    out = join_unique(rows.select("id", "ord", "n", "cls"), materialise(known, "lowest"), "cls", "left")
+    lowest = F.coalesce("lowest", "ord")
     return out.select("id", F.col("n").alias("n_shingles"), F.when(lowest == LAST_ID, F.col("id")).otherwise(lowest).alias("component_id"))
