@@ -12,14 +12,21 @@ carries the mass on. Documents meet in order of size, so that mass moves
 between documents of like size and a source's words stay near their target.
 
 The tree: documents are cut into chunks of one source and size band, salted by
-id so that no chunk holds more than about ``chunk`` documents however large its
-source is. A chunk leaves at most one fractional document; these residuals meet
-in the next level, ``chunk`` to a group, until one is left for each source,
-which is rounded at random. Uniform numbers are hashes of ids, so reruns agree.
+id and text so that no chunk holds more than about ``chunk`` documents however
+large its source is; rows are dealt out by all three. Rows that share id and
+text, if they are more than a chunk, are salted by their running number too.
+A chunk leaves at most one fractional document; these residuals meet in the
+next level, ``chunk`` to a group, until one is left for each source, which is
+rounded at random. Uniform numbers are hashes of ids and texts, so reruns agree.
+
+Targets need one row for each source in one task (two windows over sources, not
+over documents).
 
 Defined cases: null text has size 0; documents of size 0 take 0 words; rows
 that share an id and a text get the same random number but are rounded one by
-one; a source without words has target 0; an empty table gives no rows.
+one; null is a source of its own, and null ids are ids; a source without words
+has target 0; an empty table gives no rows. ``repeat_rows`` keeps rows without
+words once.
 """
 
 from __future__ import annotations
@@ -93,7 +100,7 @@ def pivot(p: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def _round(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["size", "ord", "rid"], kind="stable").reset_index(drop=True)
+    pdf = pdf.sort_values(["size", "ord", "th", "rid"], kind="stable").reset_index(drop=True)
     p = pdf["p"].to_numpy(np.float64).copy()
     take, at = pivot(p, pdf["u"].to_numpy(np.float64))
     pdf["take"] = take
@@ -101,55 +108,90 @@ def _round(pdf: pd.DataFrame) -> pd.DataFrame:
     if at >= 0:
         pdf.loc[at, "left"] = True
         pdf.loc[at, "p"] = p[at]
-    return pdf[["sid", "ord", "rid", "size", "u", "p", "take", "left"]]
+    return pdf[["sid", "ord", "th", "rid", "size", "p", "take", "left"]]
+
+
+ROUNDED = "sid long, ord long, th long, rid long, size long, p double, take long, left boolean"
 
 
-ROUNDED = "sid long, ord long, rid long, size long, u double, p double, take long, left boolean"
+def _uniform(seed: int):
+    """A number in [0, 1) for each (ord, th)."""
+    return F.pmod(F.xxhash64(F.lit(seed), "ord", "th"), F.lit(1 << 52)) / float(1 << 52)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: float = 3.0, chunk: int = 4096, seed: int = 5) -> DataFrame:
-    """(id, size, source_size, target, taken, copies, rid), one row for each row of ``docs``."""
+def _rated(sized: DataFrame, max_repeats: float) -> DataFrame:
+    """``sized`` with source_size, target, sid and the copies that each document should have (whole and p)."""
+    sources = materialise(source_targets(sized, max_repeats).withColumn("sid", F.xxhash64(F.col("source").isNull(), "source")), "mix-sources")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    both = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
+    return both.withColumn("rate", rate).withColumn("whole", F.floor("rate")).withColumn("p", F.col("rate") - F.floor("rate"))
+
+
+def _extra(rated: DataFrame, chunk: int, seed: int) -> DataFrame:
+    """(rid) of the documents whose fraction is rounded up."""
+    live = rated.filter("size > 0 and p > 0").select("sid", "ord", "th", "rid", "size", "p", F.floor(F.log2(F.col("size")) * 4).alias("band"))
+    full = live.groupBy("sid", "band").agg(F.count("*").alias("in_band"))
+    same = live.groupBy("ord", "th").agg(F.count("*").alias("same")).filter(F.col("same") > chunk)
+    chunks = live.join(full, ["sid", "band"])
+    if same.take(1):  # repeated rows: a running number parts them
+        again = chunks.join(same, ["ord", "th"])
+        number = F.row_number().over(Window.partitionBy("ord", "th").orderBy("rid"))
+        chunks = chunks.join(same, ["ord", "th"], "left_anti").withColumn("part", F.lit(0)).unionByName(again.drop("same").withColumn("part", number))
+    else:
+        chunks = chunks.withColumn("part", F.lit(0))
+    chunks = chunks.withColumn("salt", F.pmod(F.xxhash64("ord", "th", "part"), F.ceil(F.col("in_band") / chunk))).withColumn("u", _uniform(seed))
+    # without this exchange the groups would reuse that of the join, by source and band alone
+    dealt = chunks.select("sid", "ord", "th", "rid", "size", "u", "p", "band", "salt").repartition("sid", "band", "salt")
+    done = [materialise(dealt.groupBy("sid", "band", "salt").applyInPandas(_round, ROUNDED), "mix-0")]
+    residual, before = done[0].filter("left"), None
+    while True:
+        per = residual.groupBy("sid").count().agg(F.max("count")).first()[0] or 0
+        if per <= 1:
+            break
+        if before is not None and per >= before:
+            raise RuntimeError(f"a level of the tree left {per} residuals of {before}")
+        before = per
+        # ``parts`` ranges of about 16 groups each are numbered apart
+        parts = F.pmod(F.xxhash64("ord", "th", F.lit(len(done))), F.lit(max(1, math.ceil(per / (16 * chunk)))))
+        rank = F.row_number().over(Window.partitionBy("sid", "part").orderBy("size", "ord", "th", "rid")) - 1
+        groups = residual.withColumn("u", _uniform(seed + len(done))).withColumn("part", parts).withColumn("g", F.floor(rank / chunk))
+        done.append(materialise(groups.repartition("sid", "part", "g").groupBy("sid", "part", "g").applyInPandas(_round, ROUNDED), f"mix-{len(done)}"))
+        residual = done[-1].filter("left")
+    won = residual.filter(_uniform(seed + 99) < F.col("p")).select("rid")
+    for d in done:
+        won = won.unionByName(d.filter("not left and take > 0").select("rid"))
+    return won
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list:
     text = F.col(f"`{text_col}`")
-    sized = docs.select(
+    return [
         F.col(f"`{id_col}`").alias("id"),
         order_key(F.col(f"`{id_col}`")).alias("ord"),
         F.col(f"`{source_col}`").cast("string").alias("source"),
         F.when(text.isNull(), 0).otherwise(F.regexp_count(text, F.lit(WORD_REGEX))).cast("long").alias("size"),
         F.xxhash64(text).alias("th"),
         F.monotonically_increasing_id().alias("rid"),
-    )
-    sized = materialise(sized, "mix-sizes")
-    sources = materialise(source_targets(sized, max_repeats).withColumn("sid", F.xxhash64(F.col("source").isNull(), "source")), "mix-sources")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rated = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).select(
-        "id", "ord", "th", "rid", "size", "source_size", "target", "n", "sid", rate.alias("rate"), (F.pmod(F.xxhash64(F.lit(seed), "ord", "th"), F.lit(1 << 52)) / float(1 << 52)).alias("u")
-    )
-    rated = rated.withColumn("whole", F.floor("rate")).withColumn("p", F.col("rate") - F.floor("rate"))
-    live = rated.filter("size > 0 and p > 0")
-    # A chunk holds one source and size band; the salt splits bands that are too full.
-    band = F.floor(F.log2(F.col("size")) * 4)
-    full = live.groupBy("sid", band.alias("band")).count().withColumnRenamed("count", "in_band")
-    chunks = live.withColumn("band", band).join(full, ["sid", "band"]).withColumn("salt", F.pmod(F.xxhash64("ord", "th"), F.ceil(F.col("in_band") / chunk)))
-    done = [chunks.select("sid", "ord", "rid", "size", "u", "p", "band", "salt").groupBy("sid", "band", "salt").applyInPandas(_round, ROUNDED)]
-    done[0] = materialise(done[0], "mix-0")
-    residual = done[0].filter("left")
-    level = 0
-    while True:
-        per = residual.groupBy("sid").count().agg(F.max("count")).first()[0] or 0
-        if per <= 1 or level > 20:
-            break
-        level += 1
-        rank = F.row_number().over(Window.partitionBy("sid", F.pmod("ord", F.lit(max(1, math.ceil(per / (16 * chunk)))))).orderBy("size", "ord", "rid")) - 1
-        groups = residual.withColumn("u", F.pmod(F.xxhash64(F.lit(seed + level), "ord"), F.lit(1 << 52)) / float(1 << 52)).withColumn("half", F.pmod("ord", F.lit(max(1, math.ceil(per / (16 * chunk)))))).withColumn("g", F.floor(rank / chunk))
-        out = materialise(groups.groupBy("sid", "half", "g").applyInPandas(_round, ROUNDED), f"mix-{level}")
-        done.append(out)
-        residual = out.filter("left")
-    last = residual.select("sid", "rid", F.when(F.pmod(F.xxhash64(F.lit(seed + 99), "ord"), F.lit(1 << 52)) / float(1 << 52) < F.col("p"), 1).otherwise(0).alias("take"))
-    one = done[0].filter("not left").select("rid", "take")
-    for d in done[1:]:
-        one = one.unionByName(d.filter("not left").select("rid", "take"))
-    one = one.unionByName(last.select("rid", F.col("take").cast("long")))
-    won = one.filter("take > 0").select("rid", F.col("take").alias("extra"))
-    out = rated.join(won, "rid", "left")
+    ]
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: float = 3.0, chunk: int = 1024, seed: int = 5) -> DataFrame:
+    """(id, size, source_size, target, taken, copies), one row for each row of ``docs``."""
+    rated = _rated(materialise(docs.select(*_sized(docs, id_col, text_col, source_col)), "mix-sizes"), max_repeats)
+    out = rated.join(_extra(rated, chunk, seed).withColumn("extra", F.lit(1)), "rid", "left")
     copies = F.when(F.col("size") > 0, F.col("whole") + F.coalesce("extra", F.lit(0))).otherwise(0).cast("long")
-    return out.select("id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "rid")
+    return out.select("id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+
+
+def repeat_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: float = 3.0, chunk: int = 1024, seed: int = 5) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, those without words once; all columns pass through.
+
+    Rows are written with a number each, so that repeated and null ids are told apart.
+    """
+    held = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    base = materialise(docs.select(*held, *_sized(docs, id_col, text_col, source_col)), "mix-rows")
+    rated = _rated(base.select("id", "ord", "source", "size", "th", "rid"), max_repeats)
+    copies = F.when(F.col("size") > 0, F.col("whole") + F.coalesce("extra", F.lit(0))).otherwise(1).cast("int")
+    counted = rated.join(_extra(rated, chunk, seed).withColumn("extra", F.lit(1)), "rid", "left").select("rid", copies.alias("copies")).filter("copies > 0")
+    taken = base.join(counted, "rid").withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return taken.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
