@@ -2,29 +2,35 @@
 
 Training (driver, on a bounded sample of ``train_rows`` vectors, chosen by hash
 of the id): ``books`` codebooks of ``words`` full-dimensional code vectors, each
-fitted by k-means to the residuals that the books before it leave, then refined
-together by least squares on beam-search codes.
+fitted by k-means to the residuals that the books before it leave.
 
 Encoding: a vector is a sum of one word from each book. Beam search keeps the
-``beam`` best partial sums after every book; distances come from inner products
-of the vector with all words and of words with each other, so no partial sum is
-ever formed. Each code is stored with the norm of its sum.
-
-Search: candidates are cut into blocks of ``block`` rows by hash of the id,
-queries into blocks of ``query_block``. For each pair of blocks, lookup tables
-(inner products of a query with all words) score every code; the ``shortlist``
-best codes of a block are rescored exactly, in double precision, with the
-original vectors, which never leave their block; its ``top`` best go on. The
-stored norm, minus the exact one, widens a code's score by the part of the vector
-that the code misses, along the mean direction of that error, so that short sums
-are not favoured. A window over queries merges the blocks' answers.
+``beam`` best partial sums after every book, by the length of what they leave.
+Each code (a byte for each book) is stored with the norm of its sum and that of
+its vector.
+
+Search: codes are packed in blocks of about ``block`` rows, queries in blocks of
+``query_block``; every block of queries meets every block of codes, never of
+vectors. Lookup tables (inner products of a query with all words) score each
+code; the norm of the sum widens its score by the part of the vector that the
+code misses, along the mean direction of that error, so that short sums are not
+favoured. A task keeps the ``shortlist`` best of the blocks that it has seen, a
+window those of all tasks, so that the shortlist is the same however blocks are
+cut. Then the shortlist meets its vectors by a join on ids and is reranked
+exactly, in double precision.
+
+A query's shortlist has a fixed length, so recall falls slowly as the table
+grows; it is the parameter to raise. The lookups grow with queries times rows.
 
 Ties go to the smaller id, in shortlists too: equal vectors have equal codes.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite
-components take no part, as queries or candidates; rows that share an id are
-separate candidates, but no query's own id is; with fewer than ``top``
-candidates, all are returned; an empty table gives no rows.
+components take no part, as queries or candidates, nor do rows with a null id;
+neither do vectors whose length is not the commonest (the longer one of equally
+common lengths); rows that agree in id and vector are one; rows that share an id
+only are separate candidates and queries, but no query finds its own id; with
+fewer than ``top`` candidates, all are returned; an empty table gives no rows;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,30 +52,24 @@ class Codebooks:
         """``words``: (books, words, dimensions)."""
         self.books, self.count, self.dim = words.shape
         self.flat = np.ascontiguousarray(words.reshape(-1, self.dim), np.float32)
-        self.gram = self.flat @ self.flat.T
-
-    def encode(self, x: np.ndarray, beam: int = 4) -> np.ndarray:
-        """Codes (n, books) by beam search."""
-        x = np.asarray(x, np.float32)
-        n, k = len(x), self.count
-        out = np.empty((n, self.books), np.int32)
-        step = max(1, 4_000_000 // (beam * k))
-        norm = np.diag(self.gram)
-        for a in range(0, n, step):
-            dots = x[a : a + step] @ self.flat.T
-            m = len(dots)
-            codes = np.zeros((m, 1, 0), np.int32)
-            cost = np.zeros((m, 1), np.float32)
+
+    def encode(self, x: np.ndarray, beam: int = 4, step: int = 2048) -> np.ndarray:
+        """Codes (n, books), numbers of words in ``flat``, by beam search."""
+        k = self.count
+        norm = (self.flat**2).sum(1)
+        out = np.empty((len(x), self.books), np.int32)
+        for a in range(0, len(x), step):
+            rest = np.asarray(x[a : a + step], np.float32)[:, None, :]
+            m = len(rest)
+            cost, codes = np.zeros((m, 1), np.float32), np.zeros((m, 1, 0), np.int32)
             for b in range(self.books):
-                s = slice(b * k, (b + 1) * k)
-                new = cost[:, :, None] + (norm[s] - 2 * dots[:, s])[:, None, :]
-                for j in range(b):
-                    new += 2 * self.gram[codes[:, :, j], s]
-                new = new.reshape(m, -1)
+                words = self.flat[b * k : (b + 1) * k]
+                new = (cost[:, :, None] + norm[b * k : (b + 1) * k] - 2 * (rest.reshape(-1, self.dim) @ words.T).reshape(m, -1, k)).reshape(m, -1)
                 keep = min(beam, new.shape[1])
                 best = np.argpartition(new, keep - 1, 1)[:, :keep] if keep < new.shape[1] else np.tile(np.arange(keep), (m, 1))
                 cost = np.take_along_axis(new, best, 1)
-                codes = np.concatenate([np.take_along_axis(codes, (best // k)[:, :, None], 1) if b else np.zeros((m, keep, 0), np.int32), (best % k + b * k)[:, :, None].astype(np.int32)], 2)
+                rest = np.take_along_axis(rest, (best // k)[:, :, None], 1) - words[best % k]
+                codes = np.concatenate([np.take_along_axis(codes, (best // k)[:, :, None], 1), (best % k + b * k)[:, :, None].astype(np.int32)], 2)
             out[a : a + step] = np.take_along_axis(codes, cost.argmin(1)[:, None, None], 1)[:, 0]
         return out
 
@@ -89,28 +89,15 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     return centres
 
 
-def train(x: np.ndarray, books: int = 20, words: int = 64, beam: int = 4, rounds: int = 2, seed: int = 7) -> Codebooks:
-    """Residual k-means, then least-squares refits of all books on beam-search codes."""
+def train(x: np.ndarray, books: int = 40, words: int = 64, seed: int = 7) -> Codebooks:
+    """Each book by k-means on what the books before it leave. (Least-squares refits of all books on beam-search codes left more error on unseen rows.)"""
     rng = np.random.default_rng(seed)
-    x = np.asarray(x, np.float32)
-    rest, found = x.copy(), []
+    rest, found = np.asarray(x, np.float32), []
     for _ in range(books):
         c = _kmeans(rest, words, rng)
         found.append(c)
         rest = rest - c[((c**2).sum(1) - 2 * rest @ c.T).argmin(1)]
-    book = Codebooks(np.stack(found))
-    for _ in range(rounds):
-        codes = book.encode(x, beam)
-        total = books * words
-        left, right = np.eye(total) * (1e-3 * len(x) / words), np.zeros((total, x.shape[1]))
-        for i in range(books):
-            for d in range(x.shape[1]):
-                right[:, d] += np.bincount(codes[:, i], x[:, d], total)
-            for j in range(books):
-                np.add.at(left, (codes[:, i], codes[:, j]), 1.0)
-        right += (1e-3 * len(x) / words) * book.flat
-        book = Codebooks(np.linalg.solve(left, right).astype(np.float32).reshape(books, words, -1))
-    return book
+    return Codebooks(np.stack(found))
 
 
 def _valid(col):
@@ -133,85 +120,140 @@ def _first(score: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([above, np.flatnonzero(score == edge)[: n - len(above)]])
 
 
-def _search(book: Codebooks, top: int, shortlist: int):
+def _codes(book: Codebooks, beam: int):
+    """One row of packed arrays, ordered by id, of a partition: ids, their vectors' hashes, codes, factors of the scores."""
+    kind = np.uint8 if book.count <= 256 else np.uint16
+
     def run(batches):
-        for batch in batches:
-            for qid, qdata, cid, cdata, codes, norms in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                qid, cid = np.frombuffer(qid, np.int64), np.frombuffer(cid, np.int64)
-                q = np.frombuffer(qdata, np.float64).reshape(len(qid), -1)
-                c = np.frombuffer(cdata, np.float64).reshape(len(cid), -1)
-                codes = np.frombuffer(codes, np.int32).reshape(len(cid), -1)
-                norms = np.frombuffer(norms, np.float32)
-                gain = np.minimum((c * c).sum(1) ** 0.5 / np.maximum(norms, 1e-9), 2.0).astype(np.float32) if shortlist < len(cid) else None
-                tables = (q.astype(np.float32) @ book.flat.T).reshape(len(qid), book.books, book.count)
-                # two books share a table: half the lookups
-                local = (codes - np.arange(book.books) * book.count).astype(np.intp)
-                if book.books % 2:
-                    local = np.concatenate([local, np.zeros((len(cid), 1), np.intp)], 1)
-                    tables = np.concatenate([tables, np.zeros_like(tables[:, :1])], 1)
-                at = np.ascontiguousarray((local[:, 0::2] * book.count + local[:, 1::2]).T)
-                out = ([], [], [])
-                for i in range(len(qid)):
-                    if gain is None:
-                        near = np.arange(len(cid))
-                    else:
-                        both = (tables[i, 0::2, :, None] + tables[i, 1::2, None, :]).reshape(len(at), -1)
-                        score = both[0][at[0]]
-                        for j in range(1, len(at)):
-                            score += both[j].take(at[j])
-                        near = _first(score * gain, shortlist)
-                    near = near[cid[near] != qid[i]]
-                    exact = c[near] @ q[i]
-                    best = np.lexsort((cid[near], -exact))[:top]
-                    out[0].append(np.full(len(best), qid[i]))
-                    out[1].append(cid[near[best]])
-                    out[2].append(exact[best])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["query_id", "vec_id", "score"])
+        from pyspark import TaskContext
+
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        ids, hashes = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1))
+        x = np.concatenate([_matrix(b.column(2)) for b in held]).astype(np.float64)
+        order = np.lexsort((hashes, ids))
+        x = x[order]
+        code = book.encode(x, beam)
+        norm, own = np.sqrt((book.decode(code).astype(np.float64) ** 2).sum(1)), np.sqrt((x * x).sum(1))
+        gain = np.minimum(own / np.maximum(norm, 1e-9), 2.0).astype(np.float32)
+        local = (code - np.arange(book.books) * book.count).astype(kind)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), *(pa.array([v[order].tobytes()], pa.binary()) for v in (ids, hashes)), pa.array([local.tobytes()], pa.binary()), pa.array([gain.tobytes()], pa.binary())], names=["blk", "ids", "hashes", "data", "gain"])
 
     return run
 
 
-def _pack_block(key, table):
-    """One row of packed arrays, ordered by id, of a block, with its number."""
-    order = np.argsort(table.column("id").to_numpy(), kind="stable")
-    ids = table.column("id").to_numpy()[order]
-    data = _matrix(table.column("v")).astype(np.float64)[order]
-    return pa.table({"block": [key[0].as_py()], "n": [len(ids)], "ids": pa.array([ids.astype(np.int64).tobytes()], pa.binary()), "data": pa.array([data.tobytes()], pa.binary())})
-
+def _packed(batches):
+    """One row of packed arrays of a partition of queries: ids, their vectors' hashes, vectors."""
+    from pyspark import TaskContext
+
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    ids, hashes = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1))
+    x = np.concatenate([_matrix(b.column(2)) for b in held]).astype(np.float32)
+    yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), *(pa.array([v.tobytes()], pa.binary()) for v in (ids, hashes, x))], names=["blk", "ids", "hashes", "data"])
+
+
+class _Block:
+    """A block of queries and the best candidates it has met."""
+
+    def __init__(self, book: Codebooks, ids: bytes, hashes: bytes, data: bytes):
+        self.book, self.ids, self.hashes = book, np.frombuffer(ids, np.int64), np.frombuffer(hashes, np.int64)
+        self.tables = (np.frombuffer(data, np.float32).reshape(len(self.ids), -1) @ book.flat.T).reshape(len(self.ids), book.books, book.count)
+        if book.books % 2:
+            self.tables = np.concatenate([self.tables, np.zeros_like(self.tables[:, :1])], 1)
+        self.best: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))] * len(self.ids)
+
+    def meet(self, ids: bytes, hashes: bytes, codes: bytes, gain: bytes, shortlist: int) -> None:
+        ids, hashes, gain = np.frombuffer(ids, np.int64), np.frombuffer(hashes, np.int64), np.frombuffer(gain, np.float32)
+        k = self.book.count
+        local = np.frombuffer(codes, np.uint8 if k <= 256 else np.uint16).reshape(len(ids), -1).astype(np.intp)
+        if self.book.books % 2:
+            local = np.concatenate([local, np.zeros((len(ids), 1), np.intp)], 1)
+        one, two = np.ascontiguousarray(local[:, 0::2].T), np.ascontiguousarray(local[:, 1::2].T)
+        # two books share a table where that costs less than it saves; the sums are the same
+        pairs = one * k + two if len(ids) > k * k else None
+        for i in range(len(self.ids)):
+            t = self.tables[i]
+            score = np.zeros(len(ids), np.float32)
+            for j in range(len(one)):
+                score += t[2 * j].take(one[j]) + t[2 * j + 1].take(two[j]) if pairs is None else (t[2 * j, :, None] + t[2 * j + 1]).ravel().take(pairs[j])
+            score *= gain
+            score[ids == self.ids[i]] = -np.inf
+            near = _first(score, shortlist)
+            near = near[score[near] > -np.inf]
+            a, b, c = (np.concatenate(x) for x in zip(self.best[i], (ids[near], hashes[near], score[near])))
+            if len(a) > shortlist:
+                order = np.lexsort((b, a, -c))[:shortlist]
+                a, b, c = a[order], b[order], c[order]
+            self.best[i] = a, b, c
+
+    def rows(self):
+        names = ["query_id", "query_hash", "vec_id", "vec_hash", "near"]
+        for s in range(0, len(self.ids), 256):
+            best = self.best[s : s + 256]
+            n = [len(b[0]) for b in best]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(v[s : s + 256], n)) for v in (self.ids, self.hashes)] + [pa.array(np.concatenate(x)) for x in zip(*best)], names=names)
+
+
+SHORT = "query_id long, query_hash long, vec_id long, vec_hash long, near float"
+
+
+def _search(book: Codebooks, shortlist: int):
+    """Rows in order of (block of queries, lane): the block of queries, then the blocks of codes that it meets."""
 
-def _encode_blocks(book: Codebooks, beam: int):
     def run(batches):
+        block = None
         for batch in batches:
-            codes, norms = [], []
-            for n, data in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
-                x = np.frombuffer(data, np.float64).reshape(n, -1)
-                code = book.encode(x, beam)
-                codes.append(code.tobytes())
-                norms.append(np.sqrt((book.decode(code) ** 2).sum(1)).astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(codes, pa.binary()), pa.array(norms, pa.binary())], names=["one", "cid", "cdata", "codes", "norms"])
+            for i in range(batch.num_rows):
+                ids, hashes, data, gain = (batch.column(c)[i].as_py() for c in range(4))
+                if gain is None:
+                    if block is not None:
+                        yield from block.rows()
+                    block = _Block(book, ids, hashes, data)
+                elif block is not None:
+                    block.meet(ids, hashes, data, gain, shortlist)
+        if block is not None:
+            yield from block.rows()
 
     return run
 
 
-def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", top: int = 20, shortlist: int = 320, block: int = 8192, query_block: int = 512, train_rows: int = 8192, books: int = 20, words: int = 64, beam: int = 4) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", top: int = 20, shortlist: int = 192, block: int = 16384, query_block: int = 2048, lane: int = 16, train_rows: int = 4096, books: int = 40, words: int = 64, beam: int = 4) -> DataFrame:
     """(query_id, rank, vec_id, score): ``is_query`` is a condition on the column ``id``."""
     spark = vectors.sparkSession
-    v = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v")).filter("id is not null").filter(_valid(F.col("v")))
-    n = v.count()
-    result = "query_id long, rank int, vec_id long, score double"
-    if not n:
-        return spark.createDataFrame([], result)
-    sample = v.orderBy(F.xxhash64("id"), "id").limit(train_rows).toArrow()
-    book = train(_matrix(sample.column("v")), books, words)
-    blocks = max(1, math.ceil(n / block))
-    by = lambda d, size: d.groupBy(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(size)).alias("block")).applyInArrow(_pack_block, "block long, n long, ids binary, data binary")
-    coded = materialise(by(v, blocks).mapInArrow(_encode_blocks(book, beam), "one long, cid binary, cdata binary, codes binary, norms binary"), "codes")
-    queries = v.filter(is_query)
-    asked = max(1, math.ceil(queries.count() / query_block))
-    asked_blocks = materialise(by(queries, asked).select(F.col("ids").alias("qid"), F.col("data").alias("qdata")), "queries")
-    # every block of queries meets every block of rows: a fixed number of row blocks for each query
-    pairs = asked_blocks.withColumn("one", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).repartition(asked * blocks, "one", "qid")
-    met = pairs.join(coded, "one").select("qid", "qdata", "cid", "cdata", "codes", "norms")
-    found = met.mapInArrow(_search(book, top, shortlist), "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    vector = F.col(f"`{vector_col}`")
+    if vectors.schema[vector_col].dataType.simpleString() != "array<float>":
+        vector = vector.cast("array<double>")
+    v = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), vector.alias("v")).filter("id is not null").filter(_valid(F.col("v")))
+    rows = materialise(v.withColumn("h", F.xxhash64("v")).select("id", "h", "v").dropDuplicates(["id", "h"]), "vectors")
+    lengths = rows.groupBy(F.size("v").alias("d")).count()
+    common = lengths.agg(F.max(F.struct("count", "d")).alias("m")).first()["m"]
+    if common is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    rows = rows.filter(F.size("v") == common["d"])
+    cores = spark.sparkContext.defaultParallelism
+    parts = lambda n, size, least: max(1, math.ceil(n / size), min(cores, math.ceil(n / least)))
+    # train on a sample whose size is a parameter
+    book = train(_matrix(rows.orderBy(F.xxhash64("id", "h"), "id").limit(train_rows).toArrow().column("v")), books, words)
+    # a partition is a block, and its number the block's
+    coded = rows.repartition(parts(common["count"], block, 1024), "id", "h").mapInArrow(_codes(book, beam), "blk long, ids binary, hashes binary, data binary, gain binary")
+    coded = materialise(coded, "codes")
+    asked = rows.filter(is_query)
+    asked_blocks = materialise(asked.repartition(parts(asked.count(), query_block, query_block), "id", "h").mapInArrow(_packed, "blk long, ids binary, hashes binary, data binary"), "queries")
+    blocks, query_blocks = ((d.agg(F.max("blk")).first()[0] or 0) + 1 for d in (coded, asked_blocks))
+    lane = max(1, min(lane, blocks * query_blocks // (2 * cores)))
+    lanes = math.ceil(blocks / lane)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    ask = asked_blocks.select(F.col("blk").alias("q"), every(lanes).alias("lane"), F.lit(-1).cast("long").alias("blk"), "ids", "hashes", "data", F.lit(None).cast("binary").alias("gain"))
+    met = coded.select(every(query_blocks).alias("q"), F.floor(F.col("blk") / lane).alias("lane"), "blk", "ids", "hashes", "data", "gain")
+    dealt = ask.unionByName(met).repartition(query_blocks * lanes, "q", "lane").sortWithinPartitions("q", "lane", "blk").select("ids", "hashes", "data", "gain")
+    found = materialise(dealt.mapInArrow(_search(book, shortlist), SHORT), "near")
+    by_query = Window.partitionBy("query_id", "query_hash")
+    short = found.withColumn("place", F.row_number().over(by_query.orderBy(F.desc("near"), "vec_id", "vec_hash"))).filter(F.col("place") <= shortlist).drop("place", "near")
+    pairs = short.join(rows.select(F.col("id").alias("vec_id"), F.col("h").alias("vec_hash"), F.col("v").alias("c")), ["vec_id", "vec_hash"])
+    pairs = pairs.join(asked.select(F.col("id").alias("query_id"), F.col("h").alias("query_hash"), F.col("v").alias("q")), ["query_id", "query_hash"])
+    score = F.aggregate(F.zip_with("c", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, b: a + b)
+    ranked = pairs.select("query_id", "query_hash", "vec_id", "vec_hash", score.alias("score")).withColumn("rank", F.row_number().over(by_query.orderBy(F.desc("score"), "vec_id", "vec_hash")))
+    return ranked.filter(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
