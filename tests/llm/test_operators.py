@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from same import duck_rows, spark_rows
 
-from lumenframe.llm import ann, fingerprints, gbt, html_extract, jaccard_join, language, line_dedup, mixing, packing, quality, queries, substring_dedup
+from lumenframe.llm import ann, common, fingerprints, gbt, html_extract, jaccard_join, language, line_dedup, mixing, packing, quality, queries, substring_dedup
 from lumenframe.llm.shingles import shingle_sets
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -61,23 +62,58 @@ def test_substring_dedup_brute_force(spark, texts):
     seen, removed = {}, {}
     for i, t in sorted((r["doc_id"], r["text"]) for r in d.collect()):
         units = substring_dedup.units(t or "")
-        said = [" ".join(t[a:b].split()) for a, b, _ in units]
+        said = [b" ".join((t or "").encode()[a:b].split()) for a, b, _ in units]
         gone = set()
         for a in range(len(units)):
             b = a
             while b < len(units) and (b - a < 3 or sum(u[2] for u in units[a:b]) < 12):
                 b += 1
             if b - a >= 3 and sum(u[2] for u in units[a:b]) >= 12:
-                if tuple(said[a:b]) in seen:
+                if b" ".join(said[a:b]) in seen:
                     gone |= set(range(a, b))
                 else:
-                    seen[tuple(said[a:b])] = i
+                    seen[b" ".join(said[a:b])] = i
         removed[i] = len(gone)
     assert {i: r["n_removed"] for i, r in got.items()} == removed
     assert sum(removed.values()) > 50
     assert got[0]["text"] is None and got[1]["text"] == ""
 
 
+def plain_units(text):
+    """Sentences, and long ones cut after each word that is the last smallest of any twelve in a row, by the module's own hash of words."""
+    data, at, sentences = text.encode(), 0, [[]]
+    for m in re.finditer(rb"[^\x20\x09-\x0D]+", data):
+        if sentences[-1] and b"\n" in data[at : m.start()]:
+            sentences.append([])
+        sentences[-1].append((m.start(), m.end()))
+        at = m.end()
+        if data[at - 1 : at] in (b".", b"!", b"?"):
+            sentences.append([])
+    m64 = (1 << 64) - 1
+    one = lambda x: int(substring_dedup.mix(np.array([x & m64], np.uint64))[0])
+    base = 0x9E3779B97F4A7C15 | 1
+    out = []
+    for s in filter(None, sentences):
+        cuts = {len(s) - 1}
+        if len(s) > 16:
+            h = [one(sum((one(5001 + c) | 1) * pow(base, i, 1 << 64) for i, c in enumerate(data[a:b])) + (b - a) * 0x94D049BB133111EB) for a, b in s]
+            v = [one(x ^ (p * 0x9E3779B97F4A7C15 & m64)) >> 24 for x, p in zip(h, [0, *h])]
+            cuts |= {min(range(i, i + 12), key=lambda j: (v[j], -j)) for i in range(len(s) - 11)}
+        of = 0
+        for c in sorted(cuts):
+            out.append((s[of][0], s[c][1], c + 1 - of))
+            of = c + 1
+    return out
+
+
+def test_sentence_pieces_by_the_word(texts):
+    rng = random.Random(21)
+    more = [t or "" for t in texts if len(t or "") < 4000] + ["same " * 50, "é ñ. " * 30 + "ü", " \t x\x0b\x0cy\n\n z! ", " ".join(f"{rng.random()}" for _ in range(300))]
+    assert all(substring_dedup.units(t) == plain_units(t) for t in more)
+    together = substring_dedup.Units([t.encode() for t in more])
+    assert together.count.tolist() == [len(plain_units(t)) for t in more]
+
+
 def test_substring_dedup_finds_passages_within_sentences(spark):
     rng = random.Random(17)
     fresh = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
@@ -101,7 +137,12 @@ def test_substring_dedup_finds_passages_within_sentences(spark):
 
 
 @pytest.mark.parametrize("cut", [1, 7])
-def test_jaccard_components_brute_force(spark, texts, cut):
+def test_jaccard_components_brute_force(spark, texts, cut, monkeypatch):
+    if cut == 1:  # the path of common keys: the most frequent of a sample of all classes, whatever their share
+        top = lambda df, key, parts: [r[key] for r in df.groupBy(key).count().orderBy(F.desc("count"), key).limit(200).collect()]
+        monkeypatch.setattr(jaccard_join, "hot_keys", top)
+        monkeypatch.setattr(common, "hot_keys", top)
+        monkeypatch.setattr(jaccard_join, "BLOCK", 7)
     rng = random.Random(cut)
     more = list(texts)
     near = [f"n{i}" for i in range(60)]
@@ -113,7 +154,10 @@ def test_jaccard_components_brute_force(spark, texts, cut):
     shared = " ".join(f"s{i}" for i in range(40))
     more += [shared + " " + prose(rng, 40, 10**6) for _ in range(25)]  # a passage in unlike texts
     more += [" ".join(f"k{i}" for i in range(n)) for n in range(1, 30)]
-    d = docs(spark, more)
+    template = " ".join(f"t{i}" for i in range(70))
+    more += [template + " " + prose(rng, 12, 10**6) for _ in range(30)]  # one template, each under the threshold
+    more += [template + f" z{i % 3} z{i}" for i in range(20)]  # and some over it
+    d = docs(spark, more).withColumn("ord", F.lit(1)).withColumn("th", F.lit("clash")).withColumn("cls", F.lit(2))
     rows = jaccard_join.jaccard_components(d, hot=cut + 1).collect()
     sets = []
     for t in more:
@@ -347,3 +391,277 @@ def test_pipeline_stages(spark, tmp_path):
     pieces = pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect()
     assert {r["doc_id"] for r in pieces} == kept[3]
     assert pipeline.run(spark, str(tmp_path)).count() == len(pieces)
+
+
+def test_hot_keys_change_nothing(spark, monkeypatch):
+    """Repeats of common and of rare keys, with and without the path of common keys."""
+    rows = [(i % 50, 1000 + i % 50, i) for i in range(40)] + [(7, 8, i) for i in range(300)] + [(9, 9, 5)] * 3
+    found = common.materialise(spark.createDataFrame(rows, "k1 long, k2 long, ord long"), "test")
+    want = sorted([(7, 8, i) for i in range(1, 300)])
+    assert common.hot_keys(found, "k1", 4) == [7]
+    assert sorted(map(tuple, common.later_occurrences(found, ("k1", "k2"), ["ord"]).collect())) == want
+    right = spark.createDataFrame([(7, "x"), (9, "y")], "k1 long, v string")
+    left = sorted(map(tuple, common.join_unique(found, right, "k1", "left").select("k1", "ord", "v").collect()), key=str)
+    plain = sorted(map(tuple, found.join(right, "k1", "left").select("k1", "ord", "v").collect()), key=str)
+    assert left == plain and len(left) == 343
+    monkeypatch.setattr(common, "hot_keys", lambda *a: [])
+    assert sorted(map(tuple, common.later_occurrences(found, ("k1", "k2"), ["ord"]).collect())) == want
+
+
+def test_materialised_tables_can_be_dropped(spark):
+    since = len(common.WRITTEN)
+    a, b = (common.materialise(spark.range(3), "test") for _ in range(2))
+    common.drop_written(spark, since, keep=1)
+    assert len(common.WRITTEN) == since + 1 and b.count() == 3
+    with pytest.raises(Exception):
+        a.count()
+
+
+def test_repeated_rows_are_mixed_row_by_row(spark):
+    """1,000 rows with repeated and null ids: the rows written are as many as the mix takes."""
+    rng = random.Random(4)
+    rows = [(i if i % 4 else (None if i % 8 else 77), prose(rng, 5 + i % 40), rng.choice(["a", "a", "a", "b"]), i) for i in range(1000)] + [(5, "same words here", "b", 1)] * 300 + [(6, None, "a", 2), (6, "", None, 3)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, ord int")
+    mixed = mixing.mix(d, chunk=64)
+    out = mixing.repeat_rows(d, chunk=64)
+    assert out.columns == d.columns and mixed.count() == len(rows)
+    assert out.filter("text is not null and text <> ''").count() == mixed.agg(F.sum("copies")).first()[0]
+    assert out.filter("text is null or text = ''").count() == 2
+    want = {r["doc_id"]: r["n"] for r in mixed.groupBy(F.col("id").alias("doc_id")).agg(F.sum("copies").alias("n")).filter("n > 0").collect()}
+    got = {r["doc_id"]: r["n"] for r in out.filter("text <> ''").groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert got == want
+
+
+def test_nearest_neighbours_of_odd_rows(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in rng.normal(size=4)], i) for i in range(60)]
+    rows += [rows[0]] * 3 + [rows[7]] * 2 + [(20, [9.0, 9.0, 9.0, 9.0], 1), (101, [1.0, 2.0], 1), (102, [1.0] * 7, 1), (None, [1.0] * 4, 1), (103, [], 1)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id int").withColumn("rank", F.lit("clash"))
+    got = ann.nearest(d, F.col("id") % 20 == 0, books=4, words=8)
+    by = {}
+    for r in got.orderBy("query_id", "rank").collect():
+        by.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(by) == {0, 20, 40}
+    vectors = {(i, tuple(v)) for i, v, _ in rows if i is not None and len(v) == 4}
+    for q in (0, 40):
+        mine = np.array(next(v for i, v in vectors if i == q))
+        want = sorted(((-float(np.dot(np.array(v), mine)), i) for i, v in vectors if i != q))[:20]
+        assert [r for r, _, _ in by[q]] == list(range(1, 21)) and [i for _, i, _ in by[q]] == [i for _, i in want]
+    assert len(by[20]) == 40  # two rows of one id are two queries
+    few = ann.nearest(d.filter("vec_id < 5"), F.col("id") % 20 == 0, books=2, words=4).collect()
+    assert [r["rank"] for r in sorted(few, key=lambda r: r["rank"])] == [1, 2, 3, 4] and {r["vec_id"] for r in few} == {1, 2, 3, 4}
+
+
+def test_nearest_neighbours_do_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(5)
+    d = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=16).astype(np.float32)]) for i in range(900)], "vec_id long, embedding array<float>")
+    ask = lambda **k: sorted(map(tuple, ann.nearest(d, F.col("id") % 20 == 0, shortlist=40, books=7, words=16, **k).collect()))
+    assert ask() == ask(block=100, query_block=10, lane=2)
+
+
+def test_html_quotes_and_long_pages():
+    trees = html_extract.trained()
+    page = "<article><h1 x='a>b' y=\"c>d\">Title here</h1><p title=it's>Hello brave world, all is well.</p><p>Bob's dog went home today, and it slept.</p></article>"
+    want = "Title here Hello brave world, all is well. Bob's dog went home today, and it slept."
+    assert html_extract.extract(page, trees) == want
+    assert html_extract.extract(page.replace("title=it's", 'title="open'), trees) == want
+    for piece in ("<b>x ", "<li>one", "<p>One two, three four.", "<div>", "<center><p>x", "</b></div>"):
+        sizes = []
+        for n in (4000, 16000):
+            began = time.process_time()
+            html_extract.extract("<article>" + piece * n, trees)
+            sizes.append(time.process_time() - began)
+        assert sizes[1] < 8 * sizes[0] + 0.5, (piece, sizes)
+
+
+def test_html_decoding_is_the_best_of_all_choices():
+    rng = np.random.default_rng(8)
+    page = html_extract.Page("<div><p>a</p><ul><li>b</li><li>c</li></ul></div><section><h2>d</h2><p>e</p></section><p>f")
+    n = len(page.nodes)
+    for _ in range(20):
+        p = rng.random(n)
+        best, chosen = -np.inf, None
+        for bits in range(1 << (n - 1)):
+            kept = np.array([True, *((bits >> i) & 1 for i in range(n - 1))], bool)
+            if any(kept[i] and not kept[page.up[i]] for i in range(1, n)):
+                continue
+            score = np.log(np.where(kept, p, 1 - p))[1:].sum()
+            if score > best:
+                best, chosen = score, kept
+        assert (page.decode(p) == chosen).all()
+
+
+def test_packing_counts_reach_the_optimum_of_all_combinations():
+    rng = np.random.default_rng(1)
+    lengths = np.clip(rng.gamma(1.5, 80, 3000).astype(int), 1, 255)
+    h = np.bincount(lengths, minlength=257)
+    rows = packing.combinations(np.flatnonzero(h), 256)
+    brute = {(0, a, 256 - a) for a in range(1, 129) if h[a] and h[256 - a]} | {(a, b, 256 - a - b) for a in range(1, 256) for b in range(a, 256 - a) if 256 - a - b >= b and h[a] and h[b] and h[256 - a - b]}
+    assert {tuple(r) for r in rows.tolist()} == brute and len(rows) > 2000
+    off = lambda x: np.linalg.norm((h - np.bincount(rows.ravel(), np.repeat(x, 3), 257))[1:])
+    assert off(packing.generated_counts(rows, h)) < 1.01 * off(packing.nnls_counts(rows, h, 3000)) + 0.5
+    full, rest = packing.plan_tails(lengths, 256)
+    assert sorted([i for s in full for i in s] + rest) == list(range(3000))
+    # a group's sequences are full but for the last, cut at powers of two
+    sequences = packing.pack_group([b"abcd" * int(n) for n in lengths], 256)
+    short = [sum(n for _, _, n in s) for s in sequences if sum(n for _, _, n in s) < 256]
+    assert len(short) <= 8 and len(set(short)) == len(short)
+
+
+def test_quality_fit_is_the_plain_minimum():
+    """Newton's weights against plain gradient descent on the same pairs, and the cut against its quantile."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 3))
+    y = (x @ [1.0, -2.0, 0.0] + rng.normal(size=200) > 0).astype(int)
+    r = quality.fit(x, y, pairs=2000)
+    z = np.clip((x - x.mean(0)) / (x.std(0) + 1e-6), -8, 8)
+    pick = np.random.default_rng(2)
+    d = z[pick.choice(np.flatnonzero(y == 1), 2000)] - z[pick.choice(np.flatnonzero(y == 0), 2000)]
+    w = np.zeros(3)
+    for _ in range(20_000):
+        w -= 0.3 * (-(d.T @ (1 / (1 + np.exp(d @ w)))) / 2000 + 1e-3 * w)
+    assert np.allclose(r.w, w, atol=1e-3)
+    assert ((r.score(x) >= 0.7).sum() == (y == 1).sum()) and abs(r.score(x)[0] - 1 / (1 + np.exp(-(r.strength(x)[0] - r.cut)) * 3 / 7)) < 1e-9
+
+
+def test_quality_of_odd_tables(spark):
+    d = spark.createDataFrame([(None, "a b", 1), (1, None, 2), (1, "one. two", 3), (1, "one. two", 3)], "doc_id long, text string, score int").withColumn("x", F.lit("clash")).withColumn("y", F.lit(0))
+    labels = spark.createDataFrame([(1, 1, None), (1, 0, None), (None, 0, None)], "doc_id long, quality int, toxic int")
+    r = quality.learn(d, labels)
+    assert quality.score(d, r).count() == 4 and quality.keep_good(d, r).columns == d.columns
+    assert quality.score(d.limit(0), r).count() == 0 and quality.learn(d.limit(0), labels.limit(0)).at == 0.7
+
+
+def test_language_backs_off_as_defined():
+    """Scores against a plain reading of the definition."""
+    texts, langs = ["abba abba acca bada"] * 3 + ["xyx xyx zyz abba"] * 3, ["a"] * 3 + ["x"] * 3
+    m = language.train(texts, langs)
+    word = {l: {} for l in "ax"}
+    gram = {l: {} for l in "ax"}
+    for t, l in zip(texts, langs):
+        for w in t.split():
+            word[l][w] = word[l].get(w, 0) + 1
+            for n in range(1, 6):
+                for i in range(len(w) + 3 - n):
+                    g = f"^{w}$"[i : i + n]
+                    gram[l][g] = gram[l].get(g, 0) + 1
+    every = lambda c: sorted({k for l in c for k in c[l] if sum(c[j].get(k, 0) for j in c) >= 3})
+    log = lambda c, k, l, n: np.log((c[l].get(k, 0) + 0.5) / (sum(c[l].values()) + 0.5 * n))
+    words, grams = every(word), every(gram)
+
+    def score(w, l):
+        if w in words:
+            return log(word, w, l, len(words))
+        for n in range(5, 0, -1):
+            known = [g for i in range(len(w) + 3 - n) if (g := f"^{w}$"[i : i + n]) in grams]
+            if known:
+                return np.mean([log(gram, g, l, len(grams)) for g in known])
+        return 0.0
+
+    for t in ("abba", "abbax", "zyzy", "qq", "bad xyx", "acca zz dada"):
+        ws = t.split()
+        z = np.array([sum(score(w, l) for w in ws) / len(ws) ** 0.5 for l in "ax"])
+        p = np.exp(z - z.max())
+        lang, got = m.predict([t])
+        assert lang == ["ax"[int(z.argmax())]] and got[0] == pytest.approx((p / p.sum()).max(), abs=1e-9)
+
+
+def test_language_of_odd_tables(spark):
+    rows = [(1, "uno dos tres " * 30, "es")] * 50 + [(i, "one two three " * 30, "en") for i in range(2, 200)] + [(300, "eins zwei drei " * 30, "de"), (301, "x " * 200_000, "en")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("id", F.lit("clash")).withColumn("n", F.lit(0))
+    m = language.learn(d, sample=40, max_chars=100_000)
+    assert m.langs == ["de", "en", "es"]  # rare languages are learned, repeated rows once, huge texts passed over
+    assert "x" not in m.words and language.learn(d.filter("doc_id = 301"), max_chars=10).langs == ["en"]
+    got = {(r["id"], r["lang_pred"]) for r in language.identify(d, m).filter("id in (1, 2, 300)").collect()}
+    assert got == {(1, "es"), (2, "en"), (300, "de")}
+    assert language.identify(d.limit(0), m).count() == 0
+
+
+def plain_fingerprint(text):
+    """Byte by byte, with whole numbers."""
+    data, m64, m32 = text.encode(), (1 << 64) - 1, (1 << 32) - 1
+
+    def mix(x):
+        for c in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = ((x ^ x >> 33) * c) & m64
+        return x ^ x >> 33
+
+    if not data:
+        return "3:::"
+    h = []
+    for i in range(len(data)):
+        v = sum((mix(1000 + data[i - j]) >> 32) * pow(0x01000193, j, 1 << 32) for j in range(min(i + 1, 7))) & m32
+        v = ((v ^ v >> 15) * 0x2C1B3C6D) & m32
+        h.append(v ^ v >> 13)
+    ends = lambda size: [i + 1 for i, v in enumerate(h) if v % size == size - 1]
+    size = 3
+    while size * 2 * 32 <= len(data):
+        size *= 2
+    while size > 3 and len(ends(size)) < 16:
+        size //= 2
+    base = 0x9E3779B97F4A7C15 | 1
+
+    def chunk(a, b):
+        total = sum((mix(1 + c) | 1) * pow(base, i, 1 << 64) for i, c in enumerate(data[a:b]))
+        return "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"[mix((total + b - a) & m64) >> 58]
+
+    out = [str(size)]
+    for k in (1, 2, 4):
+        cuts = [0, *(e for e in ends(k * size)[: fingerprints.MOST - 1] if e < len(data)), len(data)]
+        out.append("".join(chunk(a, b) for a, b in zip(cuts, cuts[1:])))
+    return ":".join(out)
+
+
+def test_fingerprints_byte_by_byte():
+    rng = random.Random(12)
+    texts = ["", "a", "ab" * 40, "é" * 300, prose(rng, 30), prose(rng, 400), "x\n" * 500 + prose(rng, 100), "same " * 900]
+    for t in texts:
+        assert fingerprints.fingerprint(t) == plain_fingerprint(t)
+    for _ in range(200):
+        a, b = ("".join(rng.choices("ABC", k=rng.randrange(0, 30))) for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):  # a change costs a deletion and an insertion
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(last[j - 1] if x == y else 1 + min(last[j], row[j - 1]))
+        assert len(a) + len(b) - 2 * fingerprints.common_subsequence(a, b) == row[-1]
+
+
+def test_fingerprints_of_odd_tables(spark):
+    d = spark.createDataFrame([(5, "aa"), (5, "aa"), (None, "bbbb"), (3, None), (9, "c" * 9)], "doc_id long, text string").withColumn("part", F.lit("clash")).withColumn("kind", F.lit(7))
+    rows = fingerprints.fingerprint_edits(d).collect()
+    assert sorted((r["doc_id"] or 0, r["n_chars"]) for r in rows) == [(0, 4), (3, 0), (5, 2), (5, 2), (9, 9)]
+    sha = {r["doc_id"]: r["edited_sha256"] for r in rows}
+    want = {9: "c" * 5 + "aa", 3: "", None: "bbcc"}
+    assert all(sha[i] == hashlib.sha256(t.encode()).hexdigest() for i, t in want.items())
+
+
+def test_substring_dedup_text_and_odd_tables(spark):
+    para = "One two three four five six. Seven eight nine ten eleven. Twelve thirteen fourteen fifteen."
+    rows = [(1, "Start here. " + para + " End of one."), (2, "Other start.\n" + para + "\nThe end, my friend."), (2, "Other start.\n" + para + "\nThe end, my friend."), (None, para), (3, "  spaced  ")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("pos", F.lit("clash")).withColumn("n_removed", F.lit("old")).withColumn("k1", F.lit(1))
+    out = substring_dedup.dedup_substrings(d)
+    got = sorted((r["doc_id"] or 0, r["text"], r["n_removed"], r["removed_words"], r["pos"]) for r in out.collect())
+    assert got == [(0, "", 3, 15, "clash"), (1, rows[0][1], 0, 0, "clash"), (2, "Other start.\n  \nThe end, my friend.", 3, 15, "clash"), (2, "Other start.\n  \nThe end, my friend.", 3, 15, "clash"), (3, "  spaced  ", 0, 0, "clash")]
+    assert substring_dedup.dedup_substrings(d.limit(0)).count() == 0
+
+
+def test_packing_repeated_rows(spark):
+    d = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "x"), (2, None)], "doc_id long, text string").coalesce(1)
+    rows = packing.pack_documents(d, *queries.vocabulary()).collect()
+    total = {}
+    for r in rows:
+        total[r["doc_id"]] = total.get(r["doc_id"], 0) + r["length"]
+    assert total[1] == 2 * next(r["doc_tokens"] for r in rows if r["doc_id"] == 1) and total[2] == 1 and None in total
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    empty = spark.createDataFrame([], SCHEMA)
+    for name, rows in (("none", []), ("odd", [(None, "good words here. more words", "en", None, 5), (4, "good words here. more words", "en", "s", 5), (4, None, None, "s", None), (4, "", "en", None, 0)])):
+        sf = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, SCHEMA).write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+        out = pipeline.run(spark, sf)
+        assert out.count() == 0 if not rows else out.filter("doc_id = 4").count() > 0
+    assert empty.columns == pipeline.COLUMNS
