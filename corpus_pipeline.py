@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import jaccard_join, line_dedup, mixing, packing, quality
-from lumenframe.llm.common import materialise, table
+from lumenframe.llm import common, jaccard_join, line_dedup, mixing, packing, quality
+from lumenframe.llm.common import table
 from lumenframe.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -36,12 +36,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; documents without words have no weight and stay as they are."""
-    docs = docs.select(COLUMNS)
-    mixed = mixing.mix(docs).select(F.col("id").alias("doc_id"), "copies", "size")
-    copies = mixed.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.when(F.col("size") > 0, F.col("copies")).otherwise(1)).cast("int").alias("copies"))
-    taken = docs.join(copies, "doc_id", "left").withColumn("copies", F.coalesce("copies", F.lit(1))).filter("copies > 0")
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(COLUMNS)
+    """Each row as often as the mix takes it; rows without words have no weight and stay as they are."""
+    return mixing.repeat_rows(docs.select(COLUMNS))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +58,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each result written before the next stage reads it."""
+    """All stages over ``documents``, each result written before the next stage reads it; what a stage wrote on its way goes then."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        since = len(common.WRITTEN)
+        docs = common.materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        common.drop_written(spark, since, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)
