@@ -15,35 +15,15 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .mixture import Mixture, by_mask, gaussian, log_sum_exp
+from .mixture import Mixture, matrix, posterior_sums
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def sufficient_statistics(m: Mixture, x, var, observed, weight) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-    """(sum of log densities, sum q, sum q b, sum q (B + b b')) with b about the component's current mean."""
-    k, d = m.means.shape
-    q0, q1, q2, total = np.zeros(k), np.zeros((k, d)), np.zeros((k, d, d)), 0.0
-    for cols, rows in by_mask(observed):
-        if not len(cols):
-            continue
-        noise = var[np.ix_(rows, cols)][:, :, None] * np.eye(len(cols))
-        lp, keep = np.empty((len(rows), k)), []
-        for j in range(k):
-            t = m.covs[j][np.ix_(cols, cols)] + noise
-            delta = x[np.ix_(rows, cols)] - m.means[j, cols]
-            lp[:, j] = np.log(max(m.weights[j], 1e-300)) + gaussian(delta, t)
-            gain = np.linalg.solve(t, np.broadcast_to(m.covs[j][cols], (len(rows), len(cols), d))).swapaxes(1, 2)
-            b = np.einsum("nij,nj->ni", gain, delta)
-            keep.append((b, m.covs[j] - gain @ m.covs[j][cols]))
-        norm = log_sum_exp(lp)
-        total += float((weight[rows] * norm).sum())
-        q = np.exp(lp - norm[:, None]) * weight[rows, None]
-        for j, (b, cov) in enumerate(keep):
-            q0[j] += q[:, j].sum()
-            q1[j] += q[:, j] @ b
-            q2[j] += np.einsum("n,nij->ij", q[:, j], cov + b[:, :, None] * b[:, None, :])
-    return total, q0, q1, q2
+    """``posterior_sums`` of rows that measure the coordinates themselves."""
+    d = m.means.shape[1]
+    return posterior_sums(m, (np.eye(d), np.zeros(d), np.zeros((d, d))), x, var, observed, weight)
 
 
 def _statistics(m: Mixture):
@@ -56,8 +36,8 @@ def _statistics(m: Mixture):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, v = (np.array([[np.nan if e is None else e for e in r] for r in batch.column(i).to_pylist()], float) for i in (0, 1))
-            weight = np.array(batch.column(2).to_pylist(), float)
+            x, v = (matrix(batch.column(i), d) for i in (0, 1))
+            weight = batch.column(2).to_numpy(zero_copy_only=False).astype(float)
             seen = np.isfinite(x) & np.isfinite(v) & (v >= 0)
             a, b, c, e = sufficient_statistics(m, np.where(seen, x, 0), np.where(seen, v, 0), seen, weight)
             total, q0, q1, q2, n, w = total + a, q0 + b, q1 + c, q2 + e, n + batch.num_rows, w + weight.sum()

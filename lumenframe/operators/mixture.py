@@ -91,6 +91,64 @@ def gaussian(delta: np.ndarray, cov: np.ndarray) -> np.ndarray:
     return -0.5 * (d * LOG_2PI + logdet + (z * z).sum(-1))
 
 
+def matrix(column, width: int) -> np.ndarray:
+    """Rows of an Arrow list column as (n, width); null lists, lists of another length and null elements are NaN."""
+    size = column.value_lengths().to_numpy(zero_copy_only=False)
+    some = size == width
+    out = np.full((len(column), width), np.nan)
+    kept = column if some.all() else column.filter(pa.array(some))
+    out[some] = kept.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+    return out
+
+
+def posterior_sums(m: Mixture, view: tuple, y, var, seen, weight, chunk: int = 256) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """What an EM step needs of rows that measure ``H x + b`` with covariance ``T`` and own variances; ``view`` is (H, b, T).
+
+    (sum of log densities, sum q, sum q b, sum q (B + b b')), with q the responsibilities, b and B the mean (about the
+    component's) and covariance of x given the row. With u the solved residuals, b = V H'u and B = V - V H'(inverse) H V, so
+    only sums of q u and q (u u' - inverse), in the measured coordinates, are taken over rows, and then carried over once.
+    A chunk holds K inverses for each of its rows.
+    """
+    h, b, t = view
+    k, d = m.means.shape
+    total, q0, q1, q2 = 0.0, np.zeros(k), np.zeros((k, d)), np.zeros((k, d, d))
+    with np.errstate(divide="ignore"):
+        lw = np.log(m.weights)
+    for cols, rows in by_mask(seen):
+        p = len(cols)
+        if not p:
+            continue
+        through = h[cols] @ m.covs
+        base = through @ h[cols].T + t[np.ix_(cols, cols)]
+        centre = m.means @ h[cols].T + b[cols]
+        s0, s1, s2 = np.zeros(k), np.zeros((k, p)), np.zeros((k, p, p))
+        diagonal = np.arange(p)
+        for a in range(0, len(rows), chunk):
+            r = rows[a : a + chunk]
+            values, noise = y[np.ix_(r, cols)], var[np.ix_(r, cols)]
+            inverse, solved, lp = np.empty((k, len(r), p, p)), np.empty((k, len(r), p)), np.empty((len(r), k))
+            for j in range(k):
+                cov = np.repeat(base[j][None], len(r), 0)
+                cov[:, diagonal, diagonal] += noise
+                size = 2 * np.log(np.linalg.cholesky(cov)[:, diagonal, diagonal]).sum(1)
+                inverse[j] = np.linalg.inv(cov)
+                delta = values - centre[j]
+                solved[j] = (inverse[j] @ delta[:, :, None])[:, :, 0]
+                lp[:, j] = lw[j] - 0.5 * (p * LOG_2PI + size + (delta * solved[j]).sum(1))
+            norm = log_sum_exp(lp)
+            q = np.exp(lp - norm[:, None]) * weight[r, None]
+            total += float(norm @ weight[r])
+            for j in range(k):
+                s0[j] += q[:, j].sum()
+                s1[j] += q[:, j] @ solved[j]
+                s2[j] += (solved[j] * q[:, j, None]).T @ solved[j] - (q[:, j] @ inverse[j].reshape(len(r), -1)).reshape(p, p)
+        back = through.swapaxes(1, 2)
+        q0 += s0
+        q1 += (back @ s1[:, :, None])[:, :, 0]
+        q2 += s0[:, None, None] * m.covs + back @ s2 @ through
+    return total, q0, q1, (q2 + q2.swapaxes(1, 2)) / 2
+
+
 def by_mask(observed: np.ndarray):
     """(columns, rows) for each presence pattern."""
     packed = np.packbits(observed, axis=1)
@@ -194,8 +252,7 @@ def mixture_columns(df: DataFrame, models: dict[str, Mixture], kind: str = "log_
     def run(batches):
         for batch in batches:
             n = batch.num_rows
-            a = np.array([[np.nan if v is None else v for v in r] if r is not None else [np.nan] * width for r in batch.column(ix).to_pylist()], float).reshape(n, width)
-            v = np.array([[np.nan if u is None else u for u in r] if r is not None else [np.nan] * width for r in batch.column(iv).to_pylist()], float).reshape(n, width)
+            a, v = matrix(batch.column(ix), width), matrix(batch.column(iv), width)
             seen = np.isfinite(a) & np.isfinite(v) & (v >= 0)
             a, v = np.where(seen, a, 0.0), np.where(seen, v, 0.0)
             new = [pa.array(f(m, a, v, seen, **kwargs)) if n else pa.array([], pa.float64()) for m in models.values()]

@@ -120,9 +120,9 @@ def _wide(f: str) -> str:
     return f"sqrt(({f})*({f})+{4 * SOFT * SOFT}e0)"
 
 
-_END = "(greatest(ceil((least({hi}e0,lim)+1e-9-{lo}e0)/0.01e0)-1e0,0e0)*0.01e0)"
+_END = "greatest(least({hi}e0,lim)-{lo}e0,0e0)"
 _BLEND = f"""WITH {WIDE}, r AS (SELECT id, f1, v1, f2, v2, {_mag('10e0*sqrt(v1)')} AS lim, ln((1e0-10e0*sqrt(v1)/f1)/(10e0*sqrt(v1)/f1)) AS top FROM w WHERE f1 > 20e0*sqrt(v1) AND f2 IS NOT NULL),
-g AS (SELECT r.*, -top+2e0*top*i/47e0 AS t, 2e0*top/47e0*CASE WHEN i IN (0,47) THEN 0.5e0 ELSE 1e0 END AS w FROM r, generate_series(0,47) s(i)),
+g AS (SELECT r.*, top*(2e0*(i+0.5e0)/64e0-1e0) AS t, 2e0*top/64e0 AS w FROM r, generate_series(0,63) s(i)),
 a AS (SELECT *, 1e0/(1e0+exp(-t)) AS a FROM g),
 b AS (SELECT *, (1e0-a)*f1 AS p1, a*f1 AS p2, {_mag('(1e0-a)*f1')} AS m1, {_mag('a*f1')} AS m2 FROM a),
 h AS (SELECT b.*, kind, m1-17e0 AS u1, 20.8e0+0.375e0*(m1-20.5e0) AS c1, 0.5e0-0.3e0*0.3e0/0.8e0 AS k1, CASE kind WHEN 0 THEN 20.8e0+0.375e0*(m2-20.5e0) ELSE 21e0+0.5e0/1.2e0*(m2-21.5e0) END AS c2, CASE kind WHEN 0 THEN 0.5e0-0.3e0*0.3e0/0.8e0 ELSE 0.9e0-0.5e0*0.5e0/1.2e0 END AS k2,

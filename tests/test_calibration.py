@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenframe.operators import blend, calibrate, shapes
-from lumenframe.operators.mixture import Mixture, gaussian, log_prob
+from lumenframe.operators.mixture import Mixture, gaussian, log_prob, posterior_sums
 
 
 def model(seed=0, k=3, d=3):
@@ -21,62 +21,68 @@ def test_blend_magnitudes_come_back():
     assert np.allclose(blend.flux_at(blend.magnitude(f, 0.1), 0.1), f, atol=1e-9)
 
 
-def test_conditioned_colours_agree_with_the_dense_mixture():
+def test_parts_agree_with_the_dense_mixture():
     m = model()
-    got = blend.at_reference(m, 0, [0.7, -1.0], [1, 2], prune=1e9)
+    part = blend.Part(m, 0, [1, 2])
+    lw, means = part.at([0.7, -1.0])
     for i, v in enumerate((0.7, -1.0)):
         want = m.condition([0], v)
-        assert np.allclose(np.exp(got.log_weights[i]), want.weights)
-        assert np.allclose(got.means[i], want.means) and np.allclose(got.covs, want.covs)
-    assert np.isneginf(blend.at_reference(m, 0, [60.0], [1], prune=1.0).log_weights).any()
+        assert np.allclose(np.exp(lw[i]), want.weights) and np.allclose(means[i], want.means) and np.allclose(part.cov, want.covs)
 
 
-def test_blend_colours_against_sampling():
+def test_blend_density_against_sampling():
     """Narrow shapes, where the linear form holds: the sampled sum has the predicted mean and spread."""
-    one = blend.Conditioned(np.zeros((1, 1)), np.array([[[20.0]]]), np.array([[[1e-4]]]))
-    two = blend.Conditioned(np.zeros((1, 1)), np.array([[[20.7]]]), np.array([[[4e-4]]]))
-    soft = np.array([0.1])
+    soft, zero = np.array([0.1]), np.zeros((1, 1))
     rng = np.random.default_rng(3)
     y = blend.magnitude(blend.flux_at(20.0 + 0.01 * rng.standard_normal(200_000), 0.1) + blend.flux_at(20.7 + 0.02 * rng.standard_normal(200_000), 0.1), 0.1)
     grid = np.linspace(y.mean() - 0.2, y.mean() + 0.2, 2001)
-    p = np.exp([blend.colour_log_likelihood(np.array([g]), np.zeros((1, 1)), soft, one, two)[0] for g in grid])
+    at = lambda v: (np.zeros((len(grid), 1, 1)), np.full((len(grid), 1, 1, 1), v))
+    p = np.exp(blend.blend_density(grid[:, None], np.zeros((len(grid), 1, 1)), soft, at(20.0), at(20.7), [zero + 1e-4], [zero + 4e-4]))[:, 0]
     assert np.trapezoid(p, grid) == pytest.approx(1, abs=1e-6)
     assert np.trapezoid(p * grid, grid) == pytest.approx(y.mean(), abs=3e-4)
     assert np.sqrt(np.trapezoid(p * (grid - y.mean()) ** 2, grid)) == pytest.approx(y.std(), rel=0.02)
 
 
-def blends():
+def test_magnitude_prior_area():
+    p = blend.MagnitudePrior(np.array([16.0, 18.0, 20.0]), np.array([0.0, 2.0, 1.0]))
+    for u in (15.0, 16.5, 18.0, 19.2, 25.0):
+        fine = np.linspace(16.0, min(max(u, 16.0), 20.0), 20_001)
+        assert p.area(u) == pytest.approx(np.trapezoid(np.interp(fine, p.grid, p.density), fine), abs=1e-6)
+
+
+def blends(nodes=64):
     flat = np.ones(2)
     wide = np.array([16.0, 26.0])
     same, other = Mixture([1.0], [[20.0, 20.2]], [[[0.6, 0.55], [0.55, 0.6]]]), Mixture([1.0], [[20.0, 22.0]], [[[0.6, 0.55], [0.55, 0.6]]])
-    return blend.BlendModel(same, other, blend.MagnitudePrior(wide, flat), blend.MagnitudePrior(wide, flat), np.full(2, 0.1))
+    return blend.BlendModel(same, other, blend.MagnitudePrior(wide, flat), blend.MagnitudePrior(wide, flat), np.full(2, 0.1), nodes=nodes)
+
+
+def scored(rows, **k):
+    got = blend.score_rows(k.pop("model", blends()), np.array(rows, float), np.full((len(rows), 2), 1e-3), **k)
+    return [tuple(got[n][i] for n in blend.SCORE) for i in range(len(rows))]
 
 
 def test_blend_statuses_and_direction():
-    m = blends()
-    v = np.array([1e-3, 1e-3])
-    assert m.score(np.array([math.nan, 1.0]), v)[0] == "no_reference_band"
-    assert m.score(np.array([0.01, 1.0]), v)[0] == "too_faint_for_two_components"
-    assert m.score(np.array([-5.0, 1.0]), v)[0] == "too_faint_for_two_components"
     pair = blend.flux_at(np.array([20.0, 20.2]), 0.1) + blend.flux_at(np.array([20.3, 20.5]), 0.1)
     mixed = blend.flux_at(np.array([20.0, 20.2]), 0.1) + blend.flux_at(np.array([20.0, 22.0]), 0.1)
-    assert m.score(pair, v)[3] > 0.5 > m.score(mixed, v)[3]
-    assert m.score(pair, v, odds=1e-6)[3] < m.score(pair, v)[3]
-    status, same, other, p, *_ = m.score(np.array([10.0, math.nan]), v)
-    assert status == "ok" and p == pytest.approx(0.5) and same == pytest.approx(other)
+    rows = [[math.nan, 1.0], [0.01, 1.0], [-5.0, 1.0], pair, mixed, [10.0, math.nan], [1e6, 1.0]]
+    got = scored(rows)
+    assert [r[0] for r in got] == ["reference_missing", "below_pair_limit", "below_pair_limit", "ok", "ok", "ok", "no_hypothesis"]
+    assert got[3][3] > 0.5 > got[4][3] and scored([pair], odds=1e-6)[0][3] < got[3][3]
+    assert got[5][3] == pytest.approx(0.5) and got[5][1] == pytest.approx(got[5][2])
+    assert [scored([r])[0] for r in rows[3:6]] == [pytest.approx(r) for r in got[3:6]]
 
 
 def test_blend_grid_is_fine_enough():
-    m = blends()
-    finer = blend.BlendModel(m.same, m.other, m.same_prior, m.other_prior, m.soft, n_alpha=480)
-    flux, v = np.array([12.0, 9.0]), np.array([1e-3, 1e-3])
-    assert m.score(flux, v)[1:4] == pytest.approx(finer.score(flux, v)[1:4], abs=0.05)
+    rows = [[12.0, 9.0], [40.0, 30.0]]
+    for a, b in zip(scored(rows), scored(rows, model=blends(2000))):
+        assert a[1:4] == pytest.approx(b[1:4], abs=0.02)
 
 
 def test_blend_rows(spark):
     df = spark.createDataFrame([(1, [10.0, 9.0], [1e-3, 1e-3], "a"), (2, None, None, "b"), (3, [10.0, None], [1e-3, None], None)], "status long, flux array<double>, var array<double>, c0 string")
     got = blend.score_blends(df.withColumnRenamed("status", "id"), blends()).orderBy("id").collect()
-    assert [r["status"] for r in got] == ["ok", "no_reference_band", "ok"] and got[2]["c0"] is None
+    assert [r["status"] for r in got] == ["ok", "reference_missing", "ok"] and got[2]["c0"] is None
     assert blend.score_blends(df.limit(0).withColumnRenamed("status", "id"), blends()).count() == 0
 
 
@@ -91,17 +97,36 @@ def test_envelope_dominates():
     assert max(np.linalg.eigvalsh(c - k * k * base).max() for c in m.covs) == pytest.approx(0, abs=1e-8)
 
 
-def test_projected_moments_against_the_joint():
+def test_posterior_sums_against_the_joint():
+    """Row by row, by the gain."""
     m = model(2, 2, 3)
-    h, b = np.array([[1.0, 0.5, 0.0], [0.0, -1.0, 2.0]]), np.array([0.1, -0.2])
-    y, noise = np.random.default_rng(0).normal(size=(5, 2)), np.tile(np.array([[0.3, 0.1], [0.1, 0.4]]), (5, 1, 1))
-    lp, shift, cov = shapes.projected_moments(m, y, noise, h, b)
-    for k in range(2):
-        v = m.covs[k]
-        t = h @ v @ h.T + noise[0]
-        assert np.allclose(lp[:, k], gaussian(y - h @ m.means[k] - b, t))
-        gain = v @ h.T @ np.linalg.inv(t)
-        assert np.allclose(shift[:, k], (y - h @ m.means[k] - b) @ gain.T) and np.allclose(cov[0, k], v - gain @ h @ v)
+    h, b, t = np.array([[1.0, 0.5, 0.0], [0.0, -1.0, 2.0]]), np.array([0.1, -0.2]), np.array([[0.3, 0.1], [0.1, 0.4]])
+    rng = np.random.default_rng(0)
+    y, var, seen, w = rng.normal(size=(9, 2)), rng.random((9, 2)), np.ones((9, 2), bool), rng.random(9)
+    seen[3, 0] = seen[5, 1] = False
+    total, q0, q1, q2 = 0.0, np.zeros(2), np.zeros((2, 3)), np.zeros((2, 3, 3))
+    for i in range(9):
+        c = np.flatnonzero(seen[i])
+        lp, parts = [], []
+        for k in range(2):
+            v = m.covs[k]
+            cov = h[c] @ v @ h[c].T + t[np.ix_(c, c)] + np.diag(var[i, c])
+            off = y[i, c] - h[c] @ m.means[k] - b[c]
+            gain = v @ h[c].T @ np.linalg.inv(cov)
+            lp.append(np.log(m.weights[k]) + gaussian(off[None], cov)[0])
+            parts.append((gain @ off, v - gain @ h[c] @ v))
+        q = np.exp(lp - np.logaddexp(*lp)) * w[i]
+        total += w[i] * np.logaddexp(*lp)
+        for k, (s, c) in enumerate(parts):
+            q0[k] += q[k]
+            q1[k] += q[k] * s
+            q2[k] += q[k] * (c + np.outer(s, s))
+    for got, want in zip(posterior_sums(m, (h, b, t), y, var, seen, w, chunk=4), (total, q0, q1, q2)):
+        assert np.allclose(got, want)
+    mean, cov = shapes.moments_given(m, y[0], t + np.diag(var[0]), h, b)
+    v = m.covs[1]
+    gain = v @ h.T @ np.linalg.inv(h @ v @ h.T + t + np.diag(var[0]))
+    assert np.allclose(mean[1], m.means[1] + gain @ (y[0] - h @ m.means[1] - b)) and np.allclose(cov[1], v - gain @ h @ v)
 
 
 def test_tied_extended_floored_joined():

@@ -40,18 +40,20 @@ def test_identity_agrees_with_the_plain_fit(spark):
     assert np.allclose(a.means, b.means) and np.allclose(a.covs, b.covs) and np.allclose(a.weights, b.weights)
 
 
-@pytest.mark.parametrize("c", [latent.Constraint(0), latent.Constraint(0, free=True), latent.Constraint(0, groups=(0, 0))])
-def test_constraints_hold_and_the_objective_rises(spark, c):
+@pytest.mark.parametrize("blocks", [[latent.Block((0,), still=True), latent.Block((1,))], [latent.Block((0,)), latent.Block((1,))], [latent.Block((0,), still=True), latent.Block((1,), alike=("a", "a"))]])
+def test_blocks_hold_and_the_objective_rises(spark, blocks):
     df, systems = data(spark)
-    start = START if c.groups is None else Mixture(START.weights, [[-3.0, 1.0], [3.0, 1.0]], START.covs)
-    m, history, _ = latent.fit_latent(df, start, systems, iterations=6, constraint=c)
+    alike = blocks[1].alike
+    start = START if alike is None else Mixture(START.weights, [[-3.0, 1.0], [3.0, 1.0]], START.covs)
+    m, history, _ = latent.fit_latent(df, start, systems, iterations=6, blocks=blocks)
     assert np.allclose(m.covs[:, 0, 1], 0) and (np.diff(history) > -1e-9).all()
-    assert np.allclose(m.means[:, 0], start.means[:, 0]) != c.free
-    if c.groups:
+    assert np.allclose(m.means[:, 0], start.means[:, 0]) == blocks[0].still
+    if alike:
         assert m.means[0, 1] == m.means[1, 1] and m.covs[0, 1, 1] == m.covs[1, 1, 1]
-    bad = Mixture([1.0], [[0.0, 0.0]], [[[1.0, 0.5], [0.5, 1.0]]])
     with pytest.raises(ValueError):
-        latent.fit_latent(df, bad, systems, constraint=latent.Constraint(0))
+        latent.fit_latent(df, Mixture([1.0], [[0.0, 0.0]], [[[1.0, 0.5], [0.5, 1.0]]]), systems, blocks=blocks[:1] + [latent.Block((1,))])
+    with pytest.raises(ValueError):
+        latent.fit_latent(df, START, systems, blocks=blocks[:1])
 
 
 def test_refusals(spark):
