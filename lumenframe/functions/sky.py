@@ -39,30 +39,42 @@ def galactic(ra: Column, dec: Column) -> tuple[Column, Column]:
     return F.when(l < 0, l + 360.0).otherwise(l), F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), g[2]))))
 
 
+def let(body, **values: Column) -> Column:
+    """``body`` of a struct of ``values``, each computed once however often it is used: no growth of nested expressions."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body), 0)
+
+
 def nested_pixel(lon: Column, lat: Column, order: int) -> Column:
     """Nested equal-area pixel of a position in degrees, at ``4**order`` pixels a face."""
     n = 1 << order
-    z = F.sin(F.radians(lat))
-    tt = (lon / 90.0) % 4.0
-    t1, t2 = F.lit(float(n)) * (tt + 0.5), F.lit(0.75 * n) * z
-    jp, jm = F.floor(t1 - t2), F.floor(t1 + t2)
-    ifp, ifm = F.shiftright(jp, order), F.shiftright(jm, order)
-    face = F.when(ifp == ifm, ifp.bitwiseOR(F.lit(4))).when(ifp < ifm, ifp).otherwise(ifm + 8)
-    belt_x = jm.bitwiseAND(F.lit(n - 1))
-    belt_y = F.lit(n - 1) - jp.bitwiseAND(F.lit(n - 1))
-    ntt = F.least(F.lit(3).cast("long"), F.floor(tt))
-    tp = tt - ntt
-    u = F.lit(float(n)) * F.sqrt(F.lit(3.0) * (F.lit(1.0) - F.abs(z)))
-    pp = F.least(F.lit(n - 1).cast("long"), F.floor(tp * u))
-    pm = F.least(F.lit(n - 1).cast("long"), F.floor((F.lit(1.0) - tp) * u))
-    belt, north = F.abs(z) <= 2.0 / 3.0, z >= 0
-    f = F.when(belt, face).when(north, ntt).otherwise(ntt + 8)
-    x = F.when(belt, belt_x).when(north, F.lit(n - 1) - pm).otherwise(pp)
-    y = F.when(belt, belt_y).when(north, F.lit(n - 1) - pp).otherwise(pm)
-    pix = f * (n * n)
-    for i in range(order):
-        pix = pix + F.shiftleft(F.shiftright(x, i).bitwiseAND(F.lit(1)), 2 * i) + F.shiftleft(F.shiftright(y, i).bitwiseAND(F.lit(1)), 2 * i + 1)
-    return pix.cast("long")
+    top = F.lit(n - 1).cast("long")
+
+    def place(p):
+        """The sector, and the coordinates that the belt and the caps use."""
+        z, t = p["z"], p["t"]
+        ntt = F.least(F.lit(3).cast("long"), F.floor(t))
+        u = F.lit(float(n)) * F.sqrt(F.lit(3.0) * (F.lit(1.0) - F.abs(z)))
+        a, b = F.lit(float(n)) * (t + 0.5), F.lit(0.75 * n) * z
+        return let(face, z=z, ntt=ntt, jp=F.floor(a - b), jm=F.floor(a + b), pp=F.least(top, F.floor((t - ntt) * u)), pm=F.least(top, F.floor((F.lit(1.0) - (t - ntt)) * u)))
+
+    def face(p):
+        up, down = F.shiftright(p["jp"], order), F.shiftright(p["jm"], order)
+        belt, north = F.abs(p["z"]) <= 2.0 / 3.0, p["z"] >= 0
+        middle = F.when(up == down, up.bitwiseOR(F.lit(4))).when(up < down, up).otherwise(down + 8)
+        return let(
+            number,
+            f=F.when(belt, middle).when(north, p["ntt"]).otherwise(p["ntt"] + 8),
+            x=F.when(belt, p["jm"].bitwiseAND(top)).when(north, top - p["pm"]).otherwise(p["pp"]),
+            y=F.when(belt, top - p["jp"].bitwiseAND(top)).when(north, top - p["pp"]).otherwise(p["pm"]),
+        )
+
+    def number(p):
+        pix = p["f"] * (n * n)
+        for i in range(order):
+            pix = pix + F.shiftleft(F.shiftright(p["x"], i).bitwiseAND(F.lit(1)), 2 * i) + F.shiftleft(F.shiftright(p["y"], i).bitwiseAND(F.lit(1)), 2 * i + 1)
+        return pix.cast("long")
+
+    return let(place, z=F.sin(F.radians(lat)), t=(lon / 90.0) % 4.0)
 
 
 def parent_pixel(pix: Column, levels: int) -> Column:

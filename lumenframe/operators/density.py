@@ -39,11 +39,51 @@ def shrunk_density(cells: DataFrame, bins: int, counts: DataFrame, area: float,
     return x.select("pix", "bin", (w * F.coalesce("cell", F.lit(0.0)) + (F.lit(1.0) - w) * up).alias("density"), level.alias("level"))
 
 
-def merge_empty_bins(hist: DataFrame, least: int) -> DataFrame:
-    """Adjacent bins are merged from the left until each group holds ``least``; (bin, c) to (lo, hi, c). Few bins: one window."""
-    running = F.sum("c").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
-    grouped = hist.withColumn("g", F.floor(F.coalesce(running, F.lit(0)) / least))
-    return grouped.groupBy("g").agg(F.min("bin").alias("lo"), F.max("bin").alias("hi"), F.sum("c").alias("c")).drop("g")
+def merge_empty_bins(hist: DataFrame) -> DataFrame:
+    """(region, bin, c), every bin given, to (region, lo, hi, c): a bin that is empty in all regions joins the one below, the first ones the first that is not.
+
+    Windows run over bins, which are few.
+    """
+    pooled = hist.groupBy("bin").agg(F.sum("c").alias("all"))
+    full = F.sum(F.when(F.col("all") > 0, 1).otherwise(0)).over(Window.orderBy("bin"))
+    groups = pooled.select("bin", F.greatest(F.lit(1).cast("long"), full).alias("g"))
+    return hist.join(groups, "bin").groupBy("region", "g").agg(F.min("bin").alias("lo"), F.max("bin").alias("hi"), F.sum("c").alias("c")).drop("g")
+
+
+def edges_from_centres(centres: DataFrame, x: str = "x") -> DataFrame:
+    """(x, lo, hi): midpoints between centres, and half a bin beyond the first and the last. Centres are few: one window."""
+    w = Window.orderBy(x)
+    before, after = F.lag(x).over(w), F.lead(x).over(w)
+    v = F.col(x)
+    half = F.when(before.isNull(), after - v).otherwise(v - before) / 2.0
+    return centres.select(x, F.coalesce((before + v) / 2.0, v - half).alias("lo"), F.coalesce((v + after) / 2.0, v + half).alias("hi"))
+
+
+def slice_of(z: Column, first: float, last: float, step: float) -> Column:
+    """The slice of a value between ``first`` and ``last``: whole steps, so that round-off makes no extra slice at the end; null outside."""
+    n = round((last - first) / step)
+    at = F.floor((z - F.lit(first)) / F.lit(step) + F.lit(1e-9)).cast("int")
+    return F.when((z >= first) & (z <= last), F.least(F.lit(n - 1), at))
+
+
+def completeness_corrected(hist: DataFrame, completeness: Column, value: str = "c") -> DataFrame:
+    """Counts over completeness, as shares of one total. One number is joined back."""
+    raw = hist.withColumn("raw_", F.col(value) / completeness)
+    total = raw.agg(F.sum("raw_").alias("all_"))  # one row
+    return raw.crossJoin(F.broadcast(total)).withColumn("share", F.col("raw_") / F.col("all_")).drop("raw_", "all_")
+
+
+def weights_to_area(sample: DataFrame, area: float, weight: str = "weight") -> DataFrame:
+    """Sampling weights rescaled so that they add up to the area actually covered."""
+    total = sample.agg(F.sum(weight).alias("all_"))  # one row
+    return sample.crossJoin(F.broadcast(total)).withColumn(weight, F.col(weight) * F.lit(area) / F.col("all_")).drop("all_")
+
+
+def covered_cells(counts: DataFrame, share: float = 0.5) -> DataFrame:
+    """(pix, tile, c) to (pix, c, kept): the deepest of overlapping tiles, kept where it has at least ``share`` of the median cell."""
+    best = counts.groupBy("pix").agg(F.max("c").alias("c"))
+    middle = best.agg(F.percentile("c", F.lit(0.5)).alias("m_"))  # one row
+    return best.crossJoin(F.broadcast(middle)).select("pix", "c", (F.col("c") >= F.lit(share) * F.col("m_")).alias("kept"))
 
 
 def interpolate(points: DataFrame, grid: DataFrame, x: str = "x") -> DataFrame:

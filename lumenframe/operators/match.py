@@ -47,6 +47,32 @@ def nearest_match(left: DataFrame, right: DataFrame, radius_deg: float, left_key
     return left.select(F.col(left_key).alias("id")).join(best, F.col("id") == F.col("l_id"), "left").select("id", F.col("b.r_id").alias("r_id"), F.col("b.sep").alias("sep"), F.coalesce("n", F.lit(0)).alias("n_match"))
 
 
+def nearest_any(left: DataFrame, right: DataFrame, left_key: str = "id", right_key: str = "id") -> DataFrame:
+    """(id, r_id, sep) of the nearest right row at any distance; ties to the smaller id, nulls if there is none.
+
+    The first radius is a cell's width if right rows were spread evenly; rows without a match go on at twice the radius.
+    """
+    n = right.count()
+    todo = left.select(F.col(left_key).alias("id"), "ra", "dec")
+    if not n:
+        return todo.select("id", F.lit(None).cast(right.schema[right_key].dataType).alias("r_id"), F.lit(None).cast("double").alias("sep"))
+    radius, found = min(180.0, math.degrees(math.sqrt(4 * math.pi / n))), None
+    while True:
+        met = nearest_match(todo, right, radius, "id", right_key).filter("r_id is not null or id is null").select("id", "r_id", "sep").checkpoint()
+        found = met if found is None else found.unionByName(met)
+        todo = todo.join(met.select("id"), "id", "left_anti").filter("id is not null").checkpoint()
+        if radius >= 180.0 or not todo.take(1):
+            return found
+        radius = min(180.0, 2 * radius)
+
+
+def best_in_group(members: DataFrame, group: str, order: list) -> DataFrame:
+    """One row of each group, the first in a lexicographic order; a minimum, combined before the shuffle."""
+    rest = [c for c in members.columns if c != group]
+    best = members.groupBy(group).agg(F.min_by(F.struct(*rest), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])).alias("b"))
+    return best.select(group, "b.*")
+
+
 def match_counts(left: DataFrame, right: DataFrame, radius_deg: float, left_key: str = "id", right_key: str = "id") -> DataFrame:
     """(id, n), zeros included."""
     n = match_pairs(left, right, radius_deg, left_key, right_key).groupBy("l_id").count()

@@ -6,20 +6,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """One row (auc, n1, n0); ties count half; non-finite scores are dropped.
+def numbered(df: DataFrame, order: list[str], weight: str | None = None, parts: int = 256) -> DataFrame:
+    """``df`` with ``before``: how many rows (or how much ``weight``) come before each in ``order``, whose first column is a number.
 
-    Rows are first counted by score, so the running sum is over distinct scores, cut into ranges of the
-    score that are summed first: no window sees more than one range.
+    Rows are cut into ranges of the first column by approximate quantiles, ranges are summed, and windows run within a
+    range only: no task sees the whole table, unless one value has most of it.
     """
+    first = order[0]
+    row = df.agg(F.percentile_approx(first, [i / parts for i in range(1, parts)], 10_000).alias("ends")).first()
+    ends = sorted(set(row["ends"] or []))
+    r = F.size(F.filter(F.array(*[F.lit(float(e)) for e in ends]), lambda e: e <= F.col(first))) if ends else F.lit(0)
+    ranged = df.withColumn("r_", r)
+    w = F.lit(1) if weight is None else F.col(weight)
+    below = Window.orderBy("r_").rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each range, at most ``parts``
+    bases = ranged.groupBy("r_").agg(F.sum(w).alias("w_")).select("r_", F.coalesce(F.sum("w_").over(below), F.lit(0)).alias("base_"))
+    within = Window.partitionBy("r_").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.join(F.broadcast(bases), "r_").withColumn("before", F.col("base_") + F.coalesce(F.sum(w).over(within), F.lit(0))).drop("r_", "base_")
+
+
+def tiles(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """``df`` with ``tile``: 1 to n, of sizes that differ by one at most, the larger ones first."""
+    total = df.count()
+    size, more = divmod(total, n)
+    at = F.col("before")
+    late = F.floor((at - more * (size + 1)) / max(size, 1)) + more
+    return numbered(df, order).withColumn("tile", (F.when(at < more * (size + 1), F.floor(at / (size + 1))).otherwise(late) + 1).cast("int")).drop("before")
+
+
+def auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """One row (auc, n1, n0); ties count half; non-finite scores are dropped. Rows are first counted by score."""
     s = df.filter(F.col(score).isNotNull() & ~F.isnan(score)).groupBy(F.col(score).alias("s")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("q"))
-    s = s.withColumn("r", F.floor(F.col("s") * 64))
-    below = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = s.groupBy("r").agg(F.sum("q").alias("rq")).select("r", F.coalesce(F.sum("rq").over(below), F.lit(0)).alias("base"))
-    within = Window.partitionBy("r").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    x = s.join(ranges, "r").withColumn("under", F.col("base") + F.coalesce(F.sum("q").over(within), F.lit(0)))
     n1, n0 = F.sum("p"), F.sum("q")
-    return x.agg((F.sum(F.col("p") * (F.col("under") + F.col("q") * 0.5)) / (n1 * n0)).alias("auc"), n1.alias("n1"), n0.alias("n0"))
+    return numbered(s, ["s"], "q").agg((F.sum(F.col("p") * (F.col("before") + F.col("q") * 0.5)) / (n1 * n0)).alias("auc"), n1.alias("n1"), n0.alias("n0"))
 
 
 def roc(df: DataFrame, thresholds: list[float], score: str = "score", label: str = "label") -> DataFrame:
@@ -46,8 +65,14 @@ def log_loss(df: DataFrame, score: str = "score", label: str = "label", weight:
 def weighted_quantile(df: DataFrame, q: float, x: str = "x", weight: str = "w") -> DataFrame:
     """The smallest value at which the running weight reaches ``q`` of the whole."""
     s = df.groupBy(x).agg(F.sum(weight).alias("w"))
-    s = s.withColumn("run", F.sum("w").over(Window.orderBy(x))).withColumn("all", F.sum("w").over(Window.partitionBy()))
-    return s.filter(F.col("run") >= F.lit(q) * F.col("all")).agg(F.min(x).alias("value"))
+    total = s.agg(F.sum("w").alias("all"))  # one row
+    return numbered(s, [x], "w").crossJoin(F.broadcast(total)).filter(F.col("before") + F.col("w") >= F.lit(q) * F.col("all")).agg(F.min(x).alias("value"))
+
+
+def contamination(df: DataFrame, retention: float, score: str = "score", label: str = "label") -> DataFrame:
+    """(threshold, contamination): the score that keeps ``retention`` of label 1, and the share of label 0 at or above it."""
+    cut = df.filter(F.col(label) == 1).agg(F.percentile(score, F.lit(1.0 - retention)).alias("threshold"))  # one row
+    return df.filter(F.col(label) == 0).crossJoin(F.broadcast(cut)).groupBy("threshold").agg(F.avg((F.col(score) >= F.col("threshold")).cast("double")).alias("contamination"))
 
 
 def capped_sample(df: DataFrame, stratum: list[str], key: str, most: int) -> DataFrame:

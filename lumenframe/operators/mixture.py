@@ -215,6 +215,23 @@ def conditional_log_prob(m: Mixture, x, var, observed, anchor: int) -> np.ndarra
     return log_prob(m, x, var, observed) - log_prob(m, x, var, only)
 
 
+def conditional_nearest(m: Mixture, x, var, observed, anchor: int) -> np.ndarray:
+    """Smallest Mahalanobis distance of the other coordinates given the anchor; 0 where only the anchor is seen, NaN without it."""
+    out = np.full(len(x), np.nan)
+    for cols, rows in by_mask(observed):
+        if anchor not in cols:
+            continue
+        rest = cols[cols != anchor]
+        best = np.full(len(rows), 0.0 if not len(rest) else np.inf)
+        for k in range(len(m.weights) if len(rest) else 0):
+            gain = m.covs[k][rest, anchor] / (m.covs[k][anchor, anchor] + var[rows, anchor])[:, None]
+            off = x[np.ix_(rows, rest)] - m.means[k, rest] - gain * (x[rows, anchor] - m.means[k, anchor])[:, None]
+            cov = m.covs[k][np.ix_(rest, rest)] - gain[:, :, None] * m.covs[k][anchor, rest] + var[np.ix_(rows, rest)][:, :, None] * np.eye(len(rest))
+            best = np.minimum(best, np.sqrt((off * np.linalg.solve(cov, off[:, :, None])[:, :, 0]).sum(1)))
+        out[rows] = best
+    return out
+
+
 def student_t(x: np.ndarray, mean: np.ndarray, scale: np.ndarray, dof: float) -> np.ndarray:
     """Log density of a multivariate Student t."""
     d = x.shape[1]
@@ -242,7 +259,7 @@ def mixture_columns(df: DataFrame, models: dict[str, Mixture], kind: str = "log_
 
     ``x`` and ``var`` are DOUBLE arrays; a coordinate is missing where its value is null or NaN or its variance is.
     """
-    functions = {"log_prob": log_prob, "nearest": nearest_component, "conditional": conditional_log_prob}
+    functions = {"log_prob": log_prob, "nearest": nearest_component, "conditional": conditional_log_prob, "conditional_nearest": conditional_nearest}
     f = functions[kind]
     width = next(iter(models.values())).means.shape[1]
     names = list(df.columns)

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions.scalar import trapezoid
 
-#: Statuses in the order in which the first that holds is reported.
-STATUSES = ("blended_not_scored", "insufficient_photometry", "window_outside_model_support", "qso_prior_empty_at_this_magnitude", "no_prior_posterior_unavailable", "primary_z_outside_model_support")
-
 
 def posterior(same: Column, field: Column, background: Column, outlier: Column | None = None) -> dict[str, Column]:
     """X02 from log intensities: p_same, p_vs_background, p_object, p_outlier; the largest is taken out first."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -90,6 +91,22 @@ def compare_versions(old: DataFrame, new: DataFrame, key: str, columns: list[str
     )
 
 
+def projection(registry: dict[str, dict[str, str]], survey: str, present: list[str]) -> list[Column]:
+    """The SELECT list of a survey: the registry gives an expression for each standard name; columns that it needs and are not there are named in the error."""
+    spec = registry[survey]
+    words = {w for e in spec.values() for w in re.findall(r"[A-Za-z_]\w*", e)}
+    missing = sorted(w for w in words if w.startswith(tuple({c.split("_")[0] + "_" for c in present})) and w not in present)
+    if missing:
+        raise KeyError(f"{survey} needs {', '.join(missing)}")
+    return [F.expr(e).alias(name) for name, e in spec.items()]
+
+
+def chi_square(x: Column, y: Column, sx: Column, sy: Column, rho: Column) -> Column:
+    """of two correlated measurements against zero; null where a scale is not positive or the correlation is 1."""
+    a, b = x / sx, y / sy
+    return F.when((sx > 0) & (sy > 0) & (F.abs(rho) < 1), (a * a + b * b - F.lit(2.0) * rho * a * b) / (F.lit(1.0) - rho * rho))
+
+
 def photometry(value: Column, error: Column, kind: str, good: Column | None = None, scale: float = 1.0) -> tuple[Column, Column]:
     """(flux, variance) in native units of one band, null where unusable; negative fluxes stay.
 

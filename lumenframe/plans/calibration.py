@@ -44,14 +44,17 @@ def colour_map(spark, sf):
     return w.select("id", *[q(m).alias(f"m{i + 1}") for i, m in enumerate(mapped)], *[q(s).alias(f"s{i + 1}") for i, s in enumerate(slopes)], q(mixed).alias("mixed"))
 
 
-@query("A09", f"WITH {MEAS}, s AS (SELECT channel, sum(1e0/var) AS w, sum(flux/var) AS wx, sum(flux*flux/var) AS wxx, count(*) AS n FROM m GROUP BY 1) SELECT channel, n, {Q('wx/w')} AS mean, {Q('wxx/w-(wx/w)*(wx/w)')} AS variance FROM s")
+@query("A09", f"WITH {MEAS}, s AS (SELECT channel, sum(flux/var)/sum(1e0/var) AS mean FROM m GROUP BY 1) SELECT channel, count(*) AS n, {Q('any_value(mean)')} AS mean, {Q('sum((flux-mean)*(flux-mean)/var)/sum(1e0/var)')} AS variance FROM m JOIN s USING (channel) GROUP BY 1")
 def weighted_moments(spark, sf):
+    """About the mean, in a second pass: nothing cancels. The means are one row for each channel, of which there are seven."""
     from .inputs import meas
 
-    w, x = F.lit(1.0) / F.col("var"), F.col("flux")
-    s = meas(spark, sf).groupBy("channel").agg(F.count("*").alias("n"), F.sum(w).alias("w"), F.sum(w * x).alias("wx"), F.sum(w * x * x).alias("wxx"))
-    mean = F.col("wx") / F.col("w")
-    return s.select("channel", "n", q(mean).alias("mean"), q(F.col("wxx") / F.col("w") - mean * mean).alias("variance"))
+    m = meas(spark, sf)
+    w = F.lit(1.0) / F.col("var")
+    means = m.groupBy("channel").agg((F.sum(w * F.col("flux")) / F.sum(w)).alias("mean"))
+    off = F.col("flux") - F.col("mean")
+    s = m.join(F.broadcast(means), "channel").groupBy("channel").agg(F.count("*").alias("n"), F.first("mean").alias("mean"), (F.sum(w * off * off) / F.sum(w)).alias("variance"))
+    return s.select("channel", "n", q(F.col("mean")).alias("mean"), q(F.col("variance")).alias("variance"))
 
 
 @query("M09, M06", f"WITH {WIDE} SELECT id, CASE WHEN f1 IS NULL THEN 'all' WHEN f3 IS NULL AND f4 IS NULL AND f5 IS NULL AND f6 IS NULL AND f7 IS NULL THEN 'pair' WHEN f4 IS NULL AND f5 IS NULL AND f6 IS NULL AND f7 IS NULL THEN 'triple' ELSE 'all' END AS model FROM w")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .registry import table
@@ -25,21 +25,26 @@ def Q(x: str) -> str:
     return f"floor(({x})*1e6+0.5e0)/1e6+0e0"
 
 
-def sky(df: DataFrame, key: str) -> DataFrame:
+def sky(df: DataFrame, key: str, every: int, shift: float) -> DataFrame:
+    """Positions spread evenly by key, but every so-manieth key lies ``shift`` degrees east of the key before it."""
     k = F.col(key)
-    return df.select(k.alias("id"), (F.lit(360.0) * frac(k, A)).alias("ra"), F.degrees(F.asin(F.lit(2.0) * frac(k, B) - F.lit(1.0))).alias("dec"), (F.lit(16.0) + F.lit(8.0) * frac(k, C)).alias("mag"))
+    near = k % every == 0
+    at = F.when(near, k - 1).otherwise(k)
+    ra = F.lit(360.0) * frac(at, A) + F.when(near, F.lit(shift)).otherwise(F.lit(0.0))
+    return df.select(k.alias("id"), (ra - F.lit(360.0) * F.floor(ra / F.lit(360.0))).alias("ra"), F.degrees(F.asin(F.lit(2.0) * frac(at, B) - F.lit(1.0))).alias("dec"), (F.lit(16.0) + F.lit(8.0) * frac(k, C)).alias("mag"))
 
 
-def _sky(name: str, t: str, key: str) -> str:
-    return f"{name} AS (SELECT {key} AS id, 360e0*{_frac(key, A)} AS ra, degrees(asin(2e0*{_frac(key, B)}-1e0)) AS dec, 16e0+8e0*{_frac(key, C)} AS mag FROM {t})"
+def _sky(name: str, t: str, key: str, every: int, shift: float) -> str:
+    at = f"(CASE WHEN {key} % {every} = 0 THEN {key} - 1 ELSE {key} END)"
+    return f"{name} AS (SELECT id, ra - 360e0*floor(ra/360e0) AS ra, dec, mag FROM (SELECT {key} AS id, 360e0*{_frac(at, A)} + CASE WHEN {key} % {every} = 0 THEN {shift}e0 ELSE 0e0 END AS ra, degrees(asin(2e0*{_frac(at, B)}-1e0)) AS dec, 16e0+8e0*{_frac(key, C)} AS mag FROM {t}))"
 
 
 def _vec(name: str) -> str:
     return f"{name}v AS (SELECT *, cos(radians(dec))*cos(radians(ra)) AS x, cos(radians(dec))*sin(radians(ra)) AS y, sin(radians(dec)) AS z FROM {name})"
 
 
-SKY_C = _sky("c", "customer", "c_custkey") + ", " + _vec("c")
-SKY_S = _sky("s", "supplier", "s_suppkey") + ", " + _vec("s")
+SKY_C = _sky("c", "customer", "c_custkey", 10, 0.25) + ", " + _vec("c")
+SKY_S = _sky("s", "supplier", "s_suppkey", 3, 0.5) + ", " + _vec("s")
 CHORD = "((l.x-r.x)*(l.x-r.x)+(l.y-r.y)*(l.y-r.y)+(l.z-r.z)*(l.z-r.z))"
 SEP = f"degrees(2e0*asin(sqrt(least(1e0,{CHORD}/4e0))))"
 
@@ -49,21 +54,27 @@ def pairs_sql(left: str, right: str, radius: float) -> str:
 
 
 def sky_c(spark, sf):
-    return sky(table(spark, sf, "customer"), "c_custkey")
+    return sky(table(spark, sf, "customer"), "c_custkey", 10, 0.25)
 
 
 def sky_s(spark, sf):
-    return sky(table(spark, sf, "supplier"), "s_suppkey")
+    return sky(table(spark, sf, "supplier"), "s_suppkey", 3, 0.5)
+
+
+_ORDER = ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+
+
+def _measured(x: Column) -> tuple[Column, Column]:
+    """Flux and variance of a line (a struct)."""
+    return x["l_extendedprice"] * (F.lit(1.0) - x["l_discount"]) / F.lit(5000.0) - F.lit(1.0), F.pow(F.lit(0.05) + x["l_tax"], F.lit(2.0))
 
 
 def meas(spark, sf) -> DataFrame:
-    """(id, channel, flux, var): one row of each channel of an order; absent lines are missing measurements."""
-    order = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    one = table(spark, sf, "lineitem").withColumn("n", F.row_number().over(order)).filter("n = 1")
-    return one.select(
-        F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("channel"),
-        (F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount")) / F.lit(5000.0) - F.lit(1.0)).alias("flux"), F.pow(F.lit(0.05) + F.col("l_tax"), F.lit(2.0)).alias("var"),
-    )
+    """(id, channel, flux, var): one row of each channel of an order, its first line; absent lines are missing measurements. A minimum, combined before the shuffle."""
+    line = F.struct(*_ORDER, "l_discount", "l_tax")
+    one = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("channel")).agg(F.min_by(line, F.struct(*_ORDER)).alias("x"))
+    flux, var = _measured(F.col("x"))
+    return one.select("id", "channel", flux.alias("flux"), var.alias("var"))
 
 
 MEAS = """m AS (SELECT l_orderkey AS id, l_linenumber AS channel, l_extendedprice*(1e0-l_discount)/5000e0-1e0 AS flux, pow(0.05e0+l_tax,2e0) AS var FROM (
@@ -71,10 +82,12 @@ MEAS = """m AS (SELECT l_orderkey AS id, l_linenumber AS channel, l_extendedpric
 
 
 def wide(spark, sf) -> DataFrame:
-    """One row an object: f1..f7, v1..v7, null where missing. Aggregates over cases, no pivot discovery job."""
-    m = meas(spark, sf)
-    cols = [F.max(F.when(F.col("channel") == c, F.col(x))).alias(f"{x[0]}{c}") for c in CHANNELS for x in ("flux", "var")]
-    return m.groupBy("id").agg(*cols)
+    """One row an object: f1..f7, v1..v7, null where missing. One aggregation by order, no pivot discovery job."""
+    line, order = F.struct(*_ORDER, "l_discount", "l_tax"), F.struct(*_ORDER)
+    at = lambda c: F.min_by(F.when(F.col("l_linenumber") == c, line), F.when(F.col("l_linenumber") == c, order)).alias(f"x{c}")
+    one = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(*[at(c) for c in CHANNELS])
+    cols = [(c, *_measured(F.col(f"x{c}"))) for c in CHANNELS]
+    return one.select("id", *[x.alias(f"{n}{c}") for c, f, v in cols for n, x in (("f", f), ("v", v))])
 
 
 WIDE = MEAS + ", w AS (SELECT id, " + ", ".join(f"max(CASE WHEN channel={c} THEN {x} END) AS {x[0]}{c}" for c in CHANNELS for x in ("flux", "var")) + " FROM m GROUP BY id)"

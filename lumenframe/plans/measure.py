@@ -16,7 +16,7 @@ P = 2.5 / math.log(10.0)
 q = S.quantise
 
 
-@query("P01, S08, P18", f"WITH {MEAS} SELECT id, channel, CASE WHEN flux > 0 THEN {Q('22.5e0-2.5e0*log10(flux)')} END AS mag, {Q('flux/sqrt(var)')} AS snr FROM m WHERE var > 0")
+@query("P01, P18", f"WITH {MEAS} SELECT id, channel, CASE WHEN flux > 0 THEN {Q('22.5e0-2.5e0*log10(flux)')} END AS mag, {Q('flux/sqrt(var)')} AS snr FROM m WHERE var > 0")
 def flux_to_mag(spark, sf):
     return meas(spark, sf).filter("var > 0").select("id", "channel", q(S.flux_to_mag(F.col("flux"))).alias("mag"), q(S.snr(F.col("flux"), F.col("var"))).alias("snr"))
 
@@ -34,7 +34,7 @@ def asinh_magnitude(spark, sf):
     return meas(spark, sf).select("id", "channel", q(am).alias("am"), q(S.asinh_slope(f, 0.1)).alias("slope"), q(S.inverse_asinh_mag(am, 0.1), 9).alias("back"))
 
 
-@query("P11, P12, P13", f"WITH {MEAS} SELECT id, channel, {Q('flux*pow(10e0,0.4e0*2.165e0*(id%7/20e0))')} AS flux, {Q('var*pow(10e0,0.8e0*2.165e0*(id%7/20e0))')} AS var, CASE WHEN id%5 > 0 THEN {Q('flux/(id%5/5e0)')} END AS by_t FROM m")
+@query("P11, P12", f"WITH {MEAS} SELECT id, channel, {Q('flux*pow(10e0,0.4e0*2.165e0*(id%7/20e0))')} AS flux, {Q('var*pow(10e0,0.8e0*2.165e0*(id%7/20e0))')} AS var, CASE WHEN id%5 > 0 THEN {Q('flux/(id%5/5e0)')} END AS by_t FROM m")
 def deredden(spark, sf):
     e, t = F.col("id") % 7 / 20.0, F.col("id") % 5 / 5.0
     return meas(spark, sf).select("id", "channel", q(S.deredden_flux(F.col("flux"), e, 2.165)).alias("flux"), q(S.deredden_variance(F.col("var"), e, 2.165)).alias("var"), q(S.by_transmission(F.col("flux"), F.lit(1.0), t)[0]).alias("by_t"))
@@ -55,7 +55,7 @@ def _lvar(c: int) -> str:
     return f"(v{c}*pow({P}e0/sqrt(f{c}*f{c}+0.04e0),2e0))"
 
 
-@query("P10, P08, P23, P24", f"WITH {WIDE} SELECT id, {Q(_lupt(1) + '-' + _lupt(2))} AS c12, {Q(_lupt(2) + '-' + _lupt(3))} AS c23, {Q(_lvar(1) + '+' + _lvar(2))} AS v12, {Q('-' + _lvar(2))} AS cov, {Q(_lvar(2) + '+' + _lvar(3))} AS v23 FROM w WHERE f1 IS NOT NULL AND f2 IS NOT NULL AND f3 IS NOT NULL")
+@query("P10, P08, P23", f"WITH {WIDE} SELECT id, {Q(_lupt(1) + '-' + _lupt(2))} AS c12, {Q(_lupt(2) + '-' + _lupt(3))} AS c23, {Q(_lvar(1) + '+' + _lvar(2))} AS v12, {Q('-' + _lvar(2))} AS cov, {Q(_lvar(2) + '+' + _lvar(3))} AS v23 FROM w WHERE f1 IS NOT NULL AND f2 IS NOT NULL AND f3 IS NOT NULL")
 def asinh_colours(spark, sf):
     m = [S.asinh_mag(F.col(f"f{c}"), 0.1) for c in (1, 2, 3)]
     v = [F.col(f"v{c}") * F.pow(S.asinh_slope(F.col(f"f{c}"), 0.1), F.lit(2.0)) for c in (1, 2, 3)]
@@ -81,12 +81,12 @@ def trapezoid_area(spark, sf):
     return g.select("id", q(S.trapezoid(F.col("p.x"), F.col("p.y"))).alias("area"))
 
 
-@query("P36, X26", "SELECT event_id AS id, CASE WHEN regexp_full_match(s, '[0-9]{1,19}') AND try_cast(s AS BIGINT) > 0 THEN try_cast(s AS BIGINT) END AS key, CAST(CAST(event_id*9007199254740993 % 4611686018427387904 AS DOUBLE) AS BIGINT) <> event_id*9007199254740993 % 4611686018427387904 AS rounded FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '-' || event_id WHEN 1 THEN event_id || 'x' WHEN 2 THEN '0' || event_id ELSE '99999999999999999999' END AS s FROM events WHERE event_id < 400)")
+@query("P36, X26", "SELECT event_id AS id, CASE WHEN regexp_full_match(s, '[0-9]{1,19}') AND try_cast(s AS BIGINT) > 0 THEN try_cast(s AS BIGINT) END AS key, CAST(CAST(9007199254740993+event_id AS DOUBLE) AS BIGINT) <> 9007199254740993+event_id AS rounded FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '-' || event_id WHEN 1 THEN event_id || 'x' WHEN 2 THEN '0' || event_id ELSE '99999999999999999999' END AS s FROM events)")
 def exact_ids(spark, sf):
-    e = table(spark, sf, "events").filter("event_id < 400").select(F.col("event_id").alias("id"))
+    e = table(spark, sf, "events").select(F.col("event_id").alias("id"))
     k = F.col("id").cast("string")
     s = F.when(F.col("id") % 4 == 0, F.concat(F.lit("-"), k)).when(F.col("id") % 4 == 1, F.concat(k, F.lit("x"))).when(F.col("id") % 4 == 2, F.concat(F.lit("0"), k)).otherwise(F.lit("99999999999999999999"))
-    big = F.col("id") * F.lit(9007199254740993) % F.lit(4611686018427387904)
+    big = F.col("id") + F.lit(9007199254740993)
     return e.select("id", S.valid_id(s).alias("key"), (big.cast("double").cast("long") != big).alias("rounded"))
 
 
@@ -131,7 +131,7 @@ def blend_policy(spark, sf):
     return u.select("id", "n", "part", F.array_join(v, ",").alias("flags"))
 
 
-@query("P22, F16, F17", "WITH u AS (SELECT p_partkey AS id, p_retailprice/400e0-1.5e0 AS c, p_size FROM part), d AS (SELECT id, c, p_size, CASE WHEN c < 0.5e0 THEN 1.154360e0+0.033772e0*c+0.032277e0*c*c WHEN c < 4e0 THEN 1.162004e0+0.011464e0*c+0.049255e0*c*c-0.005879e0*c*c*c ELSE 1.057572e0+0.140537e0*c END AS lim FROM u) SELECT id, " + Q("lim") + " AS lim, (id % 10 = 0 OR (c < 1e0 AND p_size > 25)) AND NOT c > 3e0 AS likely FROM d")
+@query("P22, F16", "WITH u AS (SELECT p_partkey AS id, p_retailprice/400e0-1.5e0 AS c, p_size FROM part), d AS (SELECT id, c, p_size, CASE WHEN c < 0.5e0 THEN 1.154360e0+0.033772e0*c+0.032277e0*c*c WHEN c < 4e0 THEN 1.162004e0+0.011464e0*c+0.049255e0*c*c-0.005879e0*c*c*c ELSE 1.057572e0+0.140537e0*c END AS lim FROM u) SELECT id, " + Q("lim") + " AS lim, (id % 10 = 0 OR (c < 1e0 AND p_size > 25)) AND NOT c > 3e0 AS likely FROM d")
 def point_source_limit(spark, sf):
     u = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_retailprice") / 400.0 - 1.5).alias("c"), "p_size")
     return u.select("id", q(S.point_source_limit(F.col("c"))).alias("lim"), (((F.col("id") % 10 == 0) | ((F.col("c") < 1.0) & (F.col("p_size") > 25))) & ~(F.col("c") > 3.0)).alias("likely"))
@@ -164,7 +164,7 @@ def reference_choice(spark, sf):
     return wide(spark, sf).select("id", L.reference_channel(snr, 5.0).alias("reference"), L.passing_channel(snr, 5.0).alias("passing"))
 
 
-@query("P15, P16, P17, P46", f"WITH {MEAS}, s AS (SELECT id, CASE WHEN id%2=0 THEN 'north' ELSE 'south' END || ':b' || channel AS label, flux FROM m UNION ALL SELECT id, 'both:b' || channel, flux FROM m WHERE channel <= 2) SELECT id, label, split_part(label,':',1) AS survey, split_part(label,':',2) AS band, {Q('flux')} AS flux FROM s")
+@query("P15, P16, P17", f"WITH {MEAS}, s AS (SELECT id, CASE WHEN id%2=0 THEN 'north' ELSE 'south' END || ':b' || channel AS label, flux FROM m UNION ALL SELECT id, 'both:b' || channel, flux FROM m WHERE channel <= 2) SELECT id, label, split_part(label,':',1) AS survey, split_part(label,':',2) AS band, {Q('flux')} AS flux FROM s")
 def channel_routing(spark, sf):
     m = meas(spark, sf)
     own = F.concat(F.when(F.col("id") % 2 == 0, "north").otherwise("south"), F.lit(":b"), F.col("channel").cast("string"))

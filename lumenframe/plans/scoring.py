@@ -52,7 +52,7 @@ _BIVARIATE = "(-0.5e0*(2e0*1.8378770664093453e0+ln((0.5e0+v1)*(0.4e0+v2)-0.04e0)
 _FIRST = "(-0.5e0*(1.8378770664093453e0+ln(0.5e0+v1)+(f1-1e0)*(f1-1e0)/(0.5e0+v1)))"
 
 
-@query("M02, M07, M08, M01", f"WITH {WIDE} SELECT id, {Q(_BIVARIATE)} AS joint, {Q(f'{_BIVARIATE}-{_FIRST}')} AS given FROM w WHERE f1 IS NOT NULL AND f2 IS NOT NULL")
+@query("M02, M07, M01", f"WITH {WIDE} SELECT id, {Q(_BIVARIATE)} AS joint, {Q(f'{_BIVARIATE}-{_FIRST}')} AS given FROM w WHERE f1 IS NOT NULL AND f2 IS NOT NULL")
 def conditional_logprob(spark, sf):
     """The full-covariance kernel against the closed form in two dimensions."""
     m = mixture.Mixture([1.0], [[1.0, 2.0]], [[[0.5, 0.2], [0.2, 0.4]]])
@@ -100,7 +100,7 @@ def hypotheses(spark, sf):
     )
 
 
-@query("X01, X02, X03, X05, X06, X07, X14, M19", f"{_HYP} SELECT vec_id, {Q('s/(s+f+b+o)')} AS p_same, {Q('s/(s+b+o)')} AS p_vs_background, {Q('(s+f)/(s+f+b+o)')} AS p_object, {Q('o/(s+f+b+o)')} AS p_outlier, {Q('top+ln(s+f+b+o)')} AS log_total, CASE WHEN vec_id%17=0 THEN 'blended_not_scored' WHEN bkg < -90e0 THEN 'window_outside_model_support' ELSE 'ok' END AS status FROM x")
+@query("X01, X02, X03, X05, M19", f"{_HYP} SELECT vec_id, {Q('s/(s+f+b+o)')} AS p_same, {Q('s/(s+b+o)')} AS p_vs_background, {Q('(s+f)/(s+f+b+o)')} AS p_object, {Q('o/(s+f+b+o)')} AS p_outlier, {Q('top+ln(s+f+b+o)')} AS log_total, CASE WHEN vec_id%17=0 THEN 'blended_not_scored' WHEN bkg < -90e0 THEN 'window_outside_model_support' ELSE 'ok' END AS status FROM x")
 def four_hypothesis_score(spark, sf):
     h = hypotheses(spark, sf)
     p = score.posterior(F.col("same"), F.col("field"), F.col("bkg"), F.col("outl"))
@@ -108,7 +108,7 @@ def four_hypothesis_score(spark, sf):
     return h.select("vec_id", *[q(c).alias(n) for n, c in p.items()], status.alias("status"))
 
 
-@query("X04, X13", f"{_HYP} SELECT vec_id, {Q('greatest(s/(s+b),s/(s+b+o),s/(s+f+b))-least(s/(s+b),s/(s+b+o),s/(s+f+b))')} AS spread FROM x WHERE s+b > 0")
+@query("X04", f"{_HYP} SELECT vec_id, {Q('greatest(s/(s+b),s/(s+b+o),s/(s+f+b))-least(s/(s+b),s/(s+b+o),s/(s+f+b))')} AS spread FROM x WHERE s+b > 0")
 def compare_backgrounds(spark, sf):
     h = hypotheses(spark, sf)
     top = F.greatest("same", "field", "bkg", "outl")
@@ -116,9 +116,9 @@ def compare_backgrounds(spark, sf):
     return h.filter((s + b) > 0).select("vec_id", q(score.spread(s / (s + b), s / (s + b + o), s / (s + f + b))).alias("spread"))
 
 
-@query("X10, X11, P40", f"WITH {WIDE}, g AS (SELECT unnest(range(0,21))::INT AS i), l AS (SELECT id, i, -0.5e0*pow((f2-(f1+(i-10)*0.2e0))/0.5e0,2e0) AS a, -0.5e0*pow((i-10)*0.2e0,2e0) AS p FROM w, g WHERE f1 IS NOT NULL AND f2 IS NOT NULL AND id < 3000), t AS (SELECT id, i, a+p AS t, max(a+p) OVER (PARTITION BY id) AS top FROM l) SELECT id, {Q('max(top)+ln(sum(CASE WHEN i IN (0,20) THEN 0.5e0 ELSE 1e0 END*0.2e0*exp(t-top)))')} AS lp FROM t GROUP BY id")
+@query("X10, X11, P40", f"WITH {WIDE}, g AS (SELECT unnest(range(0,21))::INT AS i), l AS (SELECT id, i, -0.5e0*pow((f2-(f1+(i-10)*0.2e0))/0.5e0,2e0) AS a, -0.5e0*pow((i-10)*0.2e0,2e0) AS p FROM w, g WHERE f1 IS NOT NULL AND f2 IS NOT NULL), t AS (SELECT id, i, a+p AS t, max(a+p) OVER (PARTITION BY id) AS top FROM l) SELECT id, {Q('max(top)+ln(sum(CASE WHEN i IN (0,20) THEN 0.5e0 ELSE 1e0 END*0.2e0*exp(t-top)))')} AS lp FROM t GROUP BY id")
 def fallback_marginalised(spark, sf):
-    w = wide(spark, sf).filter("f1 is not null and f2 is not null and id < 3000")
+    w = wide(spark, sf).filter("f1 is not null and f2 is not null")
     grid = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: (i - 10) * F.lit(0.2))
     like = F.transform(grid, lambda g: F.lit(-0.5) * F.pow((F.col("f2") - (F.col("f1") + g)) / 0.5, F.lit(2.0)))
     prior = F.transform(grid, lambda g: F.lit(-0.5) * F.pow(g, F.lit(2.0)))
@@ -151,19 +151,19 @@ def weighted_log_loss(spark, sf):
     return metrics.log_loss(scored(spark, sf), weight=F.lit(1.0) + F.col("block")).select(q(F.col("log_loss")).alias("log_loss"))
 
 
-@query("A18, W05, V07", f"WITH {SCORED}, s AS (SELECT score, sum(1e0+block%3) AS w FROM t GROUP BY 1), r AS (SELECT score, sum(w) OVER (ORDER BY score) AS run, sum(w) OVER () AS tot FROM s) SELECT {Q('min(score)')} AS value FROM r WHERE run >= 0.9e0*tot")
+@query("A18, W05", f"WITH {SCORED}, s AS (SELECT score, sum(1e0+block%3) AS w FROM t GROUP BY 1), r AS (SELECT score, sum(w) OVER (ORDER BY score) AS run, sum(w) OVER () AS tot FROM s) SELECT {Q('min(score)')} AS value FROM r WHERE run >= 0.9e0*tot")
 def weighted_quantile(spark, sf):
     t = scored(spark, sf).select(F.col("score").alias("x"), (F.lit(1.0) + F.col("block") % 3).alias("w"))
     return metrics.weighted_quantile(t, 0.9).select(q(F.col("value")).alias("value"))
 
 
-@query("A18, V05, V06, E12", f"WITH {SCORED} SELECT block, {Q('median(score)')} AS med, {Q('quantile_cont(score,0.9e0)')} AS q90, count(CASE WHEN score > 0.5e0 THEN 1 END) AS above, count(CASE WHEN score > 0.5e0 AND label=1 THEN 1 END) AS hits FROM t GROUP BY block")
+@query("A18, V05, E12", f"WITH {SCORED} SELECT block, {Q('median(score)')} AS med, {Q('quantile_cont(score,0.9e0)')} AS q90, count(CASE WHEN score > 0.5e0 THEN 1 END) AS above, count(CASE WHEN score > 0.5e0 AND label=1 THEN 1 END) AS hits FROM t GROUP BY block")
 def strata_performance(spark, sf):
     t = scored(spark, sf)
     return t.groupBy("block").agg(q(F.percentile("score", F.lit(0.5))).alias("med"), q(F.percentile("score", F.lit(0.9))).alias("q90"), F.count(F.when(F.col("score") > 0.5, 1)).alias("above"), F.count(F.when((F.col("score") > 0.5) & (F.col("label") == 1), 1)).alias("hits"))
 
 
-@query("W06, W05", f"WITH {MEAS}, s AS (SELECT channel, CAST(floor(flux) AS BIGINT) AS b, count(*) AS n FROM m GROUP BY ALL) SELECT channel, b, {Q('sum(n) OVER (PARTITION BY channel ORDER BY b)/sum(n) OVER (PARTITION BY channel)')} AS cdf FROM s")
+@query("W05", f"WITH {MEAS}, s AS (SELECT channel, CAST(floor(flux) AS BIGINT) AS b, count(*) AS n FROM m GROUP BY ALL) SELECT channel, b, {Q('sum(n) OVER (PARTITION BY channel ORDER BY b)/sum(n) OVER (PARTITION BY channel)')} AS cdf FROM s")
 def cumulative_distribution(spark, sf):
     from .inputs import meas
 
@@ -186,7 +186,7 @@ def _em_sql(iterations: int) -> str:
     return ", ".join(steps) + f" SELECT grp, g, {Q('w')} AS w FROM w{iterations}"
 
 
-@query("A21, E09", _em_sql(3))
+@query("A21", _em_sql(3))
 def weight_em(spark, sf):
     lp = class_log_probs(spark, sf).join(table(spark, sf, "embeddings").select("vec_id", (F.col("label") % 3).alias("grp")), "vec_id")
     w = estimate.component_weights(lp.select("grp", F.col("vec_id").alias("row"), F.col("g").alias("k"), "lp"), ["grp"], 3)
@@ -199,7 +199,7 @@ def mixing_fraction(spark, sf):
     return spark.createDataFrame([(estimate.mixing_fraction(h, "bkg", "field"),)], "eta double")
 
 
-@query("E01, E02, E13, A11, A27, M03")
+@query("E01, E02, E13, A11, M03")
 def xd_fit(spark, sf):
     """Two components over three incomplete noisy channels."""
     w = wide(spark, sf).select("id", F.array("f1", "f2", "f3").alias("x"), F.array("v1", "v2", "v3").alias("var"))
@@ -208,7 +208,7 @@ def xd_fit(spark, sf):
     return spark.createDataFrame([(k, float(m.weights[k]), m.means[k].tolist(), m.covs[k].ravel().tolist(), len(history), history[-1]) for k in range(2)], "k int, weight double, mean array<double>, cov array<double>, passes int, log_density double")
 
 
-@query("E05, E06, E07")
+@query("E05, E06")
 def grouped_fits(spark, sf):
     w = wide(spark, sf).filter("f1 is not null and f2 is not null").select((F.col("id") % 5).alias("cell"), F.array("f1", "f2").alias("x"), F.array("v1", "v2").alias("var"))
     return estimate.fit_groups(w, ["cell"], 2, 50, 2)
@@ -227,7 +227,7 @@ def outlier_tail(spark, sf):
     return score.tail_p_value(d, "sigma", d).select("id", q(F.col("sigma")).alias("sigma"), q(F.col("p")).alias("p"))
 
 
-@query("F18, S18", "SELECT CAST(floor(epoch(ts)/3600) AS BIGINT) AS hour, event_type, count(*) AS n, " + Q("avg(value)") + " AS mean FROM events GROUP BY ALL")
+@query("", "SELECT CAST(floor(epoch(ts)/3600) AS BIGINT) AS hour, event_type, count(*) AS n, " + Q("avg(value)") + " AS mean FROM events GROUP BY ALL")
 def windowed_rates(spark, sf):
     from lumenframe.streaming.score import windowed_rates as rates
 
