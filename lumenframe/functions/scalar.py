@@ -125,11 +125,20 @@ def log_thinning(t: Column) -> Column:
     return -F.log1p(F.exp(-t))
 
 
+def let(body, **values: Column) -> Column:
+    """``body`` of a struct of ``values``, each computed once however often it is used: no growth of nested expressions."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body), 0)
+
+
 def trapezoid(x: Column, y: Column) -> Column:
     """P28 over two arrays of equal length."""
-    steps = F.sequence(F.lit(1), F.size(x) - 1)
-    area = F.transform(steps, lambda i: (F.get(y, i - 1) + F.get(y, i)) * F.lit(0.5) * (F.get(x, i) - F.get(x, i - 1)))
-    return F.when(F.size(x) > 1, F.aggregate(area, F.lit(0.0), lambda a, b: a + b)).otherwise(F.lit(0.0))
+
+    def area(p):
+        x, y = p["x"], p["y"]
+        parts = F.transform(F.sequence(F.lit(1), F.size(x) - 1), lambda i: (F.get(y, i - 1) + F.get(y, i)) * F.lit(0.5) * (F.get(x, i) - F.get(x, i - 1)))
+        return F.when(F.size(x) > 1, F.aggregate(parts, F.lit(0.0), lambda a, b: a + b)).otherwise(F.lit(0.0))
+
+    return let(area, x=x, y=y)
 
 
 def valid_id(text: Column) -> Column:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scalar import let
+
 #: The J2000 rotation from equatorial to Galactic axes.
 GALACTIC = (
     (-0.0548755604, -0.8734370902, -0.4838350155),
@@ -39,11 +41,6 @@ def galactic(ra: Column, dec: Column) -> tuple[Column, Column]:
     return F.when(l < 0, l + 360.0).otherwise(l), F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), g[2]))))
 
 
-def let(body, **values: Column) -> Column:
-    """``body`` of a struct of ``values``, each computed once however often it is used: no growth of nested expressions."""
-    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body), 0)
-
-
 def nested_pixel(lon: Column, lat: Column, order: int) -> Column:
     """Nested equal-area pixel of a position in degrees, at ``4**order`` pixels a face."""
     n = 1 << order

@@ -15,6 +15,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.functions.scalar import let
+
 from .mixture import Mixture, matrix, posterior_sums
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -97,19 +99,22 @@ def mixing_fraction(df: DataFrame, log_a: str, log_b: str, iterations: int = 25,
 
 
 def component_weights(lp: DataFrame, by: list[str], iterations: int = 5) -> DataFrame:
-    """Weights of fixed component densities (``by``, row, k, lp), all groups at once; relational EM."""
+    """Weights of fixed component densities (``by``, row, k, lp), all groups at once; each round's weights are a checkpoint, so the plan does not grow."""
     keep = [*by, "row", "k", "lp"]
     comps = lp.select(*by, "k").distinct()
     sizes = comps.groupBy(*by).agg(F.count("*").alias("nk")) if by else comps.agg(F.count("*").alias("nk"))
-    w = (comps.join(F.broadcast(sizes), by) if by else comps.crossJoin(F.broadcast(sizes))).withColumn("w", F.lit(1.0) / F.col("nk")).drop("nk")
+    w = (comps.join(sizes, by) if by else comps.crossJoin(F.broadcast(sizes))).withColumn("w", F.lit(1.0) / F.col("nk")).drop("nk")
     base = lp.select(*keep)
     top = base.groupBy(*by, "row").agg(F.max("lp").alias("top"))
-    base = base.join(top, [*by, "row"]).withColumn("e", F.exp(F.col("lp") - F.col("top"))).select(*by, "row", "k", "e")
+    each = F.collect_list(F.struct("k", F.exp(F.col("lp") - F.col("top")).alias("e")))
+    # one row for each row of the data, dealt out once
+    rows = base.join(top, [*by, "row"]).groupBy(*by, "row").agg(each.alias("each")).checkpoint()
     for _ in range(iterations):
-        joined = base.join(w, [*by, "k"]).withColumn("ew", F.col("e") * F.col("w"))
-        norm = joined.groupBy(*by, "row").agg(F.sum("ew").alias("z"))
-        q = joined.join(norm, [*by, "row"]).withColumn("q", F.col("ew") / F.col("z"))
-        w = q.groupBy(*by, "k").agg(F.avg("q").alias("w"))
+        model = w.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("k", "w"))).alias("w")) if by else w.agg(F.map_from_entries(F.collect_list(F.struct("k", "w"))).alias("w"))
+        joined = rows.join(model, by) if by else rows.crossJoin(F.broadcast(model))  # without groups: one row
+        ew = F.transform("each", lambda s: F.struct(s["k"].alias("k"), (s["e"] * F.element_at("w", s["k"])).alias("v")))
+        q = joined.select(*by, let(lambda p: F.transform(p["ew"], lambda s: F.struct(s["k"].alias("k"), (s["v"] / p["z"]).alias("q"))), ew=ew, z=F.aggregate(ew, F.lit(0.0), lambda a, s: a + s["v"])).alias("q"))
+        w = q.select(*by, F.inline("q")).groupBy(*by, "k").agg(F.avg("q").alias("w")).checkpoint()
     return w
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.functions.scalar import trapezoid
+from lumenframe.functions.scalar import let, trapezoid
 
 
 def posterior(same: Column, field: Column, background: Column, outlier: Column | None = None) -> dict[str, Column]:
@@ -45,23 +45,32 @@ def slice_density(log_p: Column, z: Column, first: float, step: float, n: int) -
 
 def grid_posterior(log_p: Column, grid: Column) -> Column:
     """Density over the grid (an array), normalised by the trapezoid rule."""
-    top = F.array_max(log_p)
-    e = F.transform(log_p, lambda v: F.exp(v - top))
-    area = trapezoid(grid, e)
-    return F.transform(e, lambda v: v / area)
+    scaled = let(lambda p: F.transform(p["l"], lambda v: F.exp(v - p["top"])), l=log_p, top=F.array_max(log_p))
+    return let(lambda p: let(lambda a: F.transform(a["e"], lambda v: v / a["area"]), e=p["e"], area=trapezoid(p["x"], p["e"])), e=scaled, x=grid)
 
 
 def window_probability(posterior_array: Column, grid: Column, lo: Column, hi: Column) -> Column:
-    """Posterior mass on the grid's nodes within [lo, hi]."""
-    inside = F.zip_with(posterior_array, grid, lambda p, g: F.when((g >= lo) & (g <= hi), p).otherwise(F.lit(0.0)))
-    return trapezoid(grid, inside)
+    """Posterior mass within [lo, hi], whose ends need not be nodes: the density is linear between nodes."""
+
+    def mass(p):
+        x, y = p["x"], p["y"]
+
+        def part(i):
+            x0, x1, y0, y1 = F.get(x, i - 1), F.get(x, i), F.get(y, i - 1), F.get(y, i)
+            a, b = F.greatest(p["lo"], x0), F.least(p["hi"], x1)
+            middle = y0 + (y1 - y0) * ((a + b) / F.lit(2.0) - x0) / (x1 - x0)
+            return F.when(b > a, middle * (b - a)).otherwise(F.lit(0.0))
+
+        return F.aggregate(F.transform(F.sequence(F.lit(1), F.size(x) - 1), part), F.lit(0.0), lambda a, b: a + b)
+
+    return let(mass, x=grid, y=posterior_array, lo=lo, hi=hi)
 
 
 def marginalise(log_like: Column, log_prior: Column, grid: Column) -> Column:
     """Log of the integral of exp(like + prior) over an unknown on a grid."""
     terms = F.zip_with(log_like, log_prior, lambda a, b: a + b)
-    top = F.array_max(terms)
-    return top + F.log(trapezoid(grid, F.transform(terms, lambda v: F.exp(v - top))))
+    over = lambda p: p["top"] + F.log(trapezoid(p["x"], F.transform(p["t"], lambda v: F.exp(v - p["top"]))))
+    return let(lambda p: let(over, t=p["t"], x=p["x"], top=F.array_max(p["t"])), t=terms, x=grid)
 
 
 def spread(*scores: Column) -> Column:

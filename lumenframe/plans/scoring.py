@@ -80,11 +80,11 @@ def redshift_posterior(spark, sf):
     return class_wide(spark, sf).select("vec_id", F.posexplode(p).alias("node", "p")).select("vec_id", "node", q(F.col("p")).alias("p"))
 
 
-@query("M14, W06", f"{_POST}, inside AS (SELECT vec_id, g, CASE WHEN g BETWEEN 1 AND 3 THEN p ELSE 0e0 END AS p FROM p) SELECT vec_id, {Q('sum(CASE WHEN g IN (0,4) THEN 0.5e0 ELSE 1e0 END*p)')} AS p FROM inside GROUP BY 1")
+@query("M14, W06", f"{_POST}, seg AS (SELECT vec_id, g, p, lead(p) OVER (PARTITION BY vec_id ORDER BY g) AS n, greatest(0.7e0,g) AS a, least(3.2e0,g+1) AS b FROM p) SELECT vec_id, {Q('sum(CASE WHEN n IS NOT NULL AND b>a THEN (p+(n-p)*((a+b)/2e0-g))*(b-a) ELSE 0e0 END)')} AS p FROM seg GROUP BY 1")
 def p_match(spark, sf):
     grid = F.array(*[F.lit(float(i)) for i in range(5)])
     w = class_wide(spark, sf).withColumn("p", score.grid_posterior(F.slice("lp", 1, 5), grid))
-    return w.select("vec_id", q(score.window_probability(F.col("p"), grid, F.lit(1.0), F.lit(3.0))).alias("p"))
+    return w.select("vec_id", q(score.window_probability(F.col("p"), grid, F.lit(0.7), F.lit(3.2))).alias("p"))
 
 
 _HYP = f"""WITH {VEC}, w AS (SELECT vec_id, max(CASE WHEN g=0 THEN lp END) AS l0, {", ".join(f"max(CASE WHEN g={i} THEN lp END) AS l{i}" for i in range(1, 10))} FROM lp GROUP BY 1),
@@ -188,6 +188,9 @@ def _em_sql(iterations: int) -> str:
 
 @query("A21", _em_sql(3))
 def weight_em(spark, sf):
+    from .skyjoin import _checkpoints
+
+    _checkpoints(spark)
     lp = class_log_probs(spark, sf).join(table(spark, sf, "embeddings").select("vec_id", (F.col("label") % 3).alias("grp")), "vec_id")
     w = estimate.component_weights(lp.select("grp", F.col("vec_id").alias("row"), F.col("g").alias("k"), "lp"), ["grp"], 3)
     return w.select("grp", F.col("k").alias("g"), q(F.col("w")).alias("w"))
