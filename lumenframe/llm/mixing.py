@@ -127,12 +127,27 @@ def _rated(sized: DataFrame, max_repeats: float) -> DataFrame:
     return both.withColumn("rate", rate).withColumn("whole", F.floor("rate")).withColumn("p", F.col("rate") - F.floor("rate"))
 
 
+def _with_in_band(live: DataFrame, chunk: int, most: int = 10_000) -> DataFrame:
+    """``live`` with in_band, the rows of its source and size band (1 where they fit one chunk); no band of many rows is shuffled by its key.
+
+    A band above both ``chunk`` and a ``most``-th of all rows is looked up in a broadcast table: fewer
+    than ``most`` bands can be that large. Bands between the two meet their count in a shuffled join.
+    """
+    full = materialise(live.groupBy("sid", "band").agg(F.count("*").alias("in_band")).filter(F.col("in_band") > chunk), "mix-bands")
+    crowd = full.agg(F.sum("in_band")).first()[0] or 0
+    large = max(chunk, math.ceil(crowd / most))
+    out = live.join(F.broadcast(full.filter(F.col("in_band") > large)), ["sid", "band"], "left")
+    if large > chunk:
+        rest = out.filter("in_band is null").drop("in_band").join(full.filter(F.col("in_band") <= large), ["sid", "band"], "left")
+        out = out.filter("in_band is not null").unionByName(rest)
+    return out.withColumn("in_band", F.coalesce("in_band", F.lit(1)))
+
+
 def _extra(rated: DataFrame, chunk: int, seed: int) -> DataFrame:
     """(rid) of the documents whose fraction is rounded up."""
     live = rated.filter("size > 0 and p > 0").select("sid", "ord", "th", "rid", "size", "p", F.floor(F.log2(F.col("size")) * 4).alias("band"))
-    full = live.groupBy("sid", "band").agg(F.count("*").alias("in_band"))
     same = live.groupBy("ord", "th").agg(F.count("*").alias("same")).filter(F.col("same") > chunk)
-    chunks = live.join(full, ["sid", "band"])
+    chunks = _with_in_band(live, chunk)
     if same.take(1):  # repeated rows: a running number parts them
         again = chunks.join(same, ["ord", "th"])
         number = F.row_number().over(Window.partitionBy("ord", "th").orderBy("rid"))
@@ -140,7 +155,6 @@ def _extra(rated: DataFrame, chunk: int, seed: int) -> DataFrame:
     else:
         chunks = chunks.withColumn("part", F.lit(0))
     chunks = chunks.withColumn("salt", F.pmod(F.xxhash64("ord", "th", "part"), F.ceil(F.col("in_band") / chunk))).withColumn("u", _uniform(seed))
-    # without this exchange the groups would reuse that of the join, by source and band alone
     dealt = chunks.select("sid", "ord", "th", "rid", "size", "u", "p", "band", "salt").repartition("sid", "band", "salt")
     done = [materialise(dealt.groupBy("sid", "band", "salt").applyInPandas(_round, ROUNDED), "mix-0")]
     residual, before = done[0].filter("left"), None

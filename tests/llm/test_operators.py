@@ -189,6 +189,18 @@ def test_shingles_are_sets_of_words():
     assert len(a) == 1 and a[0] == b[0] and len(c) == 0 and len(d) == 1
 
 
+def test_size_bands_meet_their_count_whatever_the_join(spark):
+    """Large bands by broadcast, middling ones by shuffle, small ones as one chunk: each row stays, with the same count."""
+    sizes = {1: 40, 2: 9, 3: 7, 4: 2, 5: 1}
+    rows = [(sid, band, 100 * sid + i) for sid, n in sizes.items() for band in (3, 4) for i in range(n if band == 3 else 1)]
+    live = spark.createDataFrame(rows, "sid long, band long, rid long")
+    for most in (10_000, 3, 1):
+        got = mixing._with_in_band(live, 4, most).select("sid", "band", "rid", "in_band").collect()
+        want = [(s, b, r, sizes[s] if b == 3 and sizes[s] > 4 else 1) for s, b, r in rows]
+        assert sorted(map(tuple, got)) == sorted(want)
+    assert mixing._with_in_band(live.limit(0), 4).count() == 0
+
+
 def test_mixing_targets_and_copies(spark, texts):
     rng = random.Random(1)
     d = spark.createDataFrame([(i, prose(rng, rng.randrange(0, 60)) if i % 17 else None, rng.choice(["a", "a", "a", "b", "c", None]), "x") for i in range(1500)], "doc_id long, text string, source string, size string")
