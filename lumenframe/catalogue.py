@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenframe.plans import build, calibration, measure, scoring, skyjoin  # noqa: F401  they register their queries
+from lumenframe.plans import build, calibration, field, measure, scoring, skyjoin  # noqa: F401  they register their queries
 from lumenframe.plans.registry import OPERATORS, QUERIES, SQL
 
 

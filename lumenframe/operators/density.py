@@ -94,3 +94,21 @@ def interpolate(points: DataFrame, grid: DataFrame, x: str = "x") -> DataFrame:
     i = F.least(F.size(t) - 2, F.greatest(F.lit(0), F.size(F.filter(t, lambda p: p["x"] <= v)) - 1))
     a, b = F.get(t, i), F.get(t, i + 1)
     return points.crossJoin(F.broadcast(table)).withColumn("y", a["y"] + (b["y"] - a["y"]) * (v - a["x"]) / (b["x"] - a["x"])).drop("t")
+
+
+def shrunk_weights(rows: DataFrame, k: int, shift: int, n0: float) -> DataFrame:
+    """(pix, component from 0 to k - 1) to (pix, w): each cell's shares of the components, drawn to its parent's and these to all, by n / (n + n0).
+
+    Rows of no such component do not count.
+    """
+    cells = rows.filter((F.col("component") >= 0) & (F.col("component") < k)).groupBy("pix").agg(F.array(*[F.count_if(F.col("component") == j) for j in range(k)]).alias("c"), F.count("*").alias("n"))
+    sums = [F.array(*[F.sum(F.get("c", F.lit(j))) for j in range(k)]).alias("c"), F.sum("n").alias("n")]
+    parents = cells.groupBy(F.shiftright("pix", shift).alias("parent")).agg(*sums)
+    whole = parents.agg(*sums).select(F.transform("c", lambda v: v / F.col("n")).alias("up"))  # one row
+
+    def drawn(up: str) -> Column:
+        a = F.col("n") / (F.col("n") + F.lit(n0))
+        return F.transform("c", lambda v, i: a * (v / F.col("n")) + (F.lit(1.0) - a) * F.get(up, i)).alias("w")
+
+    above = parents.crossJoin(F.broadcast(whole)).select("parent", drawn("up").alias("up"))
+    return cells.withColumn("parent", F.shiftright("pix", shift)).join(above, "parent").select("pix", drawn("up"))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Cumulative probabilities of a Poisson(1) count of 0 to 7.
+POISSON = [round(sum(1 / math.factorial(i) for i in range(k + 1)) / math.e, 12) for k in range(8)]
+
+
 def numbered(df: DataFrame, order: list[str], weight: str | None = None, parts: int = 256) -> DataFrame:
     """``df`` with ``before``: how many rows (or how much ``weight``) come before each in ``order``, whose first column is a number.
 
@@ -69,9 +75,36 @@ def weighted_quantile(df: DataFrame, q: float, x: str = "x", weight: str = "w")
     return numbered(s, [x], "w").crossJoin(F.broadcast(total)).filter(F.col("before") + F.col("w") >= F.lit(q) * F.col("all")).agg(F.min(x).alias("value"))
 
 
+def quantiles(df: DataFrame, at: list[float], x: str = "x") -> DataFrame:
+    """One row (q): the exact quantiles of the numbers in ``x``, interpolated linearly; null where there are none.
+
+    Values are counted, then ranked within ranges; only the rows that hold a wanted rank, at most two a quantile, come together.
+    """
+    s = df.filter(F.col(x).isNotNull() & ~F.isnan(x)).groupBy(F.col(x).alias("s")).agg(F.count("*").alias("n"))
+    total = s.agg(F.sum("n").alias("all"))  # one row
+    places = F.array(*[(F.col("all") - 1) * F.lit(float(p)) for p in at])
+    holds = lambda r, k: (r["before"] <= k) & (k < r["before"] + r["n"])
+    row = F.struct("s", "before", "n")
+    wanted = F.exists("places", lambda k: holds(row, F.floor(k)) | holds(row, F.ceil(k)))
+    held = numbered(s, ["s"], "n").crossJoin(F.broadcast(total.select(places.alias("places")))).filter(wanted)
+    few = held.agg(F.collect_list(row).alias("rows"), F.first("places").alias("places"))
+    value = lambda k: F.get(F.filter("rows", lambda r: holds(r, k)), F.lit(0))["s"]
+    return few.select(F.transform("places", lambda k: value(F.floor(k)) + (value(F.ceil(k)) - value(F.floor(k))) * (k - F.floor(k))).alias("q"))
+
+
+def roc_at_quantiles(df: DataFrame, at: list[float], score: str = "score", label: str = "label") -> DataFrame:
+    """(i, threshold, tpr, fpr) at quantiles of all scores, in one more pass; rates are null without rows of their label."""
+    rows = df.filter(F.col(score).isNotNull() & ~F.isnan(score))
+    x = rows.crossJoin(F.broadcast(quantiles(rows, at, score)))  # one row
+    yes = F.col(label) == 1
+    rate = lambda of, t: F.try_divide(F.count_if(of & (F.col(score) >= t)), F.count_if(of))
+    aggs = [F.struct(F.lit(i).alias("i"), F.first(t).alias("threshold"), rate(yes, t).alias("tpr"), rate(~yes, t).alias("fpr")).alias(f"t{i}") for i, t in ((i, F.get("q", F.lit(i))) for i in range(len(at)))]
+    return x.agg(*aggs).select(F.explode(F.array(*[F.col(f"t{i}") for i in range(len(at))])).alias("x")).select("x.*")
+
+
 def contamination(df: DataFrame, retention: float, score: str = "score", label: str = "label") -> DataFrame:
     """(threshold, contamination): the score that keeps ``retention`` of label 1, and the share of label 0 at or above it."""
-    cut = df.filter(F.col(label) == 1).agg(F.percentile(score, F.lit(1.0 - retention)).alias("threshold"))  # one row
+    cut = quantiles(df.filter(F.col(label) == 1), [1.0 - retention], score).select(F.get("q", F.lit(0)).alias("threshold"))  # one row
     return df.filter(F.col(label) == 0).crossJoin(F.broadcast(cut)).groupBy("threshold").agg(F.avg((F.col(score) >= F.col("threshold")).cast("double")).alias("contamination"))
 
 
@@ -88,17 +121,30 @@ def capped_sample(df: DataFrame, stratum: list[str], key: str, most: int) -> Dat
     )
 
 
+def times_drawn(block: Column, draw: Column) -> Column:
+    """A Poisson(1) count, at most 8, from the first 28 bits of the md5 of ``block:draw``."""
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", block, draw).cast("binary")), 1, 7), 16, 10).cast("long") / F.lit(float(1 << 28))
+    return F.size(F.filter(F.array(*map(F.lit, POISSON)), lambda edge: edge <= u))
+
+
 def block_bootstrap(df: DataFrame, block: str, draws: int, statistic) -> DataFrame:
     """``statistic`` (a list of aggregate columns using the count column ``times``) of each draw.
 
     A block's Poisson(1) count of a draw comes from a hash of both, so draws need no copy of the data in
     memory and reruns agree. Blocks are reduced by the caller first; each meets a fixed number of draws.
     """
-    u = F.pmod(F.xxhash64(F.col(block), F.col("draw"), F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
-    times, edge, p = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(8):
-        edge += p
-        times = times + F.when(u >= edge, 1).otherwise(0)
-        p /= k + 1
-    drawn = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("times", times)
+    drawn = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("times", times_drawn(F.col(block), F.col("draw")))
     return drawn.groupBy("draw").agg(*statistic)
+
+
+def census(df: DataFrame, block: str, bin: str, bins: int, area: float, draws: int) -> DataFrame:
+    """(bin, density, error): counts of each bin over the area of the blocks, one of ``area`` each, and their spread over resamplings of whole blocks.
+
+    Rows are first counted by block; rows outside the bins count in none.
+    """
+    blocks = df.groupBy(block).agg(*[F.count_if(F.col(bin) == j).alias(f"c{j}") for j in range(bins)])
+    rates = lambda w: [F.try_divide(F.sum(w * F.col(f"c{j}")), F.sum(w) * F.lit(area)).alias(f"e{j}") for j in range(bins)]
+    errors = block_bootstrap(blocks, block, draws, rates(F.col("times"))).agg(*[F.stddev_pop(f"e{j}").alias(f"s{j}") for j in range(bins)])
+    both = blocks.agg(*rates(F.lit(1))).crossJoin(F.broadcast(errors))  # one row each
+    each = [F.struct(F.lit(j).alias("bin"), F.col(f"e{j}").alias("density"), F.col(f"s{j}").alias("error")) for j in range(bins)]
+    return both.select(F.explode(F.array(*each)).alias("x")).select("x.*")

@@ -104,3 +104,13 @@ def tail_p_value(df: DataFrame, distance: str, calibration: DataFrame) -> DataFr
     nearer = counts.join(F.broadcast(ranges), "r").select("v", (F.col("base") + F.coalesce(F.sum("n").over(within), F.lit(0))).alias("nearer"))
     p = (F.lit(1.0) + F.lit(total) - F.col("nearer")) / F.lit(float(total + 1))
     return df.join(nearer, F.col(distance) == F.col("v"), "left").withColumn("p", p).drop("v", "nearer")
+
+
+def share_of(wanted: Column, other: Column) -> Column:
+    """The share of ``wanted`` in the sum of both, arrays of log densities with their log priors."""
+
+    def mass(p, name):
+        return F.aggregate(p[name], F.lit(0.0), lambda s, v: s + F.exp(v - p["top"]))
+
+    shares = lambda p: let(lambda m: m["a"] / (m["a"] + m["b"]), a=mass(p, "a"), b=mass(p, "b"))
+    return let(shares, a=wanted, b=other, top=F.greatest(F.array_max(wanted), F.array_max(other)))

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .calibrate import polynomial
+
 #: The morphology codes.
 POINT, EXTENDED = ("PSF",), ("REX", "EXP", "DEV", "SER", "DUP")
 
@@ -147,3 +149,9 @@ def balanced_holdout(counts: dict, share: float, least: int, seed: int, draws: i
         if min(held.min(), (total - held).min()) >= least:
             return [names[i] for i in pick]
     raise ValueError("no draw leaves every band on both sides")
+
+
+def colour_window(m: Column, sigma: Column, colour: Column, coefficients: list[float], below: float, above: float, spread: float = 5.0) -> tuple[Column, Column, Column]:
+    """lower end, upper end and centre of the window in which a reference magnitude may lie, from another band's and a polynomial of a colour."""
+    centre = m + polynomial(colour, coefficients)
+    return centre - F.lit(below) - F.lit(spread) * sigma, centre + F.lit(above) + F.lit(spread) * sigma, centre

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.operators.metrics import POISSON
+
 from .registry import table
 
 A, B, C = 0.6180339887498949, 0.7548776662466927, 0.5698402909980532
@@ -93,6 +95,12 @@ def wide(spark, sf) -> DataFrame:
 WIDE = MEAS + ", w AS (SELECT id, " + ", ".join(f"max(CASE WHEN channel={c} THEN {x} END) AS {x[0]}{c}" for c in CHANNELS for x in ("flux", "var")) + " FROM m GROUP BY id)"
 
 
+def times_sql(block: str, draw: str) -> str:
+    """How often a block is in a draw: the SQL of ``metrics.times_drawn``."""
+    u = f"(('0x'||substr(md5({block}||':'||{draw}),1,7))::BIGINT/268435456e0)"
+    return "(" + "+".join(f"CAST({u}>={edge}e0 AS INT)" for edge in POISSON) + ")"
+
+
 def vec(spark, sf) -> DataFrame:
     return table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
 

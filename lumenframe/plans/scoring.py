@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lumenframe.functions.scalar import quantise as q
 from lumenframe.operators import estimate, metrics, mixture, score
 
-from .inputs import MEAS, SCORED, VEC, WIDE, Q, scored, vec, wide
+from .inputs import MEAS, SCORED, VEC, WIDE, Q, scored, times_sql, vec, wide
 from .registry import query, table
 
 
@@ -171,12 +171,12 @@ def cumulative_distribution(spark, sf):
     return s.select("channel", "b", q(F.sum("n").over(Window.partitionBy("channel").orderBy("b")) / F.sum("n").over(Window.partitionBy("channel"))).alias("cdf"))
 
 
-@query("W16, V08")
+@query("W16, V08", f"WITH {SCORED}, b AS (SELECT block, count(CASE WHEN label=1 AND score>0.5e0 THEN 1 END) AS hit, sum(label) AS n FROM t GROUP BY 1), d AS (SELECT b.*, draw, {times_sql('block', 'draw')} AS times FROM b, (SELECT unnest(range(0,200)) AS draw)), s AS (SELECT draw, sum(times*hit) AS hit, sum(times*n) AS n FROM d GROUP BY draw) SELECT CAST(draw AS INT) AS draw, CAST(hit AS BIGINT) AS hit, CAST(n AS BIGINT) AS n, hit::DOUBLE/nullif(n,0)::DOUBLE AS recall FROM s")
 def block_bootstrap(spark, sf):
     """Recall above one half in 200 resamplings of blocks."""
     b = scored(spark, sf).groupBy("block").agg(F.count_if((F.col("label") == 1) & (F.col("score") > 0.5)).alias("hit"), F.sum("label").alias("n"))
     drawn = metrics.block_bootstrap(b, "block", 200, [F.sum(F.col("times") * F.col("hit")).alias("hit"), F.sum(F.col("times") * F.col("n")).alias("n")])
-    return drawn.select("draw", "hit", "n", (F.col("hit") / F.col("n")).alias("recall"))
+    return drawn.select("draw", "hit", "n", F.try_divide("hit", "n").alias("recall"))
 
 
 def _em_sql(iterations: int) -> str:
