@@ -54,7 +54,13 @@ def _folder(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def _written(spark: SparkSession, path: str) -> None:
+    fs, p = _folder(spark, path)
+    fs.deleteOnExit(p)
+    WRITTEN.append(path)
+
+
+def materialise(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it back.
 
     The table survives lost executors, and what follows sees the same rows however often it is recomputed. It goes with
@@ -62,13 +68,20 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lumenframe/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    fs, p = _folder(spark, path)
-    fs.deleteOnExit(p)
-    WRITTEN.append(path)
+    df.write.option("compression", codec).parquet(path)
+    _written(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """An empty folder beside the written tables, as a full address; it goes as they do."""
+    path = f"{shared_dir(spark)}/lumenframe/{tag}-{uuid.uuid4().hex}"
+    fs, p = _folder(spark, path)
+    fs.mkdirs(p)
+    _written(spark, path)
+    return fs.makeQualified(p).toString()
+
+
 def drop_written(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
     """Delete the tables written from number ``since`` on, but for the last ``keep``; frames that read them are then void."""
     for path in WRITTEN[since : len(WRITTEN) - keep]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, fingerprints, html_extract, jaccard_join, language, line_dedup, mixing, packing, quality, substring_dedup
+from . import ann, collocations, fingerprints, html_extract, jaccard_join, language, line_dedup, merkle, mixing, packing, quality, substring_dedup, warc
 from .common import crc_mod, table
 
 
@@ -66,6 +66,18 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], tampered={"n_chars": merkle.one_more()})
+
+
 SQL9 = """
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
@@ -90,9 +102,12 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m ON m.u = c.rep
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_line_dedup, op2_quality, op3_language, op4_substring_dedup, op5_mixing, op6_packing, op7_html_extraction, op8_fingerprints, op9_jaccard_join, op10_nearest_neighbours)
+        for f in (
+            op1_line_dedup, op2_quality, op3_language, op4_substring_dedup, op5_mixing, op6_packing, op7_html_extraction, op8_fingerprints, op9_jaccard_join, op10_nearest_neighbours,
+            op11_warc, op12_collocations, op13_merkle,
+        )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op9_jaccard_join": SQL9}
+    return {"op1_line_dedup": line_dedup.SQL, "op9_jaccard_join": SQL9, "op11_warc": warc.SQL, "op12_collocations": collocations.SQL, "op13_merkle": merkle.SQL}
