@@ -4,9 +4,10 @@ First pass: each task counts the n-grams of its texts in a count-min sketch;
 sketches are cut into stripes and merged by key. A cell stops counting at
 ``least``, so it is one byte in the merged sketch. A sketch never says less than
 the truth: an n-gram that occurs ``least`` times survives for certain. Second
-pass: every task looks its n-grams up and gives the survivors with their texts
-and counts, which Spark sums before and after the shuffle; false survivors fall
-at the exact count. The total of words of a language comes with it.
+pass: every task looks its n-grams up, sums the survivors and sends them, sorted
+and packed, to the share of their hash, where packs are summed as they arrive;
+false survivors fall at the exact count. The total of words of a language comes
+with it. A phrase is in at most one pack of a few megabytes of a task, so none is hot.
 
 Scores are integers, computed as decimals of 38 digits. A candidate's parts are
 counted phrases themselves (a part occurs at least as often), so one join with
@@ -25,12 +26,11 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,6 +114,14 @@ def cell(h: np.ndarray, row: int, width: int) -> np.ndarray:
     return ((h if row == 0 else mix(h + np.uint64(row))) & np.uint64(width - 1)).astype(np.int64)
 
 
+def packed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def unpacked(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def _sketch(width: int, least: int, most: int):
     """Stripes of the task's sketch: (stripe, its compressed bytes); a cell that has reached ``least`` may say so or any larger number."""
 
@@ -128,19 +136,19 @@ def _sketch(width: int, least: int, most: int):
                             some = at[a : a + 60_000]
                             some = some[cells[row, some] < least]
                             np.add.at(cells[row], some, np.uint16(1))
-        flat = np.minimum(cells, least).astype(np.uint8).ravel()
+        flat = cells.reshape(-1)
         for i in range(0, len(flat), STRIPE):
             part = flat[i : i + STRIPE]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i // STRIPE], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["stripe", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([i // STRIPE], pa.int32()), pa.array([packed(np.minimum(part, least).astype(np.uint8).tobytes())], pa.binary())], names=["stripe", "data"])
 
     return run
 
 
 def _merge(least: int):
     def run(a, b):
-        both = np.frombuffer(zlib.decompress(a), np.uint8).astype(np.uint16) + np.frombuffer(zlib.decompress(b), np.uint8)
-        return zlib.compress(np.minimum(both, least).astype(np.uint8).tobytes(), 1)
+        both = np.frombuffer(unpacked(a), np.uint8).astype(np.uint16) + np.frombuffer(unpacked(b), np.uint8)
+        return packed(np.minimum(both, least).astype(np.uint8).tobytes())
 
     return run
 
@@ -151,22 +159,55 @@ def sketch(docs: DataFrame, width: int, least: int, most: int) -> np.ndarray:
     stripes = docs.mapInArrow(_sketch(width, least, most), "stripe int, data binary").rdd.map(lambda r: (r[0], bytes(r[1])))
     out = np.zeros(ROWS * width, np.uint8)
     for i, data in stripes.reduceByKey(_merge(least), min(parts, ROWS * width // STRIPE + 1)).collect():
-        out[i * STRIPE : (i + 1) * STRIPE] = np.frombuffer(zlib.decompress(data), np.uint8)
+        out[i * STRIPE : (i + 1) * STRIPE] = np.frombuffer(unpacked(data), np.uint8)
     return out.reshape(ROWS, width)
 
 
-def _survivors(shared, least: int, most: int):
-    """(lang, phrase, count) of the n-grams that the sketch lets pass; phrase is null for the words of a language in all."""
+PACKS = "share int, lang string, total long, data binary"
+
+
+def _packs(found: list, shares: int):
+    """Rows of PACKS: the (lang, phrase, hash, count) tables ``found``, summed, sorted, and cut by share and language."""
+    got = pa.concat_tables(found).group_by(["lang", "phrase", "h"]).aggregate([("c", "sum")])
+    share = (got["h"].to_numpy() >> np.uint64(40)) % np.uint64(shares)
+    got = got.append_column("share", pa.array(share.astype(np.int32)))
+    got = got.take(pc.sort_indices(got, [("share", "ascending"), ("lang", "ascending"), ("phrase", "ascending")])).combine_chunks()
+    share, lang = got["share"].to_numpy(), got["lang"].combine_chunks()
+    lang = lang.chunk(0) if isinstance(lang, pa.ChunkedArray) else lang
+    code = lang.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    cuts = [0, *(np.flatnonzero((share[1:] != share[:-1]) | (code[1:] != code[:-1])) + 1).tolist(), len(share)]
+    phrase = pa.concat_arrays(got["phrase"].chunks)
+    offsets = np.frombuffer(phrase.buffers()[1], np.int64)[phrase.offset : phrase.offset + len(phrase) + 1]
+    text, count = memoryview(phrase.buffers()[2] or b""), got["c_sum"].to_numpy()
+    rows = [], [], []
+    for a, b in zip(cuts, cuts[1:]):
+        rows[0].append(share[a]), rows[1].append(lang[a].as_py())
+        rows[2].append(packed(np.int64(b - a).tobytes() + np.diff(offsets[a : b + 1]).astype(np.int32).tobytes() + count[a:b].tobytes() + bytes(text[offsets[a] : offsets[b]])))
+    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.string()), pa.nulls(len(rows[0]), pa.int64()), pa.array(rows[2], pa.binary())], names=["share", "lang", "total", "data"])
+
+
+def _opened(data: bytes) -> pa.Table:
+    """(phrase, c) of a pack."""
+    data = unpacked(data)
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    offsets = np.concatenate([[0], np.cumsum(np.frombuffer(data, np.int32, n, 8), dtype=np.int64)])
+    count = np.frombuffer(data[8 + 4 * n : 8 + 12 * n], np.int64)
+    return pa.table({"phrase": pa.LargeStringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(data[8 + 12 * n :])), "c": pa.array(count)})
+
+
+def _survivors(shared, least: int, most: int, shares: int, keep: int = 1 << 20):
+    """Packs of the n-grams that the sketch lets pass, summed over about ``keep`` of them, and the words of each language in all."""
 
     def run(batches):
         cells = np.frombuffer(shared.value, np.uint8).reshape(ROWS, -1)
+        found, rows, totals = [], 0, {}
         for batch in batches:
             for block in blocks(batch):
                 words = Words(*block)
                 if not len(words.code):
                     continue
-                total = np.bincount(words.code // words.many, minlength=len(words.langs))
-                yield pa.RecordBatch.from_arrays([words.langs.cast(pa.string()), pa.nulls(len(total), pa.string()), pa.array(total, pa.int64())], names=["lang", "phrase", "c"])
+                for lang, n in zip(words.langs.to_pylist(), np.bincount(words.code // words.many, minlength=len(words.langs)).tolist()):
+                    totals[lang] = totals.get(lang, 0) + n
                 for n, at, h in words.runs(most):
                     for row in range(ROWS):
                         ok = cells[row, cell(h, row, cells.shape[1])] >= least
@@ -175,21 +216,61 @@ def _survivors(shared, least: int, most: int):
                     for j in range(1, n):
                         key = np.unique(key, return_inverse=True)[1] * (words.many * len(words.langs)) + words.code[at + j]
                     _, first, count = np.unique(key, return_index=True, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([words.langs_of(at[first]).cast(pa.string()), words.texts_of(at[first], n).cast(pa.string()), pa.array(count, pa.int64())], names=["lang", "phrase", "c"])
+                    found.append(pa.table({"lang": words.langs_of(at[first]), "phrase": words.texts_of(at[first], n), "h": pa.array(h[first]), "c": pa.array(count, pa.int64())}))
+                    rows += len(first)
+                if rows > keep:
+                    yield _packs(found, shares)
+                    found, rows = [], 0
+        if rows:
+            yield _packs(found, shares)
+        if totals:
+            n = len(totals)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array(list(totals), pa.string()), pa.array(list(totals.values()), pa.int64()), pa.nulls(n, pa.binary())], names=["share", "lang", "total", "data"])
+
+    return run
+
+
+def _sums(least: int, keep: int = 1 << 20):
+    """(lang, phrase, count) from packs in the order of shares and languages, summed as they come; what is under ``least`` goes."""
+
+    def out(lang, parts):
+        got = parts[0] if len(parts) == 1 else pa.concat_tables(parts).group_by("phrase").aggregate([("c", "sum")]).rename_columns(["phrase", "c"])
+        return got, pa.table({"lang": pa.repeat(pa.scalar(lang, pa.string()), len(got)), "phrase": got["phrase"].cast(pa.string()), "c": got["c"]})
+
+    def run(batches):
+        here, parts, rows = None, [], 0
+        for batch in batches:
+            for share, lang, total, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if data is None:
+                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.nulls(1, pa.string()), pa.array([total], pa.int64())], names=["lang", "phrase", "c"])
+                    continue
+                if (share, lang) != here:
+                    if parts:
+                        yield from out(here[1], parts)[1].filter(pc.field("c") >= least).to_batches()
+                    here, parts, rows = (share, lang), [], 0
+                parts.append(_opened(data))
+                rows += len(parts[-1])
+                if rows > keep:
+                    parts = [out(lang, parts)[0]]
+                    rows = 0
+        if parts:
+            yield from out(here[1], parts)[1].filter(pc.field("c") >= least).to_batches()
 
     return run
 
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 10, most: int = 3, cells: int = 1 << 26) -> DataFrame:
-    """(lang, phrase, c), written: exact counts of all runs of 1 to ``most`` words that occur ``least`` times or more; the null phrase counts all words."""
+    """(lang, phrase, c), written: exact counts of all runs of 1 to ``most`` words that occur ``least`` times or more; rows of null phrase sum to all words."""
     spark = docs.sparkSession
     base = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), F.coalesce(F.col(f"`{lang_col}`"), F.lit("und")).alias("lang"))
     size = base.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     width = min(1 << max(14, (size // 32).bit_length()), cells // ROWS)
     cut = min(least, 255)
     shared = spark.sparkContext.broadcast(sketch(base, width, cut, most).tobytes())
-    found = base.mapInArrow(_survivors(shared, cut, most), "lang string, phrase string, c long")
-    return materialise(found.groupBy("lang", "phrase").agg(F.sum("c").alias("c")).filter((F.col("c") >= least) | F.col("phrase").isNull()), "phrases")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packs = base.mapInArrow(_survivors(shared, cut, most, 2 * parts), PACKS)
+    dealt = packs.repartition(parts, "share").sortWithinPartitions("share", "lang")
+    return materialise(dealt.mapInArrow(_sums(least), "lang string, phrase string, c long"), "phrases")
 
 
 def key(lang: str, phrase: str):
@@ -236,7 +317,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     counts = phrase_counts(docs, text_col, lang_col, least, most, cells)
     kept = scored(counts).join(covered(counts, share), ["lang", "phrase"], "left_anti")
     ranked = first_of_each(kept, "lang", [F.desc("score"), F.desc("a"), F.asc("phrase")], top, "phrase")
-    totals = counts.filter("phrase IS NULL").select("lang", F.col("c").alias("n"))
+    totals = counts.filter("phrase IS NULL").groupBy("lang").agg(F.sum("c").alias("n"))
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
 
 
