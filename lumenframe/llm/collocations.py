@@ -4,8 +4,8 @@ First pass: each task counts the n-grams of its texts in a count-min sketch;
 sketches are cut into stripes and merged by key. A cell stops counting at
 ``least``, so it is one byte in the merged sketch. A sketch never says less than
 the truth: an n-gram that occurs ``least`` times survives for certain. Second
-pass: every task looks its n-grams up, sums the survivors and sends them, sorted
-and packed, to the share of their hash, where packs are summed as they arrive;
+pass: every task looks its n-grams up, counts the survivors of some megabytes of
+text and sends them, packed, to the share of their hash, where packs are summed as they arrive;
 false survivors fall at the exact count. The total of words of a language comes
 with it. A phrase is in at most one pack of a few megabytes of a task, so none is hot.
 
@@ -123,10 +123,10 @@ def unpacked(data: bytes) -> bytes:
 
 
 def _sketch(width: int, least: int, most: int):
-    """Stripes of the task's sketch: (stripe, its compressed bytes); a cell that has reached ``least`` may say so or any larger number."""
+    """Stripes of the task's sketch: (stripe, its compressed bytes), no cell over ``least``."""
 
     def run(batches):
-        cells = np.zeros((ROWS, width), np.uint16)
+        cells = np.zeros((ROWS, width), np.uint8)
         for batch in batches:
             for block in blocks(batch):
                 for _, _, h in Words(*block).runs(most):
@@ -134,13 +134,13 @@ def _sketch(width: int, least: int, most: int):
                         at = cell(h, row, width)
                         for a in range(0, len(at), 60_000):
                             some = at[a : a + 60_000]
-                            some = some[cells[row, some] < least]
-                            np.add.at(cells[row], some, np.uint16(1))
+                            some, more = np.unique(some[cells[row, some] < least], return_counts=True)
+                            cells[row, some] = np.minimum(cells[row, some] + more, least)
         flat = cells.reshape(-1)
         for i in range(0, len(flat), STRIPE):
             part = flat[i : i + STRIPE]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i // STRIPE], pa.int32()), pa.array([packed(np.minimum(part, least).astype(np.uint8).tobytes())], pa.binary())], names=["stripe", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([i // STRIPE], pa.int32()), pa.array([packed(part.tobytes())], pa.binary())], names=["stripe", "data"])
 
     return run
 
@@ -167,21 +167,21 @@ PACKS = "share int, lang string, total long, data binary"
 
 
 def _packs(found: list, shares: int):
-    """Rows of PACKS: the (lang, phrase, hash, count) tables ``found``, summed, sorted, and cut by share and language."""
-    got = pa.concat_tables(found).group_by(["lang", "phrase", "h"]).aggregate([("c", "sum")])
+    """Rows of PACKS: the (lang, phrase, hash, count) tables ``found``, cut by share and language."""
+    got = pa.concat_tables(found).combine_chunks()
     share = (got["h"].to_numpy() >> np.uint64(40)) % np.uint64(shares)
-    got = got.append_column("share", pa.array(share.astype(np.int32)))
-    got = got.take(pc.sort_indices(got, [("share", "ascending"), ("lang", "ascending"), ("phrase", "ascending")])).combine_chunks()
-    share, lang = got["share"].to_numpy(), got["lang"].combine_chunks()
-    lang = lang.chunk(0) if isinstance(lang, pa.ChunkedArray) else lang
-    code = lang.dictionary_encode().indices.to_numpy(zero_copy_only=False)
-    cuts = [0, *(np.flatnonzero((share[1:] != share[:-1]) | (code[1:] != code[:-1])) + 1).tolist(), len(share)]
+    named = got["lang"].combine_chunks().dictionary_encode()
+    named = named.chunk(0) if isinstance(named, pa.ChunkedArray) else named
+    to = share.astype(np.int64) * len(named.dictionary) + named.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(to, kind="stable")
+    to, got = to[order], got.select(["phrase", "c"]).take(pa.array(order))
+    cuts = [0, *(np.flatnonzero(to[1:] != to[:-1]) + 1).tolist(), len(to)]
     phrase = pa.concat_arrays(got["phrase"].chunks)
     offsets = np.frombuffer(phrase.buffers()[1], np.int64)[phrase.offset : phrase.offset + len(phrase) + 1]
-    text, count = memoryview(phrase.buffers()[2] or b""), got["c_sum"].to_numpy()
+    text, count = memoryview(phrase.buffers()[2] or b""), got["c"].to_numpy()
     rows = [], [], []
     for a, b in zip(cuts, cuts[1:]):
-        rows[0].append(share[a]), rows[1].append(lang[a].as_py())
+        rows[0].append(to[a] // len(named.dictionary)), rows[1].append(named.dictionary[to[a] % len(named.dictionary)].as_py())
         rows[2].append(packed(np.int64(b - a).tobytes() + np.diff(offsets[a : b + 1]).astype(np.int32).tobytes() + count[a:b].tobytes() + bytes(text[offsets[a] : offsets[b]])))
     return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.string()), pa.nulls(len(rows[0]), pa.int64()), pa.array(rows[2], pa.binary())], names=["share", "lang", "total", "data"])
 
@@ -195,8 +195,8 @@ def _opened(data: bytes) -> pa.Table:
     return pa.table({"phrase": pa.LargeStringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(data[8 + 12 * n :])), "c": pa.array(count)})
 
 
-def _survivors(shared, least: int, most: int, shares: int, keep: int = 1 << 20):
-    """Packs of the n-grams that the sketch lets pass, summed over about ``keep`` of them, and the words of each language in all."""
+def _survivors(shared, least: int, most: int, shares: int, keep: int = 1 << 19):
+    """Packs of the n-grams that the sketch lets pass, counted in a block, about ``keep`` at a time, and the words of each language in all."""
 
     def run(batches):
         cells = np.frombuffer(shared.value, np.uint8).reshape(ROWS, -1)
