@@ -122,6 +122,26 @@ def unpacked(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def halved(cells: np.ndarray, least: int) -> bytes:
+    """Counts up to ``least`` in as few bytes as they take: two to a byte where they are under 16."""
+    return packed((cells[::2] | (cells[1::2] << 4) if least < 16 else cells).tobytes())
+
+
+def restored(data: bytes, least: int) -> np.ndarray:
+    cells = np.frombuffer(unpacked(data), np.uint8)
+    return np.stack([cells & 15, cells >> 4], 1).ravel() if least < 16 else cells
+
+
+def released(run):
+    """A function of batches that gives unused memory back at its end, as workers live on."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return whole
+
+
 def _sketch(width: int, least: int, most: int):
     """Stripes of the task's sketch: (stripe, its compressed bytes), no cell over ``least``."""
 
@@ -140,15 +160,15 @@ def _sketch(width: int, least: int, most: int):
         for i in range(0, len(flat), STRIPE):
             part = flat[i : i + STRIPE]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i // STRIPE], pa.int32()), pa.array([packed(part.tobytes())], pa.binary())], names=["stripe", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([i // STRIPE], pa.int32()), pa.array([halved(part, least)], pa.binary())], names=["stripe", "data"])
 
     return run
 
 
 def _merge(least: int):
     def run(a, b):
-        both = np.frombuffer(unpacked(a), np.uint8).astype(np.uint16) + np.frombuffer(unpacked(b), np.uint8)
-        return packed(np.minimum(both, least).astype(np.uint8).tobytes())
+        both = restored(a, least).astype(np.uint16) + restored(b, least)
+        return halved(np.minimum(both, least).astype(np.uint8), least)
 
     return run
 
@@ -156,10 +176,10 @@ def _merge(least: int):
 def sketch(docs: DataFrame, width: int, least: int, most: int) -> np.ndarray:
     """The merged sketch of the n-grams of ``docs`` (text, lang): ROWS x width bytes, each at most ``least``."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stripes = docs.mapInArrow(_sketch(width, least, most), "stripe int, data binary").rdd.map(lambda r: (r[0], bytes(r[1])))
+    stripes = docs.mapInArrow(released(_sketch(width, least, most)), "stripe int, data binary").rdd.map(lambda r: (r[0], bytes(r[1])))
     out = np.zeros(ROWS * width, np.uint8)
     for i, data in stripes.reduceByKey(_merge(least), min(parts, ROWS * width // STRIPE + 1)).collect():
-        out[i * STRIPE : (i + 1) * STRIPE] = np.frombuffer(unpacked(data), np.uint8)
+        out[i * STRIPE : (i + 1) * STRIPE] = restored(data, least)
     return out.reshape(ROWS, width)
 
 
@@ -268,19 +288,20 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     cut = min(least, 255)
     shared = spark.sparkContext.broadcast(sketch(base, width, cut, most).tobytes())
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packs = base.mapInArrow(_survivors(shared, cut, most, 2 * parts), PACKS)
+    packs = base.mapInArrow(released(_survivors(shared, cut, most, 2 * parts)), PACKS)
     dealt = packs.repartition(parts, "share").sortWithinPartitions("share", "lang")
-    return materialise(dealt.mapInArrow(_sums(least), "lang string, phrase string, c long"), "phrases")
+    counts = materialise(dealt.mapInArrow(released(_sums(least)), "lang string, phrase string, c long"), "phrases")
+    shared.unpersist()
+    return counts
 
 
 def key(lang: str, phrase: str):
     return F.concat(F.length(lang), F.lit(":"), F.col(lang), F.col(phrase))
 
 
-def scored(counts: DataFrame) -> DataFrame:
-    """(lang, phrase, a, l, r, score) of every counted phrase of two words or more: its lowest-scoring cut."""
-    w = F.split("phrase", " ")
-    candidates = counts.filter(F.instr("phrase", " ") > 0).select("lang", "phrase", F.col("c").alias("a"), w.alias("w"))
+def scored(candidates: DataFrame, counts: DataFrame) -> DataFrame:
+    """(lang, phrase, a, l, r, score) of ``candidates`` (lang, phrase, c) of two words or more: the lowest-scoring cut of each."""
+    candidates = candidates.select("lang", "phrase", F.col("c").alias("a"), F.split("phrase", " ").alias("w"))
     cuts = candidates.select("lang", "phrase", "a", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("k"))
     sides = F.array(F.array_join(F.slice("w", F.lit(1), F.col("k")), " "), F.array_join(F.slice("w", F.col("k") + 1, F.size("w") - F.col("k")), " "))
     asked = cuts.select("lang", "phrase", "a", "k", F.posexplode(sides).alias("side", "part")).withColumn("key", key("lang", "part")).drop("part")
@@ -315,8 +336,8 @@ def first_of_each(rows: DataFrame, by: str, order: list, top: int, salt: str) ->
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 10, most: int = 3, share: int = 50, top: int = 2000, cells: int = 1 << 26) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's first ``top`` phrases."""
     counts = phrase_counts(docs, text_col, lang_col, least, most, cells)
-    kept = scored(counts).join(covered(counts, share), ["lang", "phrase"], "left_anti")
-    ranked = first_of_each(kept, "lang", [F.desc("score"), F.desc("a"), F.asc("phrase")], top, "phrase")
+    free = counts.filter(F.instr("phrase", " ") > 0).join(covered(counts, share), ["lang", "phrase"], "left_anti")
+    ranked = first_of_each(scored(free, counts), "lang", [F.desc("score"), F.desc("a"), F.asc("phrase")], top, "phrase")
     totals = counts.filter("phrase IS NULL").groupBy("lang").agg(F.sum("c").alias("n"))
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
 
