@@ -10,6 +10,7 @@ the poles or at RA 0, and crowded cubes are ordinary skewed join keys.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -100,22 +101,139 @@ def one_claim(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("rank", rank).filter("rank = 1").drop("rank")
 
 
-def mutual_matches(pairs: DataFrame) -> DataFrame:
+def _settled(edges: DataFrame, columns: list[str], ends: tuple[str, str], solve, schema: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """What ``solve`` says of each connected component with at most ``most`` edges, and the edges of larger ones.
+
+    Each component is one group; ``ends`` name its nodes. Both results are checkpoints.
+    """
+    l, r = (F.concat(F.lit(f"{i}:"), F.col(c).cast("string")) if ends[0] != ends[1] else F.col(c) for i, c in enumerate(columns[:2]))
+    named = edges.withColumn("u_", l).withColumn("v_", r)
+    nodes = named.select(F.col("u_").alias("id")).union(named.select("v_")).distinct()
+    part = connected_objects(nodes, named.select(F.col("u_").alias("l_id"), F.col("v_").alias("r_id")))
+    met = named.join(part.select(F.col("id").alias("u_"), "component"), "u_").select(*columns, "component")
+    size = met.groupBy("component").agg(F.count("*").alias("edges_"))
+    met = met.join(size, "component").checkpoint()
+    solved = met.filter(F.col("edges_") <= most).drop("edges_").groupBy("component").applyInPandas(solve, schema).checkpoint()
+    return solved, met.filter(F.col("edges_") > most).select(*columns).checkpoint()
+
+
+def mutual_matches(pairs: DataFrame, rounds: int = 3, most: int = 200_000) -> DataFrame:
     """Greedy one-to-one matching by increasing distance.
 
     Pairs that are nearest for both their ends are exactly those a greedy pass would take next; they are
-    taken, their ends leave, and so on until no pair is left. Each round is a checkpoint, and takes at least
-    the nearest pair of all that are left.
+    taken, their ends leave, and so on for ``rounds`` rounds, after which few pairs are left, mostly in chains. Then each connected
+    component of at most ``most`` pairs is passed through in one group; larger ones go on by rounds. Each round is a checkpoint.
     """
     order = F.struct("sep", "l_id", "r_id")
-    left, taken = pairs.filter("l_id is not null and r_id is not null and sep is not null").checkpoint(), None
-    while True:
+    columns = ["l_id", "r_id", "sep"]
+    left, taken = pairs.filter("l_id is not null and r_id is not null and sep is not null").select(*columns).checkpoint(), []
+
+    def greedy(pdf):
+        used, rows = (set(), set()), []
+        for i, (l, r) in enumerate(pdf.sort_values(["sep", "l_id", "r_id"])[["l_id", "r_id"]].itertuples(index=False)):
+            if l not in used[0] and r not in used[1]:
+                used[0].add(l), used[1].add(r), rows.append(i)
+        return pdf.sort_values(["sep", "l_id", "r_id"]).iloc[rows][columns]
+
+    while left.take(1):
+        if len(taken) == rounds:
+            kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in left.schema.fields)
+            solved, left = _settled(left, columns, ("l", "r"), greedy, kinds, most)
+            taken.append(solved)
+            continue
         first = left.withColumn("bl", F.min(order).over(Window.partitionBy("l_id"))).withColumn("br", F.min(order).over(Window.partitionBy("r_id")))
-        now = first.filter((F.col("bl") == order) & (F.col("br") == order)).select("l_id", "r_id", "sep").checkpoint()
-        taken = now if taken is None else taken.unionByName(now)
-        left = left.join(now.select("l_id"), "l_id", "left_anti").join(now.select("r_id"), "r_id", "left_anti").select("l_id", "r_id", "sep").checkpoint()
-        if not left.take(1):
-            return taken
+        now = first.filter((F.col("bl") == order) & (F.col("br") == order)).select(*columns).distinct().checkpoint()
+        taken.append(now)
+        left = left.join(now.select("l_id"), "l_id", "left_anti").join(now.select("r_id"), "r_id", "left_anti").select(*columns).checkpoint()
+    return reduce(DataFrame.unionByName, taken) if taken else left
+
+
+def associated(left: DataFrame, right: DataFrame, pairs: DataFrame, left_key: str = "id", right_key: str = "id") -> DataFrame:
+    """(l_id, r_id, sep): the greedy matches, then the rows of both sides that have none, with nulls."""
+    taken = mutual_matches(pairs)
+    l = left.select(F.col(left_key).alias("l_id")).join(taken.select("l_id"), "l_id", "left_anti")
+    r = right.select(F.col(right_key).alias("r_id")).join(taken.select("r_id"), "r_id", "left_anti")
+    return taken.unionByName(l, allowMissingColumns=True).unionByName(r, allowMissingColumns=True)
+
+
+def first_independent(nodes: DataFrame, pairs: DataFrame, rank: Column, rounds: int = 4, most: int = 200_000) -> DataFrame:
+    """(id) of the nodes that a pass in order of ``rank`` (of nodes; ties by id) keeps, where a kept node drops its later neighbours.
+
+    Of a chain A-B-C, A and C stay. A node is kept when all its earlier neighbours are dropped, and dropped when one is kept:
+    each round decides all nodes without an undecided earlier neighbour. After ``rounds`` rounds what is left lies in chains: each connected
+    component of at most ``most`` pairs is passed through in one group; larger ones go on by rounds.
+    """
+    ranked = nodes.select("id", F.struct(rank, "id").alias("k"))
+    met = pairs.filter("l_id <> r_id").select("l_id", "r_id").join(ranked.select(F.col("id").alias("l_id"), F.col("k").alias("lk")), "l_id").join(ranked.select(F.col("id").alias("r_id"), F.col("k").alias("rk")), "r_id")
+    first = F.col("lk") < F.col("rk")
+    edges = met.select(F.when(first, F.col("l_id")).otherwise(F.col("r_id")).alias("a"), F.when(first, F.col("r_id")).otherwise(F.col("l_id")).alias("b"), F.greatest("lk", "rk").alias("k")).distinct().checkpoint()
+    gone: list[DataFrame] = []
+
+    def in_order(pdf):
+        out = set()
+        earlier = pdf.groupby("b")["a"].agg(list)
+        for b in pdf[["b", "n"]].drop_duplicates().sort_values("n")["b"]:
+            if any(a not in out for a in earlier[b]):
+                out.add(b)
+        return pdf[pdf["b"].isin(out)][["b"]].drop_duplicates()
+
+    while edges.take(1):
+        if len(gone) == rounds:
+            solved, edges = _settled(edges, ["a", "b", "k"], ("a", "a"), _by_number(in_order), f"b {edges.schema['b'].dataType.simpleString()}", most)
+            gone.append(solved)
+            continue
+        free = edges.join(edges.select(F.col("b").alias("a")), "a", "left_anti").select("a").distinct()
+        now = edges.join(free, "a", "left_semi").select("b").distinct().checkpoint()
+        gone.append(now)
+        edges = edges.join(now, "b", "left_anti").join(now.select(F.col("b").alias("a")), "a", "left_anti").select("a", "b", "k").checkpoint()
+    dropped = reduce(DataFrame.unionByName, gone).select(F.col("b").alias("id")) if gone else edges.select(F.col("b").alias("id"))
+    return nodes.select("id").join(dropped, "id", "left_anti")
+
+
+def _by_number(f):
+    """``f`` of a group with its ``k`` (structs) as numbers ``n`` in their order."""
+
+    def run(pdf):
+        keys = [tuple(k.values()) if isinstance(k, dict) else tuple(k) for k in pdf["k"]]
+        place = {k: i for i, k in enumerate(sorted(set(keys)))}
+        return f(pdf.assign(n=[place[k] for k in keys]))
+
+    return run
+
+
+def spaced_selection(nodes: DataFrame, pairs: DataFrame, rank: Column, caps: dict[str, int]) -> DataFrame:
+    """(id) that a pass in order of ``rank`` (ties by id) keeps: no kept pair, and at most ``caps[c]`` of each value of column c.
+
+    A node is kept when no earlier neighbour is undecided or kept and its place among the undecided of each of its groups, with
+    those already kept there, is within the cap; full groups are closed. Every round keeps at least the first node that is open. Null
+    groups are groups.
+    """
+    by = list(caps)
+    open_ = nodes.select("id", F.struct(rank, "id").alias("k"), *by).checkpoint()
+    both = pairs.filter("l_id <> r_id").select(F.col("l_id").alias("id"), F.col("r_id").alias("other"))
+    both = both.unionByName(both.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct().checkpoint()
+    kept: list[DataFrame] = []
+    while open_.take(1):
+        told = both.join(open_.select("id", "k"), "id").join(open_.select(F.col("id").alias("other"), F.col("k").alias("ok")), "other")
+        waiting = told.filter("ok < k").select("id").distinct()
+        now = open_
+        for c in by:
+            # the first of each group, limited before the shuffle
+            place = F.row_number().over(Window.partitionBy(c).orderBy("k"))
+            near = open_.withColumn("place_", place).filter(F.col("place_") <= caps[c]).select("id", "place_", F.col(c).alias("c_"))
+            if kept:
+                full = reduce(DataFrame.unionByName, kept).groupBy(F.col(c).alias("d_")).agg(F.count("*").alias("kept_"))
+                near = near.join(full, F.col("c_").eqNullSafe(F.col("d_")), "left").filter(F.col("place_") + F.coalesce("kept_", F.lit(0)) <= caps[c])
+            now = now.join(near.select("id"), "id", "left_semi")
+        now = now.join(waiting, "id", "left_anti").checkpoint()
+        kept.append(now)
+        every = reduce(DataFrame.unionByName, kept)
+        open_ = open_.join(now, "id", "left_anti").join(both.join(now.select("id"), "id").select(F.col("other").alias("id")), "id", "left_anti")
+        for c in by:
+            full = every.groupBy(F.col(c).alias("d_")).count().filter(F.col("count") >= caps[c])
+            open_ = open_.join(full, F.col(c).eqNullSafe(F.col("d_")), "left_anti")
+        open_ = open_.checkpoint()
+    return (reduce(DataFrame.unionByName, kept) if kept else open_).select("id")
 
 
 def connected_objects(nodes: DataFrame, pairs: DataFrame) -> DataFrame:

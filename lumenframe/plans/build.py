@@ -72,13 +72,26 @@ def master_catalogue(spark, sf):
     return out.select("component", "preferred", "source", "clean", "members", "members_a", q(span).alias("span"), F.coalesce(span > 0.05, F.lit(False)).alias("conflict"), q(F.col("far")).alias("separation"))
 
 
-@query("J25", f"WITH RECURSIVE {SKY_C}, {pairs_sql('c', 'c', RADIUS)}, e AS (SELECT l_id, r_id FROM p WHERE abs({_Z('l_id')}-{_Z('r_id')}) <= 1.5e0), t(a, b) AS (SELECT id, id FROM c UNION SELECT t.a, e.r_id FROM t JOIN e ON t.b = e.l_id) SELECT a AS id FROM t GROUP BY a HAVING min(b) = a")
+_SAME = f"abs({_Z('l_id')}-{_Z('r_id')})/(1e0+least({_Z('l_id')},{_Z('r_id')})) < 0.8e0"
+
+
+@query("J25", f"WITH RECURSIVE {SKY_C}, {pairs_sql('c', 'c', RADIUS)}, e AS (SELECT l_id AS a, r_id AS b FROM p WHERE l_id < r_id AND {_SAME}), v AS MATERIALIZED (SELECT b, list(a) AS l, row_number() OVER (ORDER BY b) AS n FROM e GROUP BY b), t(n, b, gone) AS (SELECT 0::BIGINT, 0::BIGINT, []::BIGINT[] UNION ALL SELECT v.n, v.b, CASE WHEN len(list_filter(l, lambda a: NOT list_contains(gone, a))) > 0 THEN list_append(gone, v.b) ELSE gone END FROM t JOIN v ON v.n = t.n+1) SELECT id FROM c WHERE NOT list_contains((SELECT max_by(gone, n) FROM t), id)")
 def redshift_dedup(spark, sf):
-    """The first of each group of rows that agree in position and redshift (groups are components, so the order of rows does not matter)."""
+    """Rows that no kept earlier row agrees with in position and redshift, its difference scaled by one plus the smaller redshift."""
     _checkpoints(spark)
     c = sky_c(spark, sf)
-    near = M.self_pairs(c, RADIUS).filter(F.abs(_z(F.col("l_id")) - _z(F.col("r_id"))) <= 1.5)
-    return M.connected_objects(c.select("id"), near).filter("id = component").select("id")
+    l, r = _z(F.col("l_id")), _z(F.col("r_id"))
+    near = M.self_pairs(c, RADIUS).filter(F.abs(l - r) / (F.lit(1.0) + F.least(l, r)) < 0.8)
+    return M.first_independent(c.select("id"), near, F.col("id"))
+
+
+@query("W14, W20", f"WITH RECURSIVE {SKY_C}, {pairs_sql('c', 'c', RADIUS)}, x AS (SELECT l_id AS id, list(r_id) AS l FROM p WHERE l_id <> r_id GROUP BY 1), v AS MATERIALIZED (SELECT c.id, c.id%25 AS cell, c.id%3 AS role, coalesce(l, []) AS l, row_number() OVER (ORDER BY c.id*7919%10007, c.id) AS n FROM c LEFT JOIN x USING (id)), t(n, id, kept, cells, roles) AS (SELECT 0::BIGINT, 0::BIGINT, []::BIGINT[], []::BIGINT[], []::BIGINT[] UNION ALL SELECT n, id, CASE WHEN ok THEN list_append(kept, id) ELSE kept END, CASE WHEN ok THEN list_append(cells, cell) ELSE cells END, CASE WHEN ok THEN list_append(roles, role) ELSE roles END FROM (SELECT v.n, v.id, v.cell, v.role, kept, cells, roles, NOT list_has_any(kept, v.l) AND len(list_filter(cells, lambda y: y = v.cell)) < 3 AND len(list_filter(roles, lambda y: y = v.role)) < 20 AS ok FROM t JOIN v ON v.n = t.n+1)) SELECT unnest((SELECT max_by(kept, n) FROM t)) AS id")
+def spaced_fields(spark, sf):
+    """Fields in a fixed random order, apart by the radius, at most three of a cell and twenty of a role."""
+    _checkpoints(spark)
+    c = sky_c(spark, sf)
+    i = F.col("id")
+    return M.spaced_selection(c.select("id", (i % 25).alias("cell"), (i % 3).alias("role")), M.self_pairs(c, RADIUS), i * 7919 % 10007, {"cell": 3, "role": 20})
 
 
 @query("X17, F26, P19", f"WITH {SKY_C}, {pairs_sql('c', 'c', RADIUS)}, d AS (SELECT l_id, r_id, sep, abs({_Z('r_id')}-{_Z('l_id')})/(1e0+{_Z('l_id')})*299792.458e0 AS dv FROM p WHERE l_id < r_id) SELECT l_id, r_id, {Q('sep')} AS sep, {Q('dv')} AS dv, CASE WHEN dv < 2000e0 THEN 'pair' WHEN dv > 10000e0 THEN 'projected' ELSE 'unclear' END AS label FROM d")

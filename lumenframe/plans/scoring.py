@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions.scalar import quantise as q
-from lumenframe.operators import estimate, metrics, mixture, score
+from lumenframe.operators import estimate, metrics, mixture, score, support
 
 from .inputs import MEAS, SCORED, VEC, WIDE, Q, scored, times_sql, vec, wide
 from .registry import query, table
@@ -202,7 +202,7 @@ def mixing_fraction(spark, sf):
     return spark.createDataFrame([(estimate.mixing_fraction(h, "bkg", "field"),)], "eta double")
 
 
-@query("E01, E02, E13, A11, M03")
+@query("E01, E02, E13, A11")
 def xd_fit(spark, sf):
     """Two components over three incomplete noisy channels."""
     w = wide(spark, sf).select("id", F.array("f1", "f2", "f3").alias("x"), F.array("v1", "v2", "v3").alias("var"))
@@ -211,23 +211,104 @@ def xd_fit(spark, sf):
     return spark.createDataFrame([(k, float(m.weights[k]), m.means[k].tolist(), m.covs[k].ravel().tolist(), len(history), history[-1]) for k in range(2)], "k int, weight double, mean array<double>, cov array<double>, passes int, log_density double")
 
 
-@query("E05, E06")
+def _em1_sql(rows: str, keys: str, start: str, rounds: int, t: str = "t") -> str:
+    """CTEs {t}f1 to {t}f{rounds} (keys, k, w, m, v): EM of one-dimensional mixtures of ``rows`` (keys, id, x, s) from ``start``."""
+    out = []
+    for i in range(rounds):
+        old = start if i == 0 else f"{t}f{i}"
+        out += [
+            f"{t}g{i} AS (SELECT r.*, k, w, m, v, ln(w)-0.5e0*(ln(v+s)+1.8378770664093453e0+(x-m)*(x-m)/(v+s)) AS lp FROM {rows} r JOIN {old} USING ({keys}))",
+            f"{t}h{i} AS (SELECT *, max(lp) OVER (PARTITION BY {keys}, id) AS top FROM {t}g{i})",
+            f"{t}q{i} AS (SELECT *, exp(lp-top)/sum(exp(lp-top)) OVER (PARTITION BY {keys}, id) AS q, v*(x-m)/(v+s) AS b, v-v*v/(v+s) AS bb FROM {t}h{i})",
+            f"{t}p{i} AS (SELECT {keys}, k, sum(q) AS q0, sum(q*b)/sum(q) AS d, sum(q*(bb+b*b))/sum(q) AS c, max(m) AS m FROM {t}q{i} GROUP BY {keys}, k)",
+            f"{t}f{i + 1} AS (SELECT {keys}, k, q0/sum(q0) OVER (PARTITION BY {keys}) AS w, m+d AS m, c-d*d+1e-6 AS v FROM {t}p{i})",
+        ]
+    return ", ".join(out)
+
+
+def _ll1_sql(model: str, i: int) -> str:
+    """Mean log density of fitted and held-out rows of ``r`` under a model."""
+    return f"SELECT {i} AS round, {Q('avg(CASE WHEN bin<>4 THEN ll END)')} AS fit, {Q('avg(CASE WHEN bin=4 THEN ll END)')} AS held FROM (SELECT bin, max(top)+ln(sum(exp(lp-top))) AS ll FROM (SELECT *, max(lp) OVER (PARTITION BY id) AS top FROM (SELECT id, bin, ln(w)-0.5e0*(ln(v+s)+1.8378770664093453e0+(x-m)*(x-m)/(v+s)) AS lp FROM r, {model})) GROUP BY id, bin)"
+
+
+START = mixture.Mixture([0.5, 0.5], [[2.0], [9.0]], [[[9.0]], [[9.0]]])
+_START = "(0, 0.5e0, 2e0, 9e0), (1, 0.5e0, 9e0, 9e0)"
+#: A few crowded cells and many thin ones; the coarser key has five values.
+CELL = "CASE WHEN id % 10 < 7 THEN id % 2 ELSE 10 + id % 97 END"
+_ROWS = f"r AS (SELECT id, f1 AS x, v1 AS s, id % 5 AS bin, {CELL} AS cell FROM w WHERE f1 IS NOT NULL)"
+
+
+def cells(spark, sf):
+    return wide(spark, sf).filter("f1 is not null").select("id", (F.col("id") % 5).alias("bin"), F.expr(CELL).alias("cell"), F.array("f1").alias("x"), F.array("v1").alias("var"))
+
+
+_GROUPS = f"""WITH {WIDE}, {_ROWS}, b0 AS (SELECT * FROM (SELECT DISTINCT bin FROM r), (VALUES {_START}) t(k, w, m, v)), {_em1_sql('r', 'bin', 'b0', 2)},
+n AS (SELECT bin, cell, count(*) AS n FROM r GROUP BY ALL), c0 AS (SELECT bin, cell, k, w, m, v FROM n JOIN tf2 USING (bin) WHERE n >= 30), {_em1_sql('r', 'bin, cell', 'c0', 2, 'u')},
+c AS (SELECT bin, cell, n, k, coalesce(u.w, t.w) AS w, coalesce(u.m, t.m) AS m, coalesce(u.v, t.v) AS v FROM n JOIN tf2 t USING (bin) LEFT JOIN uf2 u USING (bin, cell, k))"""
+
+
+@query("E05, E06", f"{_GROUPS} SELECT bin, cell, CAST(k AS INT) AS k, n, CASE WHEN n >= 30 THEN 'own' ELSE 'parent' END AS source, {Q('w')} AS weight, {Q('m')} AS mean, {Q('v')} AS var FROM c")
 def grouped_fits(spark, sf):
-    w = wide(spark, sf).filter("f1 is not null and f2 is not null").select((F.col("id") % 5).alias("cell"), F.array("f1", "f2").alias("x"), F.array("v1", "v2").alias("var"))
-    return estimate.fit_groups(w, ["cell"], 2, 50, 2)
+    """Two rounds for each bin, then two from there for each of its cells with 30 rows or more; the others take their bin's model."""
+    from .skyjoin import _checkpoints
 
+    _checkpoints(spark)
+    f = estimate.fit_groups(cells(spark, sf), ["bin", "cell"], START, 30, iterations=2, tolerance=0.0, parents=[["bin"]])
+    return f.select("bin", "cell", "k", "n", "source", q(F.col("weight")).alias("weight"), q(F.get("mean", F.lit(0))).alias("mean"), q(F.get("cov", F.lit(0))).alias("var"))
 
-@query("X08, X09")
-def outlier_tail(spark, sf):
-    """Student-t outlier density's companion: each object's distance and its tail probability among all objects."""
+
+@query("X24", f"{_GROUPS}, a AS (SELECT cell, bin, n, 1e0 + cell % 3 AS area FROM n WHERE cell % 2 = 0), d AS (SELECT bin, sum(n) AS n, sum(n)/sum(area) AS density FROM a GROUP BY bin) SELECT bin, cell, CAST(k AS INT) AS k, {Q('w*c.n/d.n')} AS weight, {Q('m')} AS mean, {Q('density')} AS density FROM c JOIN d USING (bin) WHERE cell % 2 = 0")
+def footprint_background(spark, sf):
+    """The fields with an even number, all of one bin as one model and one density."""
     from .skyjoin import _checkpoints
 
-    m = mixture.Mixture([1.0], [[5.0, 5.0]], [[[9.0, 1.0], [1.0, 9.0]]])
-    w = wide(spark, sf).filter("f1 is not null and f2 is not null").select("id", F.array("f1", "f2").alias("x"), F.array("v1", "v2").alias("var"))
     _checkpoints(spark)
-    # written once: ranks are joined back on the distance, which must be the same double
-    d = mixture.mixture_columns(w, {"sigma": m}, "nearest").select("id", "sigma").checkpoint()
-    return score.tail_p_value(d, "sigma", d).select("id", q(F.col("sigma")).alias("sigma"), q(F.col("p")).alias("p"))
+    f = estimate.fit_groups(cells(spark, sf), ["bin", "cell"], START, 30, iterations=2, tolerance=0.0, parents=[["bin"]]).checkpoint()
+    areas = f.filter("k = 0 and cell % 2 = 0").select("bin", "cell", (F.lit(1.0) + F.col("cell") % 3).alias("area"))
+    return estimate.pooled_models(f, ["bin", "cell"], areas, ["bin"]).select("bin", "cell", "k", q(F.col("weight")).alias("weight"), q(F.get("mean", F.lit(0))).alias("mean"), q(F.col("density")).alias("density"))
+
+
+_HELD = f"WITH {WIDE}, {_ROWS}, one AS (SELECT 1 AS one, id, x, s FROM r WHERE bin <> 4), b0 AS (SELECT 1 AS one, * FROM (VALUES {_START}) t(k, w, m, v)), {_em1_sql('one', 'one', 'b0', 2)} " + " UNION ALL ".join(_ll1_sql("b0" if i == 0 else f"tf{i}", i) for i in range(3))
+
+
+@query("E14, E15, E16", _HELD)
+def held_out_rounds(spark, sf):
+    """Mean log densities before each of three rounds, of the fitted rows and of the held-out fifth."""
+    fit = estimate.fit_rounds(cells(spark, sf), START, 3, 0.0, held_out=F.col("bin") == 4, patience=9)
+    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(fit.history, fit.held))], "round int, fit double, held double").select("round", q(F.col("fit")).alias("fit"), q(F.col("held")).alias("held"))
+
+
+#: Two classes over three channels; the members' model changes with redshift.
+MEMBER = [mixture.Mixture([0.6, 0.4], [[2.0 + i, 3.0, 2.0], [7.0, 6.0 - i, 8.0]], np.tile(6.0 * np.eye(3) + 2.0, (2, 1, 1))) for i in range(3)]
+OTHERS = mixture.Mixture([1.0], [[5.0, 5.0, 5.0]], [[[9.0, 1.0, 0.5], [1.0, 8.0, 2.0], [0.5, 2.0, 7.0]]])
+
+
+def three(spark, sf):
+    return wide(spark, sf).select("id", F.array("f1", "f2", "f3").alias("x"), F.array("v1", "v2", "v3").alias("var"), ((F.col("id") % 400) / 100.0).alias("z"))
+
+
+@query("X09", f"WITH {WIDE}, t AS (SELECT id, 9e0+v1 AS va, f1-5e0 AS d, 5e0+(f1-5e0)/(9e0+v1) AS m2, 5e0+0.5e0*(f1-5e0)/(9e0+v1) AS m3, f2, f3, v2, v3 FROM w), c AS (SELECT id, f2-m2 AS a, f3-m3 AS b, 8e0+v2-1e0/va AS p, 2e0-0.5e0/va AS o, 7e0+v3-0.25e0/va AS r, d IS NOT NULL AS ref FROM t), s AS (SELECT *, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN (r*a*a-2e0*o*a*b+p*b*b)/(p*r-o*o) END AS t2 FROM c) SELECT id, {Q('sqrt(t2)')} AS distance, {Q('exp(-t2/2e0)')} AS tail FROM s WHERE t2 IS NOT NULL")
+def outlier_tail(spark, sf):
+    """Tail of one Gaussian class given the first channel, of objects with three: closed."""
+    t = support.support_columns(three(spark, sf).filter("x[0] is not null and x[1] is not null and x[2] is not null"), [OTHERS], 0)
+    return t.select("id", q(F.col("distance")).alias("distance"), q(F.col("tail")).alias("tail"))
+
+
+@query("X08, X09, P37, M27")
+def support_percentile(spark, sf):
+    """Rank of every object among draws of the members' model at its redshift, given its first measured channel; both classes' tails and the flag."""
+    anchor = F.array_position(F.transform("x", lambda v: v.isNotNull()), True) - 1
+    member = support.support_columns(three(spark, sf), MEMBER, anchor, support.slice_shares(F.col("z"), [0.5, 1.5, 2.5], 0.2, 3.4), draws=64, seed=5)
+    member = member.withColumnsRenamed({"log_density": "member_log_density", "percentile": "support", "distance": "member_distance", "tail": "member_tail", "status": "member_status"})
+    both = support.support_columns(member, [OTHERS], anchor, draws=64, seed=5)
+    return both.select("id", "member_status", "support", "member_tail", F.col("tail").alias("other_tail"), support.outside_both(F.col("member_tail"), F.col("tail"), 0.05).alias("outside_both"))
+
+
+@query("A18, W05", f"WITH {SCORED}, n AS (SELECT count(*) AS n FROM t), r AS (SELECT id, score, rank() OVER (ORDER BY score DESC) AS r, count(*) OVER (PARTITION BY score) AS ties FROM t WHERE label=1) SELECT id, {Q('score')} AS score, {Q('(r+ties)::DOUBLE/((SELECT count(*) FROM t WHERE label=1)+1)')} AS p FROM r")
+def empirical_tail(spark, sf):
+    """The tail of each member's score among all members'."""
+    t = scored(spark, sf).filter("label = 1")
+    return score.tail_p_value(t, "score", t).select("id", q(F.col("score")).alias("score"), q(F.col("p")).alias("p"))
 
 
 @query("", "SELECT CAST(floor(epoch(ts)/3600) AS BIGINT) AS hour, event_type, count(*) AS n, " + Q("avg(value)") + " AS mean FROM events GROUP BY ALL")

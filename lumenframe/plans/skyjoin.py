@@ -131,10 +131,12 @@ def connected_objects(spark, sf):
     return M.connected_objects(c.select("id"), M.self_pairs(c, 1.5))
 
 
-@query("J09")
+@query("J09", f"WITH RECURSIVE {SKY_C}, {SKY_S}, {pairs_sql('s', 'c', 6.0)}, v AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY sep, l_id, r_id) AS n FROM p), t(n, ls, rs, ok) AS (SELECT 0::BIGINT, []::BIGINT[], []::BIGINT[], false UNION ALL SELECT n, CASE WHEN ok THEN list_append(ls, l_id) ELSE ls END, CASE WHEN ok THEN list_append(rs, r_id) ELSE rs END, ok FROM (SELECT v.n, l_id, r_id, ls, rs, NOT list_contains(ls, l_id) AND NOT list_contains(rs, r_id) AS ok FROM t JOIN v ON v.n = t.n+1)), g AS (SELECT l_id, r_id, sep FROM v JOIN t USING (n) WHERE ok) SELECT l_id, r_id, {Q('sep')} AS sep FROM g UNION ALL SELECT id, NULL, NULL FROM s WHERE id NOT IN (SELECT l_id FROM g) UNION ALL SELECT NULL, id, NULL FROM c WHERE id NOT IN (SELECT r_id FROM g)")
 def greedy_one_to_one(spark, sf):
+    """Matches by increasing distance, then what is left of both sides."""
     _checkpoints(spark)
-    return M.mutual_matches(M.match_pairs(sky_s(spark, sf), sky_c(spark, sf), 6.0)).select("l_id", "r_id", q(F.col("sep")).alias("sep"))
+    s, c = sky_s(spark, sf), sky_c(spark, sf)
+    return M.associated(s, c, M.match_pairs(s, c, 6.0)).select("l_id", "r_id", q(F.col("sep")).alias("sep"))
 
 
 def _checkpoints(spark) -> None:
