@@ -85,7 +85,7 @@ def unrecognised(p_member: Column, found: Column, completeness: float) -> Column
 
 
 def tail_p_value(df: DataFrame, distance: str, calibration: DataFrame) -> DataFrame:
-    """``df`` with ``p``: (1 + number of calibration distances at least as far) / (their number + 1); no distance, no p.
+    """``df`` with ``p``: (1 + number of calibration distances at least as far) / (their number + 1); no distance, no p.
 
     Both sides have the column ``distance``. Ranks are counted over all rows: by distinct distance, within
     ranges that are summed first. Quantiles only balance the ranges, so they may be approximate.

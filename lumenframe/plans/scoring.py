@@ -288,12 +288,25 @@ def three(spark, sf):
 
 
 @query("X09", f"WITH {WIDE}, t AS (SELECT id, 9e0+v1 AS va, f1-5e0 AS d, 5e0+(f1-5e0)/(9e0+v1) AS m2, 5e0+0.5e0*(f1-5e0)/(9e0+v1) AS m3, f2, f3, v2, v3 FROM w), c AS (SELECT id, f2-m2 AS a, f3-m3 AS b, 8e0+v2-1e0/va AS p, 2e0-0.5e0/va AS o, 7e0+v3-0.25e0/va AS r, d IS NOT NULL AS ref FROM t), s AS (SELECT *, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN (r*a*a-2e0*o*a*b+p*b*b)/(p*r-o*o) END AS t2 FROM c) SELECT id, {Q('sqrt(t2)')} AS distance, {Q('exp(-t2/2e0)')} AS tail FROM s WHERE t2 IS NOT NULL")
-def outlier_tail(spark, sf):
+def closed_tail(spark, sf):
     """Tail of one Gaussian class given the first channel, of objects with three: closed."""
     t = support.support_columns(three(spark, sf).filter("x[0] is not null and x[1] is not null and x[2] is not null"), [OTHERS], 0)
     return t.select("id", q(F.col("distance")).alias("distance"), q(F.col("tail")).alias("tail"))
 
 
+@query("M04")
+def outlier_tail(spark, sf):
+    """Each object's distance from one Gaussian class, and its rank among all objects' distances."""
+    from .skyjoin import _checkpoints
+
+    m = mixture.Mixture([1.0], [[5.0, 5.0]], [[[9.0, 1.0], [1.0, 9.0]]])
+    w = wide(spark, sf).filter("f1 is not null and f2 is not null").select("id", F.array("f1", "f2").alias("x"), F.array("v1", "v2").alias("var"))
+    _checkpoints(spark)
+    # written once: ranks are joined back on the distance, which must be the same double
+    d = mixture.mixture_columns(w, {"sigma": m}, "nearest").select("id", "sigma").checkpoint()
+    return score.tail_p_value(d, "sigma", d).select("id", q(F.col("sigma")).alias("sigma"), q(F.col("p")).alias("p"))
+
+
 @query("X08, X09, P37, M27")
 def support_percentile(spark, sf):
     """Rank of every object among draws of the members' model at its redshift, given its first measured channel; both classes' tails and the flag."""
