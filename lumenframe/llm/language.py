@@ -133,9 +133,12 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fit on documents whose crc32(id) mod 5 is not 0, by the bounds in the module's docstring."""
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text"))
     able = base.filter("lang is not null and text is not null").filter(crc_mod(F.col("id"), 5) != 0).withColumn("th", F.xxhash64("text")).withColumn("key", F.xxhash64("id", F.lit(13)))
-    # at most ``sample`` rows of a language leave a task
-    turn = F.dense_rank().over(Window.partitionBy("lang").orderBy("key", F.col("id").asc_nulls_last(), "th"))
-    first = able.select("lang", "key", "id", "th", F.length("text").alias("n")).withColumn("turn", turn).filter(F.col("turn") <= sample).dropDuplicates(["lang", "turn"])
+    # the first ``sample`` of each share of a language's rows meet, never all rows of a language
+    shares = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["key", F.col("id").asc_nulls_last(), "th"]
+    narrow = able.select("lang", "key", "id", "th", F.length("text").alias("n"), F.pmod(F.xxhash64("key"), F.lit(shares)).alias("share"))
+    some = narrow.withColumn("turn", F.dense_rank().over(Window.partitionBy("lang", "share").orderBy(*order))).filter(F.col("turn") <= sample).dropDuplicates(["lang", "share", "turn"])
+    first = some.withColumn("turn", F.dense_rank().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("turn") <= sample)
     chosen = first.orderBy("turn", "lang").limit(sample).collect()
     held, picked = 0, []
     for r in chosen:

@@ -60,12 +60,8 @@ def _windows(docs: DataFrame, width: int) -> DataFrame:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """``docs`` with ``text_col`` cleaned, and ``n_lines``, ``n_removed`` added (replacing columns so named)."""
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    base = docs.select(
-        *[F.col(f"`{c}`") for c in kept],
-        order_key(F.col(f"`{id_col}`")).alias(P + "ord"),
-        F.xxhash64(F.col(f"`{text_col}`")).alias(P + "th"),
-        _lines(F.col(f"`{text_col}`")).alias(P + "lines"),
-    )
+    text = F.col(f"c{kept.index(text_col)}")
+    base = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], order_key(F.col(f"`{id_col}`")).alias(P + "ord")).select("*", F.xxhash64(text).alias(P + "th"), _lines(text).alias(P + "lines"))
     windows = materialise(_windows(base, width), "line-windows")
     later = later_occurrences(windows, ("k1", "k2"), ["ord", "th", "pos"])
     p = F.col("p")
@@ -83,11 +79,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     start = F.concat(F.array(F.lit(0)), F.col(P + "to"))
     end = F.concat(F.col(P + "from"), F.array(n))
     between = F.flatten(F.transform(F.arrays_zip(start.alias("s"), end.alias("e")), lambda r: F.slice(F.col(P + "lines"), r["s"] + 1, r["e"] - r["s"])))
-    text = F.col(f"`{text_col}`")
     touched = F.col(P + "from").isNotNull()
     out = base.join(ranges, [P + "ord", P + "th"], "left").withColumn(P + "kept", F.when(touched, between))
     return out.select(
-        *[F.when(touched, F.array_join(P + "kept", "\n")).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in kept],
+        *[(F.when(touched, F.array_join(P + "kept", "\n")).otherwise(text) if c == text_col else F.col(f"c{i}")).alias(c) for i, c in enumerate(kept)],
         n.cast("long").alias("n_lines"),
         F.when(touched, n - F.size(P + "kept")).otherwise(0).cast("long").alias("n_removed"),
     )

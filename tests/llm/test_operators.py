@@ -677,3 +677,30 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
         out = pipeline.run(spark, sf)
         assert out.count() == 0 if not rows else out.filter("doc_id = 4").count() > 0
     assert empty.columns == pipeline.COLUMNS
+
+
+def test_line_dedup_with_names_of_its_own(spark):
+    d = spark.createDataFrame([(1, "a\nb\nc\nd"), (2, "x\na\nb\nc\ny")], "doc_id long, text string")
+    for name in ("__lf_ord", "__lf_th", "__lf_lines", "__lf_from", "c0"):
+        got = {r["doc_id"]: (r["text"], r[name]) for r in line_dedup.dedup_lines(d.withColumn(name, F.lit("own"))).collect()}
+        assert got == {1: ("a\nb\nc\nd", "own"), 2: ("x\ny", "own")}
+
+
+def test_substring_dedup_tells_texts_with_one_short_hash_apart(spark):
+    # two texts of null id whose 32-bit hashes agree: one repeats a passage, nothing of the other occurs elsewhere
+    run = "One two three four five six. Seven eight nine ten eleven. Twelve thirteen fourteen fifteen."
+    n = spark.range(200_000).select(F.col("id").cast("string").alias("i"))
+    a = n.select(F.concat(F.lit("alpha"), "i", F.lit(" beta. " + run)).alias("a")).withColumn("h", F.hash("a"))
+    own = " starts alone here. Its second sentence has six words. The third one has as many."
+    b = n.select(F.concat(F.lit("omega"), "i", F.lit(own)).alias("b")).withColumn("h", F.hash("b"))
+    pair = a.join(b, "h").first()
+    assert pair is not None
+    d = spark.createDataFrame([(None, pair["a"]), (None, pair["b"]), (1, "Start. " + run)], "doc_id long, text string")
+    got = {r["text"] for r in substring_dedup.dedup_substrings(d).collect()}
+    assert {pair["b"], "Start. " + run} <= got and pair["a"] not in got
+
+
+def test_language_sample_never_gathers_a_language(spark):
+    d = docs(spark, [f"word{i} other words here" for i in range(900)])
+    few = language.learn(d, sample=40)
+    assert few.words == language.learn(d.repartition(5), sample=40).words and len(few.langs) == 1
