@@ -112,3 +112,60 @@ def shrunk_weights(rows: DataFrame, k: int, shift: int, n0: float) -> DataFrame:
 
     above = parents.crossJoin(F.broadcast(whole)).select("parent", drawn("up").alias("up"))
     return cells.withColumn("parent", F.shiftright("pix", shift)).join(above, "parent").select("pix", drawn("up"))
+
+
+def _weight_round(rows: DataFrame, weights: DataFrame, k: int) -> DataFrame:
+    """(level, cell, w, n) after one EM step: rows (level, cell, e, sw) under their cell's weights; combined before the shuffle."""
+    ew = F.zip_with("e", "w", lambda a, b: a * b)
+    parts = rows.join(weights.select("level", "cell", "w"), ["level", "cell"]).withColumn("ew", ew)
+    parts = parts.withColumn("z", F.aggregate("ew", F.lit(0.0), lambda a, b: a + b)).filter("z > 0")
+    sums = parts.groupBy("level", "cell").agg(F.sum("sw").alias("n"), *[F.sum(F.col("sw") * F.get("ew", F.lit(j)) / F.col("z")).alias(f"s{j}") for j in range(k)])
+    return sums.select("level", "cell", F.array(*[F.col(f"s{j}") / F.col("n") for j in range(k)]).alias("w"), "n").checkpoint()
+
+
+def nested_weights(rows: DataFrame, start: list[float], shift: int, n0: float, rounds: int) -> DataFrame:
+    """(level, cell, n, w) of fixed component densities on the sphere (level 0), in parent cells (1) and in cells (2).
+
+    ``rows`` have pix, lp (log densities of the components) and sw (their sampling weight). Proportions of the whole sphere are fitted by EM
+    from ``start``, then those of all parents and cells together from there. Each level is then drawn to the one above by n / (n + n0), with n the
+    level's sum of weights. Cells without rows are absent: they take what is above them (``weights_at``). Rows without a finite
+    density or a positive weight do not count.
+    """
+    k = len(start)
+    top = F.array_max("lp")
+    each = rows.filter("pix is not null and sw > 0").filter(top.isNotNull() & (top > float("-inf")) & (F.size("lp") == k)).select("pix", "sw", F.transform("lp", lambda v: F.coalesce(F.exp(v - top), F.lit(0.0))).alias("e")).checkpoint()
+    whole = each.select(F.lit(0).alias("level"), F.lit(0).cast("long").alias("cell"), "e", "sw")
+    w = whole.select("level", "cell").limit(1).withColumn("w", F.array(*map(F.lit, start)))
+    for _ in range(rounds):
+        w = _weight_round(whole, w, k)
+    keys = F.array(F.struct(F.lit(1).alias("level"), F.shiftright("pix", shift).cast("long").alias("cell")), F.struct(F.lit(2).alias("level"), F.col("pix").cast("long").alias("cell")))
+    local = each.select(F.explode(keys).alias("key"), "e", "sw").select("key.level", "key.cell", "e", "sw")
+    up = w.select("w")  # one row
+    v = local.select("level", "cell").distinct().crossJoin(F.broadcast(up))
+    for _ in range(rounds):
+        v = _weight_round(local, v, k)
+
+    def drawn(rows_: DataFrame, above: str) -> DataFrame:
+        a = F.col("n") / (F.col("n") + F.lit(float(n0)))
+        return rows_.select("level", "cell", "n", F.zip_with("w", above, lambda x, y: a * x + (F.lit(1.0) - a) * y).alias("w"))
+
+    parents = drawn(v.filter("level = 1").crossJoin(F.broadcast(up.select(F.col("w").alias("up")))), "up").checkpoint()
+    held = parents.select(F.col("cell").alias("parent"), F.col("w").alias("up"))
+    cells = drawn(v.filter("level = 2").withColumn("parent", F.shiftright("cell", shift)).join(held, "parent"), "up")
+    return w.select("level", "cell", "n", "w").unionByName(parents).unionByName(cells).checkpoint()
+
+
+def weights_at(points: DataFrame, weights: DataFrame, shift: int) -> DataFrame:
+    """``points`` (with pix) with ``w`` of their cell, else of its parent, else of the sphere, and the ``level`` that gave it."""
+    at = lambda level, name: weights.filter(F.col("level") == level).select(F.col("cell").alias(f"c{level}_"), F.col("w").alias(name))
+    x = points.withColumn("c2_", F.col("pix").cast("long")).withColumn("c1_", F.shiftright("pix", shift).cast("long"))
+    x = x.join(at(2, "w2_"), "c2_", "left").join(at(1, "w1_"), "c1_", "left").crossJoin(F.broadcast(at(0, "w0_").drop("c0_")))  # one row
+    level = F.when(F.col("w2_").isNotNull(), 2).when(F.col("w1_").isNotNull(), 1).otherwise(0)
+    return x.withColumn("w", F.coalesce("w2_", "w1_", "w0_")).withColumn("level", level).drop("c1_", "c2_", "w0_", "w1_", "w2_")
+
+
+def cone_weights(rows: DataFrame, initial: list[float], n0: float, rounds: int) -> DataFrame:
+    """One row (n, w): the proportions of the rows of a cone by EM from ``initial``, drawn back to it by n / (n + n0)."""
+    fit = nested_weights(rows.withColumn("pix", F.lit(0).cast("long")), initial, 0, 0.0, rounds).filter("level = 0")
+    a = F.col("n") / (F.col("n") + F.lit(float(n0)))
+    return fit.select("n", F.zip_with("w", F.array(*map(F.lit, initial)), lambda x, y: a * x + (F.lit(1.0) - a) * y).alias("w"))

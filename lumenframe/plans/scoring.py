@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions.scalar import quantise as q
-from lumenframe.operators import estimate, metrics, mixture, score, support
+from lumenframe.operators import density, estimate, joint, metrics, mixture, score, support
 
 from .inputs import MEAS, SCORED, VEC, WIDE, Q, scored, times_sql, vec, wide
 from .registry import query, table
@@ -196,6 +196,29 @@ def weight_em(spark, sf):
     return w.select("grp", F.col("k").alias("g"), q(F.col("w")).alias("w"))
 
 
+def _nested_sql() -> str:
+    """Three rounds on the sphere, then three in parents and cells, drawn to what is above by n / (n + 25)."""
+    out = [f"WITH {VEC}, l AS (SELECT vec_id, vec_id%48 AS pix, 1e0+vec_id%3 AS sw, g, exp(lp-max(lp) OVER (PARTITION BY vec_id)) AS e FROM lp WHERE g < 3)", "w0 AS (SELECT 0 AS level, 0::BIGINT AS cell, g, 1e0/3e0 AS w FROM (VALUES (0), (1), (2)) t(g))", "r AS (SELECT 0 AS level, 0::BIGINT AS cell, * FROM l)", "s AS (SELECT 1 AS level, pix>>2 AS cell, * FROM l UNION ALL SELECT 2, pix, * FROM l)"]
+    for rows, a, b in (("r", "w", 0), ("s", "v", 3)):
+        if b:
+            out.append("v0 AS (SELECT DISTINCT s.level, s.cell, w3.g, w3.w FROM s, w3)")
+        for i in range(3):
+            out.append(f"{a}x{i} AS (SELECT {rows}.*, e*w/sum(e*w) OVER (PARTITION BY {rows}.level, {rows}.cell, vec_id) AS q FROM {rows} JOIN {a}{i} USING (level, cell, g)), {a}{i + 1} AS (SELECT level, cell, g, sum(sw*q)/max(n) AS w, max(n) AS n FROM (SELECT *, sum(sw*q) OVER (PARTITION BY level, cell) AS n FROM {a}x{i}) GROUP BY level, cell, g)")
+    out.append("p AS (SELECT v3.level, v3.cell, v3.g, v3.n, v3.n/(v3.n+25e0)*v3.w+25e0/(v3.n+25e0)*w3.w AS w FROM v3 JOIN w3 USING (g) WHERE v3.level=1), c AS (SELECT v3.level, v3.cell, v3.g, v3.n, v3.n/(v3.n+25e0)*v3.w+25e0/(v3.n+25e0)*p.w AS w FROM v3 JOIN p ON p.cell=v3.cell>>2 AND p.g=v3.g WHERE v3.level=2)")
+    return ", ".join(out) + f" SELECT CAST(level AS INT) AS level, cell, CAST(g AS INT) AS g, {Q('n')} AS n, {Q('w')} AS w FROM (SELECT level, cell, g, n, w FROM w3 UNION ALL SELECT * FROM p UNION ALL SELECT * FROM c)"
+
+
+@query("E09", _nested_sql())
+def nested_cell_weights(spark, sf):
+    from .skyjoin import _checkpoints
+
+    _checkpoints(spark)
+    lp = class_log_probs(spark, sf).filter("g < 3").groupBy("vec_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("g", "lp"))), lambda s: s["lp"]).alias("lp"))
+    i = F.col("vec_id")
+    w = density.nested_weights(lp.select((i % 48).alias("pix"), (F.lit(1.0) + i % 3).alias("sw"), "lp"), [1 / 3] * 3, 2, 25.0, 3)
+    return w.select("level", "cell", q(F.col("n")).alias("n"), F.posexplode("w").alias("g", "w")).withColumn("w", q(F.col("w")))
+
+
 @query("A20, E12")
 def mixing_fraction(spark, sf):
     h = hypotheses(spark, sf)
@@ -287,6 +310,29 @@ def three(spark, sf):
     return wide(spark, sf).select("id", F.array("f1", "f2", "f3").alias("x"), F.array("v1", "v2", "v3").alias("var"), ((F.col("id") % 400) / 100.0).alias("z"))
 
 
+JOINT = mixture.Mixture([0.7, 0.3], [[3.0, 1.5], [9.0, 2.5]], [[[6.0, 0.9], [0.9, 0.5]], [[8.0, -0.6], [-0.6, 0.4]]])
+
+
+def _joint_sql() -> str:
+    # erf without cancellation: a series of positive terms
+    erf = "CASE WHEN abs({0}) > 6e0 THEN sign({0}) WHEN {0} = 0e0 THEN 0e0 ELSE sign({0})*1.1283791670955126e0*exp(-{0}*{0})*list_sum(list_transform(range(0, 140), lambda i: exp(2e0*i*ln(2e0)+(2e0*i+1e0)*ln(abs({0}))-lgamma(2e0*i+2e0)+lgamma(i+1e0)))) END".format
+    share = lambda lo, hi: f"0.5e0*(({erf(f'(({hi}-zm)/sqrt(2e0*zv))')})-({erf(f'(({lo}-zm)/sqrt(2e0*zv))')}))"
+    return f"""WITH {WIDE}, k AS (SELECT * FROM (VALUES (0.7e0, 3e0, 1.5e0, 6e0, 0.9e0, 0.5e0), (0.3e0, 9e0, 2.5e0, 8e0, -0.6e0, 0.4e0)) t(w, mc, mz, cc, cz, zz)),
+r AS (SELECT id, f1, v1, (id%400)/100e0 AS z FROM w WHERE f1 IS NOT NULL),
+g AS (SELECT id, z, w*exp(-0.5e0*(f1-mc)*(f1-mc)/(cc+v1))/sqrt(cc+v1) AS q, mz+cz*(f1-mc)/(cc+v1) AS zm, zz-cz*cz/(cc+v1) AS zv FROM r, k),
+s AS (SELECT id, z, sum(q*({share('0.5e0', '3.5e0')}))/sum(q) AS inside, sum(q*exp(-0.5e0*(z-zm)*(z-zm)/zv)/sqrt(6.283185307179586e0*zv))/sum(q) AS p, sum(q*greatest(0e0, {share('greatest(0.5e0, z-0.2e0)', 'least(3.5e0, z+0.2e0)')}))/sum(q) AS win FROM g GROUP BY id, z)
+SELECT id, CASE WHEN z >= 0.5e0 AND z <= 3.5e0 THEN {Q('ln(p/inside)')} END AS log_density, {Q('CASE WHEN least(3.5e0, z+0.2e0) > greatest(0.5e0, z-0.2e0) THEN win/inside ELSE 0e0 END')} AS mass FROM s"""
+
+
+@query("M15", _joint_sql())
+def joint_redshift(spark, sf):
+    """Density at each object's redshift and mass of a window around it, from a joint mixture of one colour and redshift."""
+    z = (F.col("id") % 400) / 100.0
+    rows = wide(spark, sf).filter("f1 is not null").select("id", F.array("f1").alias("x"), F.array("v1").alias("var"))
+    t = joint.redshift_columns(rows, JOINT, (0.5, 3.5), z, (z - 0.2, z + 0.2))
+    return t.select("id", q(F.col("log_density")).alias("log_density"), q(F.col("mass")).alias("mass"))
+
+
 @query("X09", f"WITH {WIDE}, t AS (SELECT id, 9e0+v1 AS va, f1-5e0 AS d, 5e0+(f1-5e0)/(9e0+v1) AS m2, 5e0+0.5e0*(f1-5e0)/(9e0+v1) AS m3, f2, f3, v2, v3 FROM w), c AS (SELECT id, f2-m2 AS a, f3-m3 AS b, 8e0+v2-1e0/va AS p, 2e0-0.5e0/va AS o, 7e0+v3-0.25e0/va AS r, d IS NOT NULL AS ref FROM t), s AS (SELECT *, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN (r*a*a-2e0*o*a*b+p*b*b)/(p*r-o*o) END AS t2 FROM c) SELECT id, {Q('sqrt(t2)')} AS distance, {Q('exp(-t2/2e0)')} AS tail FROM s WHERE t2 IS NOT NULL")
 def closed_tail(spark, sf):
     """Tail of one Gaussian class given the first channel, of objects with three: closed."""

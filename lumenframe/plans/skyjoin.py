@@ -9,6 +9,7 @@ from lumenframe.functions.scalar import quantise as q
 from lumenframe.operators import density as D
 from lumenframe.operators import match as M
 from lumenframe.operators import select as L
+from lumenframe.sources import layout
 
 from .inputs import CHORD, SEP, SKY_C, SKY_S, Q, pairs_sql, sky_c, sky_s
 from .registry import query, table
@@ -59,6 +60,38 @@ def cone_scan(spark, sf):
     return c.withColumn("c2", c2).filter(F.col("c2") <= F.lit(4.0) * half * half).select("id", q(K.separation_deg(F.col("c2"))).alias("sep"))
 
 
+def _folder(spark, name: str) -> str:
+    """A folder of its own beside the session's checkpoints; it goes when the driver ends."""
+    import uuid
+
+    _checkpoints(spark)
+    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()).rstrip('/')}/lumenframe/{name}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
+@query("S05, S09, S18", f"WITH {SKY_C}, {GAL} SELECT id, {Q(SEP)} AS sep FROM (SELECT id, cos(radians(b))*cos(radians(l)) AS x, cos(radians(b))*sin(radians(l)) AS y, sin(radians(b)) AS z FROM g) l, (SELECT cos(radians(70e0))*cos(radians(350e0)) AS x, cos(radians(70e0))*sin(radians(350e0)) AS y, sin(radians(70e0)) AS z) r WHERE {CHORD} <= 4e0*sin(radians(15e0)/2e0)*sin(radians(15e0)/2e0)")
+def pruned_cone(spark, sf):
+    """A cone of a catalogue laid out by pixel: ranges of pixels reach the scan, the distance decides among what is left."""
+    path = _folder(spark, "catalogue")
+    layout.write_clustered(pixels(spark, sf, 8).select("id", "l", "b", "pix"), path, "pix", 8)
+    near = layout.read_cone(spark, path, "pix", 350.0, 70.0, 15.0, 8)
+    c2 = K.chord2(K.unit_vector(F.col("l"), F.col("b")), K.unit_vector(F.lit(350.0), F.lit(70.0)))
+    half = F.sin(F.radians(F.lit(15.0)) / 2.0)
+    return near.withColumn("c2", c2).filter(F.col("c2") <= F.lit(4.0) * half * half).select("id", q(K.separation_deg(F.col("c2"))).alias("sep"))
+
+
+@query("S18, F19", f"WITH {SKY_C} SELECT id, role, {Q('z')} AS z FROM (SELECT id, CASE WHEN id%10<7 THEN 'fit' WHEN id%10<9 THEN 'select' ELSE 'test' END AS role, (mag-16e0)/2e0 AS z FROM c) WHERE role IN ('select', 'test') AND z >= 1e0 AND z < 2.5e0")
+def training_scan(spark, sf):
+    """Rows of two roles in a range of redshift, from a table with a folder for each role, in order of redshift."""
+    path = _folder(spark, "training")
+    i = F.col("id") % 10
+    rows = sky_c(spark, sf).select("id", F.when(i < 7, "fit").when(i < 9, "select").otherwise("test").alias("role"), ((F.col("mag") - 16.0) / 2.0).alias("z"))
+    layout.write_clustered(rows, path, "z", 8, by=["role"])
+    return layout.training_rows(spark, path, ["select", "test"], (1.0, 2.5)).select("id", "role", q(F.col("z")).alias("z"))
+
+
 @query("S13", f"WITH {PIX} SELECT id, pix, pix>>4 AS parent, CAST(floor((row_number() OVER (PARTITION BY pix>>4 ORDER BY pix, id)-1)/5) AS BIGINT) AS block FROM h")
 def sky_blocks(spark, sf):
     p = pixels(spark, sf)
