@@ -3,12 +3,14 @@
 A rolling hash of the last seven bytes ends a chunk wherever it is the block
 size's remainder; each chunk becomes one of 64 characters of its own hash. The
 block size is a power of two times three: the largest of which ``LEAST`` go into
-the text's bytes, or a smaller one at which the text has at least half as many
-boundaries. A fingerprint is the size and the chunks at that size, at twice and at
-four times it, parted by colons. Chunks past ``MOST`` join the last one, as in the
-known scheme (which stops at 64); only periodic texts have so many.
-A text and an edit that leaves its length stand at one size, but where one of
-them is periodic and has no boundaries there; such pairs have likeness 0.
+the text's bytes. A chunk of more than ``LONG`` block sizes, as periodic passages make
+them, is parted at the boundaries of half the size, and so on down, so what a
+passage gives depends on the passage alone. A fingerprint is the size and the chunks at
+that size, at twice and at four times it, parted by colons. A chunk that ends
+a run of seven that came before in the text is left out: a periodic text has
+the chunks of its first period and of what differs; none is cut off or joined.
+A text and an edit that leaves its length stand at one size. A passage without a
+boundary at any size (a single character for thousands of bytes, or a very short period) is one chunk.
 
 Fingerprints are compared at the block sizes that both have (so up to a factor
 of four apart; the best counts), by edit distance in which a change costs a deletion and an insertion:
@@ -43,7 +45,7 @@ from .shingles import mix, powers
 ship(__name__)
 
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
-LEAST_BLOCK, MOST, LEAST = 3, 1024, 32
+LEAST_BLOCK, LEAST, LONG, RUN = 3, 32, 8, 7
 _M = np.uint32(0x01000193)
 _TABLE = (mix(np.arange(1000, 1256, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
@@ -62,13 +64,45 @@ def rolling(data: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint32(13))
 
 
-def _chars(total: np.ndarray, down: np.ndarray, ends: np.ndarray, n: int) -> str:
-    """One character for each chunk; at most MOST, the last takes what is left."""
-    ends = ends[: MOST - 1] if len(ends) >= MOST else ends
-    cuts = np.r_[0, ends[ends < n], n]
+def _first_runs(h: np.ndarray) -> np.ndarray:
+    """Which of the chunks (hashes) do not end a run of ``RUN`` that came before."""
+    if len(h) <= RUN:
+        return np.ones(len(h), bool)
+    n = len(h) - RUN + 1
+    runs = np.zeros(n, np.uint64)
+    for k in range(RUN):
+        runs = mix(runs + h[k : k + n])
+    first = np.zeros(len(h), bool)
+    first[: RUN - 1] = True
+    first[np.unique(runs, return_index=True)[1] + RUN - 1] = True
+    return first
+
+
+def _cuts(found: list[np.ndarray], level: int, n: int) -> np.ndarray:
+    """Where chunks end at a level, with 0 and ``n``; long ones parted at the levels below."""
+    cuts = np.r_[0, found[level][found[level] < n], n]
+    parts, long = [cuts], _long(cuts, level)
+    for lower in range(level - 1, -1, -1):
+        at, inner = found[lower], []
+        for a, b in long:
+            more = at[np.searchsorted(at, a, "right") : np.searchsorted(at, b)]
+            parts.append(more)
+            inner += _long(np.r_[a, more, b], lower)
+        long = inner
+    return np.sort(np.concatenate(parts)) if len(parts) > 1 else cuts
+
+
+def _long(cuts: np.ndarray, level: int) -> list[tuple[int, int]]:
+    """The chunks that are longer than the level allows."""
+    i = np.flatnonzero(np.diff(cuts) > LONG * LEAST_BLOCK << level)
+    return list(zip(cuts[i].tolist(), cuts[i + 1].tolist()))
+
+
+def _chars(total: np.ndarray, down: np.ndarray, cuts: np.ndarray) -> str:
+    """One character for each chunk that is not a repetition."""
     a, b = cuts[:-1], cuts[1:]
     h = mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
-    return ALPHABET[(h >> np.uint64(58)).astype(np.intp)].tobytes().decode()
+    return ALPHABET[(h[_first_runs(h)] >> np.uint64(58)).astype(np.intp)].tobytes().decode()
 
 
 def fingerprint(text: str) -> str:
@@ -87,14 +121,12 @@ def fingerprint(text: str) -> str:
     rank = h[at] // np.uint32(LEAST_BLOCK)
     # trailing ones of the quotient: how often the size doubles with the boundary kept
     levels = max(0, (n // (LEAST * LEAST_BLOCK)).bit_length() - 1)
-    found = [at]
+    found = [at + 1]
     for _ in range(levels + 2):
         more = (rank & np.uint32(1)) == 1
         at, rank = at[more], rank[more] >> np.uint32(1)
-        found.append(at)
-    while levels and len(found[levels]) < LEAST // 2:
-        levels -= 1
-    return ":".join([str(LEAST_BLOCK << levels), *(_chars(total, down, x + 1, n) for x in found[levels : levels + 3])])
+        found.append(at + 1)
+    return ":".join([str(LEAST_BLOCK << levels), *(_chars(total, down, _cuts(found, x, n)) for x in range(levels, levels + 3))])
 
 
 def common_subsequence(a: str, b: str) -> int:
