@@ -1,21 +1,24 @@
 """Main text of web pages: gradient-boosted trees over DOM nodes, decoded down the hierarchy.
 
 A page is read into a tree of block elements; inline elements (links, emphasis,
-line breaks and the like) belong to the block they stand in. Each node gets
-features: its tag and its ancestors' tags, tokens of its class, id and role
-attributes, text and link density of its subtree, depth, place among its siblings
-and how alike they are, punctuation, and its place in the page. Boosted trees
-give the chance that a node holds main text.
+line breaks and the like) belong to the block they stand in. Where a block holds
+both text and blocks, and in the body, each run of bare text between blocks is a
+node of its own, judged like any other. Each node gets features: its tag and its
+ancestors' tags, tokens of its class, id and role attributes, text and link density
+of its subtree, depth, place among its siblings and how alike they are, sizes and
+links of the siblings beside it, punctuation, copyright marks, and its place in the
+page. Boosted trees give the chance that a node holds main text.
 
 Decoding: a node can only be kept if its parent is. The best such choice of all
 nodes is found bottom up: a subtree is either dropped whole, or its root is kept
 and each child decides for itself; log chances add up. So no dropped ancestor
 has kept descendants, and a lone confident guess inside a menu does not survive.
+The body itself is always kept, as it has no text of its own.
 
 The trees are trained here, on pages that ``template_pages`` writes in many
 layouts (semantic tags, bare divisions with named classes, comments inside and
-outside the article, notices, adverts, forms, side bars) with known answers;
-nothing is downloaded, and no page's own URL or id is an input.
+outside the article, notices, adverts, forms, side bars, bare text beside blocks,
+pages without an article) with known answers; nothing is downloaded, and no page's own URL or id is an input.
 
 Text: character references are decoded, white space inside a block becomes one
 space, blocks are joined in page order by one space. Scripts, styles, comments
@@ -23,7 +26,7 @@ and the head never count as text.
 
 Defined cases: null and empty html give an empty text; unclosed and misnested
 tags close as their parents do; a quote within an unquoted attribute value is
-part of it; text outside any element belongs to the body; pages of any length
+part of it; text outside any element is a node under the body; pages of any length
 and depth are read whole, in time linear in their length; repeated rows are
 treated one by one; extra columns are ignored; an empty table gives no rows.
 """
@@ -60,7 +63,10 @@ MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
 ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-TAGS = "article main section div p h1 h2 h3 ul li table td blockquote pre nav header footer aside form figure dl".split()
+#: The tag of a run of bare text.
+RUN = "#text"
+MARK = re.compile(r"©|&copy|&#169|&#xa9|\(c\)|copyright", re.I)
+TAGS = f"article main section div p h1 h2 h3 ul li table td blockquote pre nav header footer aside form figure dl {RUN}".split()
 TAG_PLACE = {t: i for i, t in enumerate(TAGS)}
 GROUPS = {
     "main": "article content post entry main body story text prose page blog markdown maincontent articlebody",
@@ -98,7 +104,7 @@ def _groups(attributes: str) -> tuple[int, ...]:
 
 
 def parse(html: str) -> Node:
-    """The tree of block elements; a node's texts are raw, still with character references. One pass, linear in the page."""
+    """The tree of block elements and runs of text, which are raw, still with character references. One pass, linear in the page."""
     root = Node("body", None)
     stack = [root]  # open block elements
     opened: dict[str, int] = {}  # how many of each tag are in the stack
@@ -108,10 +114,16 @@ def parse(html: str) -> Node:
 
     def text(raw: str) -> None:
         if raw:
-            node = stack[-1]
+            items = stack[-1].items
+            if not items or items[-1].tag != RUN:
+                items.append(Node(RUN, stack[-1]))
             if inline.get("a") and not raw.isspace():
-                node.links += len(raw.strip())
-            node.items.append(raw)
+                items[-1].links += len(raw.strip())
+            items[-1].items.append(raw)
+
+    def mark() -> None:
+        items = stack[-1].items
+        (items[-1] if items and items[-1].tag == RUN else stack[-1]).tags += 1
 
     def cut(i: int) -> None:
         for x in stack[i:]:
@@ -156,12 +168,12 @@ def parse(html: str) -> Node:
             at = size if end < 0 else end
             close = html.find(">", at)
             at = size if close < 0 else close + 1
-            stack[-1].tags += 1
+            mark()
             continue
         if tag in ("html", "body"):
             continue
         if tag in INLINE:
-            stack[-1].tags += 1
+            mark()
             if tag in VOID:
                 text(" ")
             elif not m[3].endswith("/"):
@@ -179,6 +191,21 @@ def parse(html: str) -> Node:
     return root
 
 
+def settle(node: Node, root: bool) -> None:
+    """Drop blank runs and what never counts as text; a block of nothing but text holds it itself."""
+    items = []
+    for x in node.items:
+        if x.tag == RUN and not unescape("".join(x.items)).strip():
+            node.tags += x.tags
+        elif x.tag not in SKIP:
+            items.append(x)
+    if items and not root and all(x.tag == RUN for x in items):
+        node.links += sum(x.links for x in items)
+        node.tags += sum(x.tags for x in items)
+        items = [s for x in items for s in (" ", *x.items)]
+    node.items = items
+
+
 class Page:
     """Nodes in page order with the features of each."""
 
@@ -189,8 +216,8 @@ class Page:
         todo = [(self.root, -1)]
         while todo:
             node, parent = todo.pop()
-            if node.tag in SKIP:
-                continue
+            if node.tag != RUN:
+                settle(node, parent < 0)
             i = len(self.nodes)
             self.nodes.append(node)
             up.append(parent)
@@ -202,9 +229,11 @@ class Page:
         nodes, up = self.nodes, self.up
         n = len(nodes)
         own = np.zeros((n, 6))  # characters, words, links, tags, marks, nodes
+        rights = np.zeros(n)
         for i, x in enumerate(nodes):
             t = "".join(s for s in x.items if isinstance(s, str))
             own[i] = len(t.strip()), t.count(" ") + bool(t.strip()), x.links, x.tags, t.count(".") + t.count(","), 1
+            rights[i] = bool(MARK.search(t))
         below = own.copy()
         for i in range(n - 1, 0, -1):
             below[up[i]] += below[i]
@@ -226,29 +255,35 @@ class Page:
                 above_group[i] = above_group[p] | group[p]
                 children.setdefault(p, []).append(i)
         place, count, alike = np.zeros(n), np.ones(n), np.ones(n)
+        beside = np.zeros((n, 6))  # of the siblings before and after: characters, share of links, whether there is one
+        chars = np.maximum(1.0, below[:, 0])
         for own_children in children.values():
             each = Counter(nodes[c].tag for c in own_children)
             size = len(own_children)
             for j, c in enumerate(own_children):
                 place[c], count[c], alike[c] = j / size, size, each[nodes[c].tag] / size
+            c = np.array(own_children)
+            size_of, linked = np.log1p(below[c, 0]), below[c, 2] / chars[c]
+            beside[c[1:], 0], beside[c[1:], 1], beside[c[1:], 2] = size_of[:-1], linked[:-1], 1
+            beside[c[:-1], 3], beside[c[:-1], 4], beside[c[:-1], 5] = size_of[1:], linked[1:], 1
         one = np.zeros((n, len(TAGS) + 1), bool)
         one[np.arange(n), tag] = True
-        chars = np.maximum(1.0, below[:, 0])
+        plain = (own[:, 0] * ~(group | above_group)[:, 1:].any(1)).max()  # the longest text that no name puts aside
         dense = np.stack(
             [
                 np.log1p(below[:, 0]), np.log1p(own[:, 0]), below[:, 2] / chars, below[:, 5] / chars * 100, below[:, 3] / chars * 100, below[:, 4] / np.maximum(1, below[:, 1]), below[:, 0] / total,
                 before / total, depth, place, np.log1p(count), alike, own[:, 0] / chars, np.log1p(below[:, 5]), below[up, 0] / total, below[up, 2] / np.maximum(1.0, below[up, 0]),
+                rights, np.full(n, np.log1p(total)), np.full(n, np.log1p(n)), np.full(n, np.log1p(plain)),
             ],
             1,
         )
         keep = [TAGS.index(t) for t in ("article", "main", "nav", "header", "footer", "aside", "form", "table", "ul", "blockquote", "p")]
-        return np.concatenate([dense, one, above_tag[:, keep], group, above_group], 1).astype(np.float64)
+        return np.concatenate([dense, beside, one, above_tag[:, keep], group, above_group], 1).astype(np.float64)
 
     def decode(self, chance: np.ndarray) -> np.ndarray:
         """The kept nodes: the likeliest choice in which every kept node's parent is kept."""
         p = np.clip(chance, 1e-4, 1 - 1e-4)
         yes, no = np.log(p), np.log(1 - p)
-        # the root holds the page; its own text counts only as its chance says
         drop, keep = no.copy(), yes.copy()
         for i in range(len(p) - 1, 0, -1):
             drop[self.up[i]] += drop[i]
@@ -259,7 +294,7 @@ class Page:
             kept[i] = kept[self.up[i]] and keep[i] >= drop[i]
         return kept
 
-    def text(self, kept: np.ndarray, root_text: bool) -> str:
+    def text(self, kept: np.ndarray) -> str:
         place = {id(x): i for i, x in enumerate(self.nodes)}
         blocks: list[str] = []
         run: list[str] = []
@@ -283,7 +318,7 @@ class Page:
                 end()
                 if i is not None and kept[i]:
                     todo.append(None)
-                    todo.extend(reversed(x.items if i or root_text else [y for y in x.items if isinstance(y, Node)]))
+                    todo.extend(reversed(x.items))
         end()
         return " ".join(blocks)
 
@@ -293,10 +328,12 @@ def template_pages(count: int = 500, seed: int = 3) -> list[str]:
     rng = np.random.default_rng(seed)
     pick = lambda *a: a[rng.integers(len(a))]
     serial = iter(range(1 << 40))
+    LENGTHS, STOPS = ["", "", "ab", "cdefg", "hijklmnop"], ["", "", "", "", "", ",", ".", "."]
 
     def words(kind, lo, hi):
-        out = [f"{kind}{next(serial)}" + pick("", "", "ab", "cdefg", "hijklmnop") for _ in range(rng.integers(lo, hi + 1))]
-        return " ".join(w + pick("", "", "", "", "", ",", ".", ".") for w in out) + pick(".", ".", "")
+        n = rng.integers(lo, hi + 1)
+        ends, stops = rng.integers(0, 5, n).tolist(), rng.integers(0, 8, n).tolist()
+        return " ".join(f"{kind}{next(serial)}{LENGTHS[e]}{STOPS[s]}" for e, s in zip(ends, stops)) + pick(".", ".", "")
 
     def wrap(tag, inner, cls=""):
         name = pick("class", "class", "id") if cls else ""
@@ -344,7 +381,9 @@ def template_pages(count: int = 500, seed: int = 3) -> list[str]:
     def story():
         out = [pick("", f"<h1>{words('m', 2, 14)}</h1>", f"<h1>{words('m', 2, 14)}</h1>", f"<header><h1>{words('m', 2, 12)}</h1></header>", f"<h2>{words('m', 2, 12)}</h2>")]
         for _ in range(pick(1, 1, 2, 3, 5, 8, 14, 25)):
-            t = words("m", *pick((1, 6), (5, 40), (20, 90), (40, 160)))
+            t = words("m", *pick((1, 6), (1, 6), (5, 40), (5, 40), (20, 90), (20, 90), (40, 160), (40, 160), (300, 1500)))
+            if rng.random() < 0.03:
+                t = pick("&copy; ", "© ", "Copyright ") + t
             if rng.random() < 0.25:
                 t = t.replace(" ", " <b>", 1).replace(" ", "</b> ", 3).replace("</b> ", " ", 2) if t.count(" ") > 6 else f"<em>{t}</em>"
             if rng.random() < 0.25:
@@ -358,23 +397,54 @@ def template_pages(count: int = 500, seed: int = 3) -> list[str]:
                 out.append(pick(advert, side, share, form, notice)())
         return "".join(out)
 
+    def bare():
+        """Main text that stands between blocks, not in one."""
+        out = [pick("", "", f"<h1>{words('m', 2, 14)}</h1>", f"<h2>{words('m', 2, 12)}</h2>")]
+        for _ in range(pick(1, 1, 2, 3, 5, 8, 14)):
+            t = words("m", *pick((4, 12), (4, 12), (5, 40), (5, 40), (20, 90), (20, 90), (40, 160), (40, 160), (300, 1500)))
+            if rng.random() < 0.3:
+                t += f" <a href='/r'>{words('m', 1, 4)}</a> {words('m', 1, 12)}"
+            out.append(pick(t, t, f"<b>{words('m', 1, 4)}</b> {t}"))
+            out.append(pick("<br><br>", "<br/>", "<br><br>", f"<p>{words('m', 4, 60)}</p>", f"<p>{words('m', 4, 60)}</p><p>{words('m', 4, 60)}</p>", f"<h2>{words('m', 1, 7)}</h2>", f"<blockquote>{words('m', 3, 30)}</blockquote>", f"<ul><li>{words('m', 1, 12)}</li><li>{words('m', 1, 12)}</li></ul>"))
+            if rng.random() < 0.1:
+                out.append(pick(advert, side, share, notice)())
+        return "".join(out)
+
+    def stray():
+        """Bare text that is not main: rights, trails of links, a few words left over."""
+        return pick(f"&copy; {words('x', 2, 14)}", f"© {words('x', 2, 14)}", f"Copyright {words('x', 2, 10)}", f"{words('x', 1, 5)} All rights reserved.", words("x", 1, 5), " | ".join(f"<a href='#'>{words('x', 1, 2)}</a>" for _ in range(rng.integers(2, 6))), f"<a href='/'>{words('x', 1, 2)}</a> &gt; <a href='/'>{words('x', 1, 2)}</a> &gt; {words('x', 1, 4)}")
+
     pages = []
     for _ in range(count):
-        body = story()
+        kind = rng.integers(8)
+        body = bare() if rng.random() < (0.6 if kind >= 6 else 0.2) else story()
         inside = body + (pick(talk, share, form, side)() if rng.random() < 0.25 else "")
-        kind = rng.integers(6)
         if kind <= 2:
             middle = wrap("article", inside, pick("", "", "post", "article", "story"))
         elif kind == 3:
             middle = wrap("div", inside, pick("content", "post-content", "article-body", "entry-content", "main-text", "story", "main"))
         elif kind == 4:
             middle = wrap("main", inside)
+        elif kind >= 6:
+            middle = inside
         else:
             middle = wrap("div", inside)
         if rng.random() < 0.3:
             middle = wrap(pick("main", "div", "section"), middle + (pick(talk, side, advert)() if rng.random() < 0.5 else ""), pick("", "", "content", "container", "wrapper"))
         top = "".join(f() for f, p in ((notice, 0.25), (head, 0.5), (menu, 0.6), (advert, 0.45), (form, 0.15)) if rng.random() < p)
         end = "".join(f() for f, p in ((share, 0.15), (side, 0.4), (talk, 0.35), (advert, 0.25), (form, 0.15), (notice, 0.2), (foot, 0.75)) if rng.random() < p)
+        shape = rng.random()
+        if shape < 0.14:  # a page without an article
+            middle = ""
+        if rng.random() < 0.2:
+            top += stray() if top and kind < 6 else ""
+        if rng.random() < 0.25:
+            end += stray() if kind < 6 or (end or not middle) else f"<hr>{stray()}"
+        if not middle and rng.random() < 0.8:
+            top, end = (top or notice()) + pick("", stray()), end + stray()
+        if shape > 0.88:  # nothing but the article, or but its text
+            plain = words("m", *pick((1, 8), (1, 8), (5, 60), (40, 200)))
+            top, middle, end = "", pick(body, bare(), plain, plain), ""
         both = top + middle + end
         if rng.random() < 0.25:
             both = wrap("div", both, pick("", "page", "wrapper", "container", "site"))
@@ -383,7 +453,7 @@ def template_pages(count: int = 500, seed: int = 3) -> list[str]:
 
 
 @cache
-def trained(count: int = 400, seed: int = 3) -> gbt.Trees:
+def trained(count: int = 700, seed: int = 3) -> gbt.Trees:
     x, y = [], []
     for html in template_pages(count, seed):
         page = Page(html)
@@ -395,7 +465,7 @@ def trained(count: int = 400, seed: int = 3) -> gbt.Trees:
                 main[page.up[i]] = True
         x.append(page.features)
         y.append(main)
-    return gbt.fit(np.concatenate(x), np.concatenate(y).astype(float))
+    return gbt.fit(np.concatenate(x), np.concatenate(y).astype(float), rounds=80)
 
 
 def extract(html: str | None, trees: gbt.Trees) -> str:
@@ -409,11 +479,7 @@ def extract_all(htmls: list[str | None], trees: gbt.Trees) -> list[str]:
     if not pages:
         return []
     chance = np.split(trees.probability(np.concatenate([p.features for p in pages])), np.cumsum([len(p.nodes) for p in pages])[:-1])
-    out = []
-    for p, c in zip(pages, chance):
-        kept = p.decode(c)
-        out.append(p.text(kept, len(p.nodes) == 1 or not kept[1:].any()))
-    return out
+    return [p.text(p.decode(c)) for p, c in zip(pages, chance)]
 
 
 def _run(trees: gbt.Trees):
