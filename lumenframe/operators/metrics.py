@@ -3,32 +3,73 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 
 #: Cumulative probabilities of a Poisson(1) count of 0 to 7.
 POISSON = [round(sum(1 / math.factorial(i) for i in range(k + 1)) / math.e, 12) for k in range(8)]
 
 
-def numbered(df: DataFrame, order: list[str], weight: str | None = None, parts: int = 256) -> DataFrame:
+#: Rows of a range, the most ranges, and the most parts of one heavy value in ``numbered``.
+RANGE, RANGES, SUBRANGES = 250_000, 4096, 512
+
+
+def _array(values) -> Column:
+    """The numbers as one array of their own type (large integers stay exact), in one call to the JVM."""
+
+    def one(v) -> str:
+        if isinstance(v, float):
+            return f"{v!r}D" if math.isfinite(v) else f"double('{v}')"
+        return f"{v}BD" if isinstance(v, Decimal) else f"{v}L"
+
+    return F.expr(f"array({', '.join(map(one, values))})")
+
+
+def range_of(x: Column, ends: list) -> Column:
+    """How many of the sorted ``ends`` are at most ``x``; many ends are searched in two steps, by their first ones and within a chunk."""
+    upto = lambda values: F.size(F.filter(values, lambda e: e <= x))
+    if len(ends) <= 64:
+        return upto(_array(ends)) if ends else F.lit(0)
+    size = math.isqrt(len(ends) - 1) + 1
+    chunks = [ends[i : i + size] for i in range(0, len(ends), size)]
+    chunk = upto(_array(c[0] for c in chunks))
+    return F.when(chunk == 0, F.lit(0)).otherwise((chunk - 1) * size + upto(F.get(F.array(*map(_array, chunks)), chunk - 1)))
+
+
+def _ends(df: DataFrame, x: str, rows: int, most: int) -> list:
+    """Approximate quantiles of ``x`` that cut ``df`` into ranges of about ``rows`` rows, at most ``most`` of them; a heavy value comes several times."""
+    at = ", ".join(f"{i / most}D" for i in range(1, most))
+    row = df.agg(F.expr(f"percentile_approx(`{x}`, array({at}), 10000)").alias("ends"), F.count(x).alias("n")).first()
+    step = max(1, most // max(1, -(-row["n"] // rows)))
+    return (row["ends"] or [])[step - 1 :: step]
+
+
+def numbered(df: DataFrame, order: list[str], weight: str | None = None, rows: int = RANGE) -> DataFrame:
     """``df`` with ``before``: how many rows (or how much ``weight``) come before each in ``order``, whose first column is a number.
 
-    Rows are cut into ranges of the first column by approximate quantiles, ranges are summed, and windows run within a
-    range only: no task sees the whole table, unless one value has most of it.
+    Rows are cut into ranges of the first column by approximate quantiles, as many as the table's size asks for;
+    ranges are summed, and windows run within a range only. A first value that fills several ranges is cut on by
+    the second column, where that is a number: no task sees the whole table, unless all of ``order`` ties.
     """
-    first = order[0]
-    row = df.agg(F.percentile_approx(first, [i / parts for i in range(1, parts)], 10_000).alias("ends")).first()
-    ends = sorted(set(row["ends"] or []))
-    r = F.size(F.filter(F.array(*[F.lit(float(e)) for e in ends]), lambda e: e <= F.col(first))) if ends else F.lit(0)
-    ranged = df.withColumn("r_", r)
+    ends = _ends(df, order[0], rows, RANGES)
+    heavy = sorted({a for a, b in zip(ends, ends[1:]) if a == b})
+    ranged = df.withColumn("r_", range_of(F.col(order[0]), list(dict.fromkeys(ends)))).withColumn("s_", F.lit(0))
+    if heavy and len(order) > 1 and isinstance(df.schema[order[1]].dataType, NumericType):
+        is_heavy = range_of(F.col(order[0]), heavy)
+        is_heavy = (is_heavy > 0) & (F.get(_array(heavy), is_heavy - 1) == F.col(order[0]))
+        inner = list(dict.fromkeys(_ends(df.filter(is_heavy), order[1], rows, SUBRANGES)))
+        # a heavy value is the least of its range: the others there come after all of its parts
+        ranged = ranged.withColumn("s_", F.when(is_heavy, range_of(F.col(order[1]), inner)).otherwise(F.lit(len(inner) + 1)))
     w = F.lit(1) if weight is None else F.col(weight)
-    below = Window.orderBy("r_").rowsBetween(Window.unboundedPreceding, -1)
-    # one row for each range, at most ``parts``
-    bases = ranged.groupBy("r_").agg(F.sum(w).alias("w_")).select("r_", F.coalesce(F.sum("w_").over(below), F.lit(0)).alias("base_"))
-    within = Window.partitionBy("r_").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return ranged.join(F.broadcast(bases), "r_").withColumn("before", F.col("base_") + F.coalesce(F.sum(w).over(within), F.lit(0))).drop("r_", "base_")
+    below = Window.orderBy("r_", "s_").rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each range and part
+    bases = ranged.groupBy("r_", "s_").agg(F.sum(w).alias("w_")).select("r_", "s_", F.coalesce(F.sum("w_").over(below), F.lit(0)).alias("base_"))
+    within = Window.partitionBy("r_", "s_").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.join(F.broadcast(bases), ["r_", "s_"]).withColumn("before", F.col("base_") + F.coalesce(F.sum(w).over(within), F.lit(0))).drop("r_", "s_", "base_")
 
 
 def tiles(df: DataFrame, order: list[str], n: int) -> DataFrame:
@@ -111,14 +152,11 @@ def contamination(df: DataFrame, retention: float, score: str = "score", label:
 def capped_sample(df: DataFrame, stratum: list[str], key: str, most: int) -> DataFrame:
     """At most ``most`` rows of each stratum, by md5 of the key, with the weight N / n that restores the stratum."""
     order = F.md5(F.col(key).cast("string").cast("binary"))
-    w = Window.partitionBy(*stratum)
-    return (
-        df.withColumn("rank", F.row_number().over(w.orderBy(order, F.col(key))))
-        .withColumn("size", F.count("*").over(w))
-        .filter(F.col("rank") <= most)
-        .withColumn("weight", F.col("size") / F.least("size", F.lit(most)))
-        .drop("rank", "size")
-    )
+    # a rank alone is limited before the shuffle; sizes are counted beside it
+    few = df.withColumn("rank", F.row_number().over(Window.partitionBy(*stratum).orderBy(order, F.col(key)))).filter(F.col("rank") <= most).drop("rank")
+    sizes = df.groupBy(*[F.col(c).alias(f"{c}_s") for c in stratum]).agg(F.count("*").alias("size_s"))
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_s")) for c in stratum]
+    return few.join(sizes, same).withColumn("weight", F.col("size_s") / F.least("size_s", F.lit(most))).drop("size_s", *[f"{c}_s" for c in stratum])
 
 
 def times_drawn(block: Column, draw: Column) -> Column:

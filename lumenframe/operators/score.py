@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions.scalar import let, trapezoid
+from lumenframe.operators.metrics import numbered
 
 
 def posterior(same: Column, field: Column, background: Column, outlier: Column | None = None) -> dict[str, Column]:
@@ -88,22 +89,15 @@ def tail_p_value(df: DataFrame, distance: str, calibration: DataFrame) -> DataFr
     """``df`` with ``p``: (1 + number of calibration distances at least as far) / (their number + 1); no distance, no p.
 
     Both sides have the column ``distance``. Ranks are counted over all rows: by distinct distance, within
-    ranges that are summed first. Quantiles only balance the ranges, so they may be approximate.
+    ranges that are summed first.
     """
     at = F.col(distance).alias("v")
-    drawn = calibration.select(at, F.lit(1).cast("long").alias("n")).filter("v is not null and not isnan(v)")
-    # one row: the ends of at most 256 ranges and a count
-    row = drawn.agg(F.percentile_approx("v", [i / 256 for i in range(1, 256)], 10_000).alias("ends"), F.count("*").alias("total")).first()
-    ends, total = sorted(set(row["ends"] or [])), row["total"]
-    r = F.size(F.filter(F.array(*[F.lit(float(e)) for e in ends]), lambda e: e <= F.col("v"))) if ends else F.lit(0)
-    asked = df.select(at, F.lit(0).cast("long").alias("n")).filter("v is not null and not isnan(v)")
-    counts = drawn.unionByName(asked).groupBy("v").agg(F.sum("n").alias("n")).withColumn("r", r)
-    below = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = counts.groupBy("r").agg(F.sum("n").alias("rn")).select("r", F.coalesce(F.sum("rn").over(below), F.lit(0)).alias("base"))
-    within = Window.partitionBy("r").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    nearer = counts.join(F.broadcast(ranges), "r").select("v", (F.col("base") + F.coalesce(F.sum("n").over(within), F.lit(0))).alias("nearer"))
-    p = (F.lit(1.0) + F.lit(total) - F.col("nearer")) / F.lit(float(total + 1))
-    return df.join(nearer, F.col(distance) == F.col("v"), "left").withColumn("p", p).drop("v", "nearer")
+    rows = lambda of, n: of.select(at, F.lit(n).cast("long").alias("n")).filter("v is not null and not isnan(v)")
+    counts = rows(calibration, 1).unionByName(rows(df, 0)).groupBy("v").agg(F.sum("n").alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))  # one row
+    ranked = numbered(counts, ["v"], "n").crossJoin(F.broadcast(total))
+    ranked = ranked.select("v", ((F.lit(1.0) + F.col("total") - F.col("before")) / (F.col("total") + F.lit(1.0))).alias("p"))
+    return df.join(ranked, F.col(distance) == F.col("v"), "left").drop("v")
 
 
 def share_of(wanted: Column, other: Column) -> Column:
