@@ -343,6 +343,7 @@ def test_html_extraction_on_unseen_pages(spark):
             "<body><nav><a href='/'>Home</a></nav><div class='post'>Opening text stands bare in the division.<p>And a paragraph follows it, with more to say.</p><div class='share'><a href='#'>Tweet</a></div>Then bare text closes the story, as before.</div><footer>&copy; 2024 Acme</footer></body>",
             "Opening text stands bare in the division. And a paragraph follows it, with more to say. Then bare text closes the story, as before.",
         ),
+        pytest.param('<body><div class="cookie-notice">We use cookies to improve your visit.</div> stray footer text</body>', "", marks=pytest.mark.xfail(reason="a few stray words on a page without an article, see README", strict=True)),
         ("Just some plain text, without a single tag in it.", "Just some plain text, without a single tag in it."),
     ],
 )
