@@ -468,6 +468,23 @@ def test_repeated_rows_are_mixed_row_by_row(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("kind", ["wide", "lengths"])
+def test_nearest_neighbours_recall_on_hard_rows(spark, kind):
+    """Wide vectors without structure; vectors whose lengths differ by orders of magnitude."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 192)) if kind == "wide" else rng.normal(size=(4000, 32)) * np.exp(rng.normal(size=(4000, 1)) * 4)
+    d = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(d, F.col("id") % 100 == 0, books=40).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = 0
+    for i in range(0, 4000, 100):
+        s = x @ x[i]
+        s[i] = -np.inf
+        hit += len(set(np.argsort(-s)[:20].tolist()) & got[i])
+    assert hit / (20 * 40) >= 0.95
+
+
 def test_nearest_neighbours_of_odd_rows(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(v) for v in rng.normal(size=4)], i) for i in range(60)]
