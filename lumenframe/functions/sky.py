@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +34,39 @@ def separation_deg(c2: Column) -> Column:
     return F.degrees(F.lit(2.0) * F.asin(F.sqrt(F.least(F.lit(1.0), c2 / F.lit(4.0)))))
 
 
+def exact_asin_deg(x: Column) -> Column:
+    """The arc sine in degrees, as the C library rounds it."""
+
+    @F.pandas_udf("double")
+    def run(v: pd.Series) -> pd.Series:
+        return pd.Series([math.asin(x) * (180.0 / math.pi) if -1.0 <= x <= 1.0 else math.nan for x in v.tolist()], dtype="float64")
+
+    return run(x)
+
+
+def exact_unit_vector(ra: Column, dec: Column) -> Column:
+    """A struct x, y, z, as the C library rounds it."""
+
+    @F.pandas_udf("x double, y double, z double")
+    def run(a: pd.Series, d: pd.Series) -> pd.DataFrame:
+        one = math.pi / 180.0
+        a, d = ([x * one if math.isfinite(x) else math.nan for x in v.tolist()] for v in (a, d))
+        c = [math.cos(x) for x in d]
+        return pd.DataFrame({"x": [u * math.cos(x) for u, x in zip(c, a)], "y": [u * math.sin(x) for u, x in zip(c, a)], "z": [math.sin(x) for x in d]}, dtype="float64")
+
+    return run(ra, dec)
+
+
+def exact_separation_deg(c2: Column) -> Column:
+    """``separation_deg``, as the C library rounds it."""
+
+    @F.pandas_udf("double")
+    def run(v: pd.Series) -> pd.Series:
+        return pd.Series([(2.0 * math.asin(math.sqrt(min(1.0, x / 4.0)))) * (180.0 / math.pi) for x in v.tolist()], dtype="float64")
+
+    return run(c2)
+
+
 def galactic(ra: Column, dec: Column) -> tuple[Column, Column]:
     """Longitude (0..360) and latitude in degrees."""
     v = unit_vector(ra, dec)

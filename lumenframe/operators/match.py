@@ -2,9 +2,13 @@
 
 Positions become unit vectors in a grid of cubes whose side is the chord of the
 radius, so two positions within the radius lie in the same or adjacent cubes.
-The left side is repeated for the 27 cubes around it, and an equi-join on the
-cube finds candidates, which the exact chord then decides: no special cases at
-the poles or at RA 0, and crowded cubes are ordinary skewed join keys.
+The left side is repeated for those of the 27 cubes around it that the radius and
+the sphere reach, and an equi-join on the cube, always dealt by cube and never
+broadcast, finds candidates, which the exact chord then decides: no special cases
+at the poles or at RA 0, and crowded cubes are ordinary skewed join keys.
+
+What needs only the nearest (or pairs by increasing distance) does not list all pairs
+within the radius: it starts at a radius that holds a few and goes on from there.
 """
 
 from __future__ import annotations
@@ -15,56 +19,107 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.functions.sky import chord2, separation_deg, unit_vector
+from lumenframe.functions.sky import chord2, exact_separation_deg, exact_unit_vector, separation_deg
 
 AXES = ("x", "y", "z")
+WIDER = 1 + 1e-9
 
 
-def _placed(df: DataFrame, key: str, ra: str, dec: str, prefix: str) -> DataFrame:
-    x, y, z = unit_vector(F.col(ra), F.col(dec))
-    return df.select(F.col(key).alias(f"{prefix}id"), x.alias(f"{prefix}x"), y.alias(f"{prefix}y"), z.alias(f"{prefix}z"))
+def _placed(df: DataFrame, key: str, prefix: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    at = df.select(F.col(key).alias(f"{prefix}id"), exact_unit_vector(F.col("ra"), F.col("dec")).alias("at"), *[F.col(c).alias(prefix + c) for c in keep])
+    return at.select(f"{prefix}id", *[F.col(f"at.{a}").alias(prefix + a) for a in AXES], *[prefix + c for c in keep])
 
 
 def _cube(prefix: str, side: float) -> list[Column]:
     return [F.floor(F.col(prefix + a) / side).alias("g" + a) for a in AXES]
 
 
-def match_pairs(left: DataFrame, right: DataFrame, radius_deg: float, left_key: str = "id", right_key: str = "id") -> DataFrame:
-    """(l_id, r_id, sep) of all pairs within the radius; both sides have ra and dec in degrees."""
-    side = 2.0 * math.sin(math.radians(radius_deg) / 2.0) * (1 + 1e-9)
-    l = _placed(left, left_key, "ra", "dec", "l_").select("*", *_cube("l_", side))
-    near = F.explode(F.array(*[F.struct(*[F.lit(v).cast("long").alias(a) for a, v in zip(AXES, (i, j, k))]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]))
-    l = l.withColumn("d", near).select("l_id", "l_x", "l_y", "l_z", *[(F.col("g" + a) + F.col(f"d.{a}")).alias("g" + a) for a in AXES])
-    r = _placed(right, right_key, "ra", "dec", "r_").select("*", *_cube("r_", side))
+def _chord(radius_deg: float) -> float:
+    return 2.0 * math.sin(math.radians(radius_deg) / 2.0)
+
+
+def _around(side: float):
+    """Rows repeated for the cubes around them that the radius and the sphere reach; others hold nothing."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        step = np.array([(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
+        for batch in batches:
+            at = np.stack([batch.column(batch.schema.get_field_index("l_" + a)).to_numpy(zero_copy_only=False).astype(np.float64) for a in AXES], 1)
+            row = np.flatnonzero(np.isfinite(at).all(1))
+            own, kept, cubes = np.floor(at[row] / side).astype(np.int64), [], []
+            for d in step:
+                g = own + d
+                low, high = g * side, (g + 1) * side
+                apart = (np.maximum(0, np.maximum(low - at[row], at[row] - high)) ** 2).sum(1)
+                inner, outer = (np.maximum(0, np.maximum(low, -high)) ** 2).sum(1), (np.maximum(np.abs(low), np.abs(high)) ** 2).sum(1)
+                ok = (apart <= side * side * WIDER) & (inner <= WIDER) & (outer >= 2 - WIDER)
+                kept.append(row[ok]), cubes.append(g[ok])
+            kept, cubes = np.concatenate(kept), np.concatenate(cubes)
+            for i in range(0, len(kept), 50_000):
+                some = batch.take(pa.array(kept[i : i + 50_000]))
+                yield pa.RecordBatch.from_arrays([*some.columns, *(pa.array(np.ascontiguousarray(cubes[i : i + 50_000, j])) for j in range(3))], names=[*some.schema.names, "gx", "gy", "gz"])
+
+    return run
+
+
+def _meet(l: DataFrame, r: DataFrame, radius_deg: float, also: Column | None = None) -> DataFrame:
+    """Placed rows of both sides within the radius, with all their columns and the squared chord ``c2``; ``also`` holds for what is kept."""
+    side = _chord(radius_deg) * WIDER
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in l.schema.fields)
+    l = l.mapInArrow(_around(side), f"{kinds}, gx long, gy long, gz long")
     c2 = chord2(tuple(F.col("l_" + a) for a in AXES), tuple(F.col("r_" + a) for a in AXES))
-    met = l.join(r, ["gx", "gy", "gz"]).withColumn("c2", c2).filter(F.col("c2") <= side * side)
-    return met.select("l_id", "r_id", separation_deg(F.col("c2")).alias("sep"))
+    half = math.sin(math.radians(radius_deg) / 2.0)
+    met = l.hint("merge").join(r.select("*", *_cube("r_", side)), ["gx", "gy", "gz"]).withColumn("c2", c2).filter(F.col("c2") <= 4.0 * half * half)
+    return met if also is None else met.filter(also)
 
 
-def nearest_match(left: DataFrame, right: DataFrame, radius_deg: float, left_key: str = "id", right_key: str = "id") -> DataFrame:
-    """(id, r_id, sep, n_match) for every left row; no match: nulls and 0. Ties go to the smaller right id."""
-    pairs = match_pairs(left, right, radius_deg, left_key, right_key)
-    best = pairs.groupBy("l_id").agg(F.min(F.struct("sep", "r_id")).alias("b"), F.count("*").alias("n"))
-    return left.select(F.col(left_key).alias("id")).join(best, F.col("id") == F.col("l_id"), "left").select("id", F.col("b.r_id").alias("r_id"), F.col("b.sep").alias("sep"), F.coalesce("n", F.lit(0)).alias("n_match"))
+def match_pairs(left: DataFrame, right: DataFrame, radius_deg: float, left_key: str = "id", right_key: str = "id", keep: tuple[str, ...] = (), exact: bool = False) -> DataFrame:
+    """(l_id, r_id, sep) of all pairs within the radius; both sides have ra and dec in degrees.
 
+    Columns in ``keep`` follow as l_ and r_ columns. Separations agree to the last bit with the C library's where ``exact``.
+    """
+    met = _meet(_placed(left, left_key, "l_", keep), _placed(right, right_key, "r_", keep), radius_deg)
+    sep = exact_separation_deg if exact else separation_deg
+    return met.select("l_id", "r_id", sep(F.col("c2")).alias("sep"), *[p + c for c in keep for p in ("l_", "r_")])
 
-def nearest_any(left: DataFrame, right: DataFrame, left_key: str = "id", right_key: str = "id") -> DataFrame:
-    """(id, r_id, sep) of the nearest right row at any distance; ties to the smaller id, nulls if there is none.
 
-    The first radius is a cell's width if right rows were spread evenly; rows without a match go on at twice the radius.
+def nearest_within(left: DataFrame, right: DataFrame, radius_deg: float, left_key: str = "id", right_key: str = "id") -> DataFrame:
+    """(id, r_id, sep) of the nearest right row for the left rows that have one within the radius; ties to the smaller id.
+
+    The first radius is a cell's width if right rows were spread evenly; rows without a match go on at twice the radius. Each round is a checkpoint.
     """
     n = right.count()
-    todo = left.select(F.col(left_key).alias("id"), "ra", "dec")
+    todo = left.select(F.col(left_key).alias("id"), "ra", "dec").filter("id is not null")
+    kinds = f"id {todo.schema['id'].dataType.simpleString()}, r_id {right.schema[right_key].dataType.simpleString()}, sep double"
+    found = left.sparkSession.createDataFrame([], kinds)
     if not n:
-        return todo.select("id", F.lit(None).cast(right.schema[right_key].dataType).alias("r_id"), F.lit(None).cast("double").alias("sep"))
-    radius, found = min(180.0, math.degrees(math.sqrt(4 * math.pi / n))), None
+        return found
+    radius = min(radius_deg, math.degrees(math.sqrt(4 * math.pi / n)))
     while True:
-        met = nearest_match(todo, right, radius, "id", right_key).filter("r_id is not null or id is null").select("id", "r_id", "sep").checkpoint()
-        found = met if found is None else found.unionByName(met)
-        todo = todo.join(met.select("id"), "id", "left_anti").filter("id is not null").checkpoint()
-        if radius >= 180.0 or not todo.take(1):
+        pairs = match_pairs(todo, right, radius, "id", right_key, exact=True)
+        met = pairs.groupBy(F.col("l_id").alias("id")).agg(F.min(F.struct("sep", "r_id")).alias("b")).select("id", F.col("b.r_id").alias("r_id"), F.col("b.sep").alias("sep")).checkpoint()
+        found = found.unionByName(met)
+        if radius >= radius_deg:
+            return found
+        todo = todo.join(met.select("id"), "id", "left_anti").checkpoint()
+        if not todo.take(1):
             return found
-        radius = min(180.0, 2 * radius)
+        radius = min(radius_deg, 2 * radius)
+
+
+def nearest_match(left: DataFrame, right: DataFrame, radius_deg: float, left_key: str = "id", right_key: str = "id") -> DataFrame:
+    """(id, r_id, sep, n_match) for every left row; no match: nulls and 0. Ties go to the smaller right id."""
+    best = nearest_within(left, right, radius_deg, left_key, right_key).withColumnRenamed("id", "l_id")
+    return match_counts(left, right, radius_deg, left_key, right_key).join(best, F.col("id") == F.col("l_id"), "left").select("id", "r_id", "sep", F.col("n").alias("n_match"))
+
+
+def nearest_any(left: DataFrame, right: DataFrame, left_key: str = "id", right_key: str = "id") -> DataFrame:
+    """(id, r_id, sep) of the nearest right row at any distance; ties to the smaller id, nulls if there is none."""
+    best = nearest_within(left, right, 180.0, left_key, right_key).withColumnRenamed("id", "l_id")
+    return left.select(F.col(left_key).alias("id")).join(best, F.col("id") == F.col("l_id"), "left").select("id", "r_id", "sep")
 
 
 def best_in_group(members: DataFrame, group: str, order: list) -> DataFrame:
@@ -80,9 +135,9 @@ def match_counts(left: DataFrame, right: DataFrame, radius_deg: float, left_key:
     return left.select(F.col(left_key).alias("id")).join(n, F.col("id") == F.col("l_id"), "left").select("id", F.coalesce("count", F.lit(0)).alias("n"))
 
 
-def self_pairs(df: DataFrame, radius_deg: float, key: str = "id") -> DataFrame:
+def self_pairs(df: DataFrame, radius_deg: float, key: str = "id", keep: tuple[str, ...] = ()) -> DataFrame:
     """Each pair once, smaller id first."""
-    return match_pairs(df, df, radius_deg, key, key).filter("l_id < r_id")
+    return match_pairs(df, df, radius_deg, key, key, keep).filter("l_id < r_id")
 
 
 def anti_match(left: DataFrame, right: DataFrame, radius_deg: float, left_key: str = "id", right_key: str = "id") -> DataFrame:
@@ -148,9 +203,39 @@ def mutual_matches(pairs: DataFrame, rounds: int = 3, most: int = 200_000) -> Da
     return reduce(DataFrame.unionByName, taken) if taken else left
 
 
+def greedy_within(left: DataFrame, right: DataFrame, radius_deg: float, left_key: str = "id", right_key: str = "id") -> DataFrame:
+    """The ``mutual_matches`` of all pairs within the radius, without listing them.
+
+    A greedy pass by distance decides the pairs within a smaller radius first, so radii that double, each over the rows that are
+    still free, take the same pairs. The first holds about one row of the larger side.
+    """
+    l, r = (d.select(F.col(k).alias("id"), "ra", "dec").filter("id is not null") for d, k in ((left, left_key), (right, right_key)))
+    n = max(l.count(), r.count(), 1)
+    radius, taken = min(radius_deg, math.degrees(math.sqrt(4 / n))), []
+    while True:
+        now = mutual_matches(match_pairs(l, r, radius, exact=True)).checkpoint()
+        taken.append(now)
+        if radius >= radius_deg:
+            break
+        l = l.join(now.select(F.col("l_id").alias("id")), "id", "left_anti").checkpoint()
+        r = r.join(now.select(F.col("r_id").alias("id")), "id", "left_anti").checkpoint()
+        if not l.take(1) or not r.take(1):
+            break
+        radius = min(radius_deg, 2 * radius)
+    return reduce(DataFrame.unionByName, taken)
+
+
+def associated_within(left: DataFrame, right: DataFrame, radius_deg: float, left_key: str = "id", right_key: str = "id") -> DataFrame:
+    """``associated`` of all pairs within the radius."""
+    return _with_rest(left, right, greedy_within(left, right, radius_deg, left_key, right_key), left_key, right_key)
+
+
 def associated(left: DataFrame, right: DataFrame, pairs: DataFrame, left_key: str = "id", right_key: str = "id") -> DataFrame:
     """(l_id, r_id, sep): the greedy matches, then the rows of both sides that have none, with nulls."""
-    taken = mutual_matches(pairs)
+    return _with_rest(left, right, mutual_matches(pairs), left_key, right_key)
+
+
+def _with_rest(left: DataFrame, right: DataFrame, taken: DataFrame, left_key: str, right_key: str) -> DataFrame:
     l = left.select(F.col(left_key).alias("l_id")).join(taken.select("l_id"), "l_id", "left_anti")
     r = right.select(F.col(right_key).alias("r_id")).join(taken.select("r_id"), "r_id", "left_anti")
     return taken.unionByName(l, allowMissingColumns=True).unionByName(r, allowMissingColumns=True)
@@ -258,6 +343,36 @@ def connected_objects(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return nodes.select("id").join(edges, F.col("id") == F.col("u"), "left").select("id", F.coalesce("v", "id").alias("component"))
 
 
+def connected_within(df: DataFrame, radius_deg: float, key: str = "id") -> DataFrame:
+    """The ``connected_objects`` of all pairs within the radius, without listing them.
+
+    Rows of a cube whose diagonal is the radius are connected: cubes are joined by one row of each. Then only rows near a
+    row of another component are compared, so crowded places cost what their cubes do.
+    """
+    chord = _chord(radius_deg)
+    rows = _placed(df, key, "l_").filter("l_id is not null")
+    cell = ["gx", "gy", "gz"]
+    rows = rows.select("*", *_cube("l_", chord / math.sqrt(3) / WIDER)).checkpoint()
+    centre = sum((F.pow(F.col("l_" + a) / F.lit(chord / math.sqrt(3) / WIDER) - F.col("g" + a) - 0.5, F.lit(2.0)) for a in AXES), F.lit(0.0))
+    cells = rows.groupBy(*cell).agg(F.min("l_id").alias("cell"), F.min_by(F.struct(*["l_" + a for a in AXES]), F.struct(centre, "l_id")).alias("at"))
+    cells = cells.select(*cell, "cell", *[F.col(f"at.l_{a}").alias("l_" + a) for a in AXES]).checkpoint()
+    as_right = lambda d: d.select(*[F.col(c).alias("r_" + c[2:]) for c in d.columns])
+    middle = cells.select(F.col("cell").alias("l_id"), *["l_" + a for a in AXES])
+    parts = connected_objects(cells.select(F.col("cell").alias("id")), _meet(middle, as_right(middle), radius_deg, F.col("l_id") < F.col("r_id")).select("l_id", "r_id"))
+    cells = cells.select(*cell, "cell").join(parts.select(F.col("id").alias("cell"), F.col("component").alias("l_part")), "cell").drop("cell")
+    rows = rows.join(cells, cell).drop(*cell).checkpoint()
+    # cubes of the radius around which there are several components
+    side = chord * WIDER
+    wide = rows.select(*_cube("l_", side), "l_part").distinct()
+    around = F.explode(F.array(*[F.struct(*[F.lit(v).cast("long").alias(a) for a, v in zip(AXES, (i, j, k))]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]))
+    mixed = wide.withColumn("d", around).groupBy(*[(F.col("g" + a) + F.col(f"d.{a}")).alias("g" + a) for a in AXES]).agg(F.min("l_part").alias("a"), F.max("l_part").alias("b")).filter("a <> b").select(*cell)
+    some = rows.select("*", *_cube("l_", side)).join(mixed, cell, "left_semi").drop(*cell)
+    # both rows of a link between components lie in such cubes
+    links = _meet(some, as_right(some), radius_deg, F.col("l_part") < F.col("r_part")).select(F.col("l_part").alias("l_id"), F.col("r_part").alias("r_id")).distinct()
+    whole = connected_objects(rows.select(F.col("l_part").alias("id")).distinct(), links)
+    return rows.select(F.col("l_id").alias("id"), "l_part").join(whole.select(F.col("id").alias("l_part"), "component"), "l_part").select("id", "component")
+
+
 def sky_blocks(df: DataFrame, parent: Column, order: Column, rows: int) -> DataFrame:
     """Rows of one parent cell in pixel order, at most ``rows`` to a block; each row once."""
     rank = F.row_number().over(Window.partitionBy("parent").orderBy("pix", "id")) - 1

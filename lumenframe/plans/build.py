@@ -59,7 +59,7 @@ def master_catalogue(spark, sf):
     """One row of each group of neighbours: its preferred member (a valid redshift, a clean spectrum, the source, the id), counts, redshift span and extent."""
     _checkpoints(spark)
     c = sky_c(spark, sf)
-    g = M.connected_objects(c.select("id"), M.self_pairs(c, RADIUS))
+    g = M.connected_within(c, RADIUS)
     i = F.col("id")
     m = c.select("id", "ra", "dec").join(g, "id").select("component", "id", "ra", "dec", _z(i).alias("z"), (i % 4 != 0).alias("valid"), (i % 3 == 0).alias("clean"), F.when(i % 2 == 0, "a").otherwise("b").alias("source")).checkpoint()
     best = M.best_in_group(m, "component", [~F.col("valid"), ~F.col("clean"), F.col("source"), i]).select("component", F.col("id").alias("preferred"), "source", "clean", F.col("ra").alias("ra0"), F.col("dec").alias("dec0"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.functions.sky import exact_asin_deg
 from lumenframe.operators.metrics import POISSON
 
 from .registry import table
@@ -30,10 +31,12 @@ def Q(x: str) -> str:
 def sky(df: DataFrame, key: str, every: int, shift: float) -> DataFrame:
     """Positions spread evenly by key, but every so-manieth key lies ``shift`` degrees east of the key before it."""
     k = F.col(key)
+    # one small file is one task; what follows is to be dealt out
+    df = df.select(key).repartition(key)
     near = k % every == 0
     at = F.when(near, k - 1).otherwise(k)
     ra = F.lit(360.0) * frac(at, A) + F.when(near, F.lit(shift)).otherwise(F.lit(0.0))
-    return df.select(k.alias("id"), (ra - F.lit(360.0) * F.floor(ra / F.lit(360.0))).alias("ra"), F.degrees(F.asin(F.lit(2.0) * frac(at, B) - F.lit(1.0))).alias("dec"), (F.lit(16.0) + F.lit(8.0) * frac(k, C)).alias("mag"))
+    return df.select(k.alias("id"), (ra - F.lit(360.0) * F.floor(ra / F.lit(360.0))).alias("ra"), exact_asin_deg(F.lit(2.0) * frac(at, B) - F.lit(1.0)).alias("dec"), (F.lit(16.0) + F.lit(8.0) * frac(k, C)).alias("mag"))
 
 
 def _sky(name: str, t: str, key: str, every: int, shift: float) -> str:
