@@ -1,12 +1,17 @@
 """Positional joins that do not list all pairs, or leave them to the driver."""
 
+import os
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from same import duck_rows, spark_rows
 
 from lumenframe import catalogue
 from lumenframe.operators import match
 
+SF = "/root/testdata/sf0.001"
+
 
 @pytest.fixture(scope="module")
 def placed(spark):
@@ -48,3 +53,22 @@ def test_tile_owner_of_a_row_halfway_between_two(spark, tmp_path):
     spark.createDataFrame([(5699,), (5700,)], "s_suppkey long").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
     tables = {"customer": spark.read.parquet(f"{tmp_path}/customer.parquet").toPandas(), "supplier": spark.read.parquet(f"{tmp_path}/supplier.parquet").toPandas()}
     assert spark_rows(catalogue.queries()["tile_owner"](spark, str(tmp_path))) == duck_rows(catalogue.oracle_sql()["tile_owner"], tables=tables)
+
+
+def test_first_in_order_of_ids_where_a_chain_outlasts_the_rounds(spark):
+    nodes = spark.range(9)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(8)], "l_id long, r_id long")
+    for most in (100, 2):
+        assert plain(match.first_independent(nodes, chain, F.col("id"), rounds=1, most=most)) == [(0,), (2,), (4,), (6,), (8,)]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
+@pytest.mark.parametrize("name", ["isolation", "master_catalogue", "one_claim", "pair_labels", "pairs_within", "redshift_dedup"])
+def test_no_table_is_broadcast_whatever_size_it_seems_to_have(spark, name):
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    catalogue.queries()[name](spark, SF).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    ran = store.executionsList()
+    plans = [ran.apply(i).physicalPlanDescription() for i in range(before, ran.size())]
+    assert plans and not any("BroadcastExchange" in p for p in plans)
