@@ -61,14 +61,14 @@ def master_catalogue(spark, sf):
     c = sky_c(spark, sf)
     g = M.connected_within(c, RADIUS)
     i = F.col("id")
-    m = c.select("id", "ra", "dec").join(g, "id").select("component", "id", "ra", "dec", _z(i).alias("z"), (i % 4 != 0).alias("valid"), (i % 3 == 0).alias("clean"), F.when(i % 2 == 0, "a").otherwise("b").alias("source")).checkpoint()
+    m = c.select("id", "ra", "dec").hint("merge").join(g, "id").select("component", "id", "ra", "dec", _z(i).alias("z"), (i % 4 != 0).alias("valid"), (i % 3 == 0).alias("clean"), F.when(i % 2 == 0, "a").otherwise("b").alias("source")).checkpoint()
     best = M.best_in_group(m, "component", [~F.col("valid"), ~F.col("clean"), F.col("source"), i]).select("component", F.col("id").alias("preferred"), "source", "clean", F.col("ra").alias("ra0"), F.col("dec").alias("dec0"))
     ok = F.when(F.col("valid"), F.col("z"))
     x = m.groupBy("component").agg(F.count("*").alias("members"), F.count(F.when(F.col("source") == "a", 1)).alias("members_a"), F.min(ok).alias("z0"), F.max(ok).alias("z1"))
     sep = F.when(i == F.col("preferred"), F.lit(0.0)).otherwise(K.separation_deg(K.chord2(K.unit_vector(F.col("ra"), F.col("dec")), K.unit_vector(F.col("ra0"), F.col("dec0")))))
-    far = m.select("component", "id", "ra", "dec").join(best, "component").groupBy("component").agg(F.max(sep).alias("far"))
+    far = m.select("component", "id", "ra", "dec").hint("merge").join(best, "component").groupBy("component").agg(F.max(sep).alias("far"))
     span = (F.col("z1") - F.col("z0")) / (F.lit(1.0) + F.col("z0"))
-    out = best.drop("ra0", "dec0").join(x, "component").join(far, "component")
+    out = best.drop("ra0", "dec0").hint("merge").join(x, "component").hint("merge").join(far, "component")
     return out.select("component", "preferred", "source", "clean", "members", "members_a", q(span).alias("span"), F.coalesce(span > 0.05, F.lit(False)).alias("conflict"), q(F.col("far")).alias("separation"))
 
 
@@ -115,7 +115,7 @@ def region_roles(spark, sf):
     last = M.match_pairs(sky_c(spark, sf), cones, 20.0).groupBy("l_id").agg(F.max("r_id").alias("r"))
     named = last.join(cones.select(F.col("id").alias("r"), F.get(F.array(*map(F.lit, ROLES)), (F.col("n_regionkey") % 3).cast("int")).alias("region_role")), "r").select(F.col("l_id").alias("id"), "region_role")
     role = F.when(K.parent_pixel(F.col("pix"), 2) % 7 == 0, "test").when(F.col("region_role").isNotNull(), F.col("region_role")).when(F.col("pix") % 10 < 2, "select").otherwise("fit")
-    return p.select("id", "pix").join(named, "id", "left").select("id", role.alias("role"))
+    return p.select("id", "pix").hint("merge").join(named, "id", "left").select("id", role.alias("role"))
 
 
 @query("J20", "WITH w AS (SELECT DISTINCT user_id AS id FROM events UNION SELECT c_custkey+100000000 FROM customer WHERE c_custkey%50=0), h AS (SELECT o_custkey AS id, count(*) AS n FROM orders GROUP BY 1) SELECT w.id, CASE WHEN n IS NULL THEN 'missing' WHEN n>1 THEN 'duplicate' ELSE 'found' END AS status FROM w LEFT JOIN h USING (id)")
