@@ -7,6 +7,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from same import duck_rows, spark_rows
@@ -771,3 +772,23 @@ def test_language_sample_never_gathers_a_language(spark):
     d = docs(spark, [f"word{i} other words here" for i in range(900)])
     few = language.learn(d, sample=40)
     assert few.words == language.learn(d.repartition(5), sample=40).words and len(few.langs) == 1
+
+
+def test_nearest_neighbours_count_places_in_one_row_of_a_task():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 8))
+    book = ann.train(x.astype(np.float32), books=3, words=8)
+    ids = np.arange(600)
+    blocks = []
+    for a in range(0, 600, 100):
+        code = book.encode(ann._directions(x[a : a + 100])[0])
+        blocks.append(pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (ids[a : a + 100], (code - np.arange(3) * 8).astype(np.uint8), np.ones(100, np.float32))], names=["ids", "data", "gain"]))
+    edges = [np.array([0.0, 0.5]), np.array([]), np.array([-0.25])]
+    asked = x[:3].astype(np.float32)
+    said = list(ann._places(book, asked.tobytes(), ids[:3], edges)(blocks))
+    assert [b.num_rows for b in said] == [1]
+    sums = book.decode(book.encode(ann._directions(x)[0])) @ asked.T
+    want = [int((np.delete(sums[:, q], q) > e).sum()) for q, es in enumerate(edges) for e in es]
+    assert np.frombuffer(said[0].column(0)[0].as_py(), np.int64).tolist() == want
+    both = list(ann._added(said * 2))
+    assert [b.num_rows for b in both] == [1] and np.frombuffer(both[0].column(0)[0].as_py(), np.int64).tolist() == [2 * w for w in want]
