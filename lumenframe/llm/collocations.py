@@ -75,7 +75,8 @@ class Words:
         starts = np.concatenate([np.flatnonzero(inside[:1]), np.flatnonzero(edge) + 1])
         breaks = np.flatnonzero((kind == 2) | first[:-1])
         self.piece = np.searchsorted(breaks, starts, "right")
-        upto = np.concatenate([[0], np.cumsum(inside, dtype=np.int64)])
+        upto = np.zeros(len(inside) + 1, np.int32 if len(inside) < 1 << 31 else np.int64)
+        np.cumsum(inside, out=upto[1:])
         bounds = np.append(upto[starts], upto[-1]).astype(np.int64)
         words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data[inside]))).dictionary_encode()
         code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -133,11 +134,21 @@ def restored(data: bytes, least: int) -> np.ndarray:
 
 
 def released(run):
-    """A function of batches that gives unused memory back at its end, as workers live on."""
+    """A function of batches that gives unused memory back after each one it makes and at its end, as workers live on."""
+    import ctypes
 
-    def whole(batches):
-        yield from run(batches)
+    def back():
         pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    def whole(batches):
+        for i, made in enumerate(run(batches)):
+            yield made
+            del made
+            if i % 64 == 0:
+                back()
+        back()
 
     return whole
 
@@ -165,21 +176,41 @@ def _sketch(width: int, least: int, most: int):
     return run
 
 
-def _merge(least: int):
-    def run(a, b):
-        both = restored(a, least).astype(np.uint16) + restored(b, least)
-        return halved(np.minimum(both, least).astype(np.uint8), least)
+def _merged(least: int):
+    """Stripes in order, those of one number merged into one."""
+
+    def row(stripe, cells):
+        return pa.RecordBatch.from_arrays([pa.array([stripe], pa.int32()), pa.array([halved(cells, least)], pa.binary())], names=["stripe", "data"])
+
+    def run(batches):
+        here, cells = None, None
+        for batch in batches:
+            for stripe, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                more = restored(data.as_py(), least)
+                if stripe == here:
+                    cells = np.minimum(cells.astype(np.uint16) + more, least).astype(np.uint8)
+                    continue
+                if here is not None:
+                    yield row(here, cells)
+                here, cells = stripe, more
+        if here is not None:
+            yield row(here, cells)
 
     return run
 
 
+STRIPES = "stripe int, data binary"
+
+
 def sketch(docs: DataFrame, width: int, least: int, most: int) -> np.ndarray:
     """The merged sketch of the n-grams of ``docs`` (text, lang): ROWS x width bytes, each at most ``least``."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stripes = docs.mapInArrow(released(_sketch(width, least, most)), "stripe int, data binary").rdd.map(lambda r: (r[0], bytes(r[1])))
+    stripes = docs.mapInArrow(released(_sketch(width, least, most)), STRIPES)
+    dealt = stripes.repartition(min(parts, ROWS * width // STRIPE + 1), "stripe").sortWithinPartitions("stripe")
     out = np.zeros(ROWS * width, np.uint8)
-    for i, data in stripes.reduceByKey(_merge(least), min(parts, ROWS * width // STRIPE + 1)).collect():
-        out[i * STRIPE : (i + 1) * STRIPE] = restored(data, least)
+    # at most one packed stripe for each STRIPE cells of the sketch, whose size is a parameter
+    for i, data in dealt.mapInArrow(released(_merged(least)), STRIPES).collect():
+        out[i * STRIPE : (i + 1) * STRIPE] = restored(bytes(data), least)
     return out.reshape(ROWS, width)
 
 
@@ -187,8 +218,10 @@ PACKS = "share int, lang string, total long, data binary"
 
 
 def _packs(found: list, shares: int):
-    """Rows of PACKS: the (lang, phrase, hash, count) tables ``found``, cut by share and language."""
-    got = pa.concat_tables(found).combine_chunks()
+    """Rows of PACKS: the (lang, phrase, hash, count) tables ``found``, which is emptied, cut by share and language."""
+    got = pa.concat_tables(found)
+    found.clear()
+    got = got.combine_chunks()
     share = (got["h"].to_numpy() >> np.uint64(40)) % np.uint64(shares)
     named = got["lang"].combine_chunks().dictionary_encode()
     named = named.chunk(0) if isinstance(named, pa.ChunkedArray) else named
@@ -218,26 +251,31 @@ def _opened(data: bytes) -> pa.Table:
 def _survivors(shared, least: int, most: int, shares: int, keep: int = 1 << 19):
     """Packs of the n-grams that the sketch lets pass, counted in a block, about ``keep`` at a time, and the words of each language in all."""
 
+    def counted(block, cells, totals, found):
+        """Rows added to ``found``; the block's own arrays go on return."""
+        words, rows = Words(*block), 0
+        if not len(words.code):
+            return 0
+        for lang, n in zip(words.langs.to_pylist(), np.bincount(words.code // words.many, minlength=len(words.langs)).tolist()):
+            totals[lang] = totals.get(lang, 0) + n
+        for n, at, h in words.runs(most):
+            for row in range(ROWS):
+                ok = cells[row, cell(h, row, cells.shape[1])] >= least
+                at, h = at[ok], h[ok]
+            key = words.code[at]
+            for j in range(1, n):
+                key = np.unique(key, return_inverse=True)[1] * (words.many * len(words.langs)) + words.code[at + j]
+            _, first, count = np.unique(key, return_index=True, return_counts=True)
+            found.append(pa.table({"lang": words.langs_of(at[first]), "phrase": words.texts_of(at[first], n), "h": pa.array(h[first]), "c": pa.array(count, pa.int64())}))
+            rows += len(first)
+        return rows
+
     def run(batches):
         cells = np.frombuffer(shared.value, np.uint8).reshape(ROWS, -1)
         found, rows, totals = [], 0, {}
         for batch in batches:
             for block in blocks(batch):
-                words = Words(*block)
-                if not len(words.code):
-                    continue
-                for lang, n in zip(words.langs.to_pylist(), np.bincount(words.code // words.many, minlength=len(words.langs)).tolist()):
-                    totals[lang] = totals.get(lang, 0) + n
-                for n, at, h in words.runs(most):
-                    for row in range(ROWS):
-                        ok = cells[row, cell(h, row, cells.shape[1])] >= least
-                        at, h = at[ok], h[ok]
-                    key = words.code[at]
-                    for j in range(1, n):
-                        key = np.unique(key, return_inverse=True)[1] * (words.many * len(words.langs)) + words.code[at + j]
-                    _, first, count = np.unique(key, return_index=True, return_counts=True)
-                    found.append(pa.table({"lang": words.langs_of(at[first]), "phrase": words.texts_of(at[first], n), "h": pa.array(h[first]), "c": pa.array(count, pa.int64())}))
-                    rows += len(first)
+                rows += counted(block, cells, totals, found)
                 if rows > keep:
                     yield _packs(found, shares)
                     found, rows = [], 0

@@ -175,3 +175,17 @@ def test_a_missing_child_fails():
 def test_files_lie_in_the_shared_folder(spark):
     index = warc.write_archives(spark.createDataFrame([(1, "u", "x")], PAGES))
     assert index.first()["archive"].removeprefix("file:").startswith(common.shared_dir(spark).removeprefix("file:"))
+
+
+def test_packs_take_the_tables_and_stripes_merge_in_a_stream():
+    import numpy as np
+    import pyarrow as pa
+
+    found = [pa.table({"lang": ["en", "de"], "phrase": pa.array(["a b", "c"], pa.large_string()), "h": pa.array([1, 2], pa.uint64()), "c": pa.array([3, 4], pa.int64())})]
+    assert collocations._packs(found, 4).num_rows == 2 and found == []
+    cells = np.zeros(16, np.uint8)
+    cells[3] = 7
+    packed = collocations.halved(cells, 10)
+    rows = pa.RecordBatch.from_arrays([pa.array([0, 0, 2], pa.int32()), pa.array([packed] * 3, pa.binary())], names=["stripe", "data"])
+    got = [(b.column(0)[0].as_py(), collocations.restored(b.column(1)[0].as_py(), 10).tolist()) for b in collocations._merged(10)([rows])]
+    assert got == [(0, [0, 0, 0, 10] + [0] * 12), (2, cells.tolist())]
