@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_unique, materialise, ship
+from .common import join_unique, materialise, released, ship
 from .shingles import mix
 
 ship(__name__)
@@ -133,26 +133,6 @@ def restored(data: bytes, least: int) -> np.ndarray:
     return np.stack([cells & 15, cells >> 4], 1).ravel() if least < 16 else cells
 
 
-def released(run):
-    """A function of batches that gives unused memory back after each one it makes and at its end, as workers live on."""
-    import ctypes
-
-    def back():
-        pa.default_memory_pool().release_unused()
-        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-            libc.malloc_trim(0)
-
-    def whole(batches):
-        for i, made in enumerate(run(batches)):
-            yield made
-            del made
-            if i % 64 == 0:
-                back()
-        back()
-
-    return whole
-
-
 def _sketch(width: int, least: int, most: int):
     """Stripes of the task's sketch: (stripe, its compressed bytes), no cell over ``least``."""
 

@@ -53,7 +53,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import LAST_ID, hot_hashes, hot_keys, join_unique, materialise, order_key, ship
+from .common import LAST_ID, give_back, hot_hashes, hot_keys, join_unique, materialise, narrow, order_key, released, ship
 from .components import components
 from .shingles import mix, shingle_sets, slices
 
@@ -149,7 +149,7 @@ def _classes(k: int):
     schema = pa.schema([("id", pa.int64()), ("ord", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("sketch", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
-        for batch in batches:
+        for batch in narrow(batches):
             texts, n, cls, sketch, keys = _texts(batch), [], [], [], []
             for a, b in slices(texts):
                 for h in shingle_sets(texts[a:b], k):
@@ -195,7 +195,7 @@ def _keys(k: int, buckets: int, hot: list[int], flush_rows: int = 1_500_000):
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-        for batch in batches:
+        for batch in narrow(batches):
             texts = _texts(batch)
             for a, b in slices(texts):
                 for h in shingle_sets(texts[a:b], k):
@@ -224,12 +224,19 @@ FOUND = "key long, cls binary, cnt long, step int, spare int"
 
 def _meet(buckets: int):
     """Of a bucket: a row for each class of every key that several classes have, or of every hot key (``cnt`` is then of this bucket alone)."""
-    return lambda key, table: _meet_bucket(key[0].as_py(), buckets, table)
+
+    def run(key, table):
+        made = _meet_bucket(key[0].as_py(), buckets, table)
+        give_back()
+        return made
+
+    return run
 
 
 def _meet_bucket(bucket: int, buckets: int, table):
     a, lo, flag = [], [], []
-    for n, data in zip(table.column("n").to_pylist(), table.column("data").to_pylist()):
+    for n, data in zip(table.column("n").to_pylist(), table.column("data")):
+        data = data.as_buffer()
         a.append(np.frombuffer(data, _U, n))
         lo.append(np.frombuffer(data, _U, n, 8 * n))
         flag.append(np.frombuffer(data, np.uint16, n, 16 * n))
@@ -258,7 +265,7 @@ def _meet_bucket(bucket: int, buckets: int, table):
     return pa.table(
         {
             "key": pa.array(whole.astype(np.int64)),
-            "cls": pa.array([x.tobytes() for x in ids], pa.binary()),
+            "cls": pa.FixedSizeBinaryArray.from_buffers(pa.binary(11), len(ids), [None, pa.py_buffer(ids)]).cast(pa.binary()),
             "cnt": pa.array(size.astype(np.int64)),
             "step": pa.array((flag & 3).astype(np.int32)),
             "spare": pa.array((flag >> 2).astype(np.int32)),
@@ -268,7 +275,7 @@ def _meet_bucket(bucket: int, buckets: int, table):
 
 def _sets(k: int):
     def run(batches):
-        for batch in batches:
+        for batch in narrow(batches):
             texts, out = _texts(batch), []
             for a, b in slices(texts):
                 out.extend(h.tobytes() for h in shingle_sets(texts[a:b], k))
@@ -279,7 +286,7 @@ def _sets(k: int):
 
 def _near_sketch(batches):
     """Pairs whose sketches do not rule them out."""
-    for batch in batches:
+    for batch in narrow(batches):
         a, b, na, nb, sa, sb = (batch.column(i) for i in range(6))
         if not batch.num_rows:
             continue
@@ -313,7 +320,7 @@ def _meet_blocks(batches):
 
 
 def _verify(batches):
-    for batch in batches:
+    for batch in narrow(batches):
         u, v = [], []
         for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4))):
             x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
@@ -331,13 +338,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     text = F.col(f"`{text_col}`")
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), order_key(F.col(f"`{id_col}`")).alias("ord"), F.xxhash64(text).alias("th"), text.alias("text"))
-    rows = materialise(base.mapInArrow(_classes(k), "id long, ord long, th long, n long, cls binary, sketch binary, keys array<long>"), "classes")
+    rows = materialise(base.mapInArrow(released(_classes(k)), "id long, ord long, th long, n long, cls binary, sketch binary, keys array<long>"), "classes")
     classes = rows.filter("cls is not null").groupBy("cls").agg(F.min(F.struct("ord", "th")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     words = rows.agg(F.sum("n")).first()[0] or 0
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(width, math.ceil(0.65 * words * 18 / bucket_bytes))
     hot_at = hot_keys(rows.filter("keys is not null").dropDuplicates(["cls"]).select(F.explode("keys").alias("key")), "key", buckets)
-    found = materialise(base.select("ord", "text").mapInArrow(_keys(k, buckets, hot_at), "bucket int, n int, data binary").groupBy("bucket").applyInArrow(_meet(buckets), FOUND), "found")
+    found = materialise(base.select("ord", "text").mapInArrow(released(_keys(k, buckets, hot_at)), "bucket int, n int, data binary").groupBy("bucket").applyInArrow(_meet(buckets), FOUND), "found")
     if hot_at:
         # one row for each hot key, at most 256
         is_hot = F.col("key") >= F.lit(buckets << 40)
@@ -347,7 +354,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def near(pairs: DataFrame) -> DataFrame:
         facts = classes.select("cls", "n", "sketch")
         x = pairs.join(facts.toDF("a", "na", "sa"), "a").join(facts.toDF("b", "nb", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
-        return materialise(x.mapInArrow(_near_sketch, "a binary, b binary"), "near")
+        return materialise(x.mapInArrow(released(_near_sketch), "a binary, b binary"), "near")
 
     def verified(pairs: DataFrame) -> DataFrame:
         need = materialise(
@@ -355,9 +362,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         )
         small = need.count() <= broadcast_ids
         texts = base.join(F.broadcast(need) if small else need, ["ord", "th"]).select("cls", "text")
-        sets = materialise(texts.mapInArrow(_sets(k), "cls binary, items binary").dropDuplicates(["cls"]), "sets")
+        sets = materialise(texts.mapInArrow(released(_sets(k)), "cls binary, items binary").dropDuplicates(["cls"]), "sets")
         x = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-        return materialise(x.mapInArrow(_verify, "u binary, v binary"), "links")
+        return materialise(x.mapInArrow(released(_verify), "u binary, v binary"), "links")
 
     ordered = lambda d, x, y: d.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).filter("a <> b")
     dear = Window.partitionBy("cls", "step").orderBy(F.desc("cnt"), F.desc("key"))
@@ -394,7 +401,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = names.filter("side = 0").toDF("key", "s", "x").join(names.toDF("key", "t", "y"), "key").filter("t = 1 or x <= y")
     # blocks join by key and block, so no key's pairs lie in one task
     met = pairs.join(packed.toDF("key", "s", "x", "gx"), ["key", "s", "x"]).join(packed.toDF("key", "t", "y", "gy"), ["key", "t", "y"]).select("gx", "gy")
-    more = materialise(met.mapInArrow(_meet_blocks, "a binary, b binary").distinct(), "rest")
+    more = materialise(met.mapInArrow(released(_meet_blocks), "a binary, b binary").distinct(), "rest")
     if more.take(1):
         links = links.unionByName(verified(more))
     return rows, links

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import released, ship
 
 ship(__name__)
 
@@ -311,4 +311,4 @@ def _pack(encoder_args: tuple, window: int, end_id: int, group_tokens: int):
 def pack_documents(docs: DataFrame, vocabulary: str, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text", window: int = 1024, end_id: int = 0, group_tokens: int = 6_000_000) -> DataFrame:
     """One row per piece; see the module's docstring. ``window`` is a power of two."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(_pack((vocabulary, ranks), window, end_id, group_tokens), PIECES)
+    return rows.mapInArrow(released(_pack((vocabulary, ranks), window, end_id, group_tokens)), PIECES)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, ship
+from .common import crc_mod, narrow, released, ship
 
 ship(__name__)
 
@@ -69,7 +69,7 @@ def features(text: bytes) -> np.ndarray:
 
 
 def _features(batches):
-    for batch in batches:
+    for batch in narrow(batches):
         x = [features((t or "").encode("utf-8", "replace")).tolist() for t in batch.column(batch.num_columns - 1).to_pylist()]
         names = batch.schema.names[:-1]
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(x, pa.list_(pa.float64()))], names=[*names, "x"])
@@ -128,7 +128,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # at most ``sample`` rows of 12 bytes
     got = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), "id").select("id", "y", "text")
     # repeated ids bring more than one text each: still at most ``sample`` rows
-    rows = got.mapInArrow(_features, "id long, y int, x array<double>").orderBy(F.xxhash64("id", F.lit(11)), "id", "y", "x").limit(sample).toArrow()
+    rows = got.mapInArrow(released(_features), "id long, y int, x array<double>").orderBy(F.xxhash64("id", F.lit(11)), "id", "y", "x").limit(sample).toArrow()
     order = np.lexsort((rows.column("y").to_numpy(), rows.column("id").to_numpy()))
     x = np.array(rows.column("x").to_pylist()) if rows.num_rows else np.zeros((0, len(features(b""))))
     if not rows.num_rows:
@@ -139,7 +139,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def _scores(ranker: Ranker):
     def run(batches):
-        for batch in batches:
+        for batch in narrow(batches):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             x = np.array([features((t or "").encode("utf-8", "replace")) for t in texts]).reshape(len(texts), -1)
             s = ranker.score(x) if len(texts) else np.zeros(0)
@@ -150,12 +150,12 @@ def _scores(ranker: Ranker):
 
 def score(docs: DataFrame, ranker: Ranker, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every row."""
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(_scores(ranker), "id long, score double")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(released(_scores(ranker)), "id long, score double")
 
 
 def _keep(ranker: Ranker, at: int, floor: float):
     def run(batches):
-        for batch in batches:
+        for batch in narrow(batches):
             texts = batch.column(at).to_pylist()
             if not texts:
                 yield batch
@@ -169,4 +169,4 @@ def _keep(ranker: Ranker, at: int, floor: float):
 def keep_good(docs: DataFrame, ranker: Ranker, text_col: str = "text", floor: float = 0.7) -> DataFrame:
     """The rows of ``docs`` that score at least ``floor``, with all their columns."""
     inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    return inner.mapInArrow(_keep(ranker, docs.columns.index(text_col), floor), inner.schema).toDF(*docs.columns)
+    return inner.mapInArrow(released(_keep(ranker, docs.columns.index(text_col), floor)), inner.schema).toDF(*docs.columns)

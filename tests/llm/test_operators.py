@@ -792,3 +792,28 @@ def test_nearest_neighbours_count_places_in_one_row_of_a_task():
     assert np.frombuffer(said[0].column(0)[0].as_py(), np.int64).tolist() == want
     both = list(ann._added(said * 2))
     assert [b.num_rows for b in both] == [1] and np.frombuffer(both[0].column(0)[0].as_py(), np.int64).tolist() == [2 * w for w in want]
+
+
+def test_a_batch_becomes_python_objects_a_slice_at_a_time():
+    import tracemalloc
+
+    texts = [f"{i} " + "some words of a text that is long enough to be seen " * 40 for i in range(4096)]
+    docs = pa.RecordBatch.from_arrays([pa.array(range(4096), pa.int64()), pa.array(texts)], names=["c0", "c1"])
+    sets = [np.arange(i, i + 400, dtype=np.uint64).tobytes() for i in range(4096)]
+    names = [str(i).encode() for i in range(4096)]
+    pairs = pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (names, names, sets, sets)], names=["a", "b", "x", "y"])
+    ranker = quality.Ranker(0.0, 1.0, np.zeros(len(quality.features(b""))), -60.0, 0.7)
+    for run, batch in ((quality._keep(ranker, 1, 0.7), docs), (jaccard_join._verify, pairs)):
+        tracemalloc.start()
+        try:
+            rows = sum(b.num_rows for b in run([batch]))
+            peak = tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+        assert rows == 4096
+        assert peak < batch.nbytes
+        assert [b.num_rows for b in run([batch.slice(0, 0)])] == [0]
+
+
+def test_released_passes_every_batch_on():
+    assert list(common.released(lambda batches: (b + 1 for b in batches))(range(130))) == list(range(1, 131))
